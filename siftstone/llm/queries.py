@@ -22,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftstone.llm import packing
 
@@ -47,6 +53,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
