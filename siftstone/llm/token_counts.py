@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, counter: Callable[[], Callable[[str], int]], l
 
     parts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, parts_schema)
     met = (
-        parts.withColumn("deal", F.coalesce(F.xxhash64("piece"), F.xxhash64("row")))
+        parts.withColumn("deal", F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).otherwise(F.xxhash64("row")))
         .repartition("deal")
         .sortWithinPartitions("piece")
         .drop("deal")
