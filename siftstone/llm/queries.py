@@ -52,11 +52,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), counter)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import lm_scoring
+
+    held_out = F.pmod(crc_column(), F.lit(5)) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return lm_scoring.score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_lm_scoring": op7_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
