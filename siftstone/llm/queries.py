@@ -60,12 +60,28 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import line_dedup
+
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_counts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
