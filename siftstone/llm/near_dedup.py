@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, stored
+from siftstone.llm.common import arrow_schema, batch, portions, stored
 
 BANDS, ROWS, ROUNDS = 24, 4, 6
 BITS = 26
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     shape = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             sizes, nodes, keys = [], [], []
             for text in b.column("text").to_pylist():
                 u = shingles(text, width)
@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, done = spread.value, set()
-        for b in batches:
+        for b in portions(batches):
             nodes, sets = [], []
             for text in b.column("text").to_pylist():
                 u = shingles(text, width)
@@ -166,7 +166,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) for which 100 * |intersection| >= percent * |union| on the full sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -216,9 +216,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = stored(full_sets(docs, shared.select("v.node").distinct(), width), "sets")
         tested = None
         for turn in range(ROUNDS):
-            now = shared.withColumn("label", F.col("v"))
-            if labels is not None:
-                now = stored(shared.join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")), "labelled")
+            if labels is None:
+                now = shared.withColumn("label", F.col("v"))
+            else:
+                now = shared.join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+                now = stored(now, "labelled")
             order = F.col("v.rep") if turn == 0 else F.xxhash64("v.node", "key", F.lit(turn))
             live = (
                 now.groupBy("key")
@@ -226,9 +228,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 .filter("lo != hi")
                 .select("key", F.col("c.v").alias("cv"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
             )
+            # what falls into one component stays in it: only buckets with several go on
+            now = stored(now.join(live, "key"), "live")
+            if turn:
+                sets = stored(sets.join(now.select("v.node").distinct(), "node", "left_semi"), "sets")
             pairs = (
-                now.join(live, "key")
-                .filter(F.col("label") != F.col("cl"))
+                now.filter(F.col("label") != F.col("cl"))
                 .filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
                 .select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b"))
                 .distinct()
@@ -236,6 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs")
+            shared = now.select("key", "v", "n")
             if pairs.isEmpty():
                 break
             tested = pairs if tested is None else tested.union(pairs)
