@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftstone.llm.common import arrow_schema, batch, row_sample, stored
+from siftstone.llm.common import arrow_schema, batch, portions, row_sample, stored
 
 ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 200_000, 20_000, 1 << 20
 _SYMBOLS, _END, _START = 257, 256, 0xFF
@@ -91,7 +91,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pile, waiting = [], 0
-        for b in batches:
+        for b in portions(batches):
             training = np.array(b.column("training").to_pylist(), dtype=bool)
             bodies = [b" ".join(words_of(t)) for t in b.column("text").to_pylist()]
             for kind in (False, True):
@@ -99,10 +99,10 @@ def gather(docs: DataFrame) -> DataFrame:
                     g, n = np.unique(keys, return_counts=True)
                     pile.append((g, n, n if kind else np.zeros_like(n)))
                     waiting += len(g)
-                    if waiting > 4_000_000:
+                    if waiting > 2_000_000:
                         pile = [merge(pile)]
                         waiting = len(pile[0][0])
-                        if waiting > 2_000_000:
+                        if waiting > 1_000_000:
                             yield batch(shape, *pile[0])
                             pile, waiting = [], 0
         if pile:
@@ -245,7 +245,7 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, value, zero, none = table.value, values.value, unseen.value, math.log10(0.5)
-        for b in batches:
+        for b in portions(batches):
             texts = [words_of(t) for t in b.column("text").to_pylist()]
             tokens, seen, base = [], [], []
             for ws in texts:
@@ -289,7 +289,7 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for b in batches:
+        for b in portions(batches):
             for t in b.column("text").to_pylist():
                 seen.update(words_of(t))
                 if len(seen) > 500_000:
@@ -310,7 +310,7 @@ def rare_words(docs: DataFrame, index) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         have: Counter[int] = Counter()
-        for b in batches:
+        for b in portions(batches):
             out: list[tuple] = []
             for uid, text, training in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "training")), strict=True):
                 counts = Counter(words_of(text))
