@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch
+from siftstone.llm.common import arrow_schema, batch, portions
 
 BUCKETS, PER_LANGUAGE, LANGUAGES, SIZES, PIECE = 1 << 16, 4000, 256, (1, 2, 3), 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
@@ -82,7 +82,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in portions(batches):
             by: dict[str, list[str]] = {}
             for t, k in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if k in sizes:
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
-        for b in batches:
+        for b in portions(batches):
             pred, score = score_texts(m, b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 

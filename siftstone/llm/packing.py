@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch
+from siftstone.llm.common import arrow_schema, batch, portions
 
 
 @dataclass
@@ -193,7 +193,7 @@ def pack(
                 at += n
             seq += 1
 
-        for b in batches:
+        for b in portions(batches):
             texts, before = b.column("text").to_pylist(), b.column("prompt").to_pylist()
             for doc, text, lead in zip(b.column("doc_id").to_pylist(), texts, before, strict=True):
                 body = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, row_sample
+from siftstone.llm.common import arrow_schema, batch, portions, row_sample
 
 HEAD, SAMPLE, LONG = 250_000, 20_000, 64
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, counter: Callable[[], Callable[[str], int]], l
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = head.value, counter()
-        for b in batches:
+        for b in portions(batches):
             out: list[tuple] = []
             for row, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text, have, rest = text or "", 0, []
@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, counter: Callable[[], Callable[[str], int]], l
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last, per = counter(), None, 0
-        for b in batches:
+        for b in portions(batches):
             tokens = []
             for piece, n in zip(b.column("piece").to_pylist(), b.column("n").to_pylist(), strict=True):
                 if piece is None:
@@ -101,7 +101,7 @@ def frequent(docs: DataFrame, counter: Callable[[], Callable[[str], int]], head:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         shape = arrow_schema("piece string, n long")
-        for b in batches:
+        for b in portions(batches):
             for text in b.column("text").to_pylist():
                 seen.update(p for p in pretokens(text or "") if len(p) <= LONG)
                 if len(seen) > 500_000:
