@@ -104,7 +104,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, with_counts: bool =
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     small = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col("text").cast("string").alias("text"))
     gone = stored(deletions(small, min_words), "deletions").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("spans").alias("__spans"))
-    met = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left").drop("__id", "__th", "__hash")
+    # a sort-merge join at every size: what a broadcast would save on small tables it could not hold on large ones
+    met = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left").drop("__id", "__th", "__hash")
 
     out = [f for f in met.schema.fields if f.name in names]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + (["n_lines bigint", "n_removed bigint"] if with_counts else []))
