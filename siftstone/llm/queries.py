@@ -58,6 +58,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), counter)
 
 
+def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import sentencepieces
+
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftstone.llm import lm_scoring
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_sentencepieces": op6_sentencepieces,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
