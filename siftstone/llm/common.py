@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, kept by the executors for the steps that read it again: for small tables a few steps away from a stored one.
+
+    What a lost executor held is made again from there. Spark drops the blocks when it needs the room.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows: Python objects of one slice are alive at a time."""
     for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftstone.llm.common import arrow_schema, batch, portions, row_sample, stored
+from siftstone.llm.common import arrow_schema, batch, held, portions, row_sample, stored
 
 ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 200_000, 20_000, 1 << 20
 _SYMBOLS, _END, _START = 257, 256, 0xFF
@@ -123,7 +123,7 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     for j in range(ORDER, -1, -1):
         if j < ORDER:
             level = counts[j + 1].groupBy(_suffix(F.col("context"), j).alias("context"), "symbol").agg(F.sum("c").alias("c"))
-        counts[j] = stored(level, f"order{j}")
+        counts[j] = held(level)
     for j in range(ORDER, -1, -1):
         node = counts[j].groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d"))
         if j:  # what the symbols of this context have in the shorter one
@@ -132,7 +132,7 @@ def code_lengths(grams: DataFrame) -> DataFrame:
             node = node.join(inside, "context")
         else:
             node = node.withColumn("x", F.lit(0).cast("long"))
-        nodes[j] = stored(node, f"node{j}")
+        nodes[j] = held(node)
     top = nodes[ORDER].select("context", F.col("n").alias("nn"))
     seen = split.filter("t > 0").join(top, "context").select("g", "n", F.log10((F.col("t") - 0.5) / F.col("nn")).alias("lp"))
     state = split.filter("t = 0").select("g", "n", "context", "symbol", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("d0"))
@@ -145,12 +145,9 @@ def code_lengths(grams: DataFrame) -> DataFrame:
         live = ~F.col("done") & F.col("nn").isNotNull()
         n, d = F.col("nn") - F.col("x0"), F.col("nd") - F.col("d0")
         step = F.when(~live, 0.0).when(F.col("c").isNotNull(), F.log10((F.col("c") - 0.5) / n)).when(d > 0, F.log10(d / (2 * n))).otherwise(0.0)
-        state = stored(
-            state.select(
-                "g", "n", "context", "symbol", (F.col("lp") + step).alias("lp"), (F.col("done") | (live & F.col("c").isNotNull())).alias("done"),
-                F.when(live, F.col("nx")).otherwise(F.col("x0")).alias("x0"), F.when(live, F.col("nd")).otherwise(F.col("d0")).alias("d0"),
-            ),
-            f"walk{j}",
+        state = state.select(
+            "g", "n", "context", "symbol", (F.col("lp") + step).alias("lp"), (F.col("done") | (live & F.col("c").isNotNull())).alias("done"),
+            F.when(live, F.col("nx")).otherwise(F.col("x0")).alias("x0"), F.when(live, F.col("nd")).otherwise(F.col("d0")).alias("d0"),
         )
     flat = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.greatest(F.lit(1), F.lit(_SYMBOLS) - F.col("d0"))))
     return seen.union(state.select("g", "n", (F.col("lp") + flat).alias("lp")))

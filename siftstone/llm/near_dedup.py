@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, portions, stored
+from siftstone.llm.common import arrow_schema, batch, held, portions, stored
 
 BANDS, ROWS, ROUNDS = 24, 4, 6
 BITS = 26
@@ -180,22 +180,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, f"a {vertex}, b {vertex}")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out."""
-    edges = stored(edges.select("a", "b").filter("a != b"), name)
-    labels = None
+    spark = edges.sparkSession
+    edges = held(edges.select("a", "b").filter("a != b"))
+    labels, done = None, [edges]
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), name)
+        least = held(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         if labels is None:
             labels = least.select(F.col("a").alias("vertex"), F.col("to").alias("label"))
         else:
             step = least.select(F.col("a").alias("label"), "to")
-            labels = stored(labels.join(step, "label", "left").select("vertex", F.coalesce("to", "label").alias("label")), name)
+            labels = held(labels.join(step, "label", "left").select("vertex", F.coalesce("to", "label").alias("label")))
         ends = edges.join(least.select("a", F.col("to").alias("x")), "a").select("x", "b")
         ends = ends.join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-    return labels if labels is not None else edges.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
+        edges = held(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        done += [least, labels, edges]
+    if labels is None:
+        return spark.createDataFrame([], "vertex struct<rep: bigint, node: binary>, label struct<rep: bigint, node: binary>")
+    labels = stored(labels, "components")
+    for x in done:
+        x.unpersist()
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -220,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 now = shared.withColumn("label", F.col("v"))
             else:
                 now = shared.join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-                now = stored(now, "labelled")
+                now = held(now)
             order = F.col("v.rep") if turn == 0 else F.xxhash64("v.node", "key", F.lit(turn))
             live = (
                 now.groupBy("key")
@@ -229,9 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 .select("key", F.col("c.v").alias("cv"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
             )
             # what falls into one component stays in it: only buckets with several go on
-            now = stored(now.join(live, "key"), "live")
+            now = held(now.join(live, "key"))
             if turn:
-                sets = stored(sets.join(now.select("v.node").distinct(), "node", "left_semi"), "sets")
+                sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
             pairs = (
                 now.filter(F.col("label") != F.col("cl"))
                 .filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
@@ -240,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             )
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
+            pairs = held(pairs)
             shared = now.select("key", "v", "n")
             if pairs.isEmpty():
                 break
@@ -251,11 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                     break
                 continue
             edges = found if edges is None else edges.union(found)
-            labels = components(edges, "component")
+            labels = components(edges)
     known = nodes.select("node", "rep")
     if labels is not None:
         known = known.join(labels.select(F.col("vertex.node").alias("node"), F.col("label.rep").alias("least")), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
-        known = stored(known, "known")
     linked = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "node").join(known, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
