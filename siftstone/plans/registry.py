@@ -1,11 +1,10 @@
-"""Names of the registered queries, their functions and their SQL."""
+"""All registered queries of the engine, and the flagship among them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siftstone.plans import retrieval  # noqa: F401
+from siftstone.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "a4_rrf"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
