@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from siftstone.llm.common import arrow_schema, batch, held, portions, row_sample, stored
 
-ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 200_000, 20_000, 1 << 20
+ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 150_000, 20_000, 1 << 20
 _SYMBOLS, _END, _START = 257, 256, 0xFF
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,10 +231,11 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
     ends = int(counted.get(-1, 0))
     n_all = int(counted.get(-2, 0)) + ends
     v_all = int(sums["v"] or 0) + sum(1 for i, c in counted.items() if i >= 0 and c > 0) + (ends > 0)
-    known = {w: (math.log10(counted.get(i, 0) + 0.5), counted.get(i, 0) > 0) for w, i in index.value.items()}
     end_value, norm = math.log10(ends + 0.5), math.log10(n_all + 0.5 * (v_all + 1))
-    values = spark.sparkContext.broadcast({w: v for w, (v, k) in known.items() if k})
-    unseen = spark.sparkContext.broadcast({w for w, (_, k) in known.items() if not k})
+    values = spark.sparkContext.broadcast({w: math.log10(c + 0.5) for i, w in enumerate(words) if (c := counted.get(i, 0)) > 0})
+    unseen = spark.sparkContext.broadcast({w for i, w in enumerate(words) if not counted.get(i, 0)})
+    index.destroy()
+    del words, counted
 
     out = [f for f in docs.schema.fields if f.name in set(keep)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + ["uid bigint", "n_tokens bigint", "n_known bigint", "base double", "ppm double", "rest array<struct<g:bigint,f:bigint>>"])

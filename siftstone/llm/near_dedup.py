@@ -4,9 +4,9 @@
    of each of BANDS * ROWS ranges; an empty range takes the value of a full one that a fixed random
    sequence of its own points to. Rows of equal sets fall together at once and go on as one node.
 2. Each band of a signature is a bucket. In a bucket one member is the centre, and only edges from it to the others are
-   candidates, so a bucket of n gives n - 1 pairs. Where members of a bucket are still in different components
-   after that, later rounds take another centre at random and compare only across components, until a round finds
-   nothing new. With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
+   candidates, so a bucket of n gives n - 1 pairs. The first round has two centres, by least id and by a hash. Where
+   members of a bucket are still in different components after that, later rounds take the centre by another hash and
+   compare only across components, until a round finds nothing new. With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
 3. Every candidate is confirmed on the full sets. These are made again for nodes in shared buckets only, which a bitmap of
    fixed size picks out in the scan (it only saves work; false hits change nothing).
 4. Components come from repeated contraction of the confirmed edges.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_schema, batch, held, portions, stored
 
-BANDS, ROWS, ROUNDS = 24, 4, 6
+BANDS, ROWS, ROUNDS = 24, 4, 4
 BITS = 26
 _M = BANDS * ROWS
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -180,11 +180,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, f"a {vertex}, b {vertex}")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out."""
     spark = edges.sparkSession
-    edges = held(edges.select("a", "b").filter("a != b"))
-    labels, done = None, [edges]
+    edges = stored(edges.select("a", "b").filter("a != b"), name)
+    labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = held(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
@@ -195,14 +195,25 @@ def components(edges: DataFrame) -> DataFrame:
             labels = held(labels.join(step, "label", "left").select("vertex", F.coalesce("to", "label").alias("label")))
         ends = edges.join(least.select("a", F.col("to").alias("x")), "a").select("x", "b")
         ends = ends.join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = held(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        done += [least, labels, edges]
+        edges = stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
     if labels is None:
         return spark.createDataFrame([], "vertex struct<rep: bigint, node: binary>, label struct<rep: bigint, node: binary>")
-    labels = stored(labels, "components")
-    for x in done:
-        x.unpersist()
-    return labels
+    return stored(labels, name)
+
+
+def candidates(now: DataFrame, orders: list[Column], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of buckets that hold several labels: their members, and the star edges to the members of another label.
+
+    An order chooses the centre of each bucket. It ranks nodes alike in all buckets, so a group that shares many buckets
+    has few centres and a pair comes up once.
+    """
+    centres = [F.min(F.struct(o.alias("o"), "v", "n", "label")).alias(f"c{i}") for i, o in enumerate(orders)]
+    live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *centres).filter("lo != hi").drop("lo", "hi")
+    now = held(now.join(live, "key"))
+    stars = now.select("v", "n", "label", F.explode(F.array(*[f"c{i}" for i in range(len(orders))])).alias("c"))
+    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+    pairs = stars.filter((F.col("label") != F.col("c.label")) & fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
+    return now.select("key", "v", "n", "label"), pairs
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -212,53 +223,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(docs, width), "signed")
-    nodes = stored(
-        signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes"
+    nodes = held(
+        signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     buckets = nodes.select(F.explode("bands").alias("key"), F.struct("rep", "node").alias("v"), "n")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    shared = stored(buckets.join(shared, "key"), "shared")
-    edges = labels = None
-    if not shared.isEmpty():
-        sets = stored(full_sets(docs, shared.select("v.node").distinct(), width), "sets")
-        tested = None
+    several = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    now = held(buckets.join(several, "key").withColumn("label", F.col("v")))
+    edges = labels = tested = None
+    if not now.isEmpty():
+        sets = held(full_sets(docs, now.select("v.node").distinct(), width))
         for turn in range(ROUNDS):
-            if labels is None:
-                now = shared.withColumn("label", F.col("v"))
-            else:
-                now = shared.join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-                now = held(now)
-            order = F.col("v.rep") if turn == 0 else F.xxhash64("v.node", "key", F.lit(turn))
-            live = (
-                now.groupBy("key")
-                .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("o"), "v", "n", "label")).alias("c"))
-                .filter("lo != hi")
-                .select("key", F.col("c.v").alias("cv"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
-            )
-            # what falls into one component stays in it: only buckets with several go on
-            now = held(now.join(live, "key"))
-            if turn:
-                sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
-            pairs = (
-                now.filter(F.col("label") != F.col("cl"))
-                .filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-                .select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b"))
-                .distinct()
-            )
+            by = F.xxhash64("v.node", F.lit(turn))
+            now, pairs = candidates(now, [F.col("v.rep"), by] if turn == 0 else [by], percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = held(pairs)
-            shared = now.select("key", "v", "n")
-            if pairs.isEmpty():
-                break
+            if turn:
+                sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
             tested = pairs if tested is None else tested.union(pairs)
             found = stored(confirm(pairs, sets, percent), "links")
             if found.isEmpty():
-                if turn:
-                    break
-                continue
+                break
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
+            now = held(now.drop("label").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
     known = nodes.select("node", "rep")
     if labels is not None:
         known = known.join(labels.select(F.col("vertex.node").alias("node"), F.col("label.rep").alias("least")), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
