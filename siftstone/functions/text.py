@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,10 +58,18 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def clean_nfkc(text: pd.Series) -> pd.Series:
+def _mapped(fn: Callable, kind: str, column: Column) -> Column:
+    """fn over the values of a column that are not null, in Arrow batches."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else fn(x))
+
+    return F.pandas_udf(run, kind)(column)
+
+
+def clean_nfkc(text: Column) -> Column:
     """Compatibility normal form, then clean(), for all Unicode white space."""
-    return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
+    return _mapped(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()), "string", text)
 
 
 def letters(text: Column) -> Column:
@@ -78,24 +88,19 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(letters(text))
 
 
-@F.pandas_udf("array<string>")
-def catalog_tokens(text: pd.Series) -> pd.Series:
-    """Unicode words without case and accents."""
-    import re
+def _folded_words(x: str) -> list[str]:
+    folded = "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", folded)
 
-    def one(x):
-        folded = "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
-        return re.findall(r"[^\W_]+", folded)
 
-    return text.map(lambda x: None if x is None else one(x))
+def catalog_tokens(text: Column) -> Column:
+    """Unicode words without case and accents."""
+    return _mapped(_folded_words, "array<string>", text)
 
 
-@F.pandas_udf("string")
-def alias_key(text: pd.Series) -> pd.Series:
+def alias_key(text: Column) -> Column:
     """Words of the case-folded compatibility form, joined by a blank."""
-    import re
-
-    return text.map(lambda x: None if x is None else " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold())))
+    return _mapped(lambda x: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold())), "string", text)
 
 
 def informative(words: Column, stop: list[str]) -> Column:

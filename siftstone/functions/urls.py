@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,11 +34,13 @@ def canonical(url: Column, hosts: list[str], prefix: str, allowed: str = r"^[A-Z
     return F.when(good, F.concat(F.lit("https://"), F.lit(hosts[0]), F.lit(prefix), rest))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    import unicodedata
+def nfc(text: Column) -> Column:
+    """Canonical composed form."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return F.pandas_udf(run, "string")(text)
 
 
 def file_name(topic: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftstone.plans import retrieval  # noqa: F401
+from siftstone.plans import retrieval, texts  # noqa: F401
 from siftstone.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a4_rrf"
