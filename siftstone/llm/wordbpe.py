@@ -45,11 +45,11 @@ class WordEncoder:
     White space always parts words there and is dropped, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.library, self.size, self.cache = _library(path), cache, {}
+        self.library, self.size, self.cache, self.missed = _library(path), cache, {}, 0
         letters = _byte_alphabet()
 
         def raw(token: str) -> bytes:
@@ -68,26 +68,31 @@ class WordEncoder:
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def word(self, word: bytes) -> list[int]:
+        ids, merge = self.ids, self.merge
+        if word.isalpha():  # ASCII letters
+            return [ids[r] for r in merge(word.lower() + _END)]
+        if word[:-1].isalpha() and word[-1] in b".,!?;:|":
+            return [ids[r] for r in merge(word[:-1].lower() + _END)] + [ids[r] for r in merge(word[-1:] + _END)]
         text = word.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(text):
-            return [self.ids[r] for part in m.groups() if part for r in self.merge(part.lower().encode() + _END)]
+            return [ids[r] for part in m.groups() if part for r in merge(part.lower().encode() + _END)]
         return self.library.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        words, cache = text.encode("utf-8", "replace").split(), self.cache
-        for w in words:
-            if w not in cache:
-                if len(cache) >= self.size and len(w) <= 64:
-                    cache.clear()
-                    return self._fresh(words)
-                cache[w] = self.word(w)
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), dtype="<u4")
-
-    def _fresh(self, words: list[bytes]) -> np.ndarray:
-        own = {w: self.word(w) for w in set(words)}
-        if len(own) < self.size:
-            self.cache.update(own)
-        return np.fromiter(chain.from_iterable(map(own.__getitem__, words)), dtype="<u4")
+        """The cache takes words in until it is full, so it holds frequent ones; it starts anew when too much passes it by."""
+        if self.missed > 4 * self.size:
+            self.cache.clear()
+            self.missed = 0
+        cache, parts = self.cache, []
+        for w in text.encode("utf-8", "replace").split():
+            if (ids := cache.get(w)) is None:
+                ids = self.word(w)
+                if len(cache) < self.size and len(w) <= 64:
+                    cache[w] = ids
+                else:
+                    self.missed += 1
+            parts.append(ids)
+        return np.fromiter(chain.from_iterable(parts), dtype="<u4")
 
 
 class PieceCounter:
