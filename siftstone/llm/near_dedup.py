@@ -183,7 +183,6 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out."""
     spark = edges.sparkSession
-    edges = stored(edges.select("a", "b").filter("a != b"), name)
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -209,7 +208,7 @@ def candidates(now: DataFrame, orders: list[Column], percent: int) -> tuple[Data
     """
     centres = [F.min(F.struct(o.alias("o"), "v", "n", "label")).alias(f"c{i}") for i, o in enumerate(orders)]
     live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *centres).filter("lo != hi").drop("lo", "hi")
-    now = held(now.join(live, "key"))
+    now = stored(now.join(live, "key"), "live")
     stars = now.select("v", "n", "label", F.explode(F.array(*[f"c{i}" for i in range(len(orders))])).alias("c"))
     fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
     pairs = stars.filter((F.col("label") != F.col("c.label")) & fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
@@ -237,7 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             now, pairs = candidates(now, [F.col("v.rep"), by] if turn == 0 else [by], percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = held(pairs)
+            pairs = stored(pairs, "pairs")
+            if pairs.isEmpty():
+                break
             if turn:
                 sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
             tested = pairs if tested is None else tested.union(pairs)
