@@ -31,11 +31,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes df to the shared folder once and returns it as read from there: lineage ends and a lost executor costs nothing.
 
+    small: what many tasks give a few rows each of is first brought together to files of a fair size, as many as it takes.
     The files stay until the folder is removed; the caller's result may still read them lazily.
     """
+    df = df.hint("rebalance") if small else df
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -6,7 +6,7 @@
 2. Each band of a signature is a bucket. In a bucket one member is the centre, and only edges from it to the others are
    candidates, so a bucket of n gives n - 1 pairs. The first round has two centres, by least id and by a hash. Where
    members of a bucket are still in different components after that, later rounds take the centre by another hash and
-   compare only across components, until a round finds nothing new. With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
+   compare only across components, until a round finds nothing new (from the third on; ROUNDS at most). With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
 3. Every candidate is confirmed on the full sets. These are made again for nodes in shared buckets only, which a bitmap of
    fixed size picks out in the scan (it only saves work; false hits change nothing).
 4. Components come from repeated contraction of the confirmed edges.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_schema, batch, held, portions, stored
 
-BANDS, ROWS, ROUNDS = 24, 4, 4
+BANDS, ROWS, ROUNDS = 24, 4, 8
 BITS = 26
 _M = BANDS * ROWS
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -181,12 +181,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out."""
-    spark = edges.sparkSession
-    labels = None
+    """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out.
+
+    Each turn every vertex goes over to the least of its neighbours and itself, and edges are drawn anew between where their ends
+    went. The first turn goes by id, which settles stars; later ones by a new hash each, under which a path, too, halves.
+    """
+    spark, labels, turn = edges.sparkSession, None, 0
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = held(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        rank = lambda v: F.struct((F.lit(0) if turn == 0 else F.xxhash64(f"{v}.node", F.lit(turn))).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
+        least = held(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("m")).select("a", F.col("m.v").alias("to")))
         if labels is None:
             labels = least.select(F.col("a").alias("vertex"), F.col("to").alias("label"))
         else:
@@ -194,25 +198,29 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
             labels = held(labels.join(step, "label", "left").select("vertex", F.coalesce("to", "label").alias("label")))
         ends = edges.join(least.select("a", F.col("to").alias("x")), "a").select("x", "b")
         ends = ends.join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+        edges = stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name, small=True)
+        turn += 1
     if labels is None:
         return spark.createDataFrame([], "vertex struct<rep: bigint, node: binary>, label struct<rep: bigint, node: binary>")
-    return stored(labels, name)
+    roots = labels.groupBy("label").agg(F.min("vertex").alias("least"))
+    return stored(labels.join(roots, "label").select("vertex", F.col("least").alias("label")), name, small=True)
 
 
-def candidates(now: DataFrame, orders: list[Column], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets that hold several labels: their members, and the star edges to the members of another label.
+def several_labels(now: DataFrame, orders: list[Column]) -> DataFrame:
+    """The members of buckets that hold several labels, with the centre that each order chooses.
 
-    An order chooses the centre of each bucket. It ranks nodes alike in all buckets, so a group that shares many buckets
-    has few centres and a pair comes up once.
+    An order ranks nodes alike in all buckets, so a group that shares many buckets has few centres and a pair comes up once.
     """
     centres = [F.min(F.struct(o.alias("o"), "v", "n", "label")).alias(f"c{i}") for i, o in enumerate(orders)]
     live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *centres).filter("lo != hi").drop("lo", "hi")
-    now = stored(now.join(live, "key"), "live")
-    stars = now.select("v", "n", "label", F.explode(F.array(*[f"c{i}" for i in range(len(orders))])).alias("c"))
+    return stored(now.join(live, "key").withColumn("centres", F.array(*[f"c{i}" for i in range(len(orders))])).drop(*[f"c{i}" for i in range(len(orders))]), "live", small=True)
+
+
+def stars(live: DataFrame, percent: int) -> DataFrame:
+    """Edges from the centres to the members of another label whose sizes allow a link."""
+    pairs = live.select("v", "n", "label", F.explode("centres").alias("c"))
     fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-    pairs = stars.filter((F.col("label") != F.col("c.label")) & fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
-    return now.select("key", "v", "n", "label"), pairs
+    return pairs.filter((F.col("label") != F.col("c.label")) & fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,21 +241,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = held(full_sets(docs, now.select("v.node").distinct(), width))
         for turn in range(ROUNDS):
             by = F.xxhash64("v.node", F.lit(turn))
-            now, pairs = candidates(now, [F.col("v.rep"), by] if turn == 0 else [by], percent)
+            now = several_labels(now, [F.col("v.rep"), by] if turn == 0 else [by])
+            pairs = stars(now, percent).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
+            pairs = stored(pairs, "pairs", small=True)
             if pairs.isEmpty():
                 break
             if turn:
                 sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
             tested = pairs if tested is None else tested.union(pairs)
-            found = stored(confirm(pairs, sets, percent), "links")
-            if found.isEmpty():
+            found = stored(confirm(pairs, sets, percent), "links", small=True)
+            if found.isEmpty() and turn > 1:
                 break
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
-            now = held(now.drop("label").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
+            now = held(now.drop("label", "centres").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
     known = nodes.select("node", "rep")
     if labels is not None:
         known = known.join(labels.select(F.col("vertex.node").alias("node"), F.col("label.rep").alias("least")), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
