@@ -23,18 +23,22 @@ from siftstone.llm.queries import vocabulary
 MIN_SCORE = 0.5
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """A document's row as one column beside its text: no column of it can clash with one that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled ones speak; a text without letters, or of no clear language, goes."""
     model = _language_id.train(docs)
-    told = _language_id.predict(docs.withColumn("__text", F.col("text")), model, docs.columns, text="__text")
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    told = _language_id.predict(_whole(docs), model, ["__row"])
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("__row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what neither the base nor the learned list rejects."""
     rules = _quality_rules.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    told = _quality_rules.judge(docs.withColumn("__text", F.col("text")), rules, text="__text")
-    return told.filter("kept").select(*docs.columns)
+    return _quality_rules.judge(_whole(docs), rules).filter("kept").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
