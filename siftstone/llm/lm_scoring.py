@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftstone.llm.common import arrow_schema, batch, held, portions, row_sample, stored
+from siftstone.llm.common import arrow_schema, batch, portions, row_sample, stored
 
 ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 150_000, 20_000, 1 << 20
 _SYMBOLS, _END, _START = 257, 256, 0xFF
@@ -118,21 +118,17 @@ def _suffix(context: Column, order: int) -> Column:
 def code_lengths(grams: DataFrame) -> DataFrame:
     """g, n, lp: log10 of the probability that the trained trie gives each (context, symbol) of grams (g, n, t)."""
     split = grams.withColumn("context", F.shiftright("g", 9)).withColumn("symbol", F.col("g").bitwiseAND(F.lit(511)))
-    counts, nodes = {}, {}
-    level = split.filter("t > 0").select("context", "symbol", F.col("t").alias("c"))
-    for j in range(ORDER, -1, -1):
-        if j < ORDER:
-            level = counts[j + 1].groupBy(_suffix(F.col("context"), j).alias("context"), "symbol").agg(F.sum("c").alias("c"))
-        counts[j] = held(level)
-    for j in range(ORDER, -1, -1):
-        node = counts[j].groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d"))
-        if j:  # what the symbols of this context have in the shorter one
-            shorter = counts[j - 1].select(F.col("context").alias("short"), "symbol", F.col("c").alias("c1"))
-            inside = counts[j].withColumn("short", _suffix(F.col("context"), j - 1)).join(shorter, ["short", "symbol"]).groupBy("context").agg(F.sum("c1").alias("x"))
-            node = node.join(inside, "context")
-        else:
-            node = node.withColumn("x", F.lit(0).cast("long"))
-        nodes[j] = held(node)
+    # every order at once: a context of j bytes is the end of one of ORDER bytes
+    order = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _suffix(F.col("context"), j).alias("at")) for j in range(ORDER + 1)])).alias("o")
+    seen_at = split.filter("t > 0").select(order, "symbol", "t").select("o.j", F.col("o.at").alias("context"), "symbol", "t")
+    all_counts = stored(seen_at.groupBy("j", "context", "symbol").agg(F.sum("t").alias("c")), "counts")
+    # what the symbols of a context have in the next shorter one
+    short = F.coalesce(*[F.when(F.col("j") == j, _suffix(F.col("context"), max(0, j - 1))) for j in range(ORDER + 1)])
+    up = all_counts.select((F.col("j") + 1).alias("j"), F.col("context").alias("short"), "symbol", F.col("c").alias("c1"))
+    told = all_counts.withColumn("short", short).join(up, ["j", "short", "symbol"], "left")
+    all_nodes = stored(told.groupBy("j", "context").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.coalesce(F.sum("c1"), F.lit(0)).alias("x")), "nodes")
+    counts = {j: all_counts.filter(F.col("j") == j).drop("j") for j in range(ORDER + 1)}
+    nodes = {j: all_nodes.filter(F.col("j") == j).drop("j") for j in range(ORDER + 1)}
     top = nodes[ORDER].select("context", F.col("n").alias("nn"))
     seen = split.filter("t > 0").join(top, "context").select("g", "n", F.log10((F.col("t") - 0.5) / F.col("nn")).alias("lp"))
     state = split.filter("t = 0").select("g", "n", "context", "symbol", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("d0"))
@@ -225,7 +221,8 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
     words = frequent_words(docs)
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     rare = stored(rare_words(docs, index), "words")
-    counted = {r["i"]: r["c"] for r in rare.filter("i is not null").groupBy("i").agg(F.sum("s").alias("c")).collect()}  # WORDS at most
+    told = rare.filter("i is not null").groupBy("i").agg(F.sum("s").alias("c")).toArrow()  # WORDS at most
+    counted = dict(zip(told.column("i").to_pylist(), told.column("c").to_pylist(), strict=True))
     rare = rare.filter("i is null")
     sums = rare.agg(F.sum("first").alias("v")).collect()[0]
     ends = int(counted.get(-1, 0))
