@@ -121,8 +121,8 @@ def consistency(claims: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """
     said = claims.select(key, "refs", F.posexplode(clauses(F.col("text"))).alias("clause_no", "clause"))
     said = said.withColumn("polarity", polarity(F.col("clause"))).withColumn("concept", F.explode_outer(observations(F.col("clause"))))
-    cited = claims.select(key, F.explode("refs").alias("ref")).join(facts, "ref").select(key, F.col("concept").alias("__c"), F.when(F.col("polarity") == "recorded", "positive").otherwise(F.col("polarity")).alias("__p")).distinct()
-    met = said.join(cited, (said[key] == cited[key]) & (F.col("concept") == F.col("__c")) & (F.col("polarity") == F.col("__p")), "left").drop(cited[key])
+    cited = claims.select(key, F.explode("refs").alias("ref")).join(facts, "ref").select(F.col(key).alias("__k"), F.col("concept").alias("__c"), F.when(F.col("polarity") == "recorded", "positive").otherwise(F.col("polarity")).alias("__p")).distinct()
+    met = said.join(cited, (F.col(key) == F.col("__k")) & (F.col("concept") == F.col("__c")) & (F.col("polarity") == F.col("__p")), "left").drop("__k")
     skip = (F.size("refs") == 0) | F.col("concept").isNull() | (F.col("polarity") == "involved")
     status = F.when(skip, "unassessed").when(F.col("__c").isNull(), "mismatch").otherwise("no_mismatch_in_checked_observations")
     return met.select(key, "clause_no", "clause", "concept", "polarity", status.alias("status"))

@@ -65,7 +65,7 @@ def select_evidence(pool: DataFrame, limit: int = 5, variant: str = "base", unbo
     if variant not in VARIANTS or not 0 <= limit <= 5:
         raise ValueError("an unknown variant, or a limit beyond 0 to 5")
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.copy()
         if variant == "symptoms_weight_2":
             frame["symptoms_ranking"] += frame["symptoms_score"].fillna(0)
@@ -102,7 +102,7 @@ def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> l
 def semantic_groups(facts: DataFrame, kinds: dict[str, tuple[int, bool]] | None = None) -> DataFrame:
     """case_id, kind, group, pos for facts (case_id, kind, pos, vector): symptoms in about n / 4 groups, at most 4; history in at most 6."""
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
         n = len(frame)
         target = min(4, -(-n // 4)) if key[1] == "symptoms" else min(6, n)
