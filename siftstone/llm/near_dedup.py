@@ -163,7 +163,7 @@ def _spark_bit(node: bytes) -> int:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which 100 * |intersection| >= percent * |union| on the full sets."""
+    """The pairs (a: centre, b: member) for which 100 * |intersection| >= percent * |union| on the full sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -175,7 +175,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("__b"), F.col("shingles").alias("sb")), F.col("b.node") == F.col("__b")).drop("__b")
-    both = left.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("sa")), F.col("a.node") == F.col("__a")).drop("__a")
+    # centres may have many members: written, their sets come through a shuffle of their own, and Spark can split that join
+    centres = stored(sets.join(pairs.select(F.col("a.node").alias("node")).distinct(), "node", "left_semi"), "centres", small=True)
+    both = left.join(centres.select(F.col("node").alias("__a"), F.col("shingles").alias("sa")), F.col("a.node") == F.col("__a")).drop("__a")
     vertex = "struct<rep: bigint, node: binary>"
     return both.mapInArrow(work, f"a {vertex}, b {vertex}")
 
@@ -220,7 +222,7 @@ def stars(live: DataFrame, percent: int) -> DataFrame:
     """Edges from the centres to the members of another label whose sizes allow a link."""
     pairs = live.select("v", "n", "label", F.explode("centres").alias("c"))
     fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-    return pairs.filter((F.col("label") != F.col("c.label")) & fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))
+    return pairs.filter((F.col("label") != F.col("c.label")) & fits).select(F.col("c.v").alias("a"), F.col("v").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
