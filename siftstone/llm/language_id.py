@@ -48,28 +48,39 @@ def grams(codes: np.ndarray) -> Iterator[np.ndarray]:
             yield (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, starts, documents): each document lower-cased between blanks; a long one comes in pieces that overlap by two."""
-    docs, parts, size, over = [], [], 0, max(SIZES) - 1
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, starts, documents, spare): each document lower-cased between blanks.
+
+    A long one comes in pieces; the spare characters at the end of a piece are there for the grams that begin before them.
+    """
+    docs, parts, spare, size, over = [], [], [], 0, max(SIZES) - 1
 
     def flush():
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        return np.concatenate(parts), starts, np.array(docs)
+        return np.concatenate(parts), starts, np.array(docs), np.array(spare)
 
     for k, text in enumerate(texts):
         codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype="<u4")
-        for at in range(0, max(1, len(codes) - over), PIECE):
+        for at in range(0, len(codes), PIECE):
             part = codes[at : at + PIECE + over]
             docs.append(k)
             parts.append(part)
+            spare.append(max(0, len(part) - PIECE))
             size += len(part)
             if size >= PIECE:
                 yield flush()
-                docs, parts, size = [], [], 0
+                docs, parts, spare, size = [], [], [], 0
     if parts:
         yield flush()
 
 
+def outside(size: int, n: int, starts: np.ndarray, spare: np.ndarray, total: int) -> np.ndarray:
+    """Of n grams of a size, the positions of those that begin in spare characters or run on into another piece."""
+    ends = np.append(starts[1:], total)
+    away = np.concatenate([ends[np.maximum(spare, size - 1) >= d] - d for d in range(1, max(SIZES))])
+    return away[(away >= 0) & (away < n)]
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows with text and language; null languages and texts are left out."""
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key")).filter("lang is not null and text is not null")
@@ -89,9 +100,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     by.setdefault(k, []).append(t)
             for k, texts in by.items():
                 have = seen.setdefault(k, np.zeros(BUCKETS, np.int64))
-                for codes, _, _ in pieces(texts):
-                    for g in grams(codes):
-                        have += np.bincount(g, minlength=BUCKETS)
+                for codes, starts, _, spare in pieces(texts):
+                    for size, g in zip(SIZES, grams(codes), strict=False):
+                        have += np.bincount(np.delete(g, outside(size, len(g), starts, spare, len(codes))), minlength=BUCKETS)
         for k, have in seen.items():
             at = np.flatnonzero(have)
             yield batch(arrow_schema("lang string, bucket int, n long"), [k] * len(at), at.astype(np.int32), have[at])
@@ -112,15 +123,11 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
     total = np.tile(model.prior, (n, 1)).astype(float)
     live = [t if t is not None and _LETTER.search(t) else None for t in texts]
     at = [i for i, t in enumerate(live) if t is not None]
-    for codes, starts, docs in pieces([live[i] for i in at]):
-        ends = np.append(starts[1:], len(codes))
+    for codes, starts, docs, spare in pieces([live[i] for i in at]):
         for size, g in zip(SIZES, grams(codes), strict=False):
-            inside = np.minimum(starts, len(g) - 1)
             rows = model.matrix[g]
-            for d in range(1, size):  # grams that run on into the next document count nothing
-                cross = ends[:-1] - d
-                rows[cross[(cross >= 0) & (cross < len(g))]] = 0
-            sums = np.add.reduceat(rows, inside, axis=0, dtype=float)
+            rows[outside(size, len(g), starts, spare, len(codes))] = 0
+            sums = np.add.reduceat(rows, np.minimum(starts, len(g) - 1), axis=0, dtype=float)
             np.add.at(total, np.array(at)[docs], sums)
     best = total.argmax(axis=1)
     with np.errstate(under="ignore"):
