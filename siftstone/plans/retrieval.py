@@ -241,3 +241,20 @@ def evidence_selection(spark, sf):
         ((d % 11 - 3) + F.col("rrf")).alias("symptoms_ranking"), ((d % 5 - 1) + F.col("rrf")).alias("history_ranking"), "tokens",
     )
     return select_evidence(shaped, 5)
+
+
+@query("w8_catalog_lookup", f"""WITH e AS (SELECT p_partkey, lower(p_name) AS topic, p_type AS kind, p_brand AS file, p_partkey::VARCHAR AS url, string_split(lower(p_name), ' ') AS ph, list_distinct(string_split(lower(p_name), ' ')) AS terms FROM part WHERE p_partkey < 300),
+q AS (SELECT p_partkey AS query_id, string_split(lower(p_name) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' please' ELSE ' x' END, ' ') AS ws FROM part WHERE p_partkey < 40),
+f AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM e) GROUP BY 1),
+m AS (SELECT query_id, p_partkey AS entry_id, topic, kind, file, url, len(list_intersect(terms, ws)) AS overlap, round(len(list_intersect(terms, ws))::DOUBLE / len(terms), 9) AS coverage,
+ CASE WHEN ws = ph THEN 3 WHEN contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || array_to_string(ph, ' ') || ' ') THEN 2
+ WHEN len(list_intersect(terms, ws)) >= 2 THEN 1 WHEN len(list_intersect(terms, ws)) = 1 AND (SELECT min(df) FROM f WHERE list_contains(list_intersect(terms, ws), term)) <= 2 THEN 1 END AS strength FROM q, e WHERE len(list_intersect(terms, ws)) > 0)
+SELECT query_id, entry_id, ['partial', 'topic_phrase', 'exact'][strength] AS match, overlap, coverage, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, overlap DESC, coverage DESC, topic, kind, file, url) AS rank FROM m WHERE strength IS NOT NULL QUALIFY rank <= 5""")
+def catalog_lookup(spark, sf):
+    from siftstone.operators.catalog import lookup
+
+    p = t(spark, sf, "part").withColumn("topic", F.lower("p_name")).withColumn("ph", F.split(F.lower("p_name"), " "))
+    entries = p.filter("p_partkey < 300").select(F.col("p_partkey").alias("entry_id"), "topic", F.col("p_type").alias("kind"), F.col("p_brand").alias("file"), F.col("p_partkey").cast("string").alias("url"), F.array("ph").alias("phrases"), F.array_distinct("ph").alias("terms"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " please").otherwise(" x")
+    asked = p.filter("p_partkey < 40").select(F.col("p_partkey").alias("query_id"), F.concat("topic", tail).alias("query")).withColumn("words", F.split("query", " "))
+    return lookup(entries, asked, ["the"], 5)

@@ -221,3 +221,19 @@ def test_streams_give_what_batches_give(spark, sf, tmp_path):
     first = {r.user_id: r.f for r in steps.filter("requests = 1").groupBy("user_id").agg(F.count("fault").alias("f")).collect()}
     assert set(first.values()) == {0}
     assert ev.drain(ev.distinct(stream, ["event_id"]), "distinct_out").count() == batch.count()
+
+
+def test_catalog(spark):
+    from siftstone.operators import catalog
+
+    rows = [(1, "Asthma", [["asthma"]], ["asthma"]), (2, "Asthma care", [["asthma", "care"]], ["asthma", "care"]), (3, "Gaming disorder", [["gaming", "disorder"], ["gaming", "disorder", "facts"]], ["gaming", "disorder"]), (4, "Care", [["primary", "care"]], ["primary", "care"])]
+    e = spark.createDataFrame([(i, t, "fact", f"{i}.txt", f"u{i}", p, w) for i, t, p, w in rows], "entry_id int, topic string, kind string, file string, url string, phrases array<array<string>>, terms array<string>")
+    ask = lambda q: [(r.entry_id, r.match) for r in catalog.lookup(e, spark.createDataFrame([(1, q, q.split())], "query_id int, query string, words array<string>"), ["the", "of"]).orderBy("rank").collect()]
+    assert ask("asthma") == [(1, "exact"), (2, "partial")] and ask("the gaming disorder of") == [(3, "topic_phrase")] and ask("unrelated words") == []
+    with pytest.raises(Exception, match="too long"):
+        ask("asthma " * 1000)
+    aliases = spark.createDataFrame([("all", 1), ("all topics", 2), ("heart attack", 3), ("attack", 4)], "alias string, topic_id int")
+    q = spark.createDataFrame([(1, "ALL TOPICS all day".split()), (2, "ALL of a Heart Attack".split())], "query_id int, words array<string>")
+    got = {(r.query_id, r.topic_id) for r in catalog.alias_matches(q, aliases, ["all"]).collect()}
+    assert got == {(1, 2), (2, 1), (2, 3)}
+    assert one(spark, catalog.sentence_windows(F.col("t"), 5), t="One two. Three four. Five six seven.") == ["One two. Three four.", "Five six seven."]
