@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_schema, batch, held, portions, stored
 
-BANDS, ROWS, ROUNDS = 24, 4, 8
+BANDS, ROWS, ROUNDS = 24, 4, 5
 BITS = 26
 _M = BANDS * ROWS
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -175,9 +175,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("__b"), F.col("shingles").alias("sb")), F.col("b.node") == F.col("__b")).drop("__b")
-    # centres may have many members: written, their sets come through a shuffle of their own, and Spark can split that join
-    centres = stored(sets.join(pairs.select(F.col("a.node").alias("node")).distinct(), "node", "left_semi"), "centres", small=True)
-    both = left.join(centres.select(F.col("node").alias("__a"), F.col("shingles").alias("sa")), F.col("a.node") == F.col("__a")).drop("__a")
+    both = left.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("sa")), F.col("a.node") == F.col("__a")).drop("__a")
     vertex = "struct<rep: bigint, node: binary>"
     return both.mapInArrow(work, f"a {vertex}, b {vertex}")
 
