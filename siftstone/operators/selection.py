@@ -99,7 +99,7 @@ def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> l
     return groups
 
 
-def semantic_groups(facts: DataFrame, kinds: dict[str, tuple[int, bool]] | None = None) -> DataFrame:
+def semantic_groups(facts: DataFrame) -> DataFrame:
     """case_id, kind, group, pos for facts (case_id, kind, pos, vector): symptoms in about n / 4 groups, at most 4; history in at most 6."""
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

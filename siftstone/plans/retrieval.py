@@ -137,7 +137,6 @@ def _vectors(spark, sf):
     return v, v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
 
 
-_COS = "list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.u), lambda z: z[1] * z[2]))"
 _UNIT = "q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings WHERE vec_id < 20)"
 
 
