@@ -3,10 +3,12 @@
 1. Each text becomes its set of distinct word shingles, as 64-bit hashes, and a one-permutation signature: the least hash
    of each of BANDS * ROWS ranges; an empty range takes the value of a full one that a fixed random
    sequence of its own points to. Rows of equal sets fall together at once and go on as one node.
-2. Each band of a signature is a bucket. In a bucket one member is the centre, and only edges from it to the others are
-   candidates, so a bucket of n gives n - 1 pairs. The first round has two centres, by least id and by a hash. Where
-   members of a bucket are still in different components after that, later rounds take the centre by another hash and
-   compare only across components, until a round finds nothing new (from the third on; ROUNDS at most). With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
+2. Each band of a signature is a bucket. In a bucket a few members are centres, and only edges from them to the others are
+   candidates. The first round has two centres, by least id and by a hash. Where members of a bucket are still in different
+   components after that, later rounds add new centres by a hash, GROWTH times as many each time, and compare only across
+   components. A bucket leaves when it holds one component or when all its members were centres, so in the end every pair of
+   a bucket is tested, lies within one component, or is ruled out by its sizes or sketches, which never rule out a link. With 24 bands of 4, a pair at the threshold
+   shares no bucket once in 5 * 10^7.
 3. Every candidate is confirmed on the full sets. These are made again for nodes in shared buckets only, which a bitmap of
    fixed size picks out in the scan (it only saves work; false hits change nothing).
 4. Components come from repeated contraction of the confirmed edges.
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_schema, batch, held, portions, stored
 
-BANDS, ROWS, ROUNDS = 24, 4, 5
+BANDS, ROWS, GROWTH = 24, 4, 4
 BITS = 26
+SKETCH, _SHIFT = 16, 54  # 64 * 16 ranges of the hashes: their first 10 bits
 _M = BANDS * ROWS
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _STARTS = np.array([-(-(b << 64) // _M) for b in range(_M)], dtype=np.uint64)
@@ -163,7 +166,7 @@ def _spark_bit(node: bytes) -> int:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a: centre, b: member) for which 100 * |intersection| >= percent * |union| on the full sets."""
+    """The pairs (a, b) for which 100 * |intersection| >= percent * |union| on the full sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -223,6 +226,49 @@ def stars(live: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((F.col("label") != F.col("c.label")) & fits).select(F.col("c.v").alias("a"), F.col("v").alias("b"))
 
 
+def untried(now: DataFrame, tried: int, centres: int) -> DataFrame:
+    """The members of buckets that hold several labels and have more than tried members, with a mark on about centres of them.
+
+    A mark depends on the place of a node's hash among all hashes and on the size of the bucket alone: places up to tried were
+    marked in the rounds before, and a bucket of at most centres members has all of the rest marked.
+    """
+    live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter((F.col("lo") != F.col("hi")) & (F.col("members") > tried))
+    place = F.pmod(F.xxhash64("v.node"), F.lit(1 << 31)) * F.col("members")
+    mark = (place >= ((tried if tried > 2 else 0) << 31)) & (place < centres << 31)
+    return stored(now.join(live.select("key", "members"), "key").withColumn("centre", mark).drop("members"), "live", small=True)
+
+
+def sketch(u: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH ranges whether it has an odd number of hashes: two sketches differ in no more bits than their sets in elements."""
+    odd = np.bincount((u >> np.uint64(_SHIFT)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, s: the sketch of each set, as a structure of SKETCH numbers."""
+    schema = "node binary, bits array<long>"
+    shape = arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            yield batch(shape, b.column("node"), [sketch(np.frombuffer(x, dtype=np.uint64)) for x in b.column("shingles").to_pylist()])
+
+    return sets.mapInArrow(work, schema).select("node", F.struct(*[F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("s"))
+
+
+def across(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a marked member and one of another label in its bucket, where sizes and sketches allow a link.
+
+    Of sets with n + m elements in all, linked ones differ in at most (100 - percent) / (100 + percent) * (n + m).
+    """
+    marked = live.filter("centre").select("key", F.struct("v", "n", "label", "s").alias("c"))
+    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+    differ = sum((F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"c.s.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("c.n"))
+    pairs = live.join(marked, "key").filter((F.col("label") != F.col("c.label")) & fits & close)
+    return pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -236,27 +282,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = nodes.select(F.explode("bands").alias("key"), F.struct("rep", "node").alias("v"), "n")
     several = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     now = held(buckets.join(several, "key").withColumn("label", F.col("v")))
-    edges = labels = tested = None
+    edges = labels = tested = told = None
     if not now.isEmpty():
         sets = held(full_sets(docs, now.select("v.node").distinct(), width))
-        for turn in range(ROUNDS):
-            by = F.xxhash64("v.node", F.lit(turn))
-            now = several_labels(now, [F.col("v.rep"), by] if turn == 0 else [by])
-            pairs = stars(now, percent).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        tried, centres = 0, 2
+        while True:
+            if not tried:
+                now = several_labels(now, [F.col("v.rep"), F.xxhash64("v.node", F.lit(0))])
+                pairs = stars(now, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            else:
+                now = untried(now, tried, centres)
+                if now.isEmpty():
+                    break
+                if told is None:
+                    told = held(sketches(sets.join(now.select("v.node").distinct(), "node", "left_semi")))
+                near = now.join(told, F.col("v.node") == F.col("node")).drop("node")
+                pairs = across(near, percent).distinct().join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs", small=True)
-            if pairs.isEmpty():
-                break
-            if turn:
-                sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
+            now = now.drop("centres", "centre")
+            if not pairs.isEmpty():
+                if tried:
+                    sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
+                found = stored(confirm(pairs, sets, percent), "links", small=True)
+                if not found.isEmpty():
+                    edges = found if edges is None else edges.union(found)
+                    labels = components(edges)
+                    now = held(now.drop("label").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
             tested = pairs if tested is None else tested.union(pairs)
-            found = stored(confirm(pairs, sets, percent), "links", small=True)
-            if found.isEmpty() and turn > 1:
-                break
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
-            now = held(now.drop("label", "centres").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
+            tried, centres = centres, centres * GROWTH
     known = nodes.select("node", "rep")
     if labels is not None:
         known = known.join(labels.select(F.col("vertex.node").alias("node"), F.col("label.rep").alias("least")), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.llm import fingerprints, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sentencepieces, token_counts
 from siftstone.llm.queries import vocabulary
@@ -88,6 +89,46 @@ def test_near_duplicates_find_chains_and_large_groups(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
+def test_near_duplicates_link_versions_by_an_original_of_any_id(spark):
+    rng = random.Random(11)
+    base = ["w%d" % k for k in range(400)]
+    texts = []
+    for i in range(120):  # every version is linked to the original and to no other version
+        t = list(base)
+        for k in rng.sample(range(0, 400, 4), 0 if i == 70 else 10):
+            t[k] = "z%d" % rng.randrange(10**9)
+        texts.append((i, " ".join(t)))
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in texts]
+    linked = [{b for b in range(120) if b != a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} for a in range(120)]
+    assert all(linked[a] == {70} for a in range(120) if a != 70)
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80).collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {0}
+
+
+def test_every_pair_of_a_bucket_is_tried_once_it_is_needed(spark):
+    rows = [("k", (i, bytes([i])), 100, (i, bytes([i]))) for i in range(40)]
+    now = spark.createDataFrame(rows, "key string, v struct<rep: bigint, node: binary>, n int, label struct<rep: bigint, node: binary>")
+    told = near_dedup.sketches(spark.createDataFrame([(bytes([i]), bytes(8)) for i in range(40)], "node binary, shingles binary"))
+    seen, tried, centres = set(), 2, 8
+    while True:
+        live = near_dedup.untried(now, tried, centres)
+        if live.isEmpty():
+            break
+        seen |= {(r.a.rep, r.b.rep) for r in near_dedup.across(live.join(told, F.col("v.node") == F.col("node")).drop("node"), 80).collect()}
+        now, tried, centres = live.drop("centre"), centres, centres * near_dedup.GROWTH
+    assert seen == {(a, b) for b in range(40) for a in range(b)} and tried >= 40
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 50, 400, 5000):
+        for share in (0, 0.05, 0.3, 1):
+            u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            v = np.where(rng.random(n) < share, rng.integers(0, 1 << 64, n, dtype=np.uint64), u)
+            differ = near_dedup.sketch(np.unique(u)) ^ near_dedup.sketch(np.unique(v))
+            assert sum(int(x).bit_count() for x in differ.view(np.uint64)) <= len(np.setxor1d(u, v))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([((i, bytes([i])), (i + 1, bytes([i + 1]))) for i in range(40)], "a struct<rep: bigint, node: binary>, b struct<rep: bigint, node: binary>")
     got = near_dedup.components(edges).collect()
