@@ -6,7 +6,8 @@ class is valid if its tokens come in one order at every occurrence and if its oc
 The valid classes are the template; what stands between them are slots. The main slot of a page is
 its article or main element; without one, the template's element with the most text that is not the template's own. A main
 slot's text is read without what belongs to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments; outside a named article, words of the template go as well.
+and reader comments; outside a named article, words of the template go as well. In a named one (article, main or such a label)
+the template is not used: what a site repeats there without a listed name stays.
 
 Pages come together by one shuffle on (host, salt) and are sorted by it, so a task streams through groups and holds one at a
 time. Hosts of more than a thousandth of all pages (1000 at most, broadcast as literals) are salted into parts of about that size.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -155,8 +156,8 @@ def template(pages: list[list[tuple]]) -> set[tuple]:
     for vector, roles in sorted(by_vector.items(), key=lambda x: (-len(x[0]), -len(x[1]), x[1])):
         if len(roles) < SIZE:
             continue
-        found = {p: _occurrences(places, roles, p, n) for p, n in vector}
-        if any(x is None for x in found.values()):
+        roles, found = _occurrences(places, roles, vector)
+        if len(roles) < SIZE or found is None:
             continue
         if all(_nests(o, taken[p]) for p, x in found.items() for o in x):
             valid.update(roles)
@@ -165,12 +166,33 @@ def template(pages: list[list[tuple]]) -> set[tuple]:
     return valid
 
 
-def _occurrences(places, roles, p, n) -> list[list[int]] | None:
-    """The n occurrences of a class in a page, or None if its tokens do not come in one order."""
-    order = sorted(roles, key=lambda r: places[r][p][0])
-    lines = [[places[r][p][k] for r in order] for k in range(n)]
-    flat = [i for line in lines for i in line]
-    return lines if all(a < b for a, b in zip(flat, flat[1:], strict=False)) else None
+def _occurrences(places, roles, vector) -> tuple[list[tuple], dict[int, list[list[int]]] | None]:
+    """The roles that come in one order on all pages, and their occurrences by page; None if occurrences run into each other."""
+    order = sorted(roles, key=lambda r: places[r][vector[0][0]][0])
+    for p, n in vector:
+        for k in range(n):
+            order = _rising(order, [places[r][p][k] for r in order])
+    found = {p: [[places[r][p][k] for r in order] for k in range(n)] for p, n in vector}
+    for lines in found.values():
+        if any(a[-1] >= b[0] for a, b in zip(lines, lines[1:], strict=False)):
+            return order, None
+    return order, found
+
+
+def _rising(order: list[tuple], at: list[int]) -> list[tuple]:
+    """The longest part of order whose positions rise."""
+    if all(a < b for a, b in zip(at, at[1:], strict=False)):
+        return order
+    ends, last, before = [], [], []
+    for i, x in enumerate(at):
+        k = bisect_left(ends, x)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [x], [i]
+    kept, i = [], last[-1]
+    while i >= 0:
+        kept.append(order[i])
+        i = before[i]
+    return kept[::-1]
 
 
 def _nests(span: list[int], others: list[list[int]]) -> bool:

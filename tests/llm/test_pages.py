@@ -41,3 +41,10 @@ def test_hot_hosts_are_salted(spark):
     rows = [(i, "http://www.hot.example/%d" % i, f"<article><p>n{i}</p></article>") for i in range(300)]
     got = he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"n{i}" for i, _, _ in rows}
+
+
+def test_tokens_out_of_order_are_no_template():
+    orders = ["alpha beta gamma delta", "delta gamma beta alpha", "beta delta alpha gamma", "gamma alpha delta beta"]
+    known = he.template([he.parse(f"<body><p>{o} w{n}</p></body>")[1] for n, o in enumerate(orders)])
+    assert len([r for r in known if r[-1] in ("alpha", "beta", "gamma", "delta")]) <= 1
+    assert {("/body",), ("/body/p",), ("/body/p", "/"), ("/body", "/")} <= known
