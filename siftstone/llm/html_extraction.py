@@ -1,6 +1,6 @@
 """HTML extraction by template deduction with equivalence classes.
 
-Pages of a host are worked on in groups of GROUP. A page is a sequence of tokens: tags (with class, id and role) and words, each told apart
+Pages of a host are worked on in groups of GROUP at most; a host with more has no group of less than half of that. A page is a sequence of tokens: tags (with class, id and role) and words, each told apart
 by the path of open elements. Tokens with the same occurrence vector over the group's distinct pages form a class. A
 class is valid if its tokens come in one order at every occurrence and if its occurrences nest in the gaps of larger classes.
 The valid classes are the template; what stands between them are slots. The main slot of a page is
@@ -9,8 +9,8 @@ slot's text is read without what belongs to menus, headers, footers, sidebars, n
 and reader comments; outside a named article, words of the template go as well. In a named one (article, main or such a label)
 the template is not used: what a site repeats there without a listed name stays.
 
-Pages come together by one shuffle on (host, salt) and are sorted by it, so a task streams through groups and holds one at a
-time. Hosts of more than a thousandth of all pages (1000 at most, broadcast as literals) are salted into parts of about that size.
+Pages come together by one shuffle on (host, salt) and are sorted by it, so a task streams through groups and holds two at a
+time at most. Hosts of more than a thousandth of all pages (1000 at most, broadcast as literals) are salted into parts of about that size.
 
 Defined results: null and empty html give an empty text of 0 characters; html without tags is text; a page without a host belongs to the host
 of no name; repeated rows are extracted alike; broken markup is read as browsers do for unclosed and stray tags; an
@@ -282,6 +282,25 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1))
 
 
+def runs(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Groups of rows that follow each other with the same host and salt: the last two of a host are made of equal size."""
+    group: list[tuple] = []
+    for row in rows:
+        if group and row[3:] != group[-1][3:]:
+            yield from _halves(group)
+            group = []
+        elif len(group) == 2 * GROUP:
+            yield group[:GROUP]
+            group = group[GROUP:]
+        group.append(row)
+    yield from _halves(group)
+
+
+def _halves(group: list[tuple]) -> list[list[tuple]]:
+    half = -(-len(group) // 2)
+    return [group[:half], group[half:]] if len(group) > GROUP else [group] if group else []
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
@@ -296,19 +315,9 @@ def extract(pages: DataFrame) -> DataFrame:
     shape = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def flush():
+        names = ("page_id", "url", "html", "host", "salt")
+        for rows in runs(row for b in portions(batches) for row in zip(*(b.column(c).to_pylist() for c in names), strict=True)):
             texts = extract_group([r[2] for r in rows])
-            return batch(shape, [r[0] for r in rows], [r[1] for r in rows], texts, [len(t) for t in texts])
-
-        for b in portions(batches):
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "salt")), strict=True):
-                if rows and (row[3:] != rows[-1][3:] or len(rows) >= GROUP):
-                    yield flush()
-                    rows.clear()
-                rows.append(row)
-        if rows:
-            yield flush()
+            yield batch(shape, [r[0] for r in rows], [r[1] for r in rows], texts, [len(t) for t in texts])
 
     return pages.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(work, schema)

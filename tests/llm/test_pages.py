@@ -48,3 +48,11 @@ def test_tokens_out_of_order_are_no_template():
     known = he.template([he.parse(f"<body><p>{o} w{n}</p></body>")[1] for n, o in enumerate(orders)])
     assert len([r for r in known if r[-1] in ("alpha", "beta", "gamma", "delta")]) <= 1
     assert {("/body",), ("/body/p",), ("/body/p", "/"), ("/body", "/")} <= known
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 66, 128, 129, 130, 1000])
+def test_no_run_of_a_large_host_is_small(n):
+    rows = [(i, "", "", "a", 0) for i in range(n)] + [(i, "", "", "b", 0) for i in range(n)]
+    got = list(he.runs(iter(rows)))
+    assert [r for g in got for r in g] == rows and all(len({r[3] for r in g}) == 1 for g in got)
+    assert all(len(g) <= he.GROUP and len(g) >= min(n, he.GROUP // 2) for g in got)
