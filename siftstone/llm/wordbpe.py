@@ -11,8 +11,9 @@ import base64
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -45,11 +46,11 @@ class WordEncoder:
     White space always parts words there and is dropped, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.library, self.size, self.cache, self.missed = _library(path), cache, {}, 0
+        self.library, self.cache = _library(path), _Ids(self.word, cache)
         letters = _byte_alphabet()
 
         def raw(token: str) -> bytes:
@@ -79,20 +80,27 @@ class WordEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        """The cache takes words in until it is full, so it holds frequent ones; it starts anew when too much passes it by."""
-        if self.missed > 4 * self.size:
-            self.cache.clear()
-            self.missed = 0
-        cache, parts = self.cache, []
-        for w in text.encode("utf-8", "replace").split():
-            if (ids := cache.get(w)) is None:
-                ids = self.word(w)
-                if len(cache) < self.size and len(w) <= 64:
-                    cache[w] = ids
-                else:
-                    self.missed += 1
-            parts.append(ids)
-        return np.fromiter(chain.from_iterable(parts), dtype="<u4")
+        """The ids of the words as bytes, joined: no id is a Python object on its way."""
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, text.encode("utf-8", "replace").split())), dtype="<u4")
+
+
+class _Ids(dict):
+    """The ids of words as little-endian 32-bit bytes. Words are kept until size of them are, so frequent ones are; it starts anew when too much passes it by."""
+
+    def __init__(self, word: Callable[[bytes], list[int]], size: int):
+        super().__init__()
+        self.word, self.size, self.missed = word, size, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = struct.pack(f"<{len(found)}I", *found) if len(found := self.word(word)) < 64 else np.array(found, dtype="<u4").tobytes()
+        if len(self) < self.size and len(word) <= 64:
+            self[word] = ids
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.size:
+                self.clear()
+                self.missed = 0
+        return ids
 
 
 class PieceCounter:
