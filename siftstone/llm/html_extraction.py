@@ -1,16 +1,22 @@
 """HTML extraction by template deduction with equivalence classes.
 
-Pages of a host are worked on in groups of GROUP at most; a host with more has no group of less than half of that. A page is a sequence of tokens: tags (with class, id and role) and words, each told apart
-by the path of open elements. Tokens with the same occurrence vector over the group's distinct pages form a class. A
-class is valid if its tokens come in one order at every occurrence and if its occurrences nest in the gaps of larger classes.
-The valid classes are the template; what stands between them are slots. The main slot of a page is
-its article or main element; without one, the template's element with the most text that is not the template's own. A main
-slot's text is read without what belongs to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments; outside a named article, words of the template go as well. In a named one (article, main or such a label)
-the template is not used: what a site repeats there without a listed name stays.
+Pages of a host are worked on in groups of GROUP at most; a host with more has no group of less than half of that. A page is
+a sequence of tokens: the opening and closing of elements and runs of text, each told apart by its path: the names of the open
+elements with class, id and role, longer numbers apart. Tokens with the same occurrence vector over the group's distinct pages form a
+class. A class is valid if its tokens come in one order at every occurrence and if its occurrences nest in the gaps of larger
+classes. The valid classes are the template; what stands between them are slots.
+
+A slot belongs to the nearest element of the template around it that can hold an article. The element whose slots hold most
+text of their own over the group, links left out, is the main one. Names break ties: text in an article or main element counts
+several times, and such an element around the main one is read in its stead. Elements that are or are named menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments never count and are never read. In a main element of no
+such name, blocks that the template repeats on the pages go, unless they are a large part of it, as on near copies of one page; in a
+named article nothing else goes. Where a group has fewer than SUPPORT distinct pages, or a page has no element of the
+template, names alone decide.
 
 Pages come together by one shuffle on (host, salt) and are sorted by it, so a task streams through groups and holds two at a
-time at most. Hosts of more than a thousandth of all pages (1000 at most, broadcast as literals) are salted into parts of about that size.
+time at most. A host of more than HOT pages is salted into parts of half as many, by its own number of pages alone, so a
+page's group does not depend on other hosts. Those hosts are broadcast up to LISTED of them and joined by a shuffle beyond.
 
 Defined results: null and empty html give an empty text of 0 characters; html without tags is text; a page without a host belongs to the host
 of no name; repeated rows are extracted alike; broken markup is read as browsers do for unclosed and stray tags; an
@@ -24,7 +30,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +38,11 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import arrow_schema, batch, portions
 
 GROUP, SUPPORT, SIZE = 64, 3, 3
+HOT, LISTED = 256, 100_000
+#: Of a main element's text on a page, the share that template runs may have to be taken out.
+REPEATED = 0.25
+#: What the text in an element counts for if a name says that it is the article's.
+NAMED = {"article": 8, "main": 4}
 
 # Fixed values of HTML: elements without content, of raw text, that part blocks, and that name what they hold.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +53,8 @@ BLOCK = set(
 )
 ASIDE = RAW | set("nav footer aside form button menu dialog label fieldset".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "caption"}
+#: Elements that can be the place of an article.
+PLACES = set("article body center div main section table td".split())
 #: Names in class, id or role that say what an element is for.
 LABELS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|promo|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
@@ -58,93 +70,112 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"\s+")
-
-
-@dataclass
-class Node:
-    tag: str
-    label: str
-    parent: Node | None
-    path: str
-    parts: list = field(default_factory=list)
-
-    def named_aside(self) -> bool:
-        if self.tag in ASIDE:
+_DIGITS = re.compile(r"\d{3,}")
+
+OPEN, CLOSE, TEXT = 0, 1, 2
+ROOT = 0
+
+
+class Paths:
+    """The paths of a group's elements by number, with what follows from a path alone. Number 0 is the page."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.tag, self.label, self.up, self.hidden, self.link, self.label_of = [""], [""], [-1], [False], [False], {}
+
+    def of(self, up: int, tag: str, attrs: str) -> int:
+        label = self.label_of.get(attrs)
+        if label is None:
+            label = self.label_of[attrs] = " ".join(next(filter(None, a[1:]), "") for a in _ATTR.findall(attrs))
+        key = (up, tag, _DIGITS.sub("0", label) if label else label)
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.tag)
+            self.tag.append(tag)
+            self.label.append(label)
+            self.up.append(up)
+            self.hidden.append(self.hidden[up] or self._aside(up, tag, label))
+            self.link.append(self.link[up] or tag == "a")
+        return found
+
+    def _aside(self, up: int, tag: str, label: str) -> bool:
+        if tag in ASIDE:
             return True
-        if self.tag == "header":  # an article's own header is part of it
-            return not self.inside("article", "main")
-        return bool(self.label) and self.tag not in ("html", "body", "article", "main") and bool(LABELS.search(AROUND.sub("", self.label)))
-
-    def inside(self, *tags: str) -> bool:
-        up = self.parent
-        while up and up.tag not in tags:
-            up = up.parent
-        return up is not None
-
-
-def parse(html: str) -> tuple[Node, list[tuple]]:
-    """The tree, whose parts are nodes, texts and None for a block's edge; and the token sequence (role, node or None)."""
-    root = Node("", "", None, "")
-    here, tokens, at, low = root, [], 0, None
-    for m in iter(lambda: _TOKEN.match(html, at), None):
+        if tag == "header":  # an article's own header is part of it
+            return not any(self.tag[p] in ("article", "main") for p in self.line(up))
+        return bool(label) and tag not in ("html", "body", "article", "main") and bool(LABELS.search(AROUND.sub("", label)))
+
+    def line(self, p: int) -> Iterator[int]:
+        """p and what it lies in, without the page."""
+        while p > ROOT:
+            yield p
+            p = self.up[p]
+
+    def named_main(self, p: int) -> bool:
+        return self.tag[p] == "main" or bool(self.label[p]) and bool(MAIN.search(self.label[p]))
+
+    def within(self, chosen: set[int]) -> list[bool]:
+        """For each path whether it is one of the chosen or inside of one."""
+        inside: list[bool] = []
+        for p, up in enumerate(self.up):  # an element's number is larger than that of the one around it
+            inside.append(p in chosen or up >= 0 and inside[up])
+        return inside
+
+
+def parse(html: str, paths: Paths) -> list[tuple]:
+    """The page's tokens: (OPEN or CLOSE, path) and (TEXT, path, text)."""
+    tokens: list[tuple] = []
+    open_, at, low, end_at = [ROOT], 0, None, len(html)
+    tag_of, match = paths.tag, _TOKEN.match
+
+    def close(tag: str, stops: tuple[str, ...] = ()) -> None:
+        for k in range(len(open_) - 1, 0, -1):
+            here = tag_of[open_[k]]
+            if here == tag:
+                tokens.append((CLOSE, open_[k]))
+                del open_[k:]
+                return
+            if here in stops:
+                return
+
+    while at < end_at and (m := match(html, at)):
         at = m.end()
         end, tag, attrs, text = m.groups()
         if text is not None:
-            text = entities.unescape(text)
-            here.parts.append(text)
-            tokens += [((here.path, w), None) for w in text.split()]
+            tokens.append((TEXT, open_[-1], entities.unescape(text) if "&" in text else text))
         elif tag is not None:
             tag = tag.lower()
             if tag in CLOSES_P:
-                here = _close(here, "p", ("article", "section", "div", "li", "td", "body", "main"))
+                close("p", ("article", "section", "div", "li", "td", "body", "main"))
             if tag == "li":
-                here = _close(here, "li", ("ul", "ol", "menu"))
+                close("li", ("ul", "ol", "menu"))
             elif tag in ("td", "th", "tr", "dd", "dt", "option"):
-                here = _close(here, tag, ("table", "dl", "select"))
-            label = " ".join(next(filter(None, a[1:]), "") for a in _ATTR.findall(attrs)) if attrs else ""
-            node = Node(tag, label, here, f"{here.path}/{tag}" + (f".{label}" if label else ""))
-            tokens.append(((node.path,), node))
-            if tag in BLOCK:
-                here.parts.append(None)
+                close(tag, ("table", "dl", "select"))
+            p = paths.of(open_[-1], tag, attrs)
+            tokens.append((OPEN, p))
             if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):
                 low = html.lower() if low is None else low
                 stop = low.find(f"</{tag}", at)
-                at = len(html) if stop < 0 else stop
+                at = end_at if stop < 0 else stop
             if tag not in VOID and not attrs.rstrip().endswith("/"):
-                here.parts.append(node)
-                here = node
+                open_.append(p)
         elif end is not None:
-            end = end.lower()
-            up = here
-            while up and up.tag != end:
-                up = up.parent
-            if up and up.parent:
-                tokens.append(((up.path, "/"), None))
-                here = up.parent
-                if end in BLOCK:
-                    here.parts.append(None)
-        if at >= len(html):
-            break
-    return root, tokens
-
-
-def _close(here: Node, tag: str, stops: tuple[str, ...]) -> Node:
-    up = here
-    while up.parent and up.tag != tag:
-        if up.tag in stops:
-            return here
-        up = up.parent
-    return up.parent if up.tag == tag and up.parent else here
+            close(end.lower())
+    return tokens
+
+
+def roles(tokens: list[tuple]) -> list[tuple]:
+    """The tokens that can be the template's: text is compared without regard to its white space, blank text is none."""
+    return [t if t[0] != TEXT else (TEXT, t[1], run) for t in tokens if t[0] != TEXT or (run := " ".join(t[2].split()))]
 
 
 def template(pages: list[list[tuple]]) -> set[tuple]:
-    """Roles (tokens with their paths) of the valid equivalence classes of distinct pages."""
+    """The roles of the valid equivalence classes of distinct pages."""
     if len(pages) < SUPPORT:
         return set()
     places: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for p, tokens in enumerate(pages):
-        for i, (role, _) in enumerate(tokens):
+        for i, role in enumerate(tokens):
             places[role][p].append(i)
     least = max(SUPPORT, len(pages) // 2)
     by_vector: dict[tuple, list[tuple]] = defaultdict(list)
@@ -153,30 +184,30 @@ def template(pages: list[list[tuple]]) -> set[tuple]:
             by_vector[tuple((p, len(x)) for p, x in where.items())].append(role)
     valid: set[tuple] = set()
     taken: dict[int, list[list[int]]] = defaultdict(list)  # of each page: sorted token positions of the accepted occurrences
-    for vector, roles in sorted(by_vector.items(), key=lambda x: (-len(x[0]), -len(x[1]), x[1])):
-        if len(roles) < SIZE:
+    for vector, found in sorted(by_vector.items(), key=lambda x: (-len(x[0]), -len(x[1]), x[1])):
+        if len(found) < SIZE:
             continue
-        roles, found = _occurrences(places, roles, vector)
-        if len(roles) < SIZE or found is None:
+        kept, spans = _occurrences(places, found, vector)
+        if len(kept) < SIZE or spans is None:
             continue
-        if all(_nests(o, taken[p]) for p, x in found.items() for o in x):
-            valid.update(roles)
-            for p, x in found.items():
+        if all(_nests(o, taken[p]) for p, x in spans.items() for o in x):
+            valid.update(kept)
+            for p, x in spans.items():
                 taken[p] += x
     return valid
 
 
-def _occurrences(places, roles, vector) -> tuple[list[tuple], dict[int, list[list[int]]] | None]:
+def _occurrences(places, found, vector) -> tuple[list[tuple], dict[int, list[list[int]]] | None]:
     """The roles that come in one order on all pages, and their occurrences by page; None if occurrences run into each other."""
-    order = sorted(roles, key=lambda r: places[r][vector[0][0]][0])
+    order = sorted(found, key=lambda r: places[r][vector[0][0]][0])
     for p, n in vector:
         for k in range(n):
             order = _rising(order, [places[r][p][k] for r in order])
-    found = {p: [[places[r][p][k] for r in order] for k in range(n)] for p, n in vector}
-    for lines in found.values():
+    spans = {p: [[places[r][p][k] for r in order] for k in range(n)] for p, n in vector}
+    for lines in spans.values():
         if any(a[-1] >= b[0] for a, b in zip(lines, lines[1:], strict=False)):
             return order, None
-    return order, found
+    return order, spans
 
 
 def _rising(order: list[tuple], at: list[int]) -> list[tuple]:
@@ -207,73 +238,84 @@ def _nests(span: list[int], others: list[list[int]]) -> bool:
     return True
 
 
-def _read(node: Node, blocks: list[list[str]], skip: set[tuple] | None) -> None:
-    stack = [(node, iter(node.parts))]
-    while stack:
-        here, parts = stack[-1]
-        for part in parts:
-            if part is None:
-                blocks.append([])
-            elif isinstance(part, str):
-                if skip is not None and part.strip() and all((here.path, w) in skip for w in part.split()):
-                    part = " "
-                blocks[-1].append(part)
-            elif not part.named_aside():
-                stack.append((part, iter(part.parts)))
-                break
-        else:
-            stack.pop()
-
-
-def _text(nodes: list[Node], skip: set[tuple] | None = None) -> str:
-    blocks: list[list[str]] = [[]]
-    for node in nodes:
-        _read(node, blocks, skip)
-        blocks.append([])
-    return " ".join(filter(None, (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)))
-
-
-def main_text(root: Node, tokens: list[tuple], known: set[tuple]) -> str:
-    live = [n for _, n in tokens if n is not None and not n.named_aside() and not _hidden(n)]
-    for chosen in (
-        [n for n in live if n.tag == "article"],
-        [n for n in live if n.tag == "main" or n.label and MAIN.search(n.label)],
-    ):
-        outer = [n for n in chosen if not any(_within(n, o) for o in chosen if o is not n)]
-        if outer:
-            return _text(outer)
-    # the template's element with most text of its own kind: deeper ones win as long as they hold nearly all of it
-    whole = len(_text([root], known))
-    best = root
-    for n in live:
-        if (n.path,) in known and n.tag in BLOCK and n.tag not in ("p", "li", "td") and len(_text([n], known)) >= 0.9 * whole:
-            best = n
-    return _text([best], known)
-
-
-def _hidden(node: Node) -> bool:
-    up = node.parent
-    while up:
-        if up.tag and up.named_aside():
-            return True
-        up = up.parent
-    return False
-
-
-def _within(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up and up is not other:
-        up = up.parent
-    return up is other
+def main_places(pages: list[list[tuple]], known: set[tuple], paths: Paths) -> list[int]:
+    """The template's elements that hold slots with text, that with most of it over all pages first."""
+    near = [ROOT]
+    for p in range(1, len(paths.tag)):
+        near.append(p if paths.tag[p] in PLACES and (OPEN, p) in known and not paths.hidden[p] else near[paths.up[p]])
+    size: dict[int, int] = defaultdict(int)
+    for tokens in pages:
+        for t in tokens:
+            if t[0] == TEXT and not paths.hidden[t[1]] and not paths.link[t[1]] and t not in known:
+                size[near[t[1]]] += len(t[2])
+    ranked = sorted((p for p in size if p != ROOT), key=lambda p: (-size[p] * _weight(p, paths), p))
+    return list(dict.fromkeys(_around(p, size, near, paths) for p in ranked))
+
+
+def _weight(p: int, paths: Paths) -> int:
+    named = {"article" if paths.tag[x] == "article" else "main" for x in paths.line(p) if paths.tag[x] == "article" or paths.named_main(x)}
+    return NAMED["article" if "article" in named else "main"] if named else 1
+
+
+def _around(p: int, size: dict[int, int], near: list[int], paths: Paths) -> int:
+    """The article or main element around p; without one, the outermost place whose own slots hold text too, below body."""
+    line = list(paths.line(p))
+    for named in ([x for x in line if paths.tag[x] == "article"], [x for x in line if paths.named_main(x)]):
+        if named:
+            return named[-1]
+    while (up := near[paths.up[p]]) and paths.tag[up] != "body" and size.get(up):
+        p = up
+    return p
+
+
+def named_places(opened: set[int], paths: Paths) -> set[int]:
+    """The article elements among the opened ones, else what is named as main, else the page."""
+    live = [p for p in opened if not paths.hidden[p]]
+    return {p for p in live if paths.tag[p] == "article"} or {p for p in live if paths.named_main(p)} or {ROOT}
+
+
+def read(tokens: list[tuple], inside: list[bool], paths: Paths, known: set[tuple]) -> str:
+    """The text in the chosen elements without what is hidden there, and without blocks of known runs alone if they are few."""
+    blocks, own = [[]], [False]
+    for t in tokens:
+        if t[0] == TEXT:
+            if inside[t[1]] and not paths.hidden[t[1]]:
+                blocks[-1].append(t[2])
+                own[-1] = own[-1] or not known or bool(run := " ".join(t[2].split())) and (TEXT, t[1], run) not in known
+        elif blocks[-1] and paths.tag[t[1]] in BLOCK:
+            blocks.append([])
+            own.append(False)
+    whole = _joined(blocks)
+    if not known:
+        return whole
+    left = _joined([b for b, o in zip(blocks, own, strict=True) if o])
+    return left if len(left) >= (1 - REPEATED) * len(whole) else whole
+
+
+def _joined(blocks: list[list[str]]) -> str:
+    return " ".join(" ".join("".join(b) for b in blocks).split())
 
 
 def extract_group(htmls: list[str | None]) -> list[str]:
-    parsed: dict[str, tuple] = {}
-    for h in htmls:
-        if h and h not in parsed:
-            parsed[h] = parse(h)
-    known = template([tokens for _, tokens in parsed.values()])
-    done = {h: main_text(root, tokens, known) for h, (root, tokens) in parsed.items()}
+    paths = Paths()
+    parsed = {h: parse(h, paths) for h in dict.fromkeys(htmls) if h}
+    pages = [roles(tokens) for tokens in parsed.values()]
+    known = template(pages)
+    ranked = main_places(pages, known, paths) if known else []
+    inside: dict[frozenset, list[bool]] = {}
+    done = {}
+    for h, tokens in parsed.items():
+        opened = {t[1] for t in tokens if t[0] == OPEN}
+        best = next((p for p in ranked if p in opened), None)
+        if best is None or paths.tag[best] == "article":  # a page's articles belong together
+            chosen = named_places(opened, paths)
+        else:
+            chosen = {best}
+        key = frozenset(chosen)
+        if key not in inside:
+            inside[key] = paths.within(chosen)
+        plain = best is not None and not any(paths.tag[p] == "article" or paths.named_main(p) for p in chosen)
+        done[h] = read(tokens, inside[key], paths, known if plain else set())
     return [done[h] if h else "" for h in htmls]
 
 
@@ -301,16 +343,17 @@ def _halves(group: list[tuple]) -> list[list[tuple]]:
     return [group[:half], group[half:]] if len(group) > GROUP else [group] if group else []
 
 
+def salted(pages: DataFrame) -> DataFrame:
+    """pages with a column salt: 0, or one of as many numbers as the host of a page has halves of HOT pages."""
+    hot = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("host", F.ceil(F.col("n") * 2 / HOT).alias("parts"))
+    hot = F.broadcast(hot) if hot.count() <= LISTED else hot.hint("merge")
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int")
+    return pages.join(hot, "host", "left").withColumn("salt", salt).drop("parts")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
-    total = pages.count()
-    part = max(GROUP, total // 1000)
-    hot = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > part).collect()  # fewer than 1000
-    salt = F.lit(0)
-    if hot:
-        parts = F.create_map(*[F.lit(x) for r in hot for x in (r["host"], -(-r["n"] // part))])
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce(parts[F.col("host")], F.lit(1))).cast("int")
     schema = "page_id long, url string, text string, n_chars long"
     shape = arrow_schema(schema)
 
@@ -320,4 +363,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = extract_group([r[2] for r in rows])
             yield batch(shape, [r[0] for r in rows], [r[1] for r in rows], texts, [len(t) for t in texts])
 
-    return pages.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(work, schema)
+    return salted(pages).repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(work, schema)

@@ -1,3 +1,7 @@
+import collections
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
 from siftstone.llm import html_extraction as he
@@ -28,8 +32,10 @@ def test_edges(spark):
 def test_classes_nest_and_copies_keep_their_text():
     same = PAGE.format(n=1, main="<article><p>the one text of all copies</p></article>")
     assert he.extract_group([same] * 10) == ["the one text of all copies"] * 10
-    known = he.template([he.parse(PAGE.format(n=n, main=f"<article><p>w{n}</p></article>"))[1] for n in range(5)])
-    assert ("/html/body.page/article",) in known and not any(r[-1] == "w3" for r in known)
+    paths = he.Paths()
+    known = he.template([he.roles(he.parse(PAGE.format(n=n, main=f"<article><p>w{n}</p></article>"), paths)) for n in range(5)])
+    article = next(p for p, tag in enumerate(paths.tag) if tag == "article" and paths.tag[paths.up[p]] == "body")
+    assert (he.OPEN, article) in known and not any(r[-1] == "w3" for r in known)
 
 
 def test_names_of_surroundings_hide_nothing():
@@ -45,9 +51,59 @@ def test_hot_hosts_are_salted(spark):
 
 def test_tokens_out_of_order_are_no_template():
     orders = ["alpha beta gamma delta", "delta gamma beta alpha", "beta delta alpha gamma", "gamma alpha delta beta"]
-    known = he.template([he.parse(f"<body><p>{o} w{n}</p></body>")[1] for n, o in enumerate(orders)])
+    paths = he.Paths()
+    known = he.template([he.roles(he.parse("<body>" + "".join(f"<p>{w}</p>" for w in o.split()) + f"<div>w{n}</div></body>", paths)) for n, o in enumerate(orders)])
     assert len([r for r in known if r[-1] in ("alpha", "beta", "gamma", "delta")]) <= 1
-    assert {("/body",), ("/body/p",), ("/body/p", "/"), ("/body", "/")} <= known
+    body, div = paths.tag.index("body"), paths.tag.index("div")
+    assert {(he.OPEN, body), (he.OPEN, div), (he.CLOSE, div), (he.CLOSE, body)} <= known
+
+
+#: A page of a site whose elements have no telling names: menu, two boxes with texts of each page's own, text, discussion.
+PLAIN = """<html><body><div class="k1"><a href="/">Home</a> <a href="/b">Other things</a></div><div class="k2"><div class="k3">Box {n} of words</div></div>
+<div class="k4"><h2>Head {n}</h2><p>First words of {n} &amp; more</p><p>{own}</p><p>Read more here</p></div><div class="k5">Written in {n}, all rights are ours</div></body></html>"""
+
+
+def test_a_template_finds_the_text_where_no_name_tells():
+    pages = [PLAIN.format(n=n, own=f"own{n} words " * (5 + n % 4)) for n in range(9)]
+    for n, text in enumerate(he.extract_group(pages)):
+        assert text == f"Head {n} First words of {n} & more " + " ".join([f"own{n} words"] * (5 + n % 4))
+
+
+def test_without_the_template_the_text_is_another(monkeypatch):
+    pages = [PLAIN.format(n=n, own=f"own{n} words " * (5 + n % 4)) for n in range(9)]
+    told = he.extract_group(pages)
+    monkeypatch.setattr(he, "template", lambda pages: set())
+    assert all(a != b and "Box" in b for a, b in zip(told, he.extract_group(pages)))
+
+
+def test_tables_without_names_give_the_same_texts(sf):
+    """The given pages with each telling name replaced: the template alone finds what the names say, wherever a host has pages enough."""
+    hosts = collections.defaultdict(list)
+    for r in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        hosts[re.sub(r"^https?://(www\.)?([^/]+).*", r"\2", r["url"] or "")].append(r["html"] or "")
+    place = {"article": "a1", "nav": "b2", "footer": "c3"}
+    seen = 0
+    for htmls in hosts.values():
+        if len(set(htmls)) >= he.SUPPORT:
+            bare = [re.sub(r"<(/?)(article|nav|footer)\b", lambda m: f"<{m[1]}div" + ("" if m[1] else f' class="{place[m[2]]}"'), h).replace('class="ad"', 'class="d4"') for h in htmls]
+            for k in range(0, len(htmls), he.GROUP):
+                assert he.extract_group(bare[k : k + he.GROUP]) == he.extract_group(htmls[k : k + he.GROUP])
+                seen += len(bare[k : k + he.GROUP])
+    assert seen > 10
+
+
+def test_names_win_against_more_text_beside_them():
+    pages = [f'<body><article><p>told {n} here in few words</p></article><div class="q">' + f"<p>someone says {n} and more</p>" * 4 + "</div></body>" for n in range(6)]
+    assert he.extract_group(pages) == [f"told {n} here in few words" for n in range(6)]
+
+
+def test_groups_do_not_depend_on_other_hosts(spark):
+    rows = [(i, "http://h%d.example/%d" % (i % 3 and 1, i), PLAIN.format(n=i, own=f"own{i} words " * 6)) for i in range(400)]
+    more = [(1000 + i, "http://x.example/%d" % i, "<p>other</p>") for i in range(600)]
+    shape = "page_id long, url string, html string"
+    alone = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, shape)).collect()}
+    among = {r.page_id: r.text for r in he.extract(spark.createDataFrame(more + rows[::-1], shape)).collect()}
+    assert alone == {i: t for i, t in among.items() if i < 1000} and all("Box" not in t for t in alone.values())
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 66, 128, 129, 130, 1000])
