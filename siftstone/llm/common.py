@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="siftstone-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -35,21 +38,42 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes df to the shared folder once and returns it as read from there: lineage ends and a lost executor costs nothing.
 
     small: what many tasks give a few rows each of is first brought together to files of a fair size, as many as it takes.
-    The files stay until the folder is removed; the caller's result may still read them lazily.
+    The files stay until discard() or until the folder is removed; the caller's result may still read them lazily.
     """
     df = df.hint("rebalance") if small else df
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, kept by the executors for the steps that read it again: for small tables a few steps away from a stored one.
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no plan still to be run reads."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
-    What a lost executor held is made again from there. Spark drops the blocks when it needs the room.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+#: Bits of the bitmaps that pick out rows in a scan: 8 MB, whatever the corpus. A full one picks out everything.
+BITS = 26
+
+
+def bits_of(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the bit of each value of a long column set."""
+    marks = df.select((F.pmod(F.col(column), F.lit(1 << BITS)) + 1).alias("bit"))  # the bitmap functions count from 1
+    rows = marks.groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
+    out, per = np.zeros(1 << (BITS - 3), dtype=np.uint8), 4096
+    for r in rows:
+        out[(r["k"] - 1) * per : r["k"] * per] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, value: int) -> bool:
+    bit = value & (1 << BITS) - 1
+    return bool(bits[bit >> 3] >> (bit & 7) & 1)
 
 
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

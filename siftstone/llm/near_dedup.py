@@ -5,16 +5,17 @@
    sequence of its own points to. Rows of equal sets fall together at once and go on as one node.
 2. Each band of a signature is a bucket. In a bucket a few members are centres, and only edges from them to the others are
    candidates. The first round has two centres, by least id and by a hash. Where members of a bucket are still in different
-   components after that, later rounds add new centres by a hash, GROWTH times as many each time, and compare only across
-   components. A bucket leaves when it holds one component or when all its members were centres, so in the end every pair of
-   a bucket is tested, lies within one component, or is ruled out by its sizes or sketches, which never rule out a link. With 24 bands of 4, a pair at the threshold
-   shares no bucket once in 5 * 10^7.
+   components after that, later rounds take new centres in the order of a hash, GROWTH times as many each time, and compare only
+   across components. A member that was a centre is done with its bucket, and a bucket leaves when the others are in one component.
+   So in the end every pair of a bucket is tested, lies within one component, or is ruled out by its sizes or sketches, which
+   never rule out a link. With 24 bands of 4, a pair at the threshold shares no bucket once in 5 * 10^7.
 3. Every candidate is confirmed on the full sets. These are made again for nodes in shared buckets only, which a bitmap of
    fixed size picks out in the scan (it only saves work; false hits change nothing).
-4. Components come from repeated contraction of the confirmed edges.
+4. Components come from repeated contraction of the confirmed edges: in each round of the edges between the components so far.
 
-What is large stays distributed and is written to the shared folder between the steps. A bucket or centre that holds many
-members meets its one partner row in a sort-merge join, which Spark splits where it is skewed.
+Every table that a later step reads is written to the shared folder and read back, so no plan holds another and no executor
+holds a table; what a round no longer needs is removed. A bucket or centre that holds many members meets its one partner row in
+a sort-merge join, which Spark splits where it is skewed.
 
 Defined results: null and empty texts and those without a word have no shingles and are linked with nothing; repeated rows are copies
 of each other; two rows with one id and different texts are nodes of their own; a null id is never less than
@@ -31,10 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, held, portions, stored
+from siftstone.llm.common import arrow_schema, batch, bits_of, discard, has_bit, portions, stored
 
 BANDS, ROWS, GROWTH = 24, 4, 4
-BITS = 26
 SKETCH, _SHIFT = 16, 54  # 64 * 16 ranges of the hashes: their first 10 bits
 _M = BANDS * ROWS
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -101,8 +101,8 @@ def _node(u: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(u.tobytes())
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, node binary, bands array<long>"
+def signatures(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
+    schema = ", ".join([f"{c} long" for c in carry] + ["doc_id long, n_shingles long, node binary, bands array<long>"])
     shape = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,30 +113,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(u))
                 nodes.append(_node(u) if len(u) else None)
                 keys.append(bands(u) if len(u) else None)
-            yield batch(shape, b.column("doc_id"), sizes, nodes, keys)
+            yield batch(shape, *[b.column(c) for c in carry], b.column("doc_id"), sizes, nodes, keys)
 
     return docs.mapInArrow(work, schema)
 
 
-def _bit() -> Column:
-    return F.pmod(F.xxhash64("node"), F.lit(1 << BITS))
+VERTEX = "struct<rep: bigint, node: binary>"
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes): of the given nodes, and of a few others that share their bit."""
-    spark = docs.sparkSession
-    marks = nodes.select((_bit() + 1).alias("bit"))  # the bitmap functions count from 1
-    rows = marks.groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
-    bitmap = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    per = 4096
-    for r in rows:  # at most 2^26 bits, whatever the corpus
-        first = (r["k"] - 1) * per
-        if 0 <= first < len(bitmap):
-            bitmap[first : first + per] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: len(bitmap) - first]
-        else:
-            bitmap[:] = 255
-    spread = spark.sparkContext.broadcast(bitmap)
-    schema = "node binary, shingles binary"
+    """node, shingles, bits (its sketch): of the given nodes, and of a few others that share their bit."""
+    spread = docs.sparkSession.sparkContext.broadcast(bits_of(nodes.select(F.xxhash64("node").alias("bit")), "bit"))
+    schema = "node binary, shingles array<long>, bits array<long>"
     shape = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,172 +135,154 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 u = shingles(text, width)
                 if not len(u) or (node := _node(u)) in done:
                     continue
-                bit = _spark_bit(node)
-                if have[bit >> 3] >> (bit & 7) & 1:
+                if has_bit(have, xxhash.xxh64_intdigest(node, seed=42)):  # Spark's xxhash64 of a binary
                     nodes.append(node)
-                    sets.append(u.tobytes())
+                    sets.append(u)
                     if len(done) < 200_000:  # copies within a task; the rest falls to the aggregation
                         done.add(node)
             if nodes:
-                yield batch(shape, nodes, sets)
+                ends = np.cumsum([0] + [len(u) for u in sets]).astype(np.int32)
+                whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield batch(shape, nodes, whole, [sketch(u) for u in sets])
 
-    return docs.mapInArrow(work, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.mapInArrow(work, schema).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
 
 
-def _spark_bit(node: bytes) -> int:
-    """What _bit() gives: Spark's xxhash64 of a binary is XXH64 with seed 42."""
-    value = xxhash.xxh64_intdigest(node, seed=42)
-    return (value - (1 << 64) if value >> 63 else value) % (1 << BITS)
+def sketch(u: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH ranges whether it has an odd number of hashes: two sketches differ in no more bits than their sets in elements."""
+    odd = np.bincount((u >> np.uint64(_SHIFT)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which 100 * |intersection| >= percent * |union| on the full sets."""
+    """The pairs (a, b and any other columns) for which 100 * |intersection| >= percent * |union| on the full sets."""
+    left = pairs.join(sets.select(F.col("node").alias("__b"), F.col("shingles").alias("__sb")).hint("merge"), F.col("b.node") == F.col("__b"))
+    both = left.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("__sa")).hint("merge"), F.col("a.node") == F.col("__a"))
+    shared = both.withColumn("__n", F.size(F.array_intersect("__sa", "__sb")).cast("long"))
+    return shared.filter((100 + percent) * F.col("__n") >= percent * (F.size("__sa") + F.size("__sb"))).select(*pairs.columns)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("__b"), F.col("shingles").alias("sb")), F.col("b.node") == F.col("__b")).drop("__b")
-    both = left.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("sa")), F.col("a.node") == F.col("__a")).drop("__a")
-    vertex = "struct<rep: bigint, node: binary>"
-    return both.mapInArrow(work, f"a {vertex}, b {vertex}")
-
-
-def components(edges: DataFrame, name: str = "edges") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """vertex, label: the least vertex reachable, for every vertex of an edge (a, b). Vertices of no edge are left out.
 
     Each turn every vertex goes over to the least of its neighbours and itself, and edges are drawn anew between where their ends
     went. The first turn goes by id, which settles stars; later ones by a new hash each, under which a path, too, halves.
     """
-    spark, labels, turn = edges.sparkSession, None, 0
-    while not edges.isEmpty():
+    spark, steps, drawn = edges.sparkSession, [], [edges]
+    while not drawn[-1].isEmpty():
+        edges, turn = drawn[-1], len(steps)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda v: F.struct((F.lit(0) if turn == 0 else F.xxhash64(f"{v}.node", F.lit(turn))).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
-        least = held(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("m")).select("a", F.col("m.v").alias("to")))
-        if labels is None:
-            labels = least.select(F.col("a").alias("vertex"), F.col("to").alias("label"))
-        else:
-            step = least.select(F.col("a").alias("label"), "to")
-            labels = held(labels.join(step, "label", "left").select("vertex", F.coalesce("to", "label").alias("label")))
+        least = stored(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("m")).select("a", F.col("m.v").alias("to")), "least", small=True)
         ends = edges.join(least.select("a", F.col("to").alias("x")), "a").select("x", "b")
         ends = ends.join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name, small=True)
-        turn += 1
-    if labels is None:
-        return spark.createDataFrame([], "vertex struct<rep: bigint, node: binary>, label struct<rep: bigint, node: binary>")
-    roots = labels.groupBy("label").agg(F.min("vertex").alias("least"))
-    return stored(labels.join(roots, "label").select("vertex", F.col("least").alias("label")), name, small=True)
-
+        drawn.append(stored(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ends", small=True))
+        steps.append(least)
+    if not steps:
+        return spark.createDataFrame([], f"vertex {VERTEX}, label {VERTEX}")
+    went = steps[0].select(F.col("a").alias("vertex"), F.col("to").alias("label"))
+    for step in steps[1:]:
+        went = moved(went, step.select(F.col("a").alias("vertex"), F.col("to").alias("label")))
+    went = stored(went, "went", small=True)
+    roots = went.groupBy("label").agg(F.min("vertex").alias("least"))
+    out = stored(went.join(roots, "label").select("vertex", F.col("least").alias("label")), "labels", small=True)
+    discard(went, *steps, *drawn[1:])
+    return out
 
-def several_labels(now: DataFrame, orders: list[Column]) -> DataFrame:
-    """The members of buckets that hold several labels, with the centre that each order chooses.
 
-    An order ranks nodes alike in all buckets, so a group that shares many buckets has few centres and a pair comes up once.
-    """
-    centres = [F.min(F.struct(o.alias("o"), "v", "n", "label")).alias(f"c{i}") for i, o in enumerate(orders)]
-    live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *centres).filter("lo != hi").drop("lo", "hi")
-    return stored(now.join(live, "key").withColumn("centres", F.array(*[f"c{i}" for i in range(len(orders))])).drop(*[f"c{i}" for i in range(len(orders))]), "live", small=True)
+def moved(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with their label replaced by the label of that vertex, where it has one."""
+    to = labels.select(F.col("vertex").alias("label"), F.col("label").alias("__to"))
+    return rows.join(to, "label", "left").withColumn("label", F.coalesce("__to", "label")).select(*rows.columns)
 
 
-def stars(live: DataFrame, percent: int) -> DataFrame:
-    """Edges from the centres to the members of another label whose sizes allow a link."""
-    pairs = live.select("v", "n", "label", F.explode("centres").alias("c"))
-    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-    return pairs.filter((F.col("label") != F.col("c.label")) & fits).select(F.col("c.v").alias("a"), F.col("v").alias("b"))
+def _ends() -> list[Column]:
+    return [F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")]
 
 
-def untried(now: DataFrame, tried: int, centres: int) -> DataFrame:
-    """The members of buckets that hold several labels and have more than tried members, with a mark on about centres of them.
+def _fits(percent: int) -> Column:
+    """Sets of these sizes can be linked."""
+    return 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
 
-    A mark depends on the place of a node's hash among all hashes and on the size of the bucket alone: places up to tried were
-    marked in the rounds before, and a bucket of at most centres members has all of the rest marked.
-    """
-    live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter((F.col("lo") != F.col("hi")) & (F.col("members") > tried))
-    place = F.pmod(F.xxhash64("v.node"), F.lit(1 << 31)) * F.col("members")
-    mark = (place >= ((tried if tried > 2 else 0) << 31)) & (place < centres << 31)
-    return stored(now.join(live.select("key", "members"), "key").withColumn("centre", mark).drop("members"), "live", small=True)
 
+def stars(now: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) from two centres of each bucket, the least id and the least hash, to its members.
 
-def sketch(u: np.ndarray) -> np.ndarray:
-    """For each of 64 * SKETCH ranges whether it has an odd number of hashes: two sketches differ in no more bits than their sets in elements."""
-    odd = np.bincount((u >> np.uint64(_SHIFT)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    Both orders rank nodes alike in all buckets, so a group that shares many buckets has few centres and a pair comes up once.
+    """
+    orders = [F.col("v.rep"), F.xxhash64("v.node", F.lit(0))]
+    centres = now.groupBy("key").agg(F.array(*[F.min(F.struct(o.alias("o"), "v", "n")) for o in orders]).alias("centres"))
+    pairs = now.join(centres, "key").select("v", "n", F.explode("centres").alias("c"))
+    return pairs.filter((F.col("v") != F.col("c.v")) & _fits(percent)).select(*_ends()).distinct()
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """node, s: the sketch of each set, as a structure of SKETCH numbers."""
-    schema = "node binary, bits array<long>"
-    shape = arrow_schema(schema)
+def _place() -> Column:
+    """A member's place in its bucket by the hash of its node, about from 0 to the number of members, times 2^31."""
+    return F.pmod(F.xxhash64("v.node"), F.lit(1 << 31)) * F.col("members")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            yield batch(shape, b.column("node"), [sketch(np.frombuffer(x, dtype=np.uint64)) for x in b.column("shingles").to_pylist()])
 
-    return sets.mapInArrow(work, schema).select("node", F.struct(*[F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("s"))
+def untried(now: DataFrame, tried: int) -> DataFrame:
+    """The members that were not among the tried first ones of their bucket, where these are of several labels."""
+    rest = now.filter(_place() >= tried << 31)
+    live = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    return rest.join(live, "key")
 
 
-def across(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a marked member and one of another label in its bucket, where sizes and sketches allow a link.
+def across(live: DataFrame, centres: int, percent: int) -> DataFrame:
+    """Edges (a, b, of labels x, y) from the members at places below centres to those of other labels, where sizes and sketches allow a link.
 
     Of sets with n + m elements in all, linked ones differ in at most (100 - percent) / (100 + percent) * (n + m).
     """
-    marked = live.filter("centre").select("key", F.struct("v", "n", "label", "s").alias("c"))
-    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-    differ = sum((F.bit_count(F.col(f"s.s{i}").bitwiseXOR(F.col(f"c.s.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    marked = live.filter(_place() < centres << 31).select("key", F.struct("v", "n", "label", "bits").alias("c"))
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("c.bits")[i])) for i in range(SKETCH)), F.lit(0))
     close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("c.n"))
-    pairs = live.join(marked, "key").filter((F.col("label") != F.col("c.label")) & fits & close)
-    return pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    pairs = live.join(marked, "key").filter((F.col("label") != F.col("c.label")) & _fits(percent) & close)
+    return pairs.select(*_ends(), F.least("label", "c.label").alias("x"), F.greatest("label", "c.label").alias("y")).distinct()
+
+
+def linked_labels(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """vertex, label of the linked nodes among the members (key, v, n, members) of shared buckets; None if no two are linked."""
+    pairs = stored(stars(now, percent), "pairs", small=True)
+    links = stored(confirm(pairs, sets, percent), "links", small=True)
+    labels = components(links)
+    now = moved(now.withColumn("label", F.col("v")), labels)
+    tried, centres = 0, 2 * GROWTH
+    while True:
+        live = stored(untried(now, tried), "live", small=True)
+        if live.isEmpty():
+            return labels
+        marked = live.join(sets.select("node", "bits").hint("merge"), F.col("v.node") == F.col("node")).drop("node")
+        pairs = stored(across(marked, centres, percent), "pairs", small=True)
+        links = stored(confirm(pairs, sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links", small=True)
+        joined = components(links)
+        fresh = joined.join(labels.select("vertex"), "vertex", "left_anti")
+        before, labels = labels, stored(moved(labels, joined).union(fresh), "labels", small=True)
+        now = moved(live, joined)
+        discard(before, pairs, links)
+        tried, centres = centres, centres * GROWTH
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: list[str] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
-    width: words of a shingle; percent: the least similarity that links.
+    width: words of a shingle; percent: the least similarity that links; carry: further columns of longs to return. With them
+    comes component (binary, null without shingles): two rows are of one group if it is equal, whatever their ids.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(signatures(docs, width), "signed")
-    nodes = held(
-        signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
+    carry = list(carry)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    signed = stored(signatures(docs, width, carry), "signed")
+    full = signed.filter("n_shingles > 0")
+    nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select(F.explode("bands").alias("key"), F.struct("rep", "node").alias("v"), "n")
-    several = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    now = held(buckets.join(several, "key").withColumn("label", F.col("v")))
-    edges = labels = tested = told = None
+    several = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    now = stored(buckets.join(several.hint("merge"), "key"), "members", small=True)
+    known = nodes.select("node", "rep", F.col("node").alias("component"))
     if not now.isEmpty():
-        sets = held(full_sets(docs, now.select("v.node").distinct(), width))
-        tried, centres = 0, 2
-        while True:
-            if not tried:
-                now = several_labels(now, [F.col("v.rep"), F.xxhash64("v.node", F.lit(0))])
-                pairs = stars(now, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            else:
-                now = untried(now, tried, centres)
-                if now.isEmpty():
-                    break
-                if told is None:
-                    told = held(sketches(sets.join(now.select("v.node").distinct(), "node", "left_semi")))
-                near = now.join(told, F.col("v.node") == F.col("node")).drop("node")
-                pairs = across(near, percent).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs", small=True)
-            now = now.drop("centres", "centre")
-            if not pairs.isEmpty():
-                if tried:
-                    sets = held(sets.join(now.select("v.node").distinct(), "node", "left_semi"))
-                found = stored(confirm(pairs, sets, percent), "links", small=True)
-                if not found.isEmpty():
-                    edges = found if edges is None else edges.union(found)
-                    labels = components(edges)
-                    now = held(now.drop("label").join(labels.withColumnRenamed("vertex", "v"), "v", "left").withColumn("label", F.coalesce("label", "v")))
-            tested = pairs if tested is None else tested.union(pairs)
-            tried, centres = centres, centres * GROWTH
-    known = nodes.select("node", "rep")
-    if labels is not None:
-        known = known.join(labels.select(F.col("vertex.node").alias("node"), F.col("label.rep").alias("least")), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
-    linked = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "node").join(known, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        sets = stored(full_sets(docs, now.select("v.node").distinct(), width), "sets")
+        labels = linked_labels(now, sets, percent).select(F.col("vertex.node").alias("node"), "label")
+        known = known.join(labels, "node", "left").select("node", F.coalesce("label.rep", "rep").alias("rep"), F.coalesce("label.node", "component").alias("component"))
+        discard(sets, now)
+    linked = full.select("doc_id", "n_shingles", "node", *carry).join(known, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"), "component", *carry)
+    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"), *carry)
+    told = linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return told.select("doc_id", "n_shingles", "component_id", "kept", *(["component", *carry] if carry else []))
