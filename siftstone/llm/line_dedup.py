@@ -1,16 +1,21 @@
 """Line dedup by winnowing over line hashes.
 
-A text's lines (parted by \\n) that hold a word are its units; lines without one never match and are never deleted by themselves.
-From each unit a window runs on, and another runs back, until it holds MIN_WORDS words. The least line hash of a window is its
-fingerprint, so a run of equal units that holds MIN_WORDS words or more has the same fingerprints wherever it stands.
-Positions that share (fingerprint, hash of the window) are joined to the first of them in order of (doc_id, unit), a star
-and never all pairs. Matches extend both ways as overlapping windows do: each unit of a repeated run is in a
-window that lies within the run. So exactly those units go that stand in a run of MIN_WORDS words or more which
-stood somewhere before; a deleted line has an equal line that stays.
-
-Texts cross one shuffle, to meet their deletions; everything before that is some 40 bytes a window. A window that is in
-a third of all rows is one hot key: its first position comes from a partial aggregation, and the join of positions with
-it is split by Spark.
+1. A text's lines (parted by \\n) that hold a word are its units; lines without one never match and are never deleted by themselves.
+   From each unit a window runs on, and another runs back, until it holds MIN_WORDS words. The least line hash of a window is
+   selected; neighbouring windows mostly select the same one. A run of equal units that holds MIN_WORDS words holds a whole window,
+   so its minimum is selected wherever the run stands: a guaranteed fingerprint.
+2. A fingerprint that is selected at one position alone is in no repeated run, and what is around it is done with. The others
+   are live. A bitmap of fixed size tells them in a second scan of the texts (it only saves work; false hits change nothing).
+3. From each live minimum the match extends both ways over the windows that selected it. Positions that share (fingerprint,
+   window) are joined to the first of them in order of (doc_id, unit), a star and never all pairs; runs grow from
+   minimum to minimum as their windows overlap. A line that is common in different company matches by its window alone.
+
+So exactly those units go that stand in a run of MIN_WORDS words or more which stood somewhere before; a deleted line has an
+equal line that stays.
+
+Texts cross one shuffle, to meet their deletions; before that go 16 bytes for each minimum and some 40 for each window
+around a live one. A window that is in a third of all rows is one hot key: its first position comes from a partial aggregation,
+and the join of positions with it is split by Spark.
 
 Defined results: a null text stays null, an empty one empty, with no lines removed; rows with the same id and text are one document
 and get the same result; texts shorter than MIN_WORDS words never change; an empty table gives no row; all other columns are kept.
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, portions, stored
+from siftstone.llm.common import arrow_schema, batch, bits_of, has_bit, portions, stored
 
 MIN_WORDS = 50
 
@@ -35,12 +40,12 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, hash of the window, first unit, last unit) for every distinct window."""
+def winnow(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(least line hash, its unit, hash of the window, first unit, last unit) for every distinct window."""
     hashes, sizes = [], []
     for line in text.encode("utf-8", "replace").split(b"\n"):
         if n := len(line.split()):
-            hashes.append(xxhash.xxh3_64_intdigest(line))
+            hashes.append(_signed(xxhash.xxh3_64_intdigest(line)))
             sizes.append(n)
     total = np.cumsum([0] + sizes)
     if total[-1] < min_words:
@@ -49,8 +54,26 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
     back = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # the first unit of the one that ends at i
     units = len(sizes)
     spans = {(i, int(e) - 1) for i, e in enumerate(on) if e <= units} | {(int(b), i) for i, b in enumerate(back) if b >= 0}
-    whole = np.array(hashes, dtype="<u8")
-    return [(_signed(min(hashes[i : j + 1])), _signed(xxhash.xxh3_64_intdigest(whole[i : j + 1].tobytes())), i, j) for i, j in spans]
+    whole, out = np.array(hashes, dtype="<i8"), []
+    for i, j in spans:
+        least = min(hashes[i : j + 1])
+        out.append((least, hashes.index(least, i), _signed(xxhash.xxh3_64_intdigest(whole[i : j + 1].tobytes())), i, j))
+    return out
+
+
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """fingerprint, doc_id, text_hash, unit: the window minima of each text, every position once."""
+    schema = "fingerprint long, doc_id long, text_hash long, unit int"
+    shape = arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            rows = [(*m, *key) for *key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True) if text for m in {w[:2] for w in winnow(text, min_words)}]
+            for at in range(0, len(rows), 50_000):
+                least, unit, doc, text_hash = zip(*rows[at : at + 50_000], strict=True)
+                yield batch(shape, least, doc, text_hash, unit)
+
+    return docs.mapInArrow(work, schema)
 
 
 def drop_units(text: str, gone: list[int]) -> tuple[str, int]:
@@ -68,16 +91,20 @@ def drop_units(text: str, gone: list[int]) -> tuple[str, int]:
 POSITIONS = "doc_id long, text_hash long, fingerprint long, window long, unit int, last int"
 
 
-def positions(docs: DataFrame, min_words: int) -> DataFrame:
+def positions(docs: DataFrame, live: np.ndarray, min_words: int) -> DataFrame:
+    """The windows around those minima whose bit is set in live."""
     shape = arrow_schema(POSITIONS)
+    spread = docs.sparkSession.sparkContext.broadcast(live)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = spread.value
         for b in portions(batches):
             rows = [
-                (doc, text_hash, *w)
+                (doc, text_hash, least, window, i, j)
                 for doc, text_hash, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
                 if text
-                for w in windows(text, min_words)
+                for least, _, window, i, j in winnow(text, min_words)
+                if has_bit(live, least)
             ]
             for at in range(0, len(rows), 50_000):
                 yield batch(shape, *zip(*rows[at : at + 50_000], strict=True))
@@ -86,8 +113,11 @@ def positions(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def deletions(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, units: what goes, for documents from which something goes."""
-    found = stored(positions(docs, min_words), "positions")
+    """doc_id, text_hash, spans: what goes, for documents from which something goes."""
+    place = F.xxhash64("doc_id", "text_hash", "unit")
+    found = fingerprints(docs, min_words).select("fingerprint", place.alias("place"))
+    live = found.groupBy("fingerprint").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo != hi")
+    found = stored(positions(docs, bits_of(live, "fingerprint"), min_words), "positions")
     at = F.struct("doc_id", "text_hash", "unit")
     first = found.groupBy("fingerprint", "window").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(first, ["fingerprint", "window"]).filter(at != F.col("first"))
