@@ -30,13 +30,33 @@ def merge_sections(sections: Column, least: int = 40, most: int = 180) -> Column
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 180, stride: int = 150) -> DataFrame:
-    """key, chunk_index, text, chunk_id: windows of each document; a window whose text the document already gave is left out."""
-    rows = docs.select(key, F.explode(tx.windows(F.col(text), size, stride)).alias("w")).select(key, F.col("w.index").alias("at"), F.col("w.text").alias("text"))
-    kept = first_of(rows, [key, "text"], [F.asc("at")])
-    w = Window.partitionBy(key).orderBy("at")
-    out = kept.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("int")).drop("at")
+    """key, chunk_index, text, chunk_id: windows of each document; a window whose text the document already gave is left out.
+
+    All within the document's row: no shuffle.
+    """
+    once = F.array_distinct(F.transform(tx.windows(F.col(text), size, stride), lambda w: w["text"]))
+    out = docs.select(key, F.posexplode(once).alias("chunk_index", "text"))
     name = F.concat_ws("/", F.lit("medical-knowledge"), F.col(key).cast("string"), F.lit(VERSION), F.col("chunk_index").cast("string"), ids.digest(F.col("text")))
-    return out.withColumn("chunk_id", ids.uuid5(name))
+    return out.select(key, "chunk_index", "text", ids.uuid5(name).alias("chunk_id"))
+
+
+def similar_pairs(rows: DataFrame, key: str, group: str, words: str, percent: int) -> DataFrame:
+    """a, b, jaccard, copies_a, copies_b: pairs of different word sets (arrays without repeats) of one group with a Jaccard of percent or more.
+
+    Rows of equal sets go as one, by the least key, with their number. Two such sets share one of the rarest words of each: of n
+    words, n less the least overlap and one more. Only sets that meet in such a word, and whose sizes allow it, are compared.
+    """
+    sets = rows.groupBy(group, F.array_sort(words).alias("w")).agg(F.min(key).alias("k"), F.count("*").alias("copies")).withColumn("n", F.size("w"))
+    each = sets.filter("n > 0").select("k", group, "n", F.explode("w").alias("word"))
+    common = each.groupBy(group, "word").agg(F.count("*").alias("f"))
+    ranked = each.join(common, [group, "word"]).groupBy("k", group, "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("r"))
+    first = ranked.select("k", group, "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)).alias("r")).select("k", group, "n", "r.word")
+    a, b = first.select(F.col("k").alias("a"), group, "word", F.col("n").alias("na")), first.select(F.col("k").alias("b"), group, "word", F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = a.join(b, [group, "word"]).filter(fits).select("a", "b").distinct()
+    left, right = sets.select(F.col("k").alias("a"), F.col("w").alias("wa"), F.col("copies").alias("copies_a")), sets.select(F.col("k").alias("b"), F.col("w").alias("wb"), F.col("copies").alias("copies_b"))
+    j = tx.jaccard(F.col("wa"), F.col("wb"))
+    return met.join(left, "a").join(right, "b").filter(j >= percent / 100).select("a", "b", F.round(j, 9).alias("jaccard"), "copies_a", "copies_b")
 
 
 def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:

@@ -13,8 +13,8 @@ from siftstone.functions import text as tx
 from siftstone.functions import vectors as vec
 
 PLACES = 9
-#: Query sides up to this many rows are broadcast; larger ones are joined by shuffle.
-SMALL = 100_000
+#: Bytes of query vectors, or of query texts, up to which they are broadcast, and vectors of a block.
+SMALL, BLOCK = 32 << 20, 2048
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -28,26 +28,46 @@ def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top(df, by, order, 1, "__first").drop("__first")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length: term frequencies and document lengths after filtering.
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """key, length, distinct, term, tf: term frequencies, and the document's numbers of tokens and of distinct ones.
 
-    A document's counts are made within its row, so the only shuffle is that of the finished postings.
+    With terms (a column term) only their postings, and one row of the empty term for each document, which carries its numbers;
+    few says that the terms can be broadcast: then tokens that no query has are dropped where they are read.
+    A text is tokenised once. Whoever reads tf, in whatever part of a plan, reads the same shuffle.
     """
-    tokens = docs.select(key, F.array_sort(tx.search_tokens(F.col(text))).alias("__t")).withColumn("length", F.size("__t"))
-    return tokens.select(key, "length", F.explode("__t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    tokens = docs.select(key, F.concat(tx.search_tokens(F.col(text)), F.array(F.lit(""))).alias("__t"))
+    counted = tokens.select(key, "__t", (F.size("__t") - 1).alias("length"), (F.size(F.array_distinct("__t")) - 1).alias("distinct"))
+    numbered = counted.select(key, "length", "distinct", F.explode_outer("__t").alias("term"))
+    if terms is not None:
+        wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
+        numbered = numbered.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    return numbered.groupBy(key, "length", "distinct", "term").agg(F.count("*").alias("tf"))
+
+
+def _real(tf: str = "tf") -> Column:
+    """1 for postings, 0 for the rows of the empty term: said so that no filter comes between readers of one shuffle."""
+    return F.when((F.col("term") != "") & (F.col(tf) > 0), 1).otherwise(0)
+
+
+def query_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    return queries.select(query_key, F.explode(F.array_distinct(tx.search_tokens(F.col(query_text)))).alias("term"))
+
+
+def _few(queries: DataFrame, query_text: str) -> bool:
+    """Whether the texts of the queries, and so their terms, are at most SMALL bytes."""
+    return (queries.agg(F.sum(F.octet_length(query_text).cast("long")).alias("n")).collect()[0]["n"] or 0) <= SMALL
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", depth: int | None = 50) -> DataFrame:
     """query_id, doc_id, score, rank. Terms of a query count once; documents without any of them are left out.
 
-    Only the postings of query terms are joined on; the number of documents and their mean length are two scalars.
+    Texts are tokenised in one scan; document frequencies, the number of documents and their mean length come from the same postings.
     """
-    index = postings(docs, key, text)
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(tx.search_tokens(F.col(text)))).alias("total"))
-    terms = queries.select(query_key, F.explode(F.array_distinct(tx.search_tokens(F.col(query_text)))).alias("term"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    spread = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(spread, "term").crossJoin(F.broadcast(sizes))  # one row
+    terms = query_terms(queries, query_key, query_text)
+    index = postings(docs, key, text, terms, _few(queries, query_text))
+    sizes = index.agg(F.sum(F.when(F.col("tf") > 0, 1 - _real())).alias("n_docs"), F.sum(F.when(F.col("tf") > 0, F.col("length") * (1 - _real()))).alias("total"))
+    spread = index.groupBy("term").agg(F.sum(_real()).alias("df"))
+    weighted = index.join(spread, "term").crossJoin(F.broadcast(sizes))  # one row
     mean = F.when(F.col("total") > 0, F.col("total") / F.col("n_docs")).otherwise(1.0)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("length") / mean))
@@ -55,19 +75,62 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     return top(scored.filter("score > 0"), [query_key], [F.desc("score"), F.asc(key)], depth)
 
 
+def overlaps(docs: DataFrame, queries: DataFrame, least: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+    """query_id, doc_id, size, overlap: distinct terms of a document, and how many of them a query has, at least `least`."""
+    terms = query_terms(queries, query_key, query_text)
+    met = postings(docs, key, text, terms, _few(queries, query_text)).join(terms, "term")
+    return met.groupBy(query_key, key, F.col("distinct").alias("size")).agg(F.sum(_real()).alias("overlap")).filter(F.col("overlap") >= least)
+
+
+_BLOCK = "ids binary, vectors binary"
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """The rows as matrices of `size` rows at most: ids and double vectors as bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                ids, vectors = b.column(0)[at : at + size], b.column(1)[at : at + size]
+                yield pa.RecordBatch.from_arrays([pa.array([ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([vectors.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()])], names=["ids", "vectors"])
+
+    return rows.select(F.col(key).cast("long"), vec.doubles(F.col(vector))).mapInArrow(work, _BLOCK)
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """query_id, vec_id, score, rank: exact search of every query against every vector, ties by id.
+    """query_id, vec_id, score, rank: exact search of every query against every vector; scores have PLACES places, ties go by id.
 
-    cosine: dot product with the re-normalised query, larger first; l2: squared distance, smaller first.
-    The query side is broadcast only if it is a stated set of at most SMALL rows.
+    cosine: dot product with the re-normalised query, larger first; l2: squared distance, smaller first. Both sides go as blocks of
+    vectors, and each pair of blocks is one matrix product that keeps the k best of a block for each query. The query
+    blocks are broadcast up to SMALL bytes; beyond that blocks meet blocks without a broadcast.
     """
-    side = queries.select(query_key, (vec.unit(F.col(query_vector)) if measure == "cosine" else vec.doubles(F.col(query_vector))).alias("__q"))
-    if side.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"more than {SMALL} queries: search them in blocks")
-    pairs = corpus.select(key, F.col(vector).alias("__v")).crossJoin(F.broadcast(side))
-    score = vec.dot(F.col("__v"), F.col("__q")) if measure == "cosine" else vec.squared_l2(F.col("__v"), F.col("__q"))
+    import numpy as np
+    import pyarrow as pa
+
+    asked = _blocks(queries, query_key, query_vector, BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    told = _blocks(corpus, key, vector, BLOCK)
+    small = queries.select(F.sum(8 * F.size(F.col(query_vector)).cast("long") + 8).alias("n")).collect()[0]["n"] or 0
+    pairs = told.crossJoin(F.broadcast(asked) if small <= SMALL else asked)
+
+    def work(batches):
+        for b in batches:
+            for ids, vectors, qids, qvectors in zip(*(b.column(c).to_pylist() for c in ("ids", "vectors", "qids", "qvectors")), strict=True):
+                i, q = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
+                m, u = np.frombuffer(vectors, "<f8").reshape(len(i), -1), np.frombuffer(qvectors, "<f8").reshape(len(q), -1)
+                if measure == "cosine":
+                    score = (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ m.T
+                else:
+                    score = np.stack([((m - x) ** 2).sum(axis=1) for x in u])
+                score = np.round(score, PLACES) + 0.0
+                for x, row in zip(q, score, strict=True):
+                    best = np.lexsort((i, -row if measure == "cosine" else row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x)), pa.array(i[best]), pa.array(row[best])], names=["query_id", "vec_id", "score"])
+
+    scored = pairs.mapInArrow(work, "query_id long, vec_id long, score double").select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score")
     order = F.desc("score") if measure == "cosine" else F.asc("score")
-    return top(pairs.select(query_key, key, score.alias("score")), [query_key], [order, F.asc(key)], k)
+    return top(scored, [query_key], [order, F.asc(key)], k)
 
 
 def rrf(rankings: DataFrame, by: list[str], item: str, k: int = 60) -> DataFrame:

@@ -20,9 +20,9 @@ def allowlist(spark, sf):
 
 
 @query("p2_canonical_text", """SELECT c_custkey, 'Segment' || chr(10) || '- ' || c_mktsegment || chr(10) || 'Orders' || chr(10) || coalesce(string_agg('- ' || o_orderkey, chr(10) ORDER BY o_orderkey), 'Not supplied') AS text
- FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200 GROUP BY c_custkey, c_mktsegment""")
+ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment""")
 def canonical_text(spark, sf):
-    c, o = t(spark, sf, "customer").filter("c_custkey < 200"), t(spark, sf, "orders")
+    c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
     by = c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey", "c_mktsegment").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     lines = F.when(F.size("k") == 0, "Not supplied").otherwise(F.array_join(F.transform("k", lambda x: F.concat(F.lit("- "), x.cast("string"))), "\n"))
     return by.select("c_custkey", F.concat_ws("\n", F.lit("Segment"), F.concat(F.lit("- "), F.col("c_mktsegment")), F.lit("Orders"), lines).alias("text"))
@@ -150,9 +150,9 @@ def union_all(spark, sf):
     return a.unionByName(t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("side")))
 
 
-@query("s9_o2_sorted_union_with_duplicates", "SELECT id, count(*) AS n FROM (SELECT p_partkey AS id FROM part WHERE p_partkey < 100 UNION ALL SELECT s_suppkey FROM supplier) GROUP BY id HAVING count(*) > 1")
+@query("s9_o2_sorted_union_with_duplicates", "SELECT id, count(*) AS n FROM (SELECT p_partkey AS id FROM part UNION ALL SELECT s_suppkey FROM supplier) GROUP BY id HAVING count(*) > 1")
 def union_duplicates(spark, sf):
-    both = t(spark, sf, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("id")).unionByName(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
+    both = t(spark, sf, "part").select(F.col("p_partkey").alias("id")).unionByName(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
     return co.repeated(both, ["id"])
 
 
@@ -201,10 +201,10 @@ def snapshot_hash(spark, sf):
     return ev.snapshot(t(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("a23_grouped_answers", "SELECT c_nationkey, string_agg(c_mktsegment, ' | ' ORDER BY c_custkey) AS answers FROM customer WHERE c_custkey < 150 GROUP BY 1")
+@query("a23_grouped_answers", "SELECT c_nationkey, string_agg(c_mktsegment, ' | ' ORDER BY c_custkey) AS answers FROM customer GROUP BY 1")
 def grouped_answers(spark, sf):
     rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: x["c_mktsegment"])
-    return t(spark, sf, "customer").filter("c_custkey < 150").groupBy("c_nationkey").agg(F.array_join(rows, " | ").alias("answers"))
+    return t(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(rows, " | ").alias("answers"))
 
 
 @query("a25_report_counters", "SELECT count(*) AS discovered, count(*) FILTER (url LIKE 'https:%') AS secure, count(*) FILTER (url LIKE '%utm_%') AS tracked, count(DISTINCT url) AS distinct_urls FROM pages")

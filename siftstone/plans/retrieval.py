@@ -37,7 +37,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, round(ln(1 + ((SELE
 def term_statistics(spark, sf):
     docs = t(spark, sf, "documents")
     n = docs.agg(F.count("*").alias("n"))
-    by = rk.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    by = rk.postings(docs, "doc_id", "text").filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
     return by.crossJoin(F.broadcast(n)).select("term", "df", "occurrences", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9).alias("idf"))
 
 
@@ -54,9 +54,7 @@ def bm25_top5(spark, sf):
 @query("j5_inverted_index_join", f"""WITH p AS (SELECT DISTINCT doc_id, unnest({_D}) AS term FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest({_Q}) AS term FROM benchmark)
 SELECT query_id, doc_id, count(*) AS overlap FROM q JOIN p USING (term) GROUP BY ALL HAVING count(*) >= 3""")
 def inverted_index(spark, sf):
-    posts = t(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("term"))
-    terms = _queries(spark, sf).select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("query")))).alias("term"))
-    return posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap")).filter("overlap >= 3")
+    return rk.overlaps(t(spark, sf, "documents"), _queries(spark, sf), 3).drop("size")
 
 
 #: A literal channel beside BM25: coverage of the document's distinct terms by the query's.
@@ -69,9 +67,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc
 
 
 def _literal(spark, sf):
-    posts = t(spark, sf, "documents").select("doc_id", F.array_distinct(tx.search_tokens(F.col("text"))).alias("terms")).select("doc_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    terms = _queries(spark, sf).select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("query")))).alias("term"))
-    hits = posts.join(terms, "term").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("overlap")).filter("overlap >= 2")
+    hits = rk.overlaps(t(spark, sf, "documents"), _queries(spark, sf), 2)
     return rk.top(hits, ["query_id"], [F.desc("overlap"), F.asc("size"), F.asc("doc_id")], 50)
 
 
@@ -134,19 +130,19 @@ def lexical_rerank(spark, sf):
 
 def _vectors(spark, sf):
     v = t(spark, sf, "embeddings")
-    return v, v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
+    return v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
 
 
-_UNIT = "q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings WHERE vec_id < 20)"
+_UNIT = "q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings WHERE vec_id % 20 = 0)"
 
 
-@query("w1_knn_cosine", f"WITH {_UNIT} SELECT query_id, vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.u), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.u) DESC, vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 10")
+@query("w1_knn_cosine", f"WITH {_UNIT} SELECT query_id, vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.u), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.u), 9) DESC, vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 10")
 def knn_cosine(spark, sf):
     v, q = _vectors(spark, sf)
-    return rk.knn(v, q, 10).withColumn("score", F.round("score", 9))
+    return rk.knn(v, q, 10)
 
 
-@query("w2_knn_filtered", f"WITH {_UNIT} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.u) DESC, vec_id) AS rank FROM embeddings e, q WHERE label IN (1, 3) QUALIFY rank <= 5")
+@query("w2_knn_filtered", f"WITH {_UNIT} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.u), 9) DESC, vec_id) AS rank FROM embeddings e, q WHERE label IN (1, 3) QUALIFY rank <= 5")
 def knn_filtered(spark, sf):
     v, q = _vectors(spark, sf)
     return rk.knn(v.filter(F.col("label").isin(1, 3)), q, 5).select("query_id", "vec_id", "rank")
@@ -155,17 +151,16 @@ def knn_filtered(spark, sf):
 _L2 = "list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
-@query("w3_knn_l2_gate", f"SELECT q.vec_id AS query_id, e.vec_id, round({_L2}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_L2}, 9), e.vec_id) AS rank, round({_L2}, 9) <= 1.1 AS within_gate FROM embeddings e, embeddings q WHERE q.vec_id < 20")
+@query("w3_knn_l2_gate", f"SELECT q.vec_id AS query_id, e.vec_id, round({_L2}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_L2}, 9), e.vec_id) AS rank, round({_L2}, 9) <= 1.1 AS within_gate FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0")
 def knn_l2_gate(spark, sf):
     v, q = _vectors(spark, sf)
-    pairs = rk.knn(v, q, None, "l2").drop("rank").withColumn("score", F.round("score", 9))
-    return rk.top(pairs, ["query_id"], [F.asc("score"), F.asc("vec_id")], None).withColumn("within_gate", F.col("score") <= 1.1)
+    return rk.knn(v, q, None, "l2").withColumn("within_gate", F.col("score") <= 1.1)
 
 
-@query("p14_distance_gate", f"SELECT q.vec_id AS query_id, e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND (round({_L2}, 9) <= 1.1 OR e.label = q.label AND e.vec_id % 50 = 0)")
+@query("p14_distance_gate", f"SELECT q.vec_id AS query_id, e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND (round({_L2}, 9) <= 1.1 OR e.label = q.label AND e.vec_id % 50 = 0)")
 def distance_gate(spark, sf):
     v, q = _vectors(spark, sf)
-    pairs = rk.knn(v, q, None, "l2").withColumn("score", F.round("score", 9))
+    pairs = rk.knn(v, q, None, "l2")
     labels = v.select("vec_id", "label")
     told = pairs.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
     exact = (F.col("label") == F.col("ql")) & (F.col("vec_id") % 50 == 0)
@@ -194,11 +189,12 @@ def unit_norm(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", vec.unit_length(F.col("embedding")).alias("unit"))
 
 
-@query("m1_m3_distances", f"SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS dot, round({_L2}, 9) AS l2 FROM embeddings e, embeddings q WHERE q.vec_id < 3")
+@query("m1_m3_distances", f"SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS dot, round({_L2}, 9) AS l2 FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_L2}, 9), e.vec_id) <= 10")
 def distances(spark, sf):
     v = t(spark, sf, "embeddings")
-    q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # three stated rows
-    return v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(vec.dot(F.col("embedding"), F.col("q")), 9).alias("dot"), F.round(vec.squared_l2(F.col("embedding"), F.col("q")), 9).alias("l2"))
+    near = rk.knn(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, "l2").select("query_id", "vec_id")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return near.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.round(vec.dot(F.col("embedding"), F.col("q")), 9).alias("dot"), F.round(vec.squared_l2(F.col("embedding"), F.col("q")), 9).alias("l2"))
 
 
 @query("m2_renormalised", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 9) AS total FROM embeddings")
@@ -242,8 +238,8 @@ def evidence_selection(spark, sf):
     return select_evidence(shaped, 5)
 
 
-@query("w8_catalog_lookup", f"""WITH e AS (SELECT p_partkey, lower(p_name) AS topic, p_type AS kind, p_brand AS file, p_partkey::VARCHAR AS url, string_split(lower(p_name), ' ') AS ph, list_distinct(string_split(lower(p_name), ' ')) AS terms FROM part WHERE p_partkey < 300),
-q AS (SELECT p_partkey AS query_id, string_split(lower(p_name) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' please' ELSE ' x' END, ' ') AS ws FROM part WHERE p_partkey < 40),
+@query("w8_catalog_lookup", f"""WITH e AS (SELECT p_partkey, lower(p_name) AS topic, p_type AS kind, p_brand AS file, p_partkey::VARCHAR AS url, string_split(lower(p_name), ' ') AS ph, list_distinct(string_split(lower(p_name), ' ')) AS terms FROM part),
+q AS (SELECT p_partkey AS query_id, string_split(lower(p_name) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' please' ELSE ' x' END, ' ') AS ws FROM part WHERE p_partkey % 20 = 0),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM e) GROUP BY 1),
 m AS (SELECT query_id, p_partkey AS entry_id, topic, kind, file, url, len(list_intersect(terms, ws)) AS overlap, round(len(list_intersect(terms, ws))::DOUBLE / len(terms), 9) AS coverage,
  CASE WHEN ws = ph THEN 3 WHEN contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || array_to_string(ph, ' ') || ' ') THEN 2
@@ -253,7 +249,7 @@ def catalog_lookup(spark, sf):
     from siftstone.operators.catalog import lookup
 
     p = t(spark, sf, "part").withColumn("topic", F.lower("p_name")).withColumn("ph", F.split(F.lower("p_name"), " "))
-    entries = p.filter("p_partkey < 300").select(F.col("p_partkey").alias("entry_id"), "topic", F.col("p_type").alias("kind"), F.col("p_brand").alias("file"), F.col("p_partkey").cast("string").alias("url"), F.array("ph").alias("phrases"), F.array_distinct("ph").alias("terms"))
+    entries = p.select(F.col("p_partkey").alias("entry_id"), "topic", F.col("p_type").alias("kind"), F.col("p_brand").alias("file"), F.col("p_partkey").cast("string").alias("url"), F.array("ph").alias("phrases"), F.array_distinct("ph").alias("terms"))
     tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " please").otherwise(" x")
-    asked = p.filter("p_partkey < 40").select(F.col("p_partkey").alias("query_id"), F.concat("topic", tail).alias("query")).withColumn("words", F.split("query", " "))
+    asked = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.concat("topic", tail).alias("query")).withColumn("words", F.split("query", " "))
     return lookup(entries, asked, ["the"], 5)

@@ -123,10 +123,10 @@ def list_phrase(spark, sf):
     return g.select("n_regionkey", tx.joined(F.col("l")).alias("phrase"))
 
 
-@query("f25_role_templates", "SELECT item_id, 'Role: ' || CASE item_id % 2 WHEN 0 THEN 'symptoms' ELSE 'history' END || '. Query: ' || left(text, 40) AS q FROM benchmark")
+@query("f25_role_templates", "SELECT item_id, 'Role: ' || CASE item_id % 2 WHEN 0 THEN 'symptoms' ELSE 'history' END || '. Query: ' || text AS q FROM benchmark")
 def role_templates(spark, sf):
     role = F.when(F.col("item_id") % 2 == 0, "symptoms").otherwise("history")
-    return t(spark, sf, "benchmark").select("item_id", F.format_string("Role: %s. Query: %s", role, F.substring("text", 1, 40)).alias("q"))
+    return t(spark, sf, "benchmark").select("item_id", F.format_string("Role: %s. Query: %s", role, F.col("text")).alias("q"))
 
 
 @query("f27_printable", "SELECT doc_id, length(text) > 80 AS cut, md5(CASE WHEN length(x) > 80 THEN left(x, 80) || '...' ELSE x END) AS digest FROM (SELECT doc_id, text, regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') AS x FROM documents)")
@@ -172,13 +172,13 @@ def licences(spark, sf):
     return t(spark, sf, "nation").select("n_nationkey", urls.open_licence(url).alias("licence"))
 
 
-@query("w18_budget_packing", """WITH RECURSIVE o AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey < 100),
+@query("w18_budget_packing", """WITH RECURSIVE o AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 w AS (SELECT o_custkey, 0::BIGINT AS i, 0::BIGINT AS used, ''::VARCHAR AS kept FROM (SELECT DISTINCT o_custkey FROM o) UNION ALL
  SELECT w.o_custkey, o.i, CASE WHEN w.used + length(o_orderpriority) + (w.used > 0)::INT <= 30 THEN w.used + length(o_orderpriority) + (w.used > 0)::INT ELSE w.used END,
  CASE WHEN w.used + length(o_orderpriority) + (w.used > 0)::INT <= 30 THEN w.kept || CASE WHEN w.used > 0 THEN '|' ELSE '' END || o_orderpriority ELSE w.kept END FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.i = w.i + 1)
 SELECT o_custkey, kept FROM w QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY i DESC) = 1""")
 def budget_packing(spark, sf):
-    rows = t(spark, sf, "orders").filter("o_custkey < 100").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("l"))
+    rows = t(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("l"))
     return rows.select("o_custkey", F.array_join(pk.pack(F.col("l"), 30), "|").alias("kept"))
 
 
@@ -188,17 +188,11 @@ def round_robin(spark, sf):
     return pk.round_robin(t(spark, sf, "orders"), ["o_custkey"], "o_orderpriority", F.asc("o_orderkey"), F.asc("o_orderpriority")).select("o_orderkey", "turn")
 
 
-@query("o6_near_duplicate_pairs", f"""WITH d AS (SELECT doc_id, source, list_distinct({_WORDS}) AS w FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id
+@query("o6_near_duplicate_pairs", f"""WITH d AS (SELECT source, list_sort(list_distinct({_WORDS})) AS w, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY ALL)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard, a.n AS copies_a, b.n AS copies_b FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id
 WHERE len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8""")
 def near_pairs(spark, sf):
-    """Within a source: candidates share their length class or its neighbour, so few pairs are compared."""
-    d = t(spark, sf, "documents").select("doc_id", "source", tx.word_set(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-    step = F.floor(F.log(F.greatest(F.lit(1), F.col("size"))) / 0.2231435513142097).cast("int")  # ln(1.25): sizes of a pair differ by that much at most
-    left = d.select(F.col("doc_id").alias("a"), "source", F.col("w").alias("wa"), step.alias("k"))
-    right = d.select(F.col("doc_id").alias("b"), "source", F.col("w").alias("wb"), F.explode(F.array(step - 1, step, step + 1)).alias("k"))
-    j = tx.jaccard(F.col("wa"), F.col("wb"))
-    return left.join(right, ["source", "k"]).filter((F.col("a") < F.col("b")) & (j >= 0.8)).select("a", "b", F.round(j, 9).alias("jaccard"))
+    return dc.similar_pairs(t(spark, sf, "documents").select("doc_id", "source", tx.word_set(F.col("text")).alias("words")), "doc_id", "source", "words", 80)
 
 
 @query("o7_stable_distinct", "SELECT conv_id, array_to_string(list_transform(list_sort(list(DISTINCT {'t': t, 'r': role})), lambda x: x.r), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
