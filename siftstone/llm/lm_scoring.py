@@ -12,7 +12,8 @@ distinct one, by joins of its tables, and a document's score is the sum over its
 (context, symbol) entries (HEAD at most, 12 MB) are broadcast; the rest meet in a shuffle. Nothing is cut from the counts at any size.
 
 The base is a unigram model over words with add-half smoothing. Frequent words, found on a bounded sample, are counted
-by each task and looked up; all others meet by word in one shuffle.
+by each task and looked up; all others meet by word in one shuffle. Words of more than LONG bytes are told apart by a hash of 128
+bits, so a long line without a blank that all rows share is a frequent word like any other.
 
 Defined results: a null or empty text, or one without a word, is the end symbol alone; repeated rows are scored alike and counted each;
 without training rows N and V are 0 and every symbol is equally likely; an empty table gives no row; other columns are ignored.
@@ -26,21 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftstone.llm.common import arrow_schema, batch, portions, row_sample, stored
 
-ORDER, HEAD, WORDS, SAMPLE, SLICE = 5, 1 << 20, 150_000, 20_000, 1 << 20
+ORDER, HEAD, WORDS, SAMPLE, SLICE, LONG = 5, 1 << 20, 150_000, 20_000, 1 << 20, 64
 _SYMBOLS, _END, _START = 257, 256, 0xFF
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+#: The key of a row, within the tables of score().
+ROW = ["uid", "uid2"]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def named(words: list[bytes]) -> list[bytes]:
+    """The words, long ones by a 128-bit hash behind two bytes that no word has: a table of words is bounded by their number."""
+    return words if max(map(len, words), default=0) <= LONG else [w if len(w) <= LONG else b"\xff\xff" + xxhash.xxh3_128_digest(w) for w in words]
+
+
 def slices(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(keys, starts, documents): a key holds a context and the symbol after it. Long documents come in several slices."""
     parts, docs, ends, size = [], [], [], 0
@@ -205,7 +214,7 @@ def top_entries(lengths: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
         least = r["k"]
     if least is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-    got = lengths.filter(level >= least).select("g", F.col("lp").cast("float").alias("lp")).toArrow()
+    got = lengths.filter(level >= least).select("g", "lp").toArrow()
     return got.column("g").to_numpy(), got.column("lp").to_numpy()
 
 
@@ -213,9 +222,10 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
     """The kept columns of docs (text and others) with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     docs = docs.select(*keep, F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    docs = docs.withColumn("uid", F.xxhash64(*keep, "text"))
+    docs = docs.withColumn("uid", F.xxhash64(*keep, "text")).withColumn("uid2", F.hash(*keep, "text"))  # 96 bits are a row's key
 
-    lengths = stored(code_lengths(stored(gather(docs), "grams")), "lengths")
+    lengths = code_lengths(stored(gather(docs), "grams"))
+    lengths = stored(lengths.withColumn("lp", F.col("lp").cast("float")), "lengths")  # one precision, at hand or met in the shuffle
     table = spark.sparkContext.broadcast(Head(*top_entries(lengths, HEAD)))
 
     words = frequent_words(docs)
@@ -229,25 +239,24 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
     n_all = int(counted.get(-2, 0)) + ends
     v_all = int(sums["v"] or 0) + sum(1 for i, c in counted.items() if i >= 0 and c > 0) + (ends > 0)
     end_value, norm = math.log10(ends + 0.5), math.log10(n_all + 0.5 * (v_all + 1))
-    values = spark.sparkContext.broadcast({w: math.log10(c + 0.5) for i, w in enumerate(words) if (c := counted.get(i, 0)) > 0})
-    unseen = spark.sparkContext.broadcast({w for i, w in enumerate(words) if not counted.get(i, 0)})
+    values = spark.sparkContext.broadcast({w: math.log10(counted.get(i, 0) + 0.5) for i, w in enumerate(words)})  # below 0 where c = 0
     index.destroy()
     del words, counted
 
     out = [f for f in docs.schema.fields if f.name in set(keep)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + ["uid bigint", "n_tokens bigint", "n_known bigint", "base double", "ppm double", "rest array<struct<g:bigint,f:bigint>>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + ["uid bigint", "uid2 int", "n_tokens bigint", "n_known bigint", "base double", "ppm double", "rest array<struct<g:bigint,f:bigint>>"])
     ended = ends > 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, value, zero, none = table.value, values.value, unseen.value, math.log10(0.5)
+        head, value = table.value, values.value
         for b in portions(batches):
             texts = [words_of(t) for t in b.column("text").to_pylist()]
             tokens, seen, base = [], [], []
             for ws in texts:
-                have = [v for w in ws if (v := value.get(w)) is not None]
+                have = np.fromiter(filter(None, map(value.get, named(ws))), dtype=float)
                 tokens.append(len(ws) + 1)
-                seen.append(len(have) + ended)
-                base.append(math.fsum(have) + end_value + none * (sum(w in zero for w in ws) if zero else 0))
+                seen.append(int((have > 0).sum()) + ended)
+                base.append(have.sum() + end_value)
             ppm, rest = np.zeros(len(texts)), [[] for _ in texts]
             for keys, starts, which in slices([b" ".join(ws) for ws in texts]):
                 lp, missing = head.find(keys)
@@ -257,16 +266,16 @@ def score(docs: DataFrame, training: Column, keep: list[str] = ("doc_id",)) -> D
                     for (k, g), f in Counter(zip(owner.tolist(), keys[missing].tolist(), strict=True)).items():
                         rest[k].append({"g": g, "f": f})
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(f.name) for f in out), b.column("uid"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(ppm), pa.array(rest, pa.list_(pa.struct([("g", pa.int64()), ("f", pa.int64())])))],
-                names=[*(f.name for f in out), "uid", "n_tokens", "n_known", "base", "ppm", "rest"],
+                [*(b.column(f.name) for f in out), b.column("uid"), b.column("uid2"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(ppm), pa.array(rest, pa.list_(pa.struct([("g", pa.int64()), ("f", pa.int64())])))],
+                names=[*(f.name for f in out), "uid", "uid2", "n_tokens", "n_known", "base", "ppm", "rest"],
             )
 
     scored = stored(docs.drop("training").mapInArrow(work, schema), "scored")
-    tail = scored.select("uid", F.explode("rest").alias("e")).select("uid", "e.g", "e.f").join(lengths.select("g", "lp"), "g").groupBy("uid").agg(F.sum(F.col("f") * F.col("lp")).alias("tail"))
-    rare = rare.select("uid", F.col("s").alias("rare"), F.col("k").alias("rare_known"))
+    tail = scored.select(*ROW, F.explode("rest").alias("e")).select(*ROW, "e.g", "e.f").join(lengths.select("g", "lp"), "g").groupBy(*ROW).agg(F.sum(F.col("f") * F.col("lp")).alias("tail"))
+    rare = rare.select(*ROW, F.col("s").alias("rare"), F.col("k").alias("rare_known"))
     # rows that are equal in every kept column and text have added up in the sums by uid: each gets its share
-    copies = F.count("*").over(Window.partitionBy("uid"))
-    both = scored.drop("rest").withColumn("copies", copies).join(rare, "uid", "left").join(tail, "uid", "left")
+    copies = F.count("*").over(Window.partitionBy(*ROW))
+    both = scored.drop("rest").withColumn("copies", copies).join(rare, ROW, "left").join(tail, ROW, "left")
     share = lambda name: F.coalesce(F.col(name) / F.col("copies"), F.lit(0.0))
     return both.select(
         *keep,
@@ -286,20 +295,20 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
         seen: Counter[bytes] = Counter()
         for b in portions(batches):
             for t in b.column("text").to_pylist():
-                seen.update(words_of(t))
+                seen.update(named(words_of(t)))
                 if len(seen) > 500_000:
                     yield batch(shape, list(seen), list(seen.values()))
                     seen.clear()
         yield batch(shape, list(seen), list(seen.values()))
 
     top = row_sample(docs, SAMPLE, "uid").select("text").mapInArrow(tally, schema).groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
-    return top.filter(F.length("w") <= 64).orderBy(F.desc("n"), "w").limit(WORDS).select("w").toArrow().column(0).to_pylist()
+    return top.orderBy(F.desc("n"), "w").limit(WORDS).select("w").toArrow().column(0).to_pylist()
 
 
 def rare_words(docs: DataFrame, index) -> DataFrame:
-    """Sums over a row's rare words: uid, s (of f * log10(c + 0.5)), k (words with c > 0), first (distinct words met here first);
+    """Sums over a row's rare words: uid, uid2, s (of f * log10(c + 0.5)), k (words with c > 0), first (distinct words met here first);
     and rows (i, s) with the training counts of frequent words, -1: ends, -2: words."""
-    schema = "uid long, w binary, f long, training boolean, i int"
+    schema = "uid long, uid2 int, w binary, f long, training boolean, i int"
     shape = arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +316,14 @@ def rare_words(docs: DataFrame, index) -> DataFrame:
         have: Counter[int] = Counter()
         for b in portions(batches):
             out: list[tuple] = []
-            for uid, text, training in zip(*(b.column(c).to_pylist() for c in ("uid", "text", "training")), strict=True):
-                counts = Counter(words_of(text))
+            for uid, uid2, text, training in zip(*(b.column(c).to_pylist() for c in (*ROW, "text", "training")), strict=True):
+                counts = Counter(named(words_of(text)))
                 if training:
                     have[-1] += 1
                     have[-2] += counts.total()
                 for w, f in counts.items():
                     if (i := known.get(w)) is None:
-                        out.append((uid, w, f, training, None))
+                        out.append((uid, uid2, w, f, training, None))
                     elif training:
                         have[i] += f
                 if len(out) > 50_000:
@@ -323,19 +332,19 @@ def rare_words(docs: DataFrame, index) -> DataFrame:
             if out:
                 yield batch(shape, *zip(*out, strict=True))
         n = len(have)
-        yield batch(shape, [None] * n, [None] * n, list(have.values()), [True] * n, list(have))
+        yield batch(shape, *[[None] * n] * 3, list(have.values()), [True] * n, list(have))
 
     deal = F.when(F.col("w").isNotNull(), F.xxhash64("w")).otherwise(F.xxhash64("i", F.spark_partition_id()))
-    parts = docs.select("uid", "text", "training").mapInArrow(cut, schema).withColumn("deal", deal)
+    parts = docs.select(*ROW, "text", "training").mapInArrow(cut, schema).withColumn("deal", deal)
     by_word = Window.partitionBy("deal", "w")
     c = F.sum(F.when(F.col("training"), F.col("f")).otherwise(0)).over(by_word)
-    met = parts.withColumn("c", c).withColumn("rank", F.row_number().over(by_word.orderBy("uid")))
+    met = parts.withColumn("c", c).withColumn("rank", F.row_number().over(by_word.orderBy(*ROW)))
     rare = F.col("w").isNotNull()
     told = met.select(
-        "uid",
+        *ROW,
         "i",
         F.when(rare, F.col("f") * F.log10(F.col("c") + 0.5)).otherwise(F.col("f").cast("double")).alias("s"),
         F.when(rare & (F.col("c") > 0), F.col("f")).otherwise(0).cast("long").alias("k"),
         F.when(rare & (F.col("c") > 0) & (F.col("rank") == 1), 1).otherwise(0).cast("long").alias("first"),
     )
-    return told.groupBy("uid", "i").agg(*[F.sum(x).alias(x) for x in ("s", "k", "first")])
+    return told.groupBy(*ROW, "i").agg(*[F.sum(x).alias(x) for x in ("s", "k", "first")])
