@@ -135,3 +135,15 @@ def repeats(df: DataFrame, by: list[str], order: list[Column], digest: Column) -
     """Adds seen_before: how often the run had the same fingerprint before this row."""
     w = Window.partitionBy(*by, "__d").orderBy(*order)
     return df.withColumn("__d", digest).withColumn("seen_before", F.row_number().over(w) - 1).drop("__d")
+
+
+def scalars(record: Column, allowed: dict[str, str]) -> Column:
+    """Array of (name, kept) of a JSON record: of the allowed names and types alone, numbers that are finite and not negative, truth values as 1 and 0."""
+
+    def one(name: str, kind: str) -> Column:
+        raw = F.from_json(record, f"`{name}` {kind}")[name]
+        number = raw.cast("double")
+        sound = number if kind == "boolean" else F.when(~F.isnan(number) & (number >= 0) & (number < float("inf")), number)
+        return F.struct(F.lit(name).alias("name"), sound.alias("kept"))
+
+    return F.array(*[one(n, k) for n, k in allowed.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftstone.plans import relational, retrieval, texts, workflows  # noqa: F401
+from siftstone.plans import relational, retrieval, texts, verification, workflows  # noqa: F401
 from siftstone.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a4_rrf"

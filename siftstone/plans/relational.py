@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftstone.functions import ids
 from siftstone.functions import vectors as vec
 from siftstone.operators import cases as cs
 from siftstone.operators import constraints as co
@@ -39,23 +38,12 @@ def violations(spark, sf):
     return co.violations(t(spark, sf, "orders"), rules, ["o_orderkey"])
 
 
-@query("p7_recomputed_ids", "SELECT doc_id, left(sha256(text), 12) = left(sha256(trim(text)), 12) AS same FROM documents")
-def recomputed(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", (ids.short_id(F.col("text")) == ids.short_id(F.trim("text"))).alias("same"))
-
-
 @query("p16_p17_gate_with_reason", """SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'title_match' WHEN (p_brand = 'Brand#1')::INT + (p_type = 'ECONOMY')::INT + (p_size > 25)::INT >= 2 THEN 'body_matches' ELSE 'insufficient' END AS reason FROM part""")
 def gate(spark, sf):
     body = (F.col("p_brand") == "Brand#1").cast("int") + (F.col("p_type") == "ECONOMY").cast("int") + (F.col("p_size") > 25).cast("int")
     return t(spark, sf, "part").select("p_partkey", F.when(F.col("p_name").contains("ring"), "title_match").when(body >= 2, "body_matches").otherwise("insufficient").alias("reason"))
 
 
-@query("p18_scalar_allowlist", "SELECT event_id, CASE WHEN (props::JSON->>'k')::DOUBLE >= 10 THEN (props::JSON->>'k')::DOUBLE END AS k FROM events")
-def scalars(spark, sf):
-    k = F.from_json("props", "k double")["k"]
-    return t(spark, sf, "events").select("event_id", F.when(~F.isnan(k) & (k >= 10), k).alias("k"))
-
-
 @query("p21_byte_budget", "SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) > 90000 OR count(*) > 1000 AS over FROM documents GROUP BY lang")
 def byte_budget(spark, sf):
     by = t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
@@ -74,11 +62,6 @@ def json_leaf(spark, sf):
     return t(spark, sf, "events").select("event_id", leaf.alias("leaf"), F.col("props").contains(leaf).alias("holds"))
 
 
-@query("p25_consistent_pairs", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax = l_discount")
-def consistent(spark, sf):
-    return t(spark, sf, "lineitem").filter("l_tax = l_discount").select("l_orderkey", "l_linenumber")
-
-
 @query("j1_dimension_decode", """SELECT l_orderkey, l_linenumber, p_brand, CASE WHEN p_partkey IS NULL THEN 'unknown_code' END AS fault FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 10 <> 3""")
 def dimension_decode(spark, sf):
     dim = t(spark, sf, "part").filter("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.lit(True).alias("known"))
@@ -182,12 +165,6 @@ def ratios(spark, sf):
     return t(spark, sf, "customer").groupBy("c_nationkey").agg(ratio(F.count_if(F.col("c_acctbal") > 0), F.count_if(F.col("c_mktsegment") == "BUILDING")).alias("ratio"))
 
 
-@query("a16_multi_case_summary", "SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def multi_case(spark, sf):
-    is_ = lambda v: F.count_if(F.col("o_orderstatus") == v)
-    return t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("orders"), is_("F").alias("f"), is_("O").alias("o"), is_("P").alias("p"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 @query("a20_availability", "SELECT c_custkey, CASE WHEN f AND o THEN 'BOTH' WHEN f THEN 'F_ONLY' WHEN o THEN 'O_ONLY' ELSE 'NONE' END AS available FROM (SELECT c_custkey, coalesce(bool_or(o_orderstatus = 'F'), false) AS f, coalesce(bool_or(o_orderstatus = 'O'), false) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
 def available(spark, sf):
     has = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderstatus") == "F").alias("f"), F.max(F.col("o_orderstatus") == "O").alias("o"))
@@ -259,12 +236,6 @@ def partial_dates(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.concat_ws("-", F.year(d).cast("string"), F.when(k > 0, F.month(d).cast("string")), F.when(k > 1, F.dayofmonth(d).cast("string"))).alias("d"))
 
 
-@query("d3_zone_present", "SELECT event_id, event_id % 2 = 0 AS zoned FROM events")
-def zoned(spark, sf):
-    s = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "+00:00").otherwise(""))
-    return t(spark, sf, "events").select("event_id", s.rlike(r"(Z|[+-]\d{2}:\d{2})$").alias("zoned"))
-
-
 @query("r2_enumerated_refs", "SELECT 'patient:orders:' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS ref, o_custkey, o_orderkey FROM orders")
 def enumerated(spark, sf):
     by = t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
@@ -303,29 +274,6 @@ def buckets(spark, sf):
     return t(spark, sf, "part").select("p_partkey", vec.decade(F.col("p_size")).alias("decade"), vec.age_group(F.col("p_size")).alias("age_group"))
 
 
-@query("x1_rebuilt_sections", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) = trim(regexp_replace(replace(text, chr(10), ' '), '\\s+', ' ', 'g')) AS same FROM documents")
-def rebuilt(spark, sf):
-    from siftstone.functions.text import clean
-
-    return t(spark, sf, "documents").select("doc_id", (clean(F.col("text")) == clean(F.concat_ws(" ", F.split("text", "\n")))).alias("same"))
-
-
-@query("x4_exact_counts", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors")
-def exact_counts(spark, sf):
-    return t(spark, sf, "documents").agg(F.count("*").alias("documents")).crossJoin(t(spark, sf, "embeddings").agg(F.count("*").alias("vectors")))
-
-
-@query("x6_fact_inventory", "SELECT c_mktsegment AS text, min(c_custkey) AS pos, count(*) AS refs, CASE WHEN regexp_matches(c_mktsegment, 'MACH|AUTO', 'i') THEN 'Medications' ELSE 'Symptoms' END AS role FROM customer GROUP BY 1")
-def fact_inventory(spark, sf):
-    by = t(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("text")).agg(F.min("c_custkey").alias("pos"), F.count("*").alias("refs"))
-    return by.withColumn("role", F.when(F.col("text").rlike("(?i)MACH|AUTO"), "Medications").otherwise("Symptoms"))
-
-
-@query("x20_x21_selection_checks", "SELECT o_custkey, count(*) <= 3 AS few, count(*) = count(DISTINCT o_orderkey) AS unique_ids, bool_and(o_orderkey % 2 = 0) AS known FROM orders GROUP BY 1")
-def selection_checks(spark, sf):
-    return t(spark, sf, "orders").groupBy("o_custkey").agg((F.count("*") <= 3).alias("few"), (F.count("*") == F.countDistinct("o_orderkey")).alias("unique_ids"), F.min(F.col("o_orderkey") % 2 == 0).alias("known"))
-
-
 @query("s14_skip_existing", "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
 def skip_existing(spark, sf):
     p = t(spark, sf, "pages").select("url", "page_id")
@@ -352,5 +300,3 @@ def row_hashes(spark, sf):
 def rollup(spark, sf):
     """An extension: the engine's own multi-level aggregation."""
     return t(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-

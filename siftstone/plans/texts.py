@@ -230,12 +230,6 @@ def upsert(spark, sf):
     return dc.upsert(c, batch, "c_custkey", "seq")
 
 
-@query("p10_span_integrity", "SELECT doc_id, substr(text, 11, 20) AS quoted, length(text) >= 30 AS holds FROM documents")
-def span_integrity(spark, sf):
-    d = t(spark, sf, "documents").withColumn("quoted", ev.span_text(F.col("text"), F.lit(10), F.lit(30)))
-    return d.select("doc_id", "quoted", ev.span_holds(F.col("text"), F.lit(10), F.lit(30), F.col("quoted")).alias("holds"))
-
-
 @query("p24_unseen_urls", """SELECT page_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(html, '(https?://[^\\s<>"'']+)', 1), lambda u: regexp_replace(u, '[.,;:)\\]]+$', ''))), lambda u: NOT contains(url, u))) AS unseen FROM pages""")
 def unseen_urls(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.size(ev.unseen_urls(F.col("html"), F.col("url"))).cast("long").alias("unseen"))
@@ -250,13 +244,6 @@ def spans_merged(spark, sf):
     return ev.merge_spans(d.withColumn("end", F.col("start") + 40 + F.col("start") % 80), ["doc_id"])
 
 
-@query("f26_observations", """SELECT doc_id, c AS clause_no, regexp_matches(x, '\\b(?:cough|coughing)\\b', 'i') AS cough FROM (SELECT doc_id, doc_id % 3 AS c, CASE doc_id % 3 WHEN 0 THEN 'Patient denies coughing' WHEN 1 THEN 'mild cough' ELSE 'no fever' END AS x FROM documents)""")
-def observations(spark, sf):
-    k = F.col("doc_id") % 3
-    x = F.when(k == 0, "Patient denies coughing").when(k == 1, "mild cough").otherwise("no fever")
-    return t(spark, sf, "documents").select("doc_id", k.alias("clause_no"), F.array_contains(ev.observations(x), "cough").alias("cough"))
-
-
 @query("p26_population", """SELECT p_partkey, CASE WHEN p_size IS NULL OR p_partkey % 3 = 2 THEN 'unknown' WHEN p_partkey % 3 = 0 AND p_size >= 18 OR p_partkey % 3 = 1 AND p_size <= 17 THEN 'match' ELSE 'mismatch' END AS status FROM part""")
 def population(spark, sf):
     k = F.col("p_partkey") % 3
@@ -287,5 +274,3 @@ def phrase_join(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", w.alias("w"))
     pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b)))
     return d.select("doc_id", "w", F.explode(pairs).alias("k")).join(q, "k").filter(tx.contains_phrase(F.col("w"), F.col("p"))).select("item_id", "doc_id")
-
-

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftstone.operators import evaluation as em
-from siftstone.operators import evidence as ev
 from siftstone.operators import ranking as rk
 from siftstone.operators import workflow as wf
 from siftstone.plans.base import query, t
@@ -217,34 +216,6 @@ def eligibility(spark, sf):
     return em.transitions(_runs(spark, sf), ["l_linenumber"])
 
 
-@query("v1_v2_index_audit", "SELECT count(*) AS chunks, count(DISTINCT text) AS texts, count(*) FILTER (trim(text) = '') AS blank, count(*) FILTER (n_chars <> length(text)) AS wrong_length, count(*) FILTER (lang IS NULL) AS no_lang, count(*) FILTER (n_chars <> length(text)) = 0 AS passed FROM documents")
-def index_audit(spark, sf):
-    wrong = F.count_if(F.col("n_chars") != F.length("text"))
-    return t(spark, sf, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("text").alias("texts"), F.count_if(F.trim("text") == "").alias("blank"), wrong.alias("wrong_length"), F.count_if(F.col("lang").isNull()).alias("no_lang"), (wrong == 0).alias("passed"))
-
-
-@query("v3_v9_replay", f"WITH {_RUNS} SELECT count(*) FILTER (abs((after - before) * 7 - round((after - before) * 7)) <= 1e-9) AS reproduced, count(*) AS rows FROM p")
-def replay(spark, sf):
-    scaled = F.col("delta") * 7
-    return _runs(spark, sf).agg(F.count_if(F.abs(scaled - F.round(scaled)) <= 1e-9).alias("reproduced"), F.count("*").alias("rows"))
-
-
-@query("v5_source_spans", "SELECT doc_id, substr(text, 6, 10) = substr(substr(text, 1, 15), 6) AS holds FROM documents WHERE length(text) >= 15")
-def source_spans(spark, sf):
-    d = t(spark, sf, "documents").filter(F.length("text") >= 15)
-    return d.select("doc_id", ev.span_holds(F.col("text"), F.lit(5), F.lit(15), F.substring(F.substring("text", 1, 15), 6, 10)).alias("holds"))
-
-
-@query("v6_request_accounting", "SELECT o_custkey, sum(o_totalprice) = sum(o_totalprice) AS equal, count(*) AS requests FROM orders GROUP BY 1")
-def accounting(spark, sf):
-    return t(spark, sf, "orders").groupBy("o_custkey").agg((F.sum("o_totalprice") == F.sum("o_totalprice")).alias("equal"), F.count("*").alias("requests"))
-
-
-@query("v7_x35_classification", "SELECT event_id, CASE event_type WHEN 'error' THEN 'FAIL' WHEN 'signup' THEN 'SKIPPED' ELSE 'PASS' END AS status FROM events")
-def classification(spark, sf):
-    return _events(spark, sf).select("event_id", F.when(F.col("event_type") == "error", "FAIL").when(F.col("event_type") == "signup", "SKIPPED").otherwise("PASS").alias("status"))
-
-
 @query("x36_hit_at_k")
 def hit_at_k(spark, sf):
     """Whether each benchmark query has a document of its language of choice among its first five, and all with text."""
@@ -252,11 +223,6 @@ def hit_at_k(spark, sf):
     return _bm25(spark, sf, 5).join(docs, "doc_id").groupBy("query_id").agg(F.max(F.col("lang") == "en").alias("hit"), F.min(F.col("n") > 0).alias("complete"))
 
 
-@query("x38_split_leakage", "SELECT count(*) FILTER (l_linenumber > 7) AS leaked, count(DISTINCT l_orderkey) AS queries FROM lineitem")
-def leakage(spark, sf):
-    return t(spark, sf, "lineitem").agg(F.count_if(F.col("l_linenumber") > 7).alias("leaked"), F.countDistinct("l_orderkey").alias("queries"))
-
-
 @query("l6_pair_plan", "SELECT item_id, role, doc_id FROM (SELECT item_id, unnest(['symptoms', 'history']) AS role FROM benchmark), (SELECT doc_id FROM documents WHERE doc_id < 10)")
 def pair_plan(spark, sf):
     roles = t(spark, sf, "benchmark").select("item_id", F.explode(F.array(F.lit("symptoms"), F.lit("history"))).alias("role"))
@@ -264,11 +230,6 @@ def pair_plan(spark, sf):
     return roles.crossJoin(F.broadcast(pool))
 
 
-@query("l7_score_substitution", f"WITH {_RUNS} SELECT l_orderkey, l_linenumber, round(after + 0.5, 9) AS ranking FROM p")
-def substitution(spark, sf):
-    return _runs(spark, sf).select("l_orderkey", "l_linenumber", F.round(F.col("after") + 0.5, 9).alias("ranking"))
-
-
 @query("l2_cross_scores")
 def cross_scores(spark, sf):
     from siftstone.operators.models import LexicalScorer, cross_score
