@@ -7,76 +7,121 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-POOL = "query_id string, chunk_id string, parent_id string, document_id string, rrf double, symptoms_score double, history_score double, symptoms_ranking double, history_ranking double, tokens array<string>"
-EVENTS = "query_id string, chunk_id string, role string, step int, event string"
+POOL = (
+    "query_id string, chunk_id string, parent_id string, document_id string, section string, rrf double, symptoms_score double, history_score double, "
+    "symptoms_ranking double, history_ranking double, history_query string, mismatch boolean, tokens array<string>"
+)
+EVENTS = "query_id string, chunk_id string, role string, step int, ranking double, event string"
 VARIANTS = ("base", "symptoms_weight_2", "background_cap_1", "population_penalty", "history_novelty")
 
 
+def positive(rows: DataFrame, score: str) -> DataFrame:
+    """The rows whose score is positive and finite."""
+    return rows.filter((F.col(score) > 0) & (F.col(score) < float("inf")) & ~F.isnan(score))
+
+
 def _overlap(a: set, b: set) -> float:
     return len(a & b) / max(1, len(a | b))
 
 
-def choose(pool: pd.DataFrame, limit: int, history: bool, per_document: float = 2, near: float = 0.8, history_limit: int | None = None) -> list[tuple]:
-    """The event log (chunk_id, role, event) of one query's selection.
+def ranking(row: dict, role: str, variant: str) -> float:
+    """The value a pass walks by. A variant moves it and never the score that decides whether a row may be taken."""
+    value = row[f"{role}_ranking"]
+    if variant == "symptoms_weight_2" and role == "symptoms":
+        value += row["symptoms_score"]
+    if variant == "population_penalty" and row.get("mismatch") is True:
+        value -= 0.5
+    return value
+
+
+def choose(pool: pd.DataFrame, limit: int, variant: str = "base", per_document: float = 2, near: float = 0.8, unbounded: bool = False) -> list[tuple]:
+    """The event log (chunk_id, role, ranking, event) of one query's selection.
 
     A pass for a role walks its rows by ranking value; a row is taken unless its score is not positive, its section was
-    taken, its document is full, or its words are nearly those of a taken row. A pass ends when `limit` rows
-    are taken in all. History may place one row first; then symptoms, then history again.
+    taken, its document is full, or its words are nearly those of a taken row. A pass ends when `limit` rows are taken in all. History
+    may place one row first; then symptoms, then history again. background_cap_1 leaves the last pass out; history_novelty
+    refuses a history row whose query was served before, but by a new section of a document that served it. unbounded lifts
+    the limit of the last two passes: the counterfactual without a final budget.
     """
-    rows = pool.to_dict("records")
-    taken, parents, documents, words, log = [], set(), {}, [], []
-
-    def walk(role: str, most: int, cap: float) -> None:
-        order = sorted((r for r in rows if pd.notna(r[f"{role}_score"])), key=lambda r: (-r[f"{role}_ranking"], -r["rrf"], r["chunk_id"]))
-        for r in order:
-            if len(taken) >= most:
-                log.extend((x["chunk_id"], role, "limit") for x in order[order.index(r) :])
-                return
+    rows = [{**r, "mismatch": bool(r.get("mismatch")) if pd.notna(r.get("mismatch")) else False} for r in pool.to_dict("records")]
+    taken, parents, documents, words, served, sections, log = [], set(), {}, [], {}, set(), []
+    most = float("inf") if unbounded else limit
+
+    def stale(r: dict) -> bool:
+        told = served.get(r.get("history_query"))
+        return told is not None and (r["document_id"] not in told or (r["document_id"], _folded(r)) in sections)
+
+    def walk(role: str, budget: float) -> None:
+        for r in sorted((r for r in rows if pd.notna(r[f"{role}_score"])), key=lambda r: (-ranking(r, role, variant), -r["rrf"], r["chunk_id"])):
             own = set(r["tokens"])
-            if r[f"{role}_score"] <= 0:
+            if len(taken) >= budget:
+                event = "limit"
+            elif r[f"{role}_score"] <= 0:
                 event = "nonpositive"
             elif r["parent_id"] in parents:
                 event = "section_taken"
-            elif documents.get(r["document_id"], 0) >= cap:
+            elif documents.get(r["document_id"], 0) >= per_document:
                 event = "document_full"
             elif any(_overlap(own, w) >= near for w in words):
                 event = "near_duplicate"
+            elif variant == "history_novelty" and role == "history" and stale(r):
+                event = "redundant_history"
             else:
                 event = "selected"
-                taken.append((r["chunk_id"], role))
+                taken.append(r["chunk_id"])
                 parents.add(r["parent_id"])
                 documents[r["document_id"]] = documents.get(r["document_id"], 0) + 1
                 words.append(own)
-            log.append((r["chunk_id"], role, event))
-
-    if history and limit > 1:
-        walk("history", 1, 2)
-    walk("symptoms", limit, per_document)
-    walk("history", limit if history_limit is None else min(limit, history_limit + len([1 for _, r in taken if r == "symptoms"])), per_document)
+                sections.add((r["document_id"], _folded(r)))
+                if role == "history":
+                    served.setdefault(r.get("history_query"), set()).add(r["document_id"])
+            log.append((r["chunk_id"], role, ranking(r, role, variant), event))
+
+    if limit > 1 and any(pd.notna(r["history_score"]) for r in rows):
+        walk("history", 1)
+    walk("symptoms", most)
+    if variant != "background_cap_1":
+        walk("history", most)
     return log
 
 
+def _folded(row: dict) -> str:
+    return (row.get("section") or "").casefold().strip()
+
+
+def select_variants(pool: DataFrame, limit: int = 5, variants: tuple[tuple[str, bool], ...] = tuple((v, False) for v in VARIANTS)) -> DataFrame:
+    """variant, unbounded and EVENTS for each query of pool (POOL) under each (variant, unbounded): the pool is brought together once."""
+    if not {v for v, _ in variants} <= set(VARIANTS) or not 0 <= limit <= 5:
+        raise ValueError("an unknown variant, or a limit beyond 0 to 5")
+    names = [c.split()[0] for c in POOL.split(", ")]
+    if lacking := sorted(set(names) - set(pool.columns)):
+        raise ValueError(f"columns that the selection reads are not there: {lacking}")
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(v, u, key[0], c, r, i, x, e) for v, u in variants for i, (c, r, x, e) in enumerate(choose(frame, limit, v, unbounded=u))]
+        return pd.DataFrame(rows, columns=["variant", "unbounded", "query_id", "chunk_id", "role", "step", "ranking", "event"])
+
+    return pool.select(*names).groupBy("query_id").applyInPandas(one, "variant string, unbounded boolean, " + EVENTS)
+
+
 def select_evidence(pool: DataFrame, limit: int = 5, variant: str = "base", unbounded: bool = False) -> DataFrame:
     """EVENTS for each query of pool (POOL): every decision with its reason, `selected` ones included.
 
-    variant: one of VARIANTS; unbounded: the counterfactual without a limit on documents in the last two passes.
+    variant: one of VARIANTS; unbounded: the counterfactual without the final limit in the last two passes.
     """
-    if variant not in VARIANTS or not 0 <= limit <= 5:
-        raise ValueError("an unknown variant, or a limit beyond 0 to 5")
+    return select_variants(pool, limit, ((variant, unbounded),)).drop("variant", "unbounded")
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.copy()
-        if variant == "symptoms_weight_2":
-            frame["symptoms_ranking"] += frame["symptoms_score"].fillna(0)
-        if variant == "population_penalty" and "mismatch" in frame:
-            for role in ("symptoms", "history"):
-                frame[f"{role}_ranking"] -= 0.5 * frame["mismatch"].astype(float)
-        history = frame["history_score"].notna().any()
-        log = choose(frame, limit, bool(history), float("inf") if unbounded else 2, history_limit=1 if variant == "background_cap_1" else None)
-        return pd.DataFrame([(key[0], c, r, i, e) for i, (c, r, e) in enumerate(log)], columns=["query_id", "chunk_id", "role", "step", "event"])
-
-    return pool.groupBy("query_id").applyInPandas(one, EVENTS)
+
+def selection_changes(events: DataFrame, base: str = "base") -> DataFrame:
+    """variant, query_id, chunk_id, change: what each variant of select_variants() gains and loses against the base."""
+    taken = events.filter("event = 'selected' and not unbounded")
+    names = taken.select("variant").distinct().agg(F.collect_set("variant").alias("__all"))
+    by = taken.groupBy("query_id", "chunk_id").agg(F.collect_set("variant").alias("__in")).crossJoin(F.broadcast(names))  # one row
+    had = F.array_contains("__in", base)
+    other = F.explode(F.when(had, F.array_except("__all", "__in")).otherwise(F.col("__in"))).alias("variant")
+    return by.select(other, "query_id", "chunk_id", F.when(had, "lost").otherwise("gained").alias("change"))
 
 
 def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> list[list[int]]:

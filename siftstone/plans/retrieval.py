@@ -222,20 +222,51 @@ def rank_delta(spark, sf):
     return b.select("query_id", "doc_id", (F.col("rank") - F.col("other")).alias("delta"))
 
 
+def _selection_pool(spark, sf):
+    """Fused pools of 50 with scores of two roles that hang on the id, as the selection reads them."""
+    pool = rk.rrf(rankings(spark, sf), ["query_id"], "doc_id").filter("fusion_rank <= 50")
+    docs = t(spark, sf, "documents").select("doc_id", "source", "lang", tx.word_set(F.col("text")).alias("tokens"))
+    d = F.col("doc_id")
+    return pool.join(docs, "doc_id").select(
+        F.col("query_id").cast("string").alias("query_id"), d.cast("string").alias("chunk_id"), d.cast("string").alias("parent_id"), F.col("source").alias("document_id"), F.coalesce("lang", F.lit("")).alias("section"), "rrf",
+        (d % 11 - 3).cast("double").alias("symptoms_score"), F.when(d % 3 == 0, (d % 5 - 1).cast("double")).alias("history_score"),
+        ((d % 11 - 3) + F.col("rrf")).alias("symptoms_ranking"), ((d % 5 - 1) + F.col("rrf")).alias("history_ranking"),
+        F.concat(F.lit("h"), (d % 4).cast("string")).alias("history_query"), (d % 7 == 0).alias("mismatch"), "tokens",
+    )
+
+
 @query("w13_w15_evidence_selection")
 def evidence_selection(spark, sf):
     """W13 to W15: constrained selection over fused pools, with every decision's reason."""
     from siftstone.operators.selection import select_evidence
 
-    pool = rk.rrf(rankings(spark, sf), ["query_id"], "doc_id").filter("fusion_rank <= 50")
-    docs = t(spark, sf, "documents").select("doc_id", "source", tx.word_set(F.col("text")).alias("tokens"))
-    d = F.col("doc_id")
-    shaped = pool.join(docs, "doc_id").select(
-        F.col("query_id").cast("string").alias("query_id"), d.cast("string").alias("chunk_id"), d.cast("string").alias("parent_id"), F.col("source").alias("document_id"), "rrf",
-        (d % 11 - 3).cast("double").alias("symptoms_score"), F.when(d % 3 == 0, (d % 5 - 1).cast("double")).alias("history_score"),
-        ((d % 11 - 3) + F.col("rrf")).alias("symptoms_ranking"), ((d % 5 - 1) + F.col("rrf")).alias("history_ranking"), "tokens",
-    )
-    return select_evidence(shaped, 5)
+    return select_evidence(_selection_pool(spark, sf), 5).drop("ranking")
+
+
+@query("w14_selection_variants")
+def selection_variants(spark, sf):
+    """What each variant selects of the same pools, and the counterfactual without a final budget."""
+    from siftstone.operators.selection import VARIANTS, select_variants
+
+    told = select_variants(_selection_pool(spark, sf), 5, (*((v, False) for v in VARIANTS), ("base", True)))
+    return told.filter("event = 'selected'").select("variant", "unbounded", "query_id", "chunk_id", "role", F.round("ranking", 9).alias("ranking"))
+
+
+@query("x15_selection_changes")
+def selection_changed(spark, sf):
+    """What each variant gains and loses against the base."""
+    from siftstone.operators.selection import select_variants, selection_changes
+
+    return selection_changes(select_variants(_selection_pool(spark, sf), 5))
+
+
+@query("p15_positive_gate", BM25_SQL + " SELECT query_id, doc_id, (doc_id % 11 - 3)::DOUBLE AS logit FROM bm WHERE doc_id % 11 > 3")
+def positive_gate(spark, sf):
+    """Slots are never filled with rows of a score that is not positive."""
+    from siftstone.operators.selection import positive
+
+    scored = _bm25(spark, sf).select("query_id", "doc_id", (F.col("doc_id") % 11 - 3).cast("double").alias("logit"))
+    return positive(scored, "logit")
 
 
 @query("w8_catalog_lookup", f"""WITH e AS (SELECT p_partkey, lower(p_name) AS topic, p_type AS kind, p_brand AS file, p_partkey::VARCHAR AS url, string_split(lower(p_name), ' ') AS ph, list_distinct(string_split(lower(p_name), ' ')) AS terms FROM part),

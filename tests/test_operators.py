@@ -69,7 +69,7 @@ def test_relevance_golden(spark):
 
 
 def pool(spark, scores):
-    return spark.createDataFrame([("q", f"c{i}", f"p{i}", f"d{i}", 0.5, s, None, s, None, [f"w{i}"]) for i, s in enumerate(scores)], selection.POOL)
+    return spark.createDataFrame([("q", f"c{i}", f"p{i}", f"d{i}", "", 0.5, s, None, s, None, None, None, [f"w{i}"]) for i, s in enumerate(scores)], selection.POOL)
 
 
 def test_selection(spark):
@@ -81,6 +81,47 @@ def test_selection(spark):
     assert selection.diverse(items, 3) == [1, 3, 4]
 
 
+def background(spark, rows):
+    """Rows (chunk, document, section, symptoms, history, history query, mismatch) with words of their own."""
+    full = [("q", c, f"p{c}", d, sec, 0.5 - i / 100, sy, hi, sy, hi, hq, m, [f"w{c}"]) for i, (c, d, sec, sy, hi, hq, m) in enumerate(rows)]
+    return spark.createDataFrame(full, selection.POOL)
+
+
+def test_selection_variants(spark):
+    def chosen(rows, variant="base", **k):
+        got = selection.select_evidence(background(spark, rows), 5, variant, **k).orderBy("step").collect()
+        return [(r.chunk_id, r.role) for r in got if r.event == "selected"], {(r.chunk_id, r.role): r for r in got}
+
+    rows = [("a", "d1", "Causes", 3.0, None, None, False), ("b", "d2", "Causes", 2.0, 5.0, "h1", True), ("c", "d2", "causes ", None, 4.0, "h1", False), ("d", "d2", "Signs", None, 3.0, "h1", False), ("e", "d3", "Signs", None, 2.0, "h1", False), ("f", "d4", "", None, 1.0, "h2", False)]
+    base, log = chosen(rows)
+    assert base == [("b", "history"), ("a", "symptoms"), ("c", "history"), ("e", "history"), ("f", "history")] and log["d", "history"].event == "document_full"
+    # the last pass is left out
+    assert chosen(rows, "background_cap_1")[0] == [("b", "history"), ("a", "symptoms")]
+    # a query that was served is served again only by a new section of the same document
+    novel, log = chosen(rows, "history_novelty")
+    assert novel == [("b", "history"), ("a", "symptoms"), ("d", "history"), ("f", "history")]
+    assert log["c", "history"].event == log["e", "history"].event == "redundant_history"
+    # a mismatch costs a half of ranking and nothing of eligibility
+    near = [("a", "d1", "", 3.0, None, None, True), ("b", "d2", "", 2.6, None, None, False), ("c", "d3", "", 0.2, None, None, True)]
+    assert [c for c, _ in chosen(near)[0]] == ["a", "b", "c"]
+    penal, log = chosen(near, "population_penalty")
+    assert [c for c, _ in penal] == ["b", "a", "c"] and log["c", "symptoms"].ranking == pytest.approx(-0.3)
+    # twice the score orders the rows and lets none through that was not positive
+    heavy = [("a", "d1", "", -2.0, None, None, False), ("b", "d2", "", 1.0, None, None, False)]
+    told, log = chosen(heavy, "symptoms_weight_2")
+    assert told == [("b", "symptoms")] and log["a", "symptoms"].ranking == -4.0 and log["a", "symptoms"].event == "nonpositive"
+    many = [(f"c{i}", f"d{i}", "", 9.0 - i, None, None, False) for i in range(8)]
+    assert len(chosen(many)[0]) == 5 and len(chosen(many, unbounded=True)[0]) == 8
+    changed = selection.selection_changes(selection.select_variants(background(spark, rows), 5))
+    assert {(r.variant, r.chunk_id, r.change) for r in changed.collect()} == {
+        ("background_cap_1", "c", "lost"), ("background_cap_1", "e", "lost"), ("background_cap_1", "f", "lost"), ("history_novelty", "c", "lost"), ("history_novelty", "e", "lost"), ("history_novelty", "d", "gained"),
+    }
+    with pytest.raises(ValueError, match="columns"):
+        selection.select_evidence(background(spark, rows).drop("mismatch"), 5, "population_penalty")
+    with pytest.raises(ValueError, match="variant"):
+        selection.select_evidence(background(spark, rows), 5, "other")
+
+
 def test_routing_truth_table(spark):
     cases_ = [
         (0, "supported_with_limitations", 0, 1, 0, "FINAL"), (0, "revision_required", 0, 1, 1, "DIAGNOSTIC_REVISION"), (0, "revision_required", 0, 1, 2, "UNRESOLVED"),
