@@ -59,6 +59,14 @@ def alias_matches(queries: DataFrame, aliases: DataFrame, guarded: list[str]) ->
     return met.withColumn("spans", spans).filter(~longer & ~plain).select("query_id", "alias", "topic_id", "start")
 
 
+def alias_diagnostics(matches: DataFrame, watched: list[str]) -> DataFrame:
+    """query_id, alias, applied, watched of matches (query_id, query, expanded, alias, title): whether the title that an alias proposes is among
+    those that the expanded query added behind the untouched query, and whether the alias is an ordinary word to watch."""
+    lead = F.concat("query", F.lit("\nSource topic: "))
+    added = F.when(F.col("expanded").startswith(lead), F.split(F.col("expanded").substr(F.length(lead) + 1, F.length("expanded")), "; ")).otherwise(F.array().cast("array<string>"))
+    return matches.select("query_id", "alias", F.array_contains(added, F.col("title")).alias("applied"), F.col("alias").isin(watched).alias("watched"))
+
+
 def sentence_windows(text: Column, budget: int) -> Column:
     """Sentences folded into windows of at most `budget` words; a longer sentence fails."""
     sentences = F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.trim(s) != "")

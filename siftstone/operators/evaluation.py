@@ -72,3 +72,10 @@ def trace(items: DataFrame, stages: list[tuple[str, DataFrame]], on: str) -> Dat
         out = out.join(have.select(on).distinct().withColumn(f"__{name}", F.lit(True)), on, "left")
     missing = F.coalesce(*[F.when(F.col(f"__{name}").isNull(), F.lit(name)) for name, _ in stages])
     return out.select(on, missing.alias("lost_at"))
+
+
+def compared(baseline: DataFrame, chosen: DataFrame, by: str, item: str) -> DataFrame:
+    """by, both, baseline_only, selector_only: two selections of items, counted where they agree and where not."""
+    a, b = baseline.select(by, item).distinct().withColumn("__a", F.lit(True)), chosen.select(by, item).distinct().withColumn("__b", F.lit(True))
+    x, y = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    return a.join(b, [by, item], "full").groupBy(by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("baseline_only"), F.count_if(~x & y).alias("selector_only"))

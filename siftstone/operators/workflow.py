@@ -147,3 +147,17 @@ def scalars(record: Column, allowed: dict[str, str]) -> Column:
         return F.struct(F.lit(name).alias("name"), sound.alias("kept"))
 
     return F.array(*[one(n, k) for n, k in allowed.items()])
+
+
+def outcomes(events: DataFrame, run: str, order: list[Column], stage: str, legal: DataFrame, terminal: list[str], cost: str, budget: float) -> DataFrame:
+    """run, events, outcome, stopped_at: ILLEGAL or BUDGET by what comes first in a run's order of events, else its last stage."""
+    w = Window.partitionBy(run).orderBy(*order)
+    e = events.withColumn("__n", F.row_number().over(w)).withColumn("__before", F.lag(stage).over(w)).withColumn("__spent", F.round(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)), 4))
+    ok = legal.select(F.col("from_stage").alias("__before"), F.col("to_stage").alias(stage), F.lit(True).alias("__ok")).distinct()
+    e = e.join(F.broadcast(ok), ["__before", stage], "left")  # the stated edges
+    illegal = F.col("__before").isNotNull() & (F.col("__before").isin(terminal) | F.col("__ok").isNull())
+    by = e.groupBy(run).agg(
+        F.count("*").alias("events"), F.min(F.when(illegal, F.col("__n"))).alias("__i"), F.min(F.when(F.col("__spent") > budget, F.col("__n"))).alias("__b"), F.max_by(stage, "__n").alias("__last")
+    )
+    first = F.col("__i").isNotNull() & (F.col("__b").isNull() | (F.col("__i") <= F.col("__b")))
+    return by.select(run, "events", F.when(first, "ILLEGAL").when(F.col("__b").isNotNull(), "BUDGET").otherwise(F.col("__last")).alias("outcome"), F.least("__i", "__b").alias("stopped_at"))

@@ -258,7 +258,19 @@ def embedded(spark, sf):
     return embed(t(spark, sf, "benchmark"), HashingEmbedder(64), "item_id", "text")
 
 
-@query("w16_diversity_sample")
+_FAR = "(SELECT min(1 - len(list_intersect(b.w, c.w)) / greatest(1, len(b.w) + len(c.w) - len(list_intersect(b.w, c.w)))) FROM b c WHERE c.row_no IN ({0}))"
+
+
+def _diverse_sql(k: int) -> str:
+    """The choice turn by turn: c1 is the anchor, c2 the farthest from it, and so on; ties go to the lower row."""
+    steps = ["c1 AS (SELECT 0 AS turn, min(row_no) AS row_no FROM b)"]
+    for i in range(2, k + 1):
+        chosen = " UNION ALL ".join(f"SELECT row_no FROM c{j}" for j in range(1, i))
+        steps.append(f"c{i} AS (SELECT {i - 1} AS turn, row_no FROM b WHERE row_no NOT IN ({chosen}) ORDER BY round({_FAR.format(chosen)}, 12) DESC, row_no LIMIT 1)")
+    return f"WITH b AS (SELECT item_id AS row_no, list_distinct({_WORDS}) AS w FROM benchmark), " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT turn, row_no FROM c{j}" for j in range(1, k + 1))
+
+
+@query("w16_diversity_sample", _diverse_sql(5))
 def diversity(spark, sf):
     from siftstone.operators.selection import diverse
 

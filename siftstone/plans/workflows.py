@@ -8,7 +8,7 @@ from siftstone.operators import evaluation as em
 from siftstone.operators import ranking as rk
 from siftstone.operators import workflow as wf
 from siftstone.plans.base import query, t
-from siftstone.plans.retrieval import _bm25
+from siftstone.plans.retrieval import BM25_SQL, _bm25
 
 _ALLOWED = {"view": ["click", "view"], "click": ["purchase", "view"], "signup": ["view"], "purchase": ["view"]}
 _PAIRS = ", ".join(f"('{a}', '{b}')" for a, to in _ALLOWED.items() for b in to)
@@ -216,18 +216,20 @@ def eligibility(spark, sf):
     return em.transitions(_runs(spark, sf), ["l_linenumber"])
 
 
-@query("x36_hit_at_k")
+@query("x36_hit_at_k", BM25_SQL + " SELECT query_id, bool_or(coalesce(lang = 'en', false)) AS hit, bool_and(length(text) > 0) AS complete FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
 def hit_at_k(spark, sf):
     """Whether each benchmark query has a document of its language of choice among its first five, and all with text."""
     docs = t(spark, sf, "documents").select("doc_id", "lang", F.length("text").alias("n"))
-    return _bm25(spark, sf, 5).join(docs, "doc_id").groupBy("query_id").agg(F.max(F.col("lang") == "en").alias("hit"), F.min(F.col("n") > 0).alias("complete"))
+    return _bm25(spark, sf, 5).join(docs, "doc_id").groupBy("query_id").agg(F.max(F.coalesce(F.col("lang") == "en", F.lit(False))).alias("hit"), F.min(F.col("n") > 0).alias("complete"))
 
 
-@query("l6_pair_plan", "SELECT item_id, role, doc_id FROM (SELECT item_id, unnest(['symptoms', 'history']) AS role FROM benchmark), (SELECT doc_id FROM documents WHERE doc_id < 10)")
+@query("l6_pair_plan", BM25_SQL + """, r AS (SELECT query_id, doc_id, rank, unnest(['symptoms', 'history']) AS role FROM bm WHERE rank <= 10)
+SELECT query_id, role, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, role DESC) AS pair_no FROM r WHERE role = 'symptoms' OR query_id % 2 = 0""")
 def pair_plan(spark, sf):
-    roles = t(spark, sf, "benchmark").select("item_id", F.explode(F.array(F.lit("symptoms"), F.lit("history"))).alias("role"))
-    pool = t(spark, sf, "documents").filter("doc_id < 10").select("doc_id")  # the stated pool: ten candidates
-    return roles.crossJoin(F.broadcast(pool))
+    """The pairs to score: each query's pool of ten under each of its roles, in a fixed order; every second query has no history."""
+    pool = _bm25(spark, sf, 10).select("query_id", "doc_id", "rank", F.explode(F.array(F.lit("symptoms"), F.lit("history"))).alias("role"))
+    pairs = pool.filter((F.col("role") == "symptoms") | (F.col("query_id") % 2 == 0)).withColumnRenamed("rank", "place")
+    return rk.top(pairs, ["query_id"], [F.asc("place"), F.desc("role")], None, "pair_no").select("query_id", "role", "doc_id", "pair_no")
 
 
 @query("l2_cross_scores")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,23 @@ def ship(spark: SparkSession) -> SparkSession:
     if HOME not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
     return spark
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or on a local session's own disk where that is unset."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{found}/siftstone/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="siftstone-")
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Removes what lies at a path of any store that Spark writes to; whether there was something."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

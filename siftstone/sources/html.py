@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -71,3 +72,130 @@ def sections(html: Column) -> Column:
         return values.map(lambda x: None if x is None else [{"title": a, "text": b} for a, b in read_sections(x)])
 
     return F.pandas_udf(run, "array<struct<title:string,text:string>>")(html)
+
+
+# What is no part of an article, where articles stand in order of trust, and elements without content.
+JUNK_TAGS = {"script", "style", "nav", "footer", "aside", "form", "button", "noscript", "iframe", "svg"}
+ROOTS = ("[itemprop=articleBody]", "article", "main", "#content")
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+
+class _Tree(HTMLParser):
+    """A plain tree: [tag, attributes, children]; text is a string."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", {}, []]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "li", "td", "th", "tr") and self.open[-1][0] == tag:
+            self.open.pop()
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        if tag not in EMPTY:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1][2].append([tag, dict(attrs), []])
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def _walk(node):
+    stack = [node]
+    while stack:
+        here = stack.pop()
+        yield here
+        stack.extend(c for c in reversed(here[2]) if not isinstance(c, str))
+
+
+def _said(node) -> str:
+    out, stack = [], [node]
+    while stack:
+        here = stack.pop()
+        if isinstance(here, str):
+            out.append(here)
+        else:
+            stack.extend(reversed(here[2]))
+    return " ".join("".join(out).split())
+
+
+def _is(node, selector: str) -> bool:
+    if selector.startswith("["):
+        return node[1].get("itemprop") == "articleBody"
+    return node[1].get("id") == selector[1:] if selector.startswith("#") else node[0] == selector
+
+
+def _number(item, siblings, parent) -> str:
+    n = int(parent[1].get("start") or (len(siblings) if "reversed" in parent[1] else 1))
+    for s in siblings:
+        n = int(s[1].get("value") or n)
+        if s is item:
+            break
+        n += -1 if "reversed" in parent[1] else 1
+    return f"{n}."
+
+
+def _render(node, parent=None) -> str:
+    """Text in document order: headings underlined, lists marked, cells parted, blocks apart by a blank line."""
+    if isinstance(node, str):
+        return re.sub(r"\s+", " ", node)
+    tag = node[0]
+    if tag in HEADINGS:
+        head = _said(node)
+        return f"\n\n{head}\n{('=' if tag in ('h1', 'h2') else '-') * len(head)}\n\n"
+    if tag == "br":
+        return "\n"
+    inner = "".join(_render(c, node) for c in node[2])
+    if tag == "li":
+        mark = _number(node, [c for c in parent[2] if not isinstance(c, str) and c[0] == "li"], parent) if parent and parent[0] == "ol" else "-"
+        return f"\n{mark} {inner.strip()}\n"
+    if tag in ("td", "th"):
+        return inner.strip() + " | "
+    return f"\n\n{inner}\n\n" if tag in BLOCKS and tag not in ("br", "title") else inner
+
+
+def read_article(html: str | None) -> tuple[str, str] | None:
+    """(title, body) of a page's article, or None where the page has no recognisable article, title or body: never the whole page.
+
+    The title is the article's h1, else the page's first h1, else the og:title, else the title element; headings that repeat
+    it go. The body is the longest candidate of the first selector that has text.
+    """
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    nodes = list(_walk(tree.root))
+    inside = [n for a in nodes if _is(a, "article") or _is(a, "main") or _is(a, "#content") for n in _walk(a) if n[0] == "h1"]
+    first = next(iter(inside), None) or next((n for n in nodes if n[0] == "h1"), None)
+    title = _said(first) if first else ""
+    title = title or next((" ".join((n[1].get("content") or "").split()) for n in nodes if n[0] == "meta" and n[1].get("property") == "og:title"), "")
+    title = title or next((_said(n) for n in nodes if n[0] == "title"), "")
+    for n in nodes:
+        n[2] = [c for c in n[2] if isinstance(c, str) or c[0] not in JUNK_TAGS]
+    nodes = list(_walk(tree.root))
+    root = next((best for s in ROOTS if (found := [n for n in nodes if _is(n, s)]) and _said(best := max(found, key=lambda n: len(_said(n))))), None)
+    if root is None or not title:
+        return None
+    for n in _walk(root):
+        n[2] = [c for c in n[2] if isinstance(c, str) or c[0] != "h1" or _said(c) != title]
+    body = "\n".join(line.strip() for line in _render(root).split("\n"))
+    body = re.sub(r"\n{3,}", "\n\n", body).strip()
+    return (title, body) if body else None
+
+
+def article(html: Column) -> Column:
+    """read_article() of a column: (title, body), null where there is none."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_article(x) or (None, None) for x in values], columns=["title", "body"])
+
+    told = F.pandas_udf(run, "struct<title:string,body:string>")(html)
+    return F.when(told["body"].isNotNull(), told)

@@ -25,7 +25,8 @@ def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def _zipped(spark: SparkSession, path: str, split: str, fields: list[str], schema: str, limit: int | None) -> DataFrame:
+def zipped_rows(files: DataFrame, split: str, fields: list[str], schema: str, limit: int | None = None) -> DataFrame:
+    """Rows of the one member release_{split}_patients in each ZIP file (content), numbered from 1 in its file."""
     import csv
 
     names = [c.split()[0] for c in schema.split(",")]
@@ -54,17 +55,17 @@ def _zipped(spark: SparkSession, path: str, split: str, fields: list[str], schem
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
-    return binary(spark, path).select("content").mapInArrow(work, schema)
+    return files.select("content").mapInArrow(work, schema)
 
 
 def zipped_cases(spark: SparkSession, path: str, split: str, limit: int | None = None) -> DataFrame:
     """Rows of the one member release_{split}_patients of a ZIP file, numbered from 1; columns of labels are not read."""
-    return _zipped(spark, path, split, _FIELDS, CASES, limit)
+    return zipped_rows(binary(spark, path), split, _FIELDS, CASES, limit)
 
 
 def zipped_labels(spark: SparkSession, path: str, split: str, limit: int | None = None) -> DataFrame:
     """The labels of the same rows: for evaluation alone."""
-    return _zipped(spark, path, split, _LABEL_FIELDS, LABELS, limit)
+    return zipped_rows(binary(spark, path), split, _LABEL_FIELDS, LABELS, limit)
 
 
 def case_columns(raw: DataFrame) -> DataFrame:
@@ -141,7 +142,11 @@ ARTICLES = "path string, ids map<string,string>, title string, licence string, s
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """Journal articles: identifiers, title, licence address, and paragraphs of abstract and body without figures, tables and references."""
+    return article_rows(binary(spark, path, "*.xml"))
+
+
+def article_rows(files: DataFrame) -> DataFrame:
+    """Journal articles of binary rows (path, content): identifiers, title, licence address, and paragraphs of abstract and body without figures, tables and references."""
     shape = pa.schema([("path", pa.string()), ("ids", pa.map_(pa.string(), pa.string())), ("title", pa.string()), ("licence", pa.string()), ("sections", pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
             rows = [(p, *_article(c)) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((r[0], list(r[1].items()), *r[2:]) for r in rows), strict=True), shape, strict=True)], schema=shape)
 
-    return binary(spark, path, "*.xml").select("path", "content").mapInArrow(work, ARTICLES)
+    return files.select("path", "content").mapInArrow(work, ARTICLES)
 
 
 def bounded(files: DataFrame, most: int) -> DataFrame:
@@ -187,6 +192,34 @@ def catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return first_of(good, ["url"], [F.asc("path")]), told.filter("fault is not null").select("path", "fault")
 
 
+def index_of(texts: DataFrame) -> DataFrame:
+    """topic, title, url, file of headed texts (path, value) whose file name is that of their topic: the index made anew from the files alone."""
+    from siftstone.functions.urls import file_name
+
+    e = headed_text(F.col("value"))
+    rows = texts.select(F.element_at(F.split("path", "/"), -1).alias("file"), e.alias("e")).filter("e is not null")
+    good = rows.filter((F.col("e.topic") != "") & (F.col("e.url") != "") & (F.col("file") == file_name(F.col("e.topic"))))
+    return good.select("e.topic", "e.title", "e.url", "file").orderBy(F.lower("topic"), "url")
+
+
+def script_setting(html: Column, name: str) -> Column:
+    """The number or quoted value that a page's scripts hand to the function `name`; scripts are read and never run. Null where there is none."""
+    call = rf"<script[^>]*>(?:(?!</script>).)*?\b{re.escape(name)}\(\s*[\"']?([^\"')\s]*)"
+    found = F.regexp_extract(html, "(?is)" + call, 1)
+    return F.when(found != "", F.regexp_replace(found, "&amp;", "&"))
+
+
+def location(given: str | None, variable: str, project: str, workspace: str, marker: str) -> str:
+    """Where local data lie: as given, else as the environment variable says, else in the project if the marker file is there, else in the workspace."""
+    import os
+
+    if given is not None:
+        return os.path.abspath(os.path.expanduser(given))
+    if told := os.environ.get(variable):
+        return os.path.abspath(os.path.expanduser(told))
+    return project if os.path.isfile(os.path.join(project, marker)) else workspace
+
+
 def vignette(text: Column, headings: list[str]) -> Column:
     """Array of (section, pos, line) of a headed note: bullets of each section as they stand; lines before the first heading go."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
