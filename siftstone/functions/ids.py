@@ -33,3 +33,8 @@ def fingerprint(key: Column, payload: Column) -> Column:
 def canonical_json(**fields: Column) -> Column:
     """JSON of the fields in order of their names, nulls kept."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]), {"ignoreNullFields": "false"})
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC with its zone: for records alone, never in anything that is hashed."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

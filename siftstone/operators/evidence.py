@@ -76,6 +76,25 @@ def merge_spans(spans: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
     return islands.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
+def quoted_spans(quotes: DataFrame, sources: DataFrame, key: str, gap: int = 0) -> DataFrame:
+    """key, start, end, text, chunk_id: where the reviewed quotes (key, quote) stand first in their sources (key, text), overlapping ones as one.
+
+    Quotes that do not stand there give nothing: missing_quotes() tells them.
+    """
+    at = F.instr(F.col("text"), F.col("quote"))
+    met = quotes.join(sources.select(key, "text"), key).filter(F.col("quote") != "").withColumn("start", at - 1).filter("start >= 0")
+    spans = merge_spans(met.select(key, "start", (F.col("start") + F.length("quote")).alias("end")), [key], gap)
+    told = spans.join(sources.select(key, "text"), key)
+    name = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2("text", 256), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return told.select(key, "start", "end", span_text(F.col("text"), F.col("start"), F.col("end")).alias("text"), name.alias("chunk_id"))
+
+
+def missing_quotes(quotes: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """key, quote of quotes that do not stand in their source, or have none."""
+    met = quotes.join(sources.select(key, F.col("text").alias("__t")), key, "left")
+    return met.filter(F.col("__t").isNull() | (F.instr(F.col("__t"), F.col("quote")) < 1)).select(key, "quote")
+
+
 def claim_refs(claims: DataFrame, key: str, path: str, refs: str) -> DataFrame:
     return claims.select(key, path, F.explode(refs).alias("ref"))
 

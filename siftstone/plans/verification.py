@@ -391,3 +391,36 @@ def envelopes(spark, sf):
     envelope = F.to_json(F.struct(F.when(k == 1, "incomplete").otherwise("completed").alias("status"), F.when(k == 4, "timeout").alias("error"), F.array(thought, item).alias("output")))
     text, failure = au.envelope_text(envelope)
     return c.select("conv_id", F.md5(text).alias("text"), failure.alias("failure"))
+
+
+_QUOTES = """qt AS (SELECT doc_id, unnest([substr(text, 11, 15), substr(text, 21, 15), CASE WHEN doc_id % 3 = 0 THEN substr(text, 61, 20) ELSE 'not to be found there' END]) AS quote FROM documents WHERE length(text) >= 80)"""
+
+
+def _quotes(spark, sf):
+    x = F.col("text")
+    third = F.when(_mod("doc_id", 3, 0), x.substr(61, 20)).otherwise("not to be found there")
+    return t(spark, sf, "documents").filter(F.length("text") >= 80).select("doc_id", F.explode(F.array(x.substr(11, 15), x.substr(21, 15), third)).alias("quote"))
+
+
+@query("x18_quoted_spans", f"""WITH {_QUOTES}, p AS (SELECT doc_id, strpos(text, quote) - 1 AS start, strpos(text, quote) - 1 + length(quote) AS "end" FROM qt JOIN documents USING (doc_id) WHERE strpos(text, quote) > 0),
+g AS (SELECT *, CASE WHEN max("end") OVER w IS NULL OR start > max("end") OVER w THEN 1 ELSE 0 END AS fresh FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM g), s AS (SELECT doc_id, min(start)::INT AS start, max("end")::INT AS "end" FROM i GROUP BY doc_id, island)
+SELECT doc_id, start, "end", substr(text, start + 1, "end" - start) AS text, doc_id || ':' || sha256(documents.text) || ':' || start || '-' || "end" AS chunk_id FROM s JOIN documents USING (doc_id)""")
+def quoted(spark, sf):
+    return ev.quoted_spans(_quotes(spark, sf), t(spark, sf, "documents"), "doc_id")
+
+
+@query("x32_missing_quotes", f"WITH {_QUOTES} SELECT doc_id, quote FROM qt JOIN documents USING (doc_id) WHERE strpos(text, quote) = 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, quote FROM qt WHERE doc_id % 5 = 0")
+def missing(spark, sf):
+    """Quotes that no source answers for: those not in their text, and all of texts that are gone."""
+    return ev.missing_quotes(_quotes(spark, sf), t(spark, sf, "documents").filter("doc_id % 5 <> 0"), "doc_id")
+
+
+@query("x5_signature_guard", "SELECT vec_id % 4 AS part, vec_id % 4 <> 3 AS searchable, count(*) AS n FROM embeddings GROUP BY ALL")
+def signature_guard(spark, sf):
+    """Parts of a collection that a model may search: those stored under its signature."""
+    from siftstone.operators.models import HashingEmbedder
+
+    model = HashingEmbedder(64)
+    v = t(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("part"), F.when(F.col("vec_id") % 4 == 3, "other-v2:64").otherwise(model.signature).alias("signature"))
+    return v.groupBy("part").agg(F.min(F.col("signature") == model.signature).alias("searchable"), F.count("*").alias("n"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import audit, documents, ranking, services
+from siftstone.functions import ids
+from siftstone.operators import audit, constraints, documents, evidence, ranking, services
 from siftstone.operators.models import HashingEmbedder
 from siftstone.session import workspace
 from siftstone.sources import html, readers
@@ -161,3 +162,24 @@ def test_attached_parts_are_checked(spark):
     assert d.select(services.attached(doc, "plan", F.col("p"), F.length("p") > 0).alias("d")).first().d.asDict() == {"a": 1, "plan": "x"}
     with pytest.raises(Exception, match="invalid plan"):
         d.select(services.attached(doc, "plan", F.col("p"), F.length("p") > 3).alias("d")).collect()
+
+
+def test_quotes_and_time(spark):
+    import datetime
+
+    src = spark.createDataFrame([(1, "abc def ghi abc")], "k int, text string")
+    q = spark.createDataFrame([(1, "abc d"), (1, "def g"), (1, "zzz"), (1, ""), (2, "abc")], "k int, quote string")
+    assert [(r.start, r.end, r.text) for r in evidence.quoted_spans(q, src, "k").collect()] == [(0, 9, "abc def g")]
+    assert {(r.k, r.quote) for r in evidence.missing_quotes(q, src, "k").collect()} == {(1, "zzz"), (2, "abc")}
+    told = datetime.datetime.fromisoformat(spark.range(1).select(ids.now_iso().alias("t")).first().t)
+    assert abs((datetime.datetime.now(datetime.timezone.utc) - told).total_seconds()) < 120
+
+
+def test_first_mismatch_stops(spark):
+    claims = spark.createDataFrame([(1, "Patient denies cough", ["f1"]), (2, "Cough is present", ["f1"])], "k int, text string, refs array<string>")
+    facts = spark.createDataFrame([("f1", "cough", "recorded")], "ref string, concept string, polarity string")
+    found = evidence.consistency(claims, facts, "k").filter("status = 'mismatch'")
+    assert [r.k for r in found.collect()] == [1]
+    with pytest.raises(constraints.Violation, match="consistency"):
+        constraints.assert_valid(found, "consistency")
+    constraints.assert_valid(found.filter("k = 2"), "consistency")
