@@ -19,6 +19,8 @@ from siftstone.llm import quality_rules as _quality_rules
 from siftstone.llm.common import stored, table
 from siftstone.llm.queries import vocabulary
 
+#: Texts with a word in the sense of the operators.
+HAS_WORD = r"[^\x20\x09-\x0D]"
 #: A language is believed from this posterior on.
 MIN_SCORE = 0.5
 
@@ -43,16 +45,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; a document that has no word left goes."""
-    left = _line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    apart = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    left = _line_dedup.dedup_lines(apart).filter(F.col("text").rlike(HAS_WORD))
+    size = F.length("text").cast("long")
+    return left.select(*[c if c in ("doc_id", "text") else size.alias(c) if c == "n_chars" else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    told = _near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = told.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    return left.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    It is that of the least id, and of the least hash among rows of that id; a null id is never less than another. Rows are told
+    apart by 96 bits of hash over id and text, so another text with the id of a copy stays. Texts cross one shuffle, copies within a task
+    fall together before it. A document without a word is nobody's copy and stays.
+    """
+    key = [F.xxhash64("doc_id", "text").alias("__h"), F.hash("doc_id", "text").cast("long").alias("__i")]
+    told = _near_dedup.near_duplicates(docs.select("doc_id", "text", *key), width=5, percent=80, carry=["__h", "__i"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__i")).alias("least")
+    kept = told.filter("component is not null").groupBy("component").agg(least).select("least.__h", "least.__i")
+    has_word = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    rows = _whole(docs).withColumn("__has", has_word).select("*", *[F.expr(e) for e in ("xxhash64(__row.doc_id, text) as __h", "cast(hash(__row.doc_id, text) as bigint) as __i")])
+    one = rows.filter("__has").dropDuplicates(["__h", "__i"]).join(kept.hint("merge"), ["__h", "__i"], "left_semi")
+    return one.select("__row.*").union(rows.filter("not __has").select("__row.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
