@@ -54,13 +54,15 @@ def plain_label(spark, sf):
     return t(spark, sf, "part").select("p_partkey", tx.plain_label(F.col("p_name")).alias("label"))
 
 
-@query("f9_compact_question", """SELECT item_id, CASE WHEN regexp_matches(q, '^Have you recently had\\s+', 'i') THEN regexp_replace(q, '^Have you recently had\\s+', 'recently had ', 'i')
- WHEN regexp_matches(q, '^Do you\\s+', 'i') THEN regexp_replace(q, '^Do you\\s+', '', 'i') ELSE q END AS short
- FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Do you ' WHEN 1 THEN 'Have you recently had ' ELSE '' END || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 30) AS q FROM benchmark) WHERE NOT regexp_matches(q, '[?:\\s]$')""")
+_LEADS = ("Do you have ", "do you feel ", "Have you ever had ", "HAVE YOU RECENTLY HAD ", "Have you ", "Are you ", "Is your  ", "Do you ", "Characterize your ", "Are we ", "")
+_COMPACT = "CASE " + " ".join(f"WHEN regexp_matches(b, '{p}', 'i') THEN coalesce(nullif(regexp_replace(b, '{p}', '{put}', 'i'), ''), b)" for p, put in tx.OPENINGS) + " ELSE b END"
+
+
+@query("f9_compact_question", f"""WITH q AS (SELECT item_id, trim([{', '.join(f"'{x}'" for x in _LEADS)}][(item_id % {len(_LEADS)} + 1)::INT] || {_CLEAN} || ['', '?', '?:'][(item_id % 3 + 1)::INT]) AS q FROM benchmark), x AS (SELECT item_id, trim(regexp_replace(q, '[?:]+$', '')) AS b FROM q) SELECT item_id, {_COMPACT} AS short FROM x""")
 def compact(spark, sf):
-    lead = F.when(F.col("item_id") % 3 == 0, "Do you ").when(F.col("item_id") % 3 == 1, "Have you recently had ").otherwise("")
-    q = F.concat(lead, F.substring(tx.clean(F.col("text")), 1, 30))
-    return t(spark, sf, "benchmark").select("item_id", q.alias("q")).filter(~F.col("q").rlike(r"[?:\s]$")).select("item_id", tx.compact_question(F.col("q")).alias("short"))
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("item_id") % len(of) + 1).cast("int"))
+    q = F.concat(pick(_LEADS), tx.clean(F.col("text")), pick(("", "?", "?:")))
+    return t(spark, sf, "benchmark").select("item_id", tx.compact_question(q).alias("short"))
 
 
 @query("f10_p13_concepts", f"""SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'fever wheezing' WHEN len(c) > 0 THEN array_to_string(c[1:6], ' ') ELSE '' END AS concepts FROM (
