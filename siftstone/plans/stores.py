@@ -132,7 +132,7 @@ def articles(spark, sf):
     return t(spark, sf, "pages").select("page_id", ht.article(F.col("html")).alias("a")).select("page_id", "a.title", F.md5("a.body").alias("digest"), F.length("a.body").alias("n"))
 
 
-@query("f17_sentence_windows", """WITH RECURSIVE s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM conversations),
+@query("f17_sentence_windows", r"""WITH RECURSIVE s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM conversations),
 n AS (SELECT conv_id, turn, list_transform(l, lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))) AS c FROM s),
 w AS (SELECT conv_id, turn, c, 0 AS i, 0::BIGINT AS used, 0 AS windows FROM n UNION ALL SELECT conv_id, turn, c, i + 1, CASE WHEN windows > 0 AND used + c[i + 1] <= 400 THEN used + c[i + 1] ELSE c[i + 1] END, CASE WHEN windows > 0 AND used + c[i + 1] <= 400 THEN windows ELSE windows + 1 END FROM w WHERE i < len(c))
 SELECT conv_id, turn, windows, used::INT AS last_words FROM w WHERE i = len(c) AND len(c) > 0""")
