@@ -10,9 +10,10 @@ with moves. A fingerprint is the slots in hex, four digits each.
 An element is one long: the hash in the high bits, the position in the low ones. One sort of plain longs
 brings equal k-mers together in text order, another makes the ring, in which the marks are sorted in as further longs.
 
-Neighbours by id come without a global order: ranges of ids, whose bounds are ids of the table (approximate
-percentiles, 8192 at most), are each sorted for themselves; the highest row of a range also goes to the range above
-it, as the neighbour of that one's lowest row. Texts are shuffled once.
+Neighbours by id come without a global order: ranges of (id, hash of the text), whose bounds are rows of the table
+(every OFTEN-th of a sample by hash, RANGES at most), are each sorted for themselves; the first row of a range also goes
+to the range before it, as the neighbour of that one's last row. Many rows of one id, or without one, are parted by their
+texts; rows that are equal in both stay together. Texts are shuffled once.
 
 Defined results: a null text is empty; an empty fingerprint belongs to texts without a token, which are alike among themselves (1.0) and to
 nothing else (0.0); rows of one id follow each other by their text's hash; null ids come last; a table of one row is
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, L, SLOTS = 2, 2, 64
-RANGE_ROWS, RANGES = 1000, 8192
+RANGE_ROWS, RANGES, OFTEN = 1000, 1 << 16, 8
 _POS_BITS = 26
 _LOW = (1 << _POS_BITS) - 1
 _MARK = 64 - (SLOTS - 1).bit_length()
@@ -99,19 +100,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(same)
 
 
-def with_neighbours(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """docs in ranges (columns __range, __ghost), the window in which the row below is the next one, and ghosts at the ends."""
+def _key() -> list[Column]:
+    """The order of the rows: descending doc_id with nulls last, then the text's hash, as three columns that rise."""
+    return [F.col("doc_id").isNull().cast("bigint").alias("k0"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("k1"), F.col("__tie").alias("k2")]
+
+
+def bounds_of(docs: DataFrame) -> list[tuple[int, int, int]]:
+    """Keys of rows that part the order into ranges of about RANGE_ROWS rows, RANGES at most; the first is the least key of all.
+
+    They are every OFTEN-th key of a sample by a hash of the key, so rows of one id, or without one, are parted by their texts.
+    """
     rows = docs.count()
     ranges = max(1, min(RANGES, rows // RANGE_ROWS))
-    shares = [k / ranges for k in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", shares or [1.0], 10 * RANGES).alias("q"), F.max("doc_id").alias("top")).collect()[0]
-    bounds = sorted({*(found["q"] or []), *([found["top"]] if found["top"] is not None else [])})
-    own = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    d = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), 0).otherwise(own))
-    above = F.when(F.col("doc_id").isin(bounds) if bounds else F.lit(True), (F.col("__range") + 1) % max(1, len(bounds)))
-    places = F.array_compact(F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("g")), F.when(above.isNotNull(), F.struct(above.alias("r"), F.lit(True).alias("g")))))
-    d = d.withColumn("__place", F.explode(places)).select(*docs.columns, F.col("__place.r").alias("__range"), F.col("__place.g").alias("__ghost"))
-    return d, Window.partitionBy("__range").orderBy("__ghost", F.desc_nulls_last("doc_id"), "__tie")
+    share = int((1 << 30) * min(1.0, ranges * OFTEN / max(1, rows))) if ranges > 1 else 0
+    key, place = F.struct(*_key()), F.pmod(F.xxhash64(*_key()), F.lit(1 << 30))
+    found = docs.agg(F.min(key).alias("least"), F.collect_set(F.when(place < share, key)).alias("some")).collect()[0]  # about RANGES * OFTEN at most
+    return sorted({tuple(x) for x in (found["least"], *sorted(found["some"])[OFTEN - 1 :: OFTEN]) if x is not None})
+
+
+def _literal(values: list[int]) -> Column:
+    """An array as one constant of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def with_neighbours(docs: DataFrame) -> tuple[DataFrame, Window]:
+    """docs in ranges (columns __range, __ghost), the window in which the row below is the next one, and ghosts at the ends.
+
+    A range runs from one bound up to the next. The row at a bound is the first of its range and also goes to the range before, as
+    the neighbour of that one's last row; the first of all goes to the last range. A row finds its range by halving.
+    """
+    bounds = bounds_of(docs)
+    d = docs.select("*", *_key())
+    arrays = [_literal([b[i] for b in bounds]) for i in range(3)]
+
+    def at(i: Column) -> list[tuple[Column, Column]]:
+        return [(F.get(a, i), F.col(f"k{j}")) for j, a in enumerate(arrays)]
+
+    def not_above(i: Column) -> Column:
+        (x0, y0), (x1, y1), (x2, y2) = at(i)
+        return (x0 < y0) | ((x0 == y0) & ((x1 < y1) | ((x1 == y1) & (x2 <= y2))))
+
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)]) if bounds else F.array().cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(bounds)) & F.coalesce(not_above(lo + step - 1), F.lit(False)), lo + step).otherwise(lo))
+    d = d.withColumn("__range", found - 1)
+    first = F.coalesce(F.reduce(F.array(*[x == y for x, y in at(F.col("__range"))]), F.lit(True), lambda a, b: a & b), F.lit(False)) if bounds else F.lit(False)
+    before = F.when(first, F.pmod(F.col("__range") - 1, F.lit(max(1, len(bounds)))))
+    places = F.array_compact(F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("g")), F.when(before.isNotNull(), F.struct(before.alias("r"), F.lit(True).alias("g")))))
+    d = d.withColumn("__place", F.explode(places)).select(*docs.columns, "k0", "k1", "k2", F.col("__place.r").alias("__range"), F.col("__place.g").alias("__ghost"))
+    return d, Window.partitionBy("__range").orderBy("__ghost", "k0", "k1", "k2")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
