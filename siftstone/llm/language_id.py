@@ -2,7 +2,7 @@
 
 Training counts n-grams of a bounded sample of labelled rows (PER_LANGUAGE documents of each language at most, chosen
 by a hash of the id); tasks add up their own counts before the shuffle. The log-probability matrix has BUCKETS rows
-and a column for each language (LANGUAGES at most: 64 MB), and is broadcast. Scoring turns a batch of texts into one
+and a column for each language, and is broadcast; more than LANGUAGES languages (256 MB) are an error, never cut. Scoring turns a batch of texts into one
 array of hashed n-grams in numpy, gathers the matrix rows and adds them up by document; long texts are
 walked through in pieces, so memory is bounded and whole texts count.
 
@@ -23,11 +23,16 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_schema, batch, portions
 
-BUCKETS, PER_LANGUAGE, LANGUAGES, SIZES, PIECE = 1 << 16, 4000, 256, (1, 2, 3), 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+BUCKETS, PER_LANGUAGE, LANGUAGES, SIZES, PIECE = 1 << 16, 4000, 1024, (1, 2, 3), 1 << 19
+_NEAR_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits, such as ½
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str) -> bool:
+    first = _NEAR_LETTER.search(text)
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -84,7 +89,9 @@ def outside(size: int, n: int, starts: np.ndarray, spare: np.ndarray, total: int
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows with text and language; null languages and texts are left out."""
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values: the matrix of so many would not fit into a broadcast, and none is left out")
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     languages = sorted(sizes)
@@ -121,7 +128,7 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
     if not k:
         return ["und"] * n, [0.0] * n
     total = np.tile(model.prior, (n, 1)).astype(float)
-    live = [t if t is not None and _LETTER.search(t) else None for t in texts]
+    live = [t if t is not None and has_letter(t) else None for t in texts]
     at = [i for i, t in enumerate(live) if t is not None]
     for codes, starts, docs, spare in pieces([live[i] for i in at]):
         for size, g in zip(SIZES, grams(codes), strict=False):
