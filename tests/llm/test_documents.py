@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from siftstone.llm import fingerprints, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sentencepieces, token_counts
@@ -106,17 +108,35 @@ def test_near_duplicates_link_versions_by_an_original_of_any_id(spark):
 
 
 def test_every_pair_of_a_bucket_is_tried_once_it_is_needed(spark):
-    rows = [("k", (i, bytes([i])), 100, (i, bytes([i]))) for i in range(40)]
-    now = spark.createDataFrame(rows, "key string, v struct<rep: bigint, node: binary>, n int, label struct<rep: bigint, node: binary>")
-    told = near_dedup.sketches(spark.createDataFrame([(bytes([i]), bytes(8)) for i in range(40)], "node binary, shingles binary"))
-    seen, tried, centres = set(), 2, 8
-    while True:
-        live = near_dedup.untried(now, tried, centres)
-        if live.isEmpty():
-            break
-        seen |= {(r.a.rep, r.b.rep) for r in near_dedup.across(live.join(told, F.col("v.node") == F.col("node")).drop("node"), 80).collect()}
-        now, tried, centres = live.drop("centre"), centres, centres * near_dedup.GROWTH
-    assert seen == {(a, b) for b in range(40) for a in range(b)} and tried >= 40
+    rows = [("k", (i, bytes([i])), 100, 40, (i, bytes([i])), [0] * 16) for i in range(40)]
+    live = spark.createDataFrame(rows, "key string, v struct<rep: bigint, node: binary>, n long, members long, label struct<rep: bigint, node: binary>, bits array<long>")
+    seen, tried, centres = set(), 0, 8
+    while not (live := near_dedup.untried(live, tried)).isEmpty():
+        seen |= {(r.a.rep, r.b.rep) for r in near_dedup.across(live, centres, 80).collect()}
+        tried, centres = centres, centres * near_dedup.GROWTH
+    assert seen == {(a, b) for b in range(40) for a in range(b)} and tried >= 32
+
+
+@pytest.mark.parametrize("changed, seed", [(4, 3), (4, 8), (5, 1)])
+def test_sparse_groups_lose_no_link(spark, changed, seed):
+    """Copies of one text with some words changed in each, of which few pairs are linked though most share buckets."""
+    rng = random.Random(seed)
+    base = words(rng, 200, 9000).split()
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(changed):
+            t[rng.randrange(200)] = "z%d" % rng.randrange(10**6)
+        texts.append((i, " ".join(t)))
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in texts]
+    label = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if v == old else v for v in label]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+    assert 50 < len(set(label)) and {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
 def test_sketches_never_differ_more_than_sets():
@@ -167,6 +187,75 @@ def test_fingerprints(spark, docs, none, rows):
         assert told[i].edited_sha256 == hashlib.sha256((t[: len(t) - e] + nxt[:e]).encode()).hexdigest()
 
 
+def chained(*values):
+    """Spark's xxhash64 over strings and longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_signature(text):
+    """Order MinHash by its definition: for each mark the two elements that come first after it on the ring, hashed in text order."""
+    tokens = regex.findall(fingerprints._TOKEN, text)
+    if not tokens:
+        return []
+    low, seen, elements = (1 << 26) - 1, collections.Counter(), []
+    for i in range(max(1, len(tokens) - 1)):
+        k = chained(*tokens[i : i + 2]) >> 26
+        seen[k] += 1
+        later = seen[k] - 2  # the first occurrence is the k-mer itself, later ones have their number in the hash
+        elements.append((k if later < 0 else chained_int(k, later) >> 26, i + 1))
+    ring = sorted((h << 26 | p) for h, p in elements)
+    out = []
+    for i in range(64):
+        mark = (i - 32) << 58
+        at = sum(e < mark for e in ring)
+        two = [ring[(at + j) % len(ring)] for j in range(2)]
+        two.sort(key=lambda e: e & low)
+        out.append(chained(two[0] >> 26, two[1] >> 26) & 0xFFFF)
+    return out
+
+
+def chained_int(value, number):
+    h = xxhash.xxh64_intdigest(number.to_bytes(4, "little", signed=True), seed=xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("range_rows", [1, 4, 1000])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, range_rows):
+    """All columns, over many ranges, with repeated and null ids and repeated rows."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", range_rows)
+    rng = random.Random(range_rows)
+    rows = [(i, words(rng, rng.randrange(0, 60), 30)) for i in range(-20, 40)] + [(7, words(rng, 30)) for _ in range(12)] + [(None, words(rng, 12)) for _ in range(12)]
+    rows += [(3, "same same text"), (3, "same same text"), (None, None), (None, None), (None, "日本語 ab " * 9), (50, "one"), (51, "ab " * 40)]
+    keyed = [(i, t or "") for i, t in rows]
+    keyed.sort(key=lambda x: (x[0] is None, -(x[0] or 0), chained(x[1])))
+
+    def alike(a, b):
+        return sum(x == y for x, y in zip(a, b)) / 64 if a and b else float(a == b)
+
+    def told(s):
+        return "".join(f"{x:04x}" for x in s)
+
+    want = []
+    for k, (i, t) in enumerate(keyed):
+        nxt = keyed[(k + 1) % len(keyed)][1]
+        e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        a, b, c = brute_signature(t), brute_signature(e), brute_signature(nxt)
+        want.append((repr(i), len(t), hashlib.sha256(e.encode()).hexdigest(), told(a), told(b), alike(a, b), alike(a, c)))
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == sorted(want)
+    if range_rows == 4:
+        ranges = fingerprints.bounds_of(spark.createDataFrame(keyed, "doc_id long, text string").withColumn("__tie", F.xxhash64("text")))
+        assert len(ranges) > 8 and len({k for k in ranges if k[0] == 1}) > 0
+
+
+def test_a_row_alone_is_its_own_neighbour(spark):
+    r = fingerprints.fingerprints(spark.createDataFrame([(None, "abc def ghi")], "doc_id long, text string")).collect()[0]
+    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abc def abc").hexdigest()
+
+
 def test_fingerprints_feel_order(spark):
     rng = random.Random(5)
     w = [f"t{i}" for i in range(400)]
@@ -414,6 +503,58 @@ def brute_lines(rows, least):
     return collections.defaultdict(lambda: None, out)
 
 
+def test_window_minima_are_few_and_guaranteed():
+    """A run of 20 words that stands in two texts has a minimum selected at the same line of both; most lines are not selected."""
+    rng = random.Random(4)
+    selected = lines = 0
+    for _ in range(300):
+        run = [words(rng, rng.randrange(1, 9), 9000) for _ in range(12)]
+        while sum(len(x.split()) for x in run) - len(run[-1].split()) >= 20:
+            run.pop()
+        if sum(len(x.split()) for x in run) < 20:
+            continue
+        places = []
+        for _ in range(2):
+            head, tail = ([words(rng, rng.randrange(1, 9), 9000) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+            found = {unit for _, unit, *_ in line_dedup.winnow("\n".join(head + run + tail), 20)}
+            selected, lines = selected + len(found), lines + len(head + run + tail)
+            places.append({u - len(head) for u in found if 0 <= u - len(head) < len(run)})
+        assert places[0] & places[1]
+    assert 0 < selected < 0.6 * lines
+
+
+def test_only_live_minima_have_windows(spark):
+    """Without the bits of the repeated minima no window goes out, and with them only those around these minima do."""
+    rng = random.Random(9)
+    shared = [words(rng, 12, 9000) for _ in range(4)]
+    texts = [(i, i, "\n".join([words(rng, 9, 9000) for _ in range(20)] + shared * (i < 2))) for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text_hash long, text string")
+    every = [(i, w[0], w[2]) for i, _, t in texts for w in line_dedup.winnow(t, 30)]
+    twice = {m for m, n in collections.Counter({(i, m) for i, m, _ in every}).items() if sum((j, m[1]) in {(k, x) for k, x, _ in every} for j in range(6)) > 1}
+    bits = np.zeros(1 << 23, dtype=np.uint8)
+    assert line_dedup.positions(docs, bits, 30).count() == 0
+    for _, m in twice:
+        bits[(m & (1 << 26) - 1) >> 3] |= 1 << (m & 7)
+    got = [(r.doc_id, r.fingerprint, r.window) for r in line_dedup.positions(docs, bits, 30).collect()]
+    assert sorted(got) == sorted(x for x in every if (x[0], x[1]) in twice) and 0 < len(got) < len(every) / 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_in_changing_company(spark, seed):
+    """Lines that many texts share in other surroundings, runs that overlap, repeat in one text and touch its ends."""
+    rng = random.Random(seed)
+    stock = [words(rng, rng.randrange(1, 12), 9000) for _ in range(14)]
+    rows = []
+    for i in range(40):
+        lines = []
+        while len(lines) < 12:
+            k = rng.randrange(len(stock))
+            lines += stock[k : k + rng.randrange(1, 6)] if rng.random() < 0.7 else [words(rng, 5, 9000), ""]
+        rows.append((i, "\n".join(lines)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert {r.doc_id: r.text for r in got} == dict(brute_lines(rows, 20)) and sum(len(r.text) for r in got) < sum(len(t) for _, t in rows)
+
+
 def test_sentencepieces(docs, none, rows):
     path = vocabulary("piece_bpe_32k.model")
     got = sentencepieces.encode(docs, path, seed=3).collect()
@@ -453,3 +594,101 @@ def test_sampling_follows_the_lattice():
         assert m.sample([long], [5], 7)[0].tolist() == a
     finally:
         sentencepieces.SHORT = short
+
+
+def test_a_long_word_in_every_row_is_a_frequent_word(spark, monkeypatch):
+    rng = random.Random(2)
+    rule = "=" * 3000
+    rows = [(i, words(rng, 20, 300) + f"\n{rule}\n" + words(rng, 20, 300)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.xxhash64("doc_id")).withColumn("uid2", F.hash("doc_id")).withColumn("training", F.lit(True))
+    found = lm_scoring.frequent_words(d)
+    assert lm_scoring.named([rule.encode()])[0] in found and max(map(len, found)) <= lm_scoring.LONG
+    got = {r.doc_id: r for r in lm_scoring.score(d.select("doc_id", "text"), F.col("doc_id") % 2 == 0).collect()}
+    count = collections.Counter(w for i, t in rows if i % 2 == 0 for w in [*t.split(), "end"])
+    n, v = count.total(), len(count)
+    for i, t in rows:
+        want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), "end"])
+        assert got[i].base_score == pytest.approx(want, rel=1e-9) and got[i].n_known == sum(count[w] > 0 for w in [*t.split(), "end"]) and got[i].train_tokens == n
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    model = language_id.train(spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(5)] + [(9, "der hund und die katze", "de")], "doc_id long, text string, lang string"))
+    texts = ["½ ² ①", "Ⅷ ⅷ", "12 _ 34", "", None, "½ the", "ª", "日本"]
+    pred, score = language_id.score_texts(model, texts)
+    assert pred[:5] == ["und"] * 5 and score[:5] == [0.0] * 5 and all(p != "und" for p in pred[5:])
+
+
+def test_languages_are_never_cut(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}", f"l{i:02}") for i in range(30)], "doc_id long, text string, lang string")
+    assert len(language_id.train(docs).languages) == 30
+    monkeypatch.setattr(language_id, "LANGUAGES", 29)
+    with pytest.raises(ValueError, match="none is left out"):
+        language_id.train(docs)
+
+
+def test_language_scores_are_those_of_naive_bayes(spark):
+    """Posteriors against a dictionary of counts: add a half to every bucket, equal priors."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["der", "und", "nicht", "schön"] if i % 2 else ["the", "and", "not", "nice"]) for _ in range(12)), "de" if i % 2 else "en") for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def buckets(text):
+        codes = np.array([ord(c) for c in f" {text.lower()} "])
+        return [int(g) for x in language_id.grams(codes) for g in x]
+
+    counts = {k: collections.Counter(b for _, t, lang in rows if lang == k for b in buckets(t)) for k in ("de", "en")}
+    size = {k: c.total() + 0.5 * language_id.BUCKETS for k, c in counts.items()}
+    texts = ["der nice hund", "and", "nicht the", "zzz", "schön und nice and"]
+    pred, score = language_id.score_texts(model, texts)
+    for t, p, s in zip(texts, pred, score):
+        total = {k: sum(math.log((counts[k][b] + 0.5) / size[k]) for b in buckets(t)) for k in counts}
+        best = max(sorted(total), key=total.get)
+        want = 1 / sum(math.exp(v - total[best]) for v in total.values())
+        assert s == pytest.approx(want, abs=1e-4) and (p == best or want < 0.5001)
+
+
+def test_held_out_languages(spark, sf):
+    """The registered query on the smallest table: its columns, held-out rows by the remainder, and accuracy on them."""
+    from siftstone.llm import queries
+
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op4_language_id(spark, sf).collect()
+    assert got[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"} and len(got) == len(truth)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    held = [(r.lang_pred, truth[r.doc_id].lang) for r in got if r.held_out and truth[r.doc_id].lang and len(truth[r.doc_id].text or "") >= 100 and r.lang_pred != "und"]
+    assert len(held) > 10 and sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+@pytest.mark.parametrize("limits", [(2048, 512, 2048), (512, 6, 150), (256, 3, 40)])
+def test_packing_of_conversations(spark, sf, limits):
+    """Instruction data: prompts bear no loss, answers and their end do; three limits hold in every sequence."""
+    library = __import__("tokenizers").Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    turns = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.text or ""))
+    rows, n = [], 0
+    for conv in turns.values():
+        said = [x for _, x in sorted(conv)]
+        for k in range(0, len(said) - 1, 2):
+            rows.append((n, said[k], said[k + 1]))
+            n += 1
+    rows += [(n, None, "no prompt"), (n + 1, "", ""), (n + 2, "a prompt alone", None), (n + 3, "long prompt " * 900, "long answer " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, ask string, text string")
+    got = packing.pack(docs, packing.word_bpe(vocabulary("word_bpe_49k.json")), limits=limits, with_ids=True, prompt="ask").collect()
+    sequences, by = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+        by[r.doc_id].append(r)
+    for pieces in sequences.values():
+        assert sum(r.length for r in pieces) <= limits[0] and len(pieces) <= limits[1] and sum(r.loss_tokens for r in pieces) <= limits[2]
+    for i, ask, text in rows:
+        lead = library.encode(ask or "", add_special_tokens=False).ids
+        body = library.encode(text or "", add_special_tokens=False).ids + [1]
+        pieces, at = sorted(by[i], key=lambda r: r.start), 0
+        for r in pieces:
+            assert r.start == at and r.ids == (lead + body)[at : at + r.length] and r.loss_tokens == max(0, r.start + r.length - max(r.start, len(lead)))
+            at += r.length
+        assert at == len(lead) + len(body) and sum(r.loss_tokens for r in pieces) == len(body)
+    if limits[2] < limits[0]:
+        full = [sum(r.loss_tokens for r in pieces) for pieces in sequences.values()]
+        assert limits[2] in full and len(sequences) > len(rows) / limits[1]  # the third limit does bind
