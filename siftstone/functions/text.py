@@ -79,7 +79,7 @@ def letters(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """letters() without stop words and words under three letters; a plural s is taken off longer words."""
-    kept = F.filter(letters(text), lambda x: (F.length(x) > 2) & ~x.isin(STOP))
+    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1)), lambda x: ~x.isin(STOP))
     plural = lambda x: (F.length(x) > 4) & x.endswith("s") & ~x.rlike("(ss|is|us)$")
     return F.transform(kept, lambda x: F.when(plural(x), x.substr(F.lit(1), F.length(x) - 1)).otherwise(x))
 
@@ -176,7 +176,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def windows(text: Column, size: int = 180, stride: int = 150) -> Column:
-    """Word windows, array of (index, text); the last one reaches the end."""
-    words = F.filter(F.split(clean(text), " "), lambda x: x != "")
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / stride)).cast("int")
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("index"), F.array_join(F.slice(words, i * stride + 1, size), " ").alias("text"))))
+    """Word windows, array of (index, text); the last one reaches the end. Null where there is no word."""
+
+    def cut(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / stride)).cast("int")
+        return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("index"), F.array_join(F.slice(words, i * stride + 1, size), " ").alias("text"))))
+
+    # the words are bound to a name, so they are made once for a text and not for each window
+    return F.get(F.transform(F.array(F.array_remove(F.split(clean(text), " "), "")), cut), 0)

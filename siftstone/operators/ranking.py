@@ -28,15 +28,15 @@ def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top(df, by, order, 1, "__first").drop("__first")
 
 
-def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: bool = False) -> DataFrame:
-    """key, length, distinct, term, tf: term frequencies, and the document's numbers of tokens and of distinct ones.
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: bool = False, sizes: bool = True) -> DataFrame:
+    """key, length, distinct, term, tf: term frequencies, and the document's numbers of tokens and (with sizes) of distinct ones.
 
     With terms (a column term) only their postings, and one row of the empty term for each document, which carries its numbers;
     few says that the terms can be broadcast: then tokens that no query has are dropped where they are read.
     A text is tokenised once. Whoever reads tf, in whatever part of a plan, reads the same shuffle.
     """
     tokens = docs.select(key, F.concat(tx.search_tokens(F.col(text)), F.array(F.lit(""))).alias("__t"))
-    counted = tokens.select(key, "__t", (F.size("__t") - 1).alias("length"), (F.size(F.array_distinct("__t")) - 1).alias("distinct"))
+    counted = tokens.select(key, "__t", (F.size("__t") - 1).alias("length"), ((F.size(F.array_distinct("__t")) - 1) if sizes else F.lit(0)).alias("distinct"))
     numbered = counted.select(key, "length", "distinct", F.explode_outer("__t").alias("term"))
     if terms is not None:
         wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
@@ -58,13 +58,15 @@ def _few(queries: DataFrame, query_text: str) -> bool:
     return (queries.agg(F.sum(F.octet_length(query_text).cast("long")).alias("n")).collect()[0]["n"] or 0) <= SMALL
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", depth: int | None = 50) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", depth: int | None = 50, sizes: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank. Terms of a query count once; documents without any of them are left out.
 
+    sizes: reads postings as overlaps() does, for plans that have both.
+
     Texts are tokenised in one scan; document frequencies, the number of documents and their mean length come from the same postings.
     """
     terms = query_terms(queries, query_key, query_text)
-    index = postings(docs, key, text, terms, _few(queries, query_text))
+    index = postings(docs, key, text, terms, _few(queries, query_text), sizes)
     sizes = index.agg(F.sum(F.when(F.col("tf") > 0, 1 - _real())).alias("n_docs"), F.sum(F.when(F.col("tf") > 0, F.col("length") * (1 - _real()))).alias("total"))
     spread = index.groupBy("term").agg(F.sum(_real()).alias("df"))
     weighted = index.join(spread, "term").crossJoin(F.broadcast(sizes))  # one row

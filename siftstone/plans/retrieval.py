@@ -28,8 +28,8 @@ def _queries(spark, sf):
     return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _bm25(spark, sf, depth=50):
-    return rk.bm25(t(spark, sf, "documents"), _queries(spark, sf), depth=depth)
+def _bm25(spark, sf, depth=50, sizes=False):
+    return rk.bm25(t(spark, sf, "documents"), _queries(spark, sf), depth=depth, sizes=sizes)
 
 
 @query("a2_term_statistics", f"""WITH d AS (SELECT doc_id, {_D} AS toks FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL)
@@ -37,7 +37,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, round(ln(1 + ((SELE
 def term_statistics(spark, sf):
     docs = t(spark, sf, "documents")
     n = docs.agg(F.count("*").alias("n"))
-    by = rk.postings(docs, "doc_id", "text").filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    by = rk.postings(docs, "doc_id", "text", sizes=False).filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
     return by.crossJoin(F.broadcast(n)).select("term", "df", "occurrences", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9).alias("idf"))
 
 
@@ -72,7 +72,7 @@ def _literal(spark, sf):
 
 
 def rankings(spark, sf):
-    return _bm25(spark, sf).select("query_id", F.lit("bm25").alias("channel"), "doc_id", "rank").unionByName(_literal(spark, sf).select("query_id", F.lit("literal").alias("channel"), "doc_id", "rank"))
+    return _bm25(spark, sf, sizes=True).select("query_id", F.lit("bm25").alias("channel"), "doc_id", "rank").unionByName(_literal(spark, sf).select("query_id", F.lit("literal").alias("channel"), "doc_id", "rank"))
 
 
 @query("a4_rrf", BM25_SQL + _LITERAL + " SELECT query_id, doc_id, rrf, channels, fusion_rank FROM fr WHERE fusion_rank <= 5")
@@ -225,9 +225,10 @@ def rank_delta(spark, sf):
 def _selection_pool(spark, sf):
     """Fused pools of 50 with scores of two roles that hang on the id, as the selection reads them."""
     pool = rk.rrf(rankings(spark, sf), ["query_id"], "doc_id").filter("fusion_rank <= 50")
-    docs = t(spark, sf, "documents").select("doc_id", "source", "lang", tx.word_set(F.col("text")).alias("tokens"))
+    docs = t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     d = F.col("doc_id")
-    return pool.join(docs, "doc_id").select(
+    met = pool.join(docs, "doc_id").withColumn("tokens", tx.word_set(F.col("text")))  # of pool rows alone
+    return met.select(
         F.col("query_id").cast("string").alias("query_id"), d.cast("string").alias("chunk_id"), d.cast("string").alias("parent_id"), F.col("source").alias("document_id"), F.coalesce("lang", F.lit("")).alias("section"), "rrf",
         (d % 11 - 3).cast("double").alias("symptoms_score"), F.when(d % 3 == 0, (d % 5 - 1).cast("double")).alias("history_score"),
         ((d % 11 - 3) + F.col("rrf")).alias("symptoms_ranking"), ((d % 5 - 1) + F.col("rrf")).alias("history_ranking"),
