@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, L, SLOTS = 2, 2, 64
-RANGE_ROWS, RANGES, OFTEN = 1000, 1 << 16, 8
+RANGE_ROWS, RANGES, OFTEN = 250, 1 << 16, 8
 _POS_BITS = 26
 _LOW = (1 << _POS_BITS) - 1
 _MARK = 64 - (SLOTS - 1).bit_length()
