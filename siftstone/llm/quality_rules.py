@@ -28,7 +28,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper_runs, n_stops, n_lines (long).
 
     Windows of three words are compared by 64-bit hashes. A window's position rides in the low bits of its
-    hash, so one sort of plain longs brings equal windows together; neighbours then compare whole hashes.
+    hash, so one sort of plain longs brings equal windows together; neighbours then compare whole hashes, two on either side, as
+    another window of the same high bits may stand between.
     """
     others = [c for c in docs.columns if c != text]
     d = docs.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
@@ -56,7 +57,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def twin(x: Column, y: Column) -> Column:
         return F.coalesce((F.shiftright(x, 26) == F.shiftright(y, 26)) & (F.get(h, at(x)) == F.get(h, at(y))), F.lit(False))
 
-    twice = F.filter(p, lambda x, i: twin(x, F.get(p, i - 1)) | twin(x, F.get(p, i + 1)))
+    twice = F.filter(p, lambda x, i: twin(x, F.get(p, i - 1)) | twin(x, F.get(p, i + 1)) | twin(x, F.get(p, i - 2)) | twin(x, F.get(p, i + 2)))
     d = d.withColumn("__r", F.sort_array(F.transform(twice, at)))
     r = F.col("__r")
     covered = F.aggregate(F.transform(r, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(r, i + 1) - x, F.lit(3)))), F.lit(0), lambda acc, x: acc + x)
