@@ -190,14 +190,10 @@ class Lattice:
     def _add(self, word: str) -> int:
         """The forward pass; the state of the word's end."""
         n, pieces = len(word), self.pieces
-        here: list[list] = [[] for _ in range(n + 1)]  # pieces by where they end
-        for s in range(n):
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                if (hit := pieces.get(word[s:e])) is not None:
-                    here[e].append((s, hit))
         alpha, states = [1.0] + [0.0] * n, [0] * (n + 1)
         for e in range(1, n + 1):
-            options = [(alpha[s] * w, piece, states[s]) for s, (piece, w) in reversed(here[e])]
+            found = [(s, hit) for s in range(e - 1, max(-1, e - self.longest - 1), -1) if (hit := pieces.get(word[s:e])) is not None]
+            options = [(alpha[s] * w, piece, states[s]) for s, (piece, w) in found]
             if word[e - 1] not in pieces:
                 raw, back = (_BLANK if word[e - 1] == _LITERAL else word[e - 1]).encode("utf-8", "replace"), states[e - 1]
                 for b in raw[:-1]:
