@@ -232,7 +232,8 @@ def pair_plan(spark, sf):
     return rk.top(pairs, ["query_id"], [F.asc("place"), F.desc("role")], None, "pair_no").select("query_id", "role", "doc_id", "pair_no")
 
 
-@query("l2_cross_scores")
+@query("l2_cross_scores", BM25_SQL + """, w AS (SELECT query_id, bm.doc_id, list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda x: x <> '')) AS p FROM bm JOIN documents d ON d.doc_id = bm.doc_id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10)
+SELECT query_id, doc_id, round(len(list_intersect(q, p))::DOUBLE / greatest(1, len(q)) - 0.5, 9) AS logit FROM w""")
 def cross_scores(spark, sf):
     from siftstone.operators.models import LexicalScorer, cross_score
 
