@@ -16,7 +16,7 @@ from siftstone.operators import workflow as wf
 from siftstone.operators.models import HashingEmbedder
 from siftstone.plans.base import query, t
 from siftstone.plans.retrieval import BM25_SQL, _bm25
-from siftstone.plans.texts import _CLEAN
+from siftstone.plans.texts import _CLEAN, _ENTITIES, _bare_sql
 from siftstone.plans.workflows import _ALLOWED, _PAIRS, _events
 from siftstone.session import workspace
 from siftstone.sources import html as ht
@@ -126,7 +126,14 @@ def listed(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", cs.listed(text).alias("l")).select("c_custkey", F.get("l", 0).alias("first"), F.size("l").alias("n"))
 
 
-@query("f15_articles")
+_LINES = "regexp_replace(regexp_replace(replace(regexp_replace(inner_, '\\s+', ' ', 'g'), '<br>', chr(10)), '</?p>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in _ENTITIES.items():
+    _LINES = f"replace({_LINES}, '{_entity}', '{_char}')"
+_LINES = f"trim(regexp_replace(regexp_replace({_LINES}, '[ ]*\\n[ ]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("f15_articles", f"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '(?s)<h1>.*?</h1>', '') AS inner_ FROM pages), b AS (SELECT page_id, {_bare_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, {_LINES} AS body FROM a)
+SELECT page_id, nullif(title, '') AS title, md5(nullif(body, '')) AS digest, length(nullif(body, ''))::INT AS n FROM b""")
 def articles(spark, sf):
     """Title and body of each page's article, with lists and headings in text form."""
     return t(spark, sf, "pages").select("page_id", ht.article(F.col("html")).alias("a")).select("page_id", "a.title", F.md5("a.body").alias("digest"), F.length("a.body").alias("n"))
