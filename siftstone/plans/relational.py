@@ -178,10 +178,10 @@ def snapshot_hash(spark, sf):
     return ev.snapshot(t(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("a23_grouped_answers", "SELECT c_nationkey, string_agg(c_mktsegment, ' | ' ORDER BY c_custkey) AS answers FROM customer GROUP BY 1")
+@query("a23_grouped_answers", "SELECT o_custkey, o_orderstatus, string_agg(o_orderpriority, ' | ' ORDER BY o_orderkey) AS answers FROM orders GROUP BY 1, 2")
 def grouped_answers(spark, sf):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: x["c_mktsegment"])
-    return t(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(rows, " | ").alias("answers"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"])
+    return t(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_join(rows, " | ").alias("answers"))
 
 
 @query("a25_report_counters", "SELECT count(*) AS discovered, count(*) FILTER (url LIKE 'https:%') AS secure, count(*) FILTER (url LIKE '%utm_%') AS tracked, count(DISTINCT url) AS distinct_urls FROM pages")
@@ -255,11 +255,11 @@ def map_filtered(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
 
 
-@query("r5_r6_regrouped", "SELECT c_nationkey, array_to_string(coalesce(list(c_custkey ORDER BY c_custkey) FILTER (c_mktsegment = 'BUILDING'), []), ',') AS building, array_to_string(coalesce(list(c_custkey ORDER BY c_custkey) FILTER (c_mktsegment <> 'BUILDING'), []), ',') AS others FROM customer GROUP BY 1")
+@query("r5_r6_regrouped", "SELECT o_custkey, array_to_string(coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'F'), []), ',') AS finished, array_to_string(coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F'), []), ',') AS others FROM orders GROUP BY 1")
 def regrouped(spark, sf):
-    part = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("c_custkey")))).cast("array<string>"), ",")
-    is_ = F.col("c_mktsegment") == "BUILDING"
-    return t(spark, sf, "customer").groupBy("c_nationkey").agg(part(is_).alias("building"), part(~is_).alias("others"))
+    part = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("o_orderkey")))).cast("array<string>"), ",")
+    is_ = F.col("o_orderstatus") == "F"
+    return t(spark, sf, "orders").groupBy("o_custkey").agg(part(is_).alias("finished"), part(~is_).alias("others"))
 
 
 @query("r7_r8_json_round_trip", "SELECT event_id, (props::JSON->>'k')::BIGINT AS k, true AS same FROM events")

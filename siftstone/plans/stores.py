@@ -30,9 +30,9 @@ def _files(spark, sf):
     return t(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("length"), content.alias("content"))
 
 
-@query("s1_zipped_cases", "SELECT row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, (18 + c_custkey % 70)::VARCHAR AS age, ['M', 'F', ' m ', 'x'][(c_custkey % 4 + 1)::INT] AS sex, ['M', 'F', 'M', NULL][(c_custkey % 4 + 1)::INT] AS sex_code, c_name || ', \"' || c_mktsegment || '\"' AS evidences FROM customer")
+@query("s1_zipped_cases", "SELECT row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS row_no, (18 + c_custkey % 70)::VARCHAR AS age, ['M', 'F', ' m ', 'x'][(c_custkey % 4 + 1)::INT] AS sex, ['M', 'F', 'M', NULL][(c_custkey % 4 + 1)::INT] AS sex_code, c_name || ', \"' || c_mktsegment || '\"' AS evidences FROM customer")
 def zipped(spark, sf):
-    """One ZIP of cases for each nation, made from its customers, and read as a stream of CSV rows."""
+    """ZIP files of a hundred cases at most, made from customers, and read as streams of CSV rows."""
     import csv
     import io
     import zipfile
@@ -48,7 +48,7 @@ def zipped(spark, sf):
             z.writestr("release_train_patients", text.getvalue())
         return pd.DataFrame({"content": [out.getvalue()]})
 
-    files = t(spark, sf, "customer").groupBy("c_nationkey").applyInPandas(pack, "content binary")
+    files = t(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100)).applyInPandas(pack, "content binary")
     rows = rd.zipped_rows(files, "train", ["AGE", "SEX", "EVIDENCES", "INITIAL_EVIDENCE"], rd.CASES)
     return rd.case_columns(rows).select("row_no", "age", "sex", "sex_code", "evidences")
 

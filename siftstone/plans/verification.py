@@ -186,16 +186,16 @@ def rebuilt(spark, sf):
     return read.join(approved, "conv_id").select("conv_id", (tx.clean(F.col("read")) == tx.clean(F.col("kept"))).alias("same"))
 
 
-@query("x6_fact_inventory", """SELECT c_nationkey AS case_id, c_mktsegment AS text, min(c_custkey) AS pos, string_agg('fact:' || c_custkey, ',' ORDER BY c_custkey) AS refs, CASE WHEN regexp_matches(c_mktsegment, 'MACH|AUTO', 'i') THEN 'Medications' ELSE 'Symptoms' END AS role FROM customer GROUP BY 1, 2
-UNION ALL SELECT n_nationkey, 'Nation: ' || n_name, -1, 'nation:' || n_nationkey, 'Context' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+@query("x6_fact_inventory", """SELECT o_custkey AS case_id, o_orderpriority AS text, min(o_orderkey) AS pos, string_agg('fact:' || o_orderkey, ',' ORDER BY o_orderkey) AS refs, CASE WHEN regexp_matches(o_orderpriority, 'urgent|high', 'i') THEN 'Medications' ELSE 'Symptoms' END AS role FROM orders GROUP BY 1, 2
+UNION ALL SELECT c_custkey, 'Segment: ' || c_mktsegment, -1, 'customer:' || c_custkey, 'Context' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
 def fact_inventory(spark, sf):
     """Equal facts of a case once, with all their references and a role, and one row of context for each case."""
-    c = t(spark, sf, "customer")
-    refs = F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: F.concat(F.lit("fact:"), k.cast("string"))), ",")
-    facts = c.groupBy(F.col("c_nationkey").alias("case_id"), F.col("c_mktsegment").alias("text")).agg(F.min("c_custkey").alias("pos"), refs.alias("refs"))
-    facts = facts.withColumn("role", F.when(F.col("text").rlike("(?i)MACH|AUTO"), "Medications").otherwise("Symptoms"))
-    n = t(spark, sf, "nation").join(c.select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
-    return facts.unionByName(n.select(F.col("n_nationkey").alias("case_id"), F.concat(F.lit("Nation: "), "n_name").alias("text"), F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("refs"), F.lit("Context").alias("role")))
+    o = t(spark, sf, "orders")
+    refs = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("fact:"), k.cast("string"))), ",")
+    facts = o.groupBy(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("text")).agg(F.min("o_orderkey").alias("pos"), refs.alias("refs"))
+    facts = facts.withColumn("role", F.when(F.col("text").rlike("(?i)urgent|high"), "Medications").otherwise("Symptoms"))
+    c = t(spark, sf, "customer").join(o.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
+    return facts.unionByName(c.select(F.col("c_custkey").alias("case_id"), F.concat(F.lit("Segment: "), "c_mktsegment").alias("text"), F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("refs"), F.lit("Context").alias("role")))
 
 
 _UNIT20 = "q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings WHERE vec_id % 20 = 0)"
