@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import ids
 from siftstone.operators.constraints import assert_valid
+from siftstone.session import remove
 
 
 def write_new(df: DataFrame, path: str) -> None:
@@ -21,7 +22,11 @@ def write_apart(features: DataFrame, labels: DataFrame, path: str, label_columns
     if leaked := sorted(set(features.columns) & set(label_columns)):
         raise ValueError(f"label columns among features: {leaked}")
     write_new(features, f"{path}/features")
-    write_new(labels, f"{path}/labels")
+    try:
+        write_new(labels, f"{path}/labels")
+    except Exception:
+        remove(features.sparkSession, f"{path}/features")  # half a pair is none
+        raise
 
 
 def json_lines(df: DataFrame, path: str, order: list[str]) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from siftstone.functions import ids
 from siftstone.operators import audit, constraints, documents, evidence, ranking, services
 from siftstone.operators.models import HashingEmbedder
-from siftstone.session import workspace
-from siftstone.sources import html, readers
+from siftstone.session import exists, workspace
+from siftstone.sources import html, readers, sinks
 
 PAGE = """<html><head><title>T</title><meta property="og:title" content="From  meta"><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav>
 <main><h1>Head &amp; title</h1><p>First <b>bold</b>, text.</p><h2>Part</h2><ul><li>one</li><li>two <i>x</i></li></ul><ol start="3"><li>three</li><li value="7">seven</li><li>eight</li></ol>
@@ -183,3 +183,13 @@ def test_first_mismatch_stops(spark):
     with pytest.raises(constraints.Violation, match="consistency"):
         constraints.assert_valid(found, "consistency")
     constraints.assert_valid(found.filter("k = 2"), "consistency")
+
+
+def test_half_a_pair_is_removed(spark):
+    at = workspace(spark)
+    d = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="no labels"):
+        sinks.write_apart(d, d.select("k", F.raise_error(F.lit("no labels")).cast("string").alias("label")), at, ["label"])
+    assert not exists(spark, f"{at}/features")
+    sinks.write_apart(d, d.select("k", F.col("v").alias("label")), at, ["label"])
+    assert spark.read.parquet(f"{at}/labels").count() == 1
