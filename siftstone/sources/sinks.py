@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import ids
 from siftstone.operators.constraints import assert_valid
-from siftstone.session import remove
+from siftstone.session import exists, remove
 
 
 def write_new(df: DataFrame, path: str) -> None:
@@ -21,11 +21,15 @@ def write_apart(features: DataFrame, labels: DataFrame, path: str, label_columns
     """Features and labels as two tables; a label column among the features is an error."""
     if leaked := sorted(set(features.columns) & set(label_columns)):
         raise ValueError(f"label columns among features: {leaked}")
-    write_new(features, f"{path}/features")
+    spark, halves = features.sparkSession, (f"{path}/features", f"{path}/labels")
+    if there := [p for p in halves if exists(spark, p)]:
+        raise ValueError(f"already there: {there}")
     try:
-        write_new(labels, f"{path}/labels")
+        write_new(features, halves[0])
+        write_new(labels, halves[1])
     except Exception:
-        remove(features.sparkSession, f"{path}/features")  # half a pair is none
+        for p in halves:  # half a pair is none; neither was there before
+            remove(spark, p)
         raise
 
 

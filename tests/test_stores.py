@@ -193,3 +193,6 @@ def test_half_a_pair_is_removed(spark):
     assert not exists(spark, f"{at}/features")
     sinks.write_apart(d, d.select("k", F.col("v").alias("label")), at, ["label"])
     assert spark.read.parquet(f"{at}/labels").count() == 1
+    with pytest.raises(ValueError, match="already there"):
+        sinks.write_apart(d, d.select("k", F.col("v").alias("label")), at, ["label"])
+    assert spark.read.parquet(f"{at}/features").count() == 1
