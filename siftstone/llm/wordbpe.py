@@ -46,7 +46,7 @@ class WordEncoder:
     White space always parts words there and is dropped, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 600_000):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -65,19 +65,23 @@ class WordEncoder:
             ranks.setdefault(raw(a) + raw(b), len(ranks))
         special = {t["content"] for t in spec["added_tokens"]}
         known = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.ids = [known.get(k, -1) for k in sorted(ranks, key=ranks.get)]
+        self.raw = [struct.pack("<i", known.get(k, -1)) for k in sorted(ranks, key=ranks.get)]  # by rank
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.mark = {bytes([c]): self._merged(bytes([c])) for c in b".,!?;:|"}
 
-    def word(self, word: bytes) -> list[int]:
-        ids, merge = self.ids, self.merge
+    def _merged(self, part: bytes) -> bytes:
+        return b"".join(map(self.raw.__getitem__, self.merge(part + _END)))
+
+    def word(self, word: bytes) -> bytes:
+        """The word's ids as little-endian 32-bit bytes."""
         if word.isalpha():  # ASCII letters
-            return [ids[r] for r in merge(word.lower() + _END)]
-        if word[:-1].isalpha() and word[-1] in b".,!?;:|":
-            return [ids[r] for r in merge(word[:-1].lower() + _END)] + [ids[r] for r in merge(word[-1:] + _END)]
+            return self._merged(word.lower())
+        if (mark := self.mark.get(word[-1:])) and word[:-1].isalpha():
+            return self._merged(word[:-1].lower()) + mark
         text = word.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(text):
-            return [ids[r] for part in m.groups() if part for r in merge(part.lower().encode() + _END)]
-        return self.library.encode(text, add_special_tokens=False).ids
+            return b"".join(self._merged(part.lower().encode()) for part in m.groups() if part)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the words as bytes, joined: no id is a Python object on its way."""
@@ -85,14 +89,14 @@ class WordEncoder:
 
 
 class _Ids(dict):
-    """The ids of words as little-endian 32-bit bytes. Words are kept until size of them are, so frequent ones are; it starts anew when too much passes it by."""
+    """The ids of words as bytes. Words are kept until size of them are, so frequent ones are; it starts anew when too much passes it by."""
 
-    def __init__(self, word: Callable[[bytes], list[int]], size: int):
+    def __init__(self, word: Callable[[bytes], bytes], size: int):
         super().__init__()
         self.word, self.size, self.missed = word, size, 0
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = struct.pack(f"<{len(found)}I", *found) if len(found := self.word(word)) < 64 else np.array(found, dtype="<u4").tobytes()
+        ids = self.word(word)
         if len(self) < self.size and len(word) <= 64:
             self[word] = ids
         else:
