@@ -183,17 +183,17 @@ def template(pages: list[list[tuple]]) -> set[tuple]:
         if len(where) >= least:
             by_vector[tuple((p, len(x)) for p, x in where.items())].append(role)
     valid: set[tuple] = set()
-    taken: dict[int, list[list[int]]] = defaultdict(list)  # of each page: sorted token positions of the accepted occurrences
+    taken: dict[int, list[list[list[int]]]] = defaultdict(list)  # of each page: the occurrences of each accepted class, as sorted token positions
     for vector, found in sorted(by_vector.items(), key=lambda x: (-len(x[0]), -len(x[1]), x[1])):
         if len(found) < SIZE:
             continue
         kept, spans = _occurrences(places, found, vector)
         if len(kept) < SIZE or spans is None:
             continue
-        if all(_nests(o, taken[p]) for p, x in spans.items() for o in x):
+        if all(_nests(o, others) for p, x in spans.items() for others in taken[p] for o in x):
             valid.update(kept)
             for p, x in spans.items():
-                taken[p] += x
+                taken[p].append(x)
     return valid
 
 
@@ -227,11 +227,11 @@ def _rising(order: list[tuple], at: list[int]) -> list[tuple]:
 
 
 def _nests(span: list[int], others: list[list[int]]) -> bool:
-    """Every other occurrence leaves this one in a gap, or lies in a gap of it."""
+    """Every occurrence of another class (one after the other) leaves this one in a gap, or lies in a gap of it."""
     first, last = span[0], span[-1]
-    for o in others:
-        if last < o[0] or o[-1] < first:
-            continue
+    for o in others[bisect_left(others, first, key=lambda o: o[-1]) :]:  # from the first that does not end before
+        if last < o[0]:
+            break
         if bisect_right(o, first) == bisect_right(o, last) or bisect_right(span, o[0]) == bisect_right(span, o[-1]):
             continue
         return False

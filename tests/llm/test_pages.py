@@ -112,3 +112,14 @@ def test_no_run_of_a_large_host_is_small(n):
     got = list(he.runs(iter(rows)))
     assert [r for g in got for r in g] == rows and all(len({r[3] for r in g}) == 1 for g in got)
     assert all(len(g) <= he.GROUP and len(g) >= min(n, he.GROUP // 2) for g in got)
+
+
+def test_long_tables_are_no_work_of_squares():
+    """Pages of some thousand equal rows each: classes with that many occurrences nest in each other in linear time."""
+    import time
+
+    row = "<tr><td><b>a{n}x{i}</b></td><td>b{n}x{i}</td></tr>"
+    pages = [f"<body><table>{''.join(row.format(n=n, i=i) for i in range(3000))}</table><ul>{''.join(f'<li><i>{n}y{i}</i></li>' for i in range(3000))}</ul></body>" for n in range(6)]
+    began = time.process_time()
+    texts = he.extract_group(pages)
+    assert time.process_time() - began < 20 and all(f"a{n}x2999 b{n}x2999" in t for n, t in enumerate(texts))
