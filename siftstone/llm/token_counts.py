@@ -7,7 +7,8 @@ All others meet by pre-token in one shuffle, where the vocabulary is walked once
 the sums go back to their rows. Ids are never made for a document.
 
 Hot pre-tokens are in the head, so no key of the shuffle holds many rows; rows that wait for nothing are dealt by row.
-Pre-tokens of more than LONG characters are counted on the spot, so no key is large.
+Pre-tokens of more than LONG characters are counted on the spot, so no key is large. Rows are numbered by partition and place,
+which a task that runs again finds as they were: docs is a table as it is read, or was written before, not the result of a shuffle.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each for itself; an empty
 table gives no row; other columns are ignored.
