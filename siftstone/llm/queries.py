@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 and the pipeline: (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
+"""The thin queries op1 to op13 and the pipeline: (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -92,6 +92,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_counts=True)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import periodic_runs
+
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, "planted", ["doc_id"]))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 
