@@ -120,6 +120,44 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import source_divergence
+
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+SOURCE_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), occurrences AS (SELECT lang, source, d, unnest(terms) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(DISTINCT d) AS docs, count(*) AS n FROM occurrences GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS lang_n FROM counts GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(lang_n)::BIGINT AS lang_total FROM kept GROUP BY ALL),
+pairs_of AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (WHERE k.term IS NOT NULL), 0)::BIGINT AS total
+  FROM pairs_of g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source LEFT JOIN kept k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL
+), p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (t.total + v.v) AS p,
+    1 + 1000000000 * (k.lang_n + 1) // (v.lang_total + v.v) AS q
+  FROM totals t JOIN v USING (lang) JOIN kept k ON k.lang = t.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM pairs_of a JOIN pairs_of b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+), term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -139,7 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_top_products": op12_top_products,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op12_top_products": TOP_PRODUCTS_SQL}
+ORACLES: dict[str, str] = {"op12_top_products": TOP_PRODUCTS_SQL, "op13_source_divergence": SOURCE_DIVERGENCE_SQL}
