@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_schema, batch, discard, give_back, stored
+from siftstone.llm.common import arrow_schema, batch, give_back, stored
 
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Rows of counts that a task holds before it passes them on; sources of a block; rows of one part of the terms of a pair of blocks; matrix cells at once.
-HELD, BLOCK, PART_ROWS, CELLS = 400_000, 128, 500_000, 1 << 19
+HELD, BLOCK, PART_ROWS, CELLS = 800_000, 128, 100_000, 1 << 19
 
 #: Bytes of terms: ASCII letters, lower-cased, and all of the characters from U+0080 on; any other ends a term.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,40 +81,78 @@ def term_counts(docs: DataFrame) -> DataFrame:
 _KEPT = "lang string, term string, source string, n long"
 
 
+class _TermRun:
+    """The run of one term, source by source; rows leave once the term has the documents it needs."""
+
+    def __init__(self, min_docs: int):
+        self.min_docs, self.key, self.source, self.n, self.total, self.docs = min_docs, None, None, 0, 0, 0
+        self.waiting: list[tuple] = []
+        self.out: list[tuple] = []
+
+    def source_ends(self) -> None:
+        (self.out if self.docs >= self.min_docs else self.waiting).append((*self.key, self.source, self.n))
+
+    def term_ends(self) -> None:
+        if self.key:
+            self.source_ends()
+            if self.docs >= self.min_docs:
+                self.out += [*self.waiting, (*self.key, None, self.total)]
+        self.key, self.waiting = None, []
+
+    def add(self, key: tuple, source: str, docs: int, n: int) -> None:
+        if key != self.key:
+            self.term_ends()
+            self.key, self.source, self.n, self.total, self.docs = key, source, 0, 0, 0
+        elif source != self.source:
+            self.source_ends()
+            self.source, self.n = source, 0
+        self.n, self.total, self.docs = self.n + n, self.total + n, self.docs + docs
+
+    def taken(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+
 def kept_counts(counts: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, source, n of the terms in min_docs documents of a language or more; one row of source null holds n of the language."""
     shape = arrow_schema(_KEPT)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, source, n, total, docs, waiting = None, None, 0, 0, 0, []
-
-        def source_ends() -> None:
-            (out if docs >= min_docs else waiting).append((*key, source, n))
-
-        def term_ends() -> None:
-            source_ends()
-            if docs >= min_docs:
-                out.extend(waiting)
-                out.append((*key, None, total))
-            waiting.clear()
+    def begins(b: pa.RecordBatch, column: str) -> np.ndarray:
+        """Where a row differs from the one before it; the first row does."""
+        c = b.column(column)
+        return np.concatenate(([True], pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _TermRun(min_docs)
         for b in batches:
-            for lang, term, where, d, count in zip(*(b.column(c).to_pylist() for c in ("lang", "term", "source", "docs", "n")), strict=True):
-                if (lang, term) != key:
-                    if key:
-                        term_ends()
-                    key, source, n, total, docs = (lang, term), where, 0, 0, 0
-                elif where != source:
-                    source_ends()
-                    source, n = where, 0
-                n, total, docs = n + count, total + count, docs + d
-            if len(out) >= 10_000:
+            if not b.num_rows:
+                continue
+            term = begins(b, "lang") | begins(b, "term")
+            source = np.flatnonzero(term | begins(b, "source"))  # first rows of the runs of a source within a term
+            n, docs = (np.add.reduceat(b.column(c).to_numpy(), source) for c in ("n", "docs"))
+            first = np.flatnonzero(term[source])  # first such run of each term
+            # the first term may go on from the batch before, the last into the next: these go run by run, all others at once
+            ends = [(0, len(source) if len(first) == 1 else first[1])] + [(first[-1], len(source))] * (len(first) > 1)
+            whole = slice(first[1], first[-1]) if len(first) > 2 else slice(0, 0)
+            out = []
+            for k, (at, to) in enumerate(ends):
+                part = b.take(pa.array(source[at:to]))
+                for *key, where, d, count in zip(*(part.column(c).to_pylist() for c in ("lang", "term", "source")), docs[at:to].tolist(), n[at:to].tolist(), strict=True):
+                    run.add(tuple(key), where, d, count)
+                out += run.taken()
+                if k == 0 and whole.stop > whole.start:
+                    at_terms = first[1:-1] - whole.start
+                    enough = np.add.reduceat(docs[whole], at_terms) >= min_docs
+                    kept = source[whole][np.repeat(enough, np.diff(np.append(at_terms, whole.stop - whole.start)))]
+                    heads = b.take(pa.array(source[first[1:-1]][enough]))
+                    told = b.take(pa.array(kept))
+                    counts = n[whole][np.isin(source[whole], kept, assume_unique=True)]
+                    yield batch(shape, told.column("lang"), told.column("term"), told.column("source"), counts)
+                    yield batch(shape, heads.column("lang"), heads.column("term"), pa.nulls(heads.num_rows, pa.string()), np.add.reduceat(n[whole], at_terms)[enough])
+            if out:
                 yield batch(shape, *zip(*out, strict=True))
-                out.clear()
-        if key:
-            term_ends()
-        if out:
+        run.term_ends()
+        if out := run.taken():
             yield batch(shape, *zip(*out, strict=True))
 
     order = ["lang", "term", "source", "document"]

@@ -58,9 +58,13 @@ def docs(sf):
 @pytest.mark.parametrize("small", [False, True])
 def test_whole_tables(spark, docs, monkeypatch, small):
     if small:  # blocks of 3 sources, parts of 200 rows, portions of 500 terms
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
         for name, value in (("BLOCK", 3), ("PART_ROWS", 200), ("HELD", 500), ("CELLS", 40)):
             monkeypatch.setattr(D, name, value)
-    assert got(spark, docs) == brute(docs)
+    try:
+        assert got(spark, docs) == brute(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_query_is_that_of_the_sql(spark, sf, docs):
