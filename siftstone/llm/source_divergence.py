@@ -48,15 +48,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     one = 1 << 40  # documents above, occurrences below: one addition for both
 
     def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        parts = []
         for (lang, source), (first, counts) in held.items():
-            out += [(lang, term.decode(), source, first, packed >> 40, packed & one - 1) for term, packed in counts.items()]
+            size = len(counts)
+            packed = np.fromiter(counts.values(), dtype=np.int64, count=size)
+            term = pa.array(counts.keys(), pa.binary(), size=size).cast(pa.string())
+            same = [pa.repeat(pa.scalar(value, kind), size) for value, kind in ((lang, pa.string()), (source, pa.string()), (first, pa.int64()))]
+            parts.append(pa.RecordBatch.from_arrays([same[0], term, same[1], same[2], pa.array(packed >> 40), pa.array(packed & one - 1)], schema=shape))
             counts.clear()
-            while len(out) >= 50_000:
-                yield batch(shape, *zip(*out[:50_000], strict=True))
-                del out[:50_000]
-        if out:
-            yield batch(shape, *zip(*out, strict=True))
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=50_000)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
