@@ -5,6 +5,10 @@ Pools are bounded by the depth of the rankings they come from (about a thousand
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +18,26 @@ POOL = (
     "symptoms_ranking double, history_ranking double, history_query string, mismatch boolean, tokens array<string>"
 )
 EVENTS = "query_id string, chunk_id string, role string, step int, ranking double, event string"
-VARIANTS = ("base", "symptoms_weight_2", "background_cap_1", "population_penalty", "history_novelty")
+
+
+@dataclass(frozen=True)
+class Variant:
+    """How a variant differs from the base: what it adds to ranking values, its passes (role, room; None: the final limit), and novelty."""
+
+    doubled: tuple[str, ...] = ()
+    mismatch_cost: float = 0.0
+    passes: tuple[tuple[str, int | None], ...] = (("history", 1), ("symptoms", None), ("history", None))
+    novelty: bool = False
+
+
+VARIANT_RULES = {
+    "base": Variant(),
+    "symptoms_weight_2": Variant(doubled=("symptoms",)),
+    "background_cap_1": Variant(passes=(("history", 1), ("symptoms", None))),
+    "population_penalty": Variant(mismatch_cost=0.5),
+    "history_novelty": Variant(novelty=True),
+}
+VARIANTS = tuple(VARIANT_RULES)
 
 
 def positive(rows: DataFrame, score: str) -> DataFrame:
@@ -22,75 +45,89 @@ def positive(rows: DataFrame, score: str) -> DataFrame:
     return rows.filter((F.col(score) > 0) & (F.col(score) < float("inf")) & ~F.isnan(score))
 
 
-def _overlap(a: set, b: set) -> float:
+def _overlap(a: frozenset, b: frozenset) -> float:
     return len(a & b) / max(1, len(a | b))
 
 
-def ranking(row: dict, role: str, variant: str) -> float:
-    """The value a pass walks by. A variant moves it and never the score that decides whether a row may be taken."""
-    value = row[f"{role}_ranking"]
-    if variant == "symptoms_weight_2" and role == "symptoms":
-        value += row["symptoms_score"]
-    if variant == "population_penalty" and row.get("mismatch") is True:
-        value -= 0.5
-    return value
+def ranked(pool: pd.DataFrame, variant: Variant) -> pd.DataFrame:
+    """A row for each candidate and role in which it has a score, in the order in which a pass walks them.
+
+    The variant moves the ranking value alone: what may be taken hangs on the score.
+    """
+    words = pool["tokens"].map(frozenset)
+    folded = pool["section"].fillna("").map(lambda x: x.casefold().strip())
+    mismatch = pool["mismatch"].eq(True).astype(float)
+    parts = []
+    for role in ("symptoms", "history"):
+        score = pool[f"{role}_score"]
+        value = pool[f"{role}_ranking"] + score * (role in variant.doubled) - variant.mismatch_cost * mismatch
+        part = pool[["chunk_id", "parent_id", "document_id", "rrf", "history_query"]].assign(role=role, score=score, ranking=value, words=words, place=list(zip(pool["document_id"], folded, strict=True)))
+        parts.append(part[score.notna()])
+    return pd.concat(parts).sort_values(["ranking", "rrf", "chunk_id"], ascending=[False, False, True], kind="stable")
+
+
+@dataclass
+class Choice:
+    """What is taken so far of one query's pool, and the bounds it is held to."""
+
+    per_document: float
+    near: float
+    novelty: bool
+    room: float = 0
+    taken: int = 0
+    parents: set = field(default_factory=set)
+    documents: Counter = field(default_factory=Counter)
+    words: list = field(default_factory=list)
+    places: set = field(default_factory=set)
+    served: dict = field(default_factory=lambda: defaultdict(set))
+
+    def stale(self, row) -> bool:
+        """Its history query was served, and not by another section of this document."""
+        by = self.served.get(row.history_query)
+        return bool(by) and not (row.document_id in by and row.place not in self.places)
+
+    def take(self, row) -> None:
+        self.taken += 1
+        self.parents.add(row.parent_id)
+        self.documents[row.document_id] += 1
+        self.words.append(row.words)
+        self.places.add(row.place)
+        if row.role == "history":
+            self.served[row.history_query].add(row.document_id)
+
+
+#: Why a row is not taken: the first of these that holds.
+REFUSALS: tuple[tuple[str, Callable[[Choice, tuple], bool]], ...] = (
+    ("limit", lambda c, row: c.taken >= c.room),
+    ("nonpositive", lambda c, row: not row.score > 0),
+    ("section_taken", lambda c, row: row.parent_id in c.parents),
+    ("document_full", lambda c, row: c.documents[row.document_id] >= c.per_document),
+    ("near_duplicate", lambda c, row: any(_overlap(row.words, w) >= c.near for w in c.words)),
+    ("redundant_history", lambda c, row: c.novelty and row.role == "history" and c.stale(row)),
+)
 
 
 def choose(pool: pd.DataFrame, limit: int, variant: str = "base", per_document: float = 2, near: float = 0.8, unbounded: bool = False) -> list[tuple]:
     """The event log (chunk_id, role, ranking, event) of one query's selection.
 
-    A pass for a role walks its rows by ranking value; a row is taken unless its score is not positive, its section was
-    taken, its document is full, or its words are nearly those of a taken row. A pass ends when `limit` rows are taken in all. History
-    may place one row first; then symptoms, then history again. background_cap_1 leaves the last pass out; history_novelty
-    refuses a history row whose query was served before, but by a new section of a document that served it. unbounded lifts
-    the limit of the last two passes: the counterfactual without a final budget.
+    Each pass of the variant walks its role's rows in order and takes those that no refusal holds for. A pass with a room of its own
+    runs only where the limit leaves room for others. unbounded lifts the limit of the other passes: the counterfactual without a final budget.
     """
-    rows = [{**r, "mismatch": bool(r.get("mismatch")) if pd.notna(r.get("mismatch")) else False} for r in pool.to_dict("records")]
-    taken, parents, documents, words, served, sections, log = [], set(), {}, [], {}, set(), []
-    most = float("inf") if unbounded else limit
-
-    def stale(r: dict) -> bool:
-        told = served.get(r.get("history_query"))
-        return told is not None and (r["document_id"] not in told or (r["document_id"], _folded(r)) in sections)
-
-    def walk(role: str, budget: float) -> None:
-        for r in sorted((r for r in rows if pd.notna(r[f"{role}_score"])), key=lambda r: (-ranking(r, role, variant), -r["rrf"], r["chunk_id"])):
-            own = set(r["tokens"])
-            if len(taken) >= budget:
-                event = "limit"
-            elif r[f"{role}_score"] <= 0:
-                event = "nonpositive"
-            elif r["parent_id"] in parents:
-                event = "section_taken"
-            elif documents.get(r["document_id"], 0) >= per_document:
-                event = "document_full"
-            elif any(_overlap(own, w) >= near for w in words):
-                event = "near_duplicate"
-            elif variant == "history_novelty" and role == "history" and stale(r):
-                event = "redundant_history"
-            else:
-                event = "selected"
-                taken.append(r["chunk_id"])
-                parents.add(r["parent_id"])
-                documents[r["document_id"]] = documents.get(r["document_id"], 0) + 1
-                words.append(own)
-                sections.add((r["document_id"], _folded(r)))
-                if role == "history":
-                    served.setdefault(r.get("history_query"), set()).add(r["document_id"])
-            log.append((r["chunk_id"], role, ranking(r, role, variant), event))
-
-    if limit > 1 and any(pd.notna(r["history_score"]) for r in rows):
-        walk("history", 1)
-    walk("symptoms", most)
-    if variant != "background_cap_1":
-        walk("history", most)
+    rule = VARIANT_RULES[variant]
+    order = ranked(pool, rule)
+    choice, log = Choice(per_document, near, rule.novelty), []
+    for role, own in rule.passes:
+        if own is not None and limit <= own:
+            continue
+        choice.room = own if own is not None else float("inf") if unbounded else limit
+        for row in order[order["role"] == role].itertuples():
+            event = next((name for name, holds in REFUSALS if holds(choice, row)), "selected")
+            if event == "selected":
+                choice.take(row)
+            log.append((row.chunk_id, role, row.ranking, event))
     return log
 
 
-def _folded(row: dict) -> str:
-    return (row.get("section") or "").casefold().strip()
-
-
 def select_variants(pool: DataFrame, limit: int = 5, variants: tuple[tuple[str, bool], ...] = tuple((v, False) for v in VARIANTS)) -> DataFrame:
     """variant, unbounded and EVENTS for each query of pool (POOL) under each (variant, unbounded): the pool is brought together once."""
     if not {v for v, _ in variants} <= set(VARIANTS) or not 0 <= limit <= 5:

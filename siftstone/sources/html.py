@@ -80,114 +80,181 @@ ROOTS = ("[itemprop=articleBody]", "article", "main", "#content")
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
-class _Tree(HTMLParser):
-    """A plain tree: [tag, attributes, children]; text is a string."""
+# What the tape of a page holds: (kind, value). Blocks and breaks are line feeds; TRIM and its END hold what is trimmed at both ends.
+_TEXT, _FEED, _HEADING, _ITEM, _TRIM, _END = range(6)
+
+
+class _List:
+    """Marks of the items of a list; a reversed one is numbered once all its items are known."""
+
+    def __init__(self, tag: str, attrs: dict):
+        self.ordered, self.backwards = tag == "ol", "reversed" in attrs
+        self.start, self.given, self.told = _integer(attrs.get("start")), [], []
+
+    def add(self, value: str | None) -> int:
+        self.given.append(_integer(value))
+        return len(self.given) - 1
+
+    def marks(self) -> list[str]:
+        if not self.ordered:
+            return ["-"] * len(self.given)
+        if not self.told:
+            step = -1 if self.backwards else 1
+            following = self.start or (len(self.given) if self.backwards else 1)
+            for given in self.given:
+                self.told.append(f"{given or following}.")
+                following = (given or following) + step
+        return self.told
+
+
+def _integer(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?\d+", text.strip()) else None
+
+
+class _Tape(HTMLParser):
+    """One pass over a page: a tape of text and breaks, and for every possible root its stretch of the tape and how much text is in it.
+
+    Whatever is open stands on one stack with what its end means: lines of a block, an item's trimming, a heading's text, a list's counter, a root's stretch.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = ["", {}, []]
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "td", "th", "tr") and self.open[-1][0] == tag:
-            self.open.pop()
-        node = [tag, dict(attrs), []]
-        self.open[-1][2].append(node)
-        if tag not in EMPTY:
-            self.open.append(node)
+        self.tape: list[tuple] = []
+        self.stack: list[dict] = []
+        self.roots: list[tuple[int, int, int, int]] = []  # selector, characters below 0, from, to
+        self.silent = self.letters = 0
+        self.saying: list[list[str]] = []  # texts of the headings and titles that are open
+        self.titles: list[tuple[int, str]] = []  # how good a title is, and its text
+
+    def handle_starttag(self, tag, attrs, alone=False):
+        attrs = {k: v or "" for k, v in attrs}
+        if self.stack and tag == self.stack[-1]["tag"] and tag in ("p", "li", "td", "th", "tr"):
+            self._close(len(self.stack) - 1)
+        if tag == "meta" and attrs.get("property") == "og:title":
+            self.titles.append((2, attrs.get("content", "")))
+        if tag == "br" and not self.silent:
+            self._put(_FEED, "\n")
+        if tag in EMPTY:
+            return
+        here = {"tag": tag, "at": len(self.tape), "letters": self.letters, "roots": [i for i, fits in enumerate((attrs.get("itemprop") == "articleBody", tag == "article", tag == "main", attrs.get("id") == "content")) if fits]}
+        here["within"] = bool(self.stack and self.stack[-1]["within"]) or any(i > 0 for i in here["roots"])
+        if tag in JUNK_TAGS:
+            here["junk"] = True
+            self.silent += 1
+        elif tag in HEADINGS or tag == "title":
+            here["said"] = []
+            self.saying.append(here["said"])
+        elif tag == "li":
+            self._put(_FEED, "\n")
+            if self.stack and "list" in self.stack[-1]:
+                self._put(_ITEM, (self.stack[-1]["list"], self.stack[-1]["list"].add(attrs.get("value"))))
+            else:
+                self._put(_TEXT, "- ")
+            self._put(_TRIM, None)
+        elif tag in ("td", "th"):
+            self._put(_TRIM, None)
+        elif tag in BLOCKS:
+            self._put(_FEED, "\n\n")
+            if tag in ("ul", "ol"):
+                here["list"] = _List(tag, attrs)
+        self.stack.append(here)
+        if alone:
+            self._close(len(self.stack) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1][2].append([tag, dict(attrs), []])
+        self.handle_starttag(tag, attrs, alone=True)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k]["tag"] == tag), None)
+        if at is not None:
+            self._close(at)
 
     def handle_data(self, data):
-        self.open[-1][2].append(data)
-
-
-def _walk(node):
-    stack = [node]
-    while stack:
-        here = stack.pop()
-        yield here
-        stack.extend(c for c in reversed(here[2]) if not isinstance(c, str))
-
-
-def _said(node) -> str:
-    out, stack = [], [node]
-    while stack:
-        here = stack.pop()
-        if isinstance(here, str):
-            out.append(here)
-        else:
-            stack.extend(reversed(here[2]))
-    return " ".join("".join(out).split())
-
-
-def _is(node, selector: str) -> bool:
-    if selector.startswith("["):
-        return node[1].get("itemprop") == "articleBody"
-    return node[1].get("id") == selector[1:] if selector.startswith("#") else node[0] == selector
-
-
-def _number(item, siblings, parent) -> str:
-    n = int(parent[1].get("start") or (len(siblings) if "reversed" in parent[1] else 1))
-    for s in siblings:
-        n = int(s[1].get("value") or n)
-        if s is item:
-            break
-        n += -1 if "reversed" in parent[1] else 1
-    return f"{n}."
-
-
-def _render(node, parent=None) -> str:
-    """Text in document order: headings underlined, lists marked, cells parted, blocks apart by a blank line."""
-    if isinstance(node, str):
-        return re.sub(r"\s+", " ", node)
-    tag = node[0]
-    if tag in HEADINGS:
-        head = _said(node)
-        return f"\n\n{head}\n{('=' if tag in ('h1', 'h2') else '-') * len(head)}\n\n"
-    if tag == "br":
-        return "\n"
-    inner = "".join(_render(c, node) for c in node[2])
-    if tag == "li":
-        mark = _number(node, [c for c in parent[2] if not isinstance(c, str) and c[0] == "li"], parent) if parent and parent[0] == "ol" else "-"
-        return f"\n{mark} {inner.strip()}\n"
-    if tag in ("td", "th"):
-        return inner.strip() + " | "
-    return f"\n\n{inner}\n\n" if tag in BLOCKS and tag not in ("br", "title") else inner
+        if not self.silent:
+            self.letters += sum(map(len, data.split()))
+        for said in self.saying:
+            said.append(data)
+        self._put(_TEXT, data)
+
+    def close(self):
+        super().close()
+        self._close(0)
+
+    def _put(self, kind, value):
+        if not self.silent and not self.saying:
+            self.tape.append((kind, value))
+
+    def _close(self, depth: int) -> None:
+        """Ends the elements of the stack from this depth on, the innermost first."""
+        while len(self.stack) > depth:
+            here = self.stack.pop()
+            tag = here["tag"]
+            if "said" in here:
+                text = " ".join("".join(self.saying.pop()).split())
+                if tag in ("h1", "title"):
+                    self.titles.append((3 if tag == "title" else 0 if here["within"] else 1, text))
+                if tag != "title":
+                    self._put(_HEADING, (tag, text))
+            elif here.get("junk"):
+                self.silent -= 1
+            elif tag == "li":
+                self._put(_END, "\n")
+            elif tag in ("td", "th"):
+                self._put(_END, " | ")
+            elif tag in BLOCKS:
+                self._put(_FEED, "\n\n")
+            if not self.silent:
+                self.roots += [(i, here["letters"] - self.letters, here["at"], len(self.tape)) for i in here["roots"] if self.letters > here["letters"]]
+
+    def title(self) -> str:
+        """The first h1 of an article, else of the page; where that one says nothing, the og:title, else the title element."""
+        heads = [t for t in self.titles if t[0] < 2]
+        named = [min(heads, key=lambda t: t[0])] if heads else []
+        return next((" ".join(text.split()) for _, text in named + sorted((t for t in self.titles if t[0] > 1), key=lambda t: t[0]) if text.strip()), "")
+
+
+def _written(tape: list[tuple], title: str) -> str:
+    """The text of a stretch of tape: headings underlined, items marked, cells parted, blocks apart by a blank line."""
+    out, scopes = [], []
+
+    def trimmed(since: int) -> str:
+        inner = "".join(out[since:]).strip()
+        del out[since:]
+        return inner
+
+    for kind, value in tape:
+        if kind == _TEXT:
+            out.append(re.sub(r"\s+", " ", value))
+        elif kind == _FEED:
+            out.append(value)
+        elif kind == _HEADING:
+            tag, text = value
+            if tag != "h1" or text != title:
+                out.append(f"\n\n{text}\n{('=' if tag in ('h1', 'h2') else '-') * len(text)}\n\n")
+        elif kind == _ITEM:
+            of, k = value
+            out.append(of.marks()[k] + " ")
+        elif kind == _TRIM:
+            scopes.append(len(out))
+        elif scopes:  # an end whose beginning is before the stretch trims nothing
+            out += [trimmed(scopes.pop()), value]
+    lines = "\n".join(line.strip() for line in "".join(out).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
 
 
 def read_article(html: str | None) -> tuple[str, str] | None:
     """(title, body) of a page's article, or None where the page has no recognisable article, title or body: never the whole page.
 
-    The title is the article's h1, else the page's first h1, else the og:title, else the title element; headings that repeat
-    it go. The body is the longest candidate of the first selector that has text.
+    Headings that repeat the title go. The body is the candidate of most text of the first selector of ROOTS that has text.
     """
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    nodes = list(_walk(tree.root))
-    inside = [n for a in nodes if _is(a, "article") or _is(a, "main") or _is(a, "#content") for n in _walk(a) if n[0] == "h1"]
-    first = next(iter(inside), None) or next((n for n in nodes if n[0] == "h1"), None)
-    title = _said(first) if first else ""
-    title = title or next((" ".join((n[1].get("content") or "").split()) for n in nodes if n[0] == "meta" and n[1].get("property") == "og:title"), "")
-    title = title or next((_said(n) for n in nodes if n[0] == "title"), "")
-    for n in nodes:
-        n[2] = [c for c in n[2] if isinstance(c, str) or c[0] not in JUNK_TAGS]
-    nodes = list(_walk(tree.root))
-    root = next((best for s in ROOTS if (found := [n for n in nodes if _is(n, s)]) and _said(best := max(found, key=lambda n: len(_said(n))))), None)
-    if root is None or not title:
+    page = _Tape()
+    page.feed(html or "")
+    page.close()
+    title = page.title()
+    if not page.roots or not title:
         return None
-    for n in _walk(root):
-        n[2] = [c for c in n[2] if isinstance(c, str) or c[0] != "h1" or _said(c) != title]
-    body = "\n".join(line.strip() for line in _render(root).split("\n"))
-    body = re.sub(r"\n{3,}", "\n\n", body).strip()
+    *_, at, to = min(page.roots)
+    body = _written(page.tape[at:to], title)
     return (title, body) if body else None
 
 
