@@ -162,11 +162,14 @@ def selection_changes(events: DataFrame, base: str = "base") -> DataFrame:
 
 
 def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> list[list[int]]:
-    """Groups of row numbers: the two groups of the highest mean product merge, while one of at most `largest` can be made, until target."""
+    """Groups of row numbers: the two groups of the highest mean cosine merge, while one of at most `largest` can be made, until target."""
     import numpy as np
 
     m = np.array(vectors, dtype=float)
-    product, groups = m @ m.T, [[i] for i in range(len(m))]
+    sizes = np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
+    if not np.isfinite(m).all() or (sizes == 0).any():
+        raise ValueError("a vector that is zero or not finite")
+    product, groups = (m / sizes) @ (m / sizes).T if len(m) else m, [[i] for i in range(len(m))]
     while len(groups) > target:
         best = None
         for i in range(len(groups)):
@@ -177,7 +180,7 @@ def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> l
                         best = value, i, j
         if best is None:
             break
-        groups[best[1]] += groups.pop(best[2])
+        groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
     return groups
 
 
@@ -191,7 +194,7 @@ def semantic_groups(facts: DataFrame) -> DataFrame:
         groups = average_link(frame["vector"].tolist(), target)
         return pd.DataFrame([(*key, g, int(frame["pos"].iloc[i])) for g, members in enumerate(groups) for i in sorted(members)], columns=["case_id", "kind", "group", "pos"])
 
-    return facts.groupBy("case_id", "kind").applyInPandas(one, "case_id string, kind string, group int, pos int")
+    return facts.groupBy("case_id", "kind").applyInPandas(one, f"case_id {facts.schema['case_id'].dataType.simpleString()}, kind string, group int, pos int")
 
 
 def diverse(features: DataFrame, k: int) -> list[int]:
