@@ -79,3 +79,24 @@ def compared(baseline: DataFrame, chosen: DataFrame, by: str, item: str) -> Data
     a, b = baseline.select(by, item).distinct().withColumn("__a", F.lit(True)), chosen.select(by, item).distinct().withColumn("__b", F.lit(True))
     x, y = F.col("__a").isNotNull(), F.col("__b").isNotNull()
     return a.join(b, [by, item], "full").groupBy(by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("baseline_only"), F.count_if(~x & y).alias("selector_only"))
+
+
+def merged_counters(df: DataFrame, by: list[str], counter: str) -> DataFrame:
+    """by, counter: the sums of a counter, a map of names to numbers or of names to such maps, over the rows of each group.
+
+    Counts are added name by name, so tasks add up their own rows before the shuffle and no group's maps come together but as their sum. Groups
+    whose counters are all empty or null have an empty map.
+    """
+    kind = df.schema[counter].dataType
+    nested = kind.valueType.typeName() == "map"
+    level = df.select(*by, F.explode_outer(counter).alias("__outer", "__value"))
+    level = level.select(*by, "__outer", F.explode_outer("__value").alias("__inner", "__count")) if nested else level.select(*by, F.lit(None).cast("string").alias("__inner"), "__outer", F.col("__value").alias("__count"))
+    sums = level.groupBy(*by, "__outer", "__inner").agg(F.sum("__count").alias("__count"))
+
+    def entries(name: str, value: str) -> Column:
+        pairs = F.collect_list(F.when(F.col(name).isNotNull(), F.struct(F.col(name), F.col(value))))
+        return F.map_from_entries(F.array_sort(pairs, lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)))
+
+    if nested:
+        sums = sums.groupBy(*by, "__outer").agg(entries("__inner", "__count").alias("__count"))
+    return sums.groupBy(*by).agg(entries("__outer", "__count").alias(counter))

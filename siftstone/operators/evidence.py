@@ -145,3 +145,47 @@ def consistency(claims: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     skip = (F.size("refs") == 0) | F.col("concept").isNull() | (F.col("polarity") == "involved")
     status = F.when(skip, "unassessed").when(F.col("__c").isNull(), "mismatch").otherwise("no_mismatch_in_checked_observations")
     return met.select(key, "clause_no", "clause", "concept", "polarity", status.alias("status"))
+
+
+# Answers that deny and that tell nothing, and the concepts for which a bare number says something.
+DENIED, UNTOLD, SCALES = ("no", "none", "nowhere"), ("unknown", "", "not reported"), ("onset_score", "localization_score")
+
+
+def fact_concepts(fact: Column) -> Column:
+    """(concepts, polarity) of a fact: a question's answer decides, a bare number records scale concepts alone; a fact without an answer by its wording."""
+    asked = fact.contains(" = ")
+    answer = F.lower(F.trim(F.get(F.split(fact, " = ", 2), 1)))
+    names = observations(fact)
+    number = asked & answer.rlike(r"^[+-]?\d+(?:\.\d+)?$")
+    plain = F.when(fact.rlike("(?i)" + UNKNOWN), "unknown").when(fact.rlike("(?i)" + NEGATIVE), "negative").otherwise("positive")
+    told = F.when(answer.isin(*DENIED), "negative").when(answer.isin(*UNTOLD), "unknown").when(number, "recorded").otherwise("positive")
+    kept = F.when(number, F.filter(names, lambda x: x.isin(*SCALES))).otherwise(names)
+    return F.struct(F.coalesce(kept, F.array().cast("array<string>")).alias("concepts"), F.when(fact.isNull(), "unknown").when(asked, told).otherwise(plain).alias("polarity"))
+
+
+def claim_clauses(text: Column) -> Column:
+    """Clauses of a claim: parted by stops, by but and whereas, and by and where a denial follows."""
+    return F.filter(F.split(text, r"(?i)[.;\n]|\b(?:but|whereas)\b|\band\s+(?=no\b|denies\b)"), lambda x: F.trim(x) != "")
+
+
+def reference_checks(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """case_id, claim_no, clause_no, concept, result, reason: each observation of a claim's clauses against the facts that this very claim cites.
+
+    claims: case_id, claim_no, text, refs (array). facts: case_id, ref, text (null where a fact is no text). A claim that cites no fact of its case, and a clause
+    without an observation or of involved wording, is unassessed (concept null): no match is never a pass. Scales that are recorded count as positive.
+    """
+    told = facts.select("case_id", "ref", fact_concepts(F.col("text")).alias("f"))
+    refs = claims.select("case_id", "claim_no", F.explode("refs").alias("ref")).distinct().join(told, ["case_id", "ref"])
+    cites = refs.select("case_id", "claim_no").distinct().withColumn("cites", F.lit(True))
+    said = refs.select("case_id", "claim_no", F.explode("f.concepts").alias("concept"), F.when(F.col("f.polarity") == "recorded", "positive").otherwise(F.col("f.polarity")).alias("polarity"))
+    said = said.groupBy("case_id", "claim_no", "concept").agg(F.collect_set("polarity").alias("polarities"))
+    clauses_ = claims.join(cites, ["case_id", "claim_no"], "left").select("case_id", "claim_no", "cites", F.posexplode(F.when(F.col("cites"), claim_clauses(F.col("text"))).otherwise(F.array(F.col("text")))).alias("clause_no", "clause"))
+    open_ = F.col("cites") & ~F.col("clause").rlike("(?i)" + INVOLVED)
+    clause = F.col("clause")
+    polarity_ = F.when(clause.rlike("(?i)" + UNKNOWN), "unknown").when(clause.rlike("(?i)" + NEGATIVE), "negative").otherwise("positive")
+    names = clauses_.select("case_id", "claim_no", "clause_no", polarity_.alias("polarity"), F.explode_outer(F.when(open_, observations(clause))).alias("concept"))
+    met = names.join(said, ["case_id", "claim_no", "concept"], "left")
+    fits = F.array_contains("polarities", F.col("polarity"))
+    result = F.when(F.col("concept").isNull(), "unassessed").when(fits, "consistent").otherwise("mismatch")
+    reason = F.when(F.col("concept").isNull(), None).when(fits, "concept_and_polarity_match").when(F.col("polarities").isNotNull(), "patient_reference_polarity_mismatch").otherwise("patient_reference_concept_mismatch")
+    return met.select("case_id", "claim_no", "clause_no", "concept", result.alias("result"), reason.alias("reason"))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftstone.functions import pointers as pt
+from siftstone.functions import sql as fsql
 from siftstone.functions import text as tx
+from siftstone.operators import evaluation as em
+from siftstone.operators import evidence as ev
 from siftstone.operators import hybrid as hy
 from siftstone.operators import planning as pl
 from siftstone.operators import ranking as rk
@@ -209,3 +213,94 @@ def role_queries(spark, sf):
     queries, records, rankings = _hybrid(spark, sf)
     kept, _ = hy.pool(rankings, records, "doc_id")
     return hy.assigned(kept, rankings, queries, records, "doc_id")
+
+
+# Each document as a nested value, with a pointer and an excerpt by its id: sound ones through objects, arrays and escaped keys, and every kind of fault.
+_POINTERS = ("/a~1b/m~0n/0", "/a~1b/m~0n/1/deep", "/a~1b/m~0n/01", "/a~1b/m~0n/2", "a~1b", "/a~2b", "/count", "/a~1b/none", "/", "/lang", "/a~1b/m~0n", "/empty")
+_PICK_SQL = "[" + ", ".join(f"'{p}'" for p in _POINTERS) + f"][(doc_id % {len(_POINTERS)} + 1)::INT]"
+
+
+@query("p23_pointer_faults", f"""WITH d AS (SELECT doc_id, {_PICK_SQL} AS p, json_object('a/b', json_object('m~n', json_array(text, json_object('deep', lang))), 'count', n_chars, '', source, 'lang', lang, 'empty', NULL) AS j,
+  source, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 = 1 THEN text[3:9] WHEN doc_id % 5 = 2 THEN coalesce(lang, 'x') ELSE coalesce(source, 'x') END AS x FROM documents),
+r AS (SELECT *, NOT starts_with(p, '/') OR p = '/a~2b' AS bad, CASE WHEN starts_with(p, '/') AND p <> '/a~2b' AND p <> '/a~1b/m~0n/01' THEN CASE WHEN p = '/' THEN to_json(source) ELSE json_extract(j, p) END END AS v FROM d)
+SELECT doc_id, p AS pointer, CASE WHEN bad THEN 'invalid_pointer' WHEN v IS NULL THEN 'unknown_pointer' WHEN json_type(v) <> 'VARCHAR' THEN 'not_a_string' WHEN trim(x) = '' OR NOT contains(v ->> '$', x) THEN 'not_quoted' END AS fault FROM r""")
+def pointer_faults(spark, sf):
+    """Quotes of nested documents by JSON pointer, with what is wrong with each; null where the quote holds."""
+    text, k = F.col("text"), F.col("doc_id")
+    quoted = lambda c: F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x")))
+    as_json = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c).substr(F.lit(6), F.length(quoted(c)) - 6))
+    document = F.concat(
+        F.lit('{"a/b":{"m~n":['), as_json(text), F.lit(',{"deep":'), as_json(F.col("lang")), F.lit('}]},"count":'), F.coalesce(F.col("n_chars").cast("string"), F.lit("null")),
+        F.lit(',"":'), as_json(F.col("source")), F.lit(',"lang":'), as_json(F.col("lang")), F.lit(',"empty":null}'),
+    )
+    excerpt = F.when(k % 5 == 0, " ").when(k % 5 == 1, F.substring(text, 3, 7)).when(k % 5 == 2, F.coalesce("lang", F.lit("x"))).otherwise(F.coalesce("source", F.lit("x")))
+    docs = t(spark, sf, "documents").select("doc_id", F.parse_json(document).alias("document"), F.element_at(F.array(*map(F.lit, _POINTERS)), (k % len(_POINTERS) + 1).cast("int")).alias("pointer"), excerpt.alias("excerpt"))
+    return docs.select("doc_id", "pointer", pt.quote_fault("document", "pointer", "excerpt").alias("fault"))
+
+
+@query("a27_merged_counters", """WITH e AS (SELECT user_id, event_type, CASE WHEN value > 20 THEN 'high' ELSE 'low' END AS band, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT user_id % 7 AS team, event_type, band, sum(n)::BIGINT AS n FROM e GROUP BY ALL)
+SELECT team, string_agg(event_type || '/' || band || '=' || n, ' ' ORDER BY event_type, band) AS counters FROM u GROUP BY team""")
+def merged_counters(spark, sf):
+    """Each user's counters of events, a map of maps, merged into those of the user's team."""
+    e = t(spark, sf, "events")
+    band = F.when(F.col("value") > 20, "high").otherwise("low")
+    by = e.groupBy("user_id", "event_type", band.alias("band")).agg(F.count("*").alias("n")).groupBy("user_id", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands"))
+    users = by.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "bands"))).alias("counters"))
+    told = em.merged_counters(users.withColumn("team", F.col("user_id") % 7), ["team"], "counters")
+    flat = F.transform(F.map_entries("counters"), lambda x: F.array_join(F.transform(F.map_entries(x["value"]), lambda y: F.concat(x["key"], F.lit("/"), y["key"], F.lit("="), y["value"].cast("string"))), " "))
+    return told.select("team", F.array_join(flat, " ").alias("counters"))
+
+
+# Each turn of a conversation as a claim that cites the facts of the two turns before it; observations are planted in claims and facts by turn.
+_OBSERVED = ("has a cough; no fever", "denies wheezing and sweating", "dyspnea but no cough", "may have fever", "onset speed noted", "palpitations not reported", "fever and no cough")
+_GIVEN = ("Do you have a fever = no", "cough", "How fast did the onset appear = 4", "Are you short of breath, dyspnea = yes", "no wheezing", "palpitations = unknown", "sweating and cough = 3")
+_pick = lambda of, i: "[" + ", ".join(f"'{x}'" for x in of) + f"][(({i}) % {len(of)} + 1)::INT]"
+
+
+def _regex_sql(names: str, column: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, '{p}', 'i') THEN '{k}' END" for k, p in ev.OBSERVATIONS.items()) + f"], lambda x: x IS NOT NULL) AS {names}"
+
+
+@query("f26_reference_checks", rf"""WITH f AS (SELECT conv_id, turn, split_part(text, chr(10), 1) || '. ' || {_pick(_GIVEN, 'conv_id + 2 * turn')} AS x FROM conversations),
+fa AS (SELECT conv_id, turn, x, contains(x, ' = ') AS asked, lower(trim(x[instr(x, ' = ') + 3:])) AS a, {_regex_sql('o', 'x')} FROM f),
+fc AS (SELECT conv_id, turn, CASE WHEN asked AND regexp_full_match(a, '[+-]?\d+(\.\d+)?') THEN list_filter(o, lambda n: n IN ('onset_score', 'localization_score')) ELSE o END AS cs,
+  CASE WHEN asked THEN CASE WHEN a IN ('no', 'none', 'nowhere') THEN 'negative' WHEN a IN ('unknown', '', 'not reported') THEN 'unknown' ELSE 'positive' END WHEN regexp_matches(x, '{ev.UNKNOWN}', 'i') THEN 'unknown' WHEN regexp_matches(x, '{ev.NEGATIVE}', 'i') THEN 'negative' ELSE 'positive' END AS pol FROM fa),
+cl AS (SELECT conv_id, turn, split_part(text, chr(10), 1) || '. ' || {_pick(_OBSERVED, 'conv_id + turn')} AS x, [r FOR r IN [turn - 1, turn - 2] IF r >= 0 AND conv_id % 6 <> 0] AS refs FROM conversations),
+pt AS (SELECT conv_id, turn, refs, unnest(l) AS c, unnest(range(len(l))) AS no FROM (SELECT conv_id, turn, refs, CASE WHEN len(refs) = 0 THEN [x] ELSE list_filter(string_split(translate(replace(replace(replace(x, ' and no ', ' .no '), ' and denies ', ' .denies '), ' but ', ' . '), ';' || chr(10), '..'), '.'), lambda y: trim(y) <> '') END AS l FROM cl)),
+cc AS (SELECT *, CASE WHEN regexp_matches(c, '{ev.UNKNOWN}', 'i') THEN 'unknown' WHEN regexp_matches(c, '{ev.NEGATIVE}', 'i') THEN 'negative' ELSE 'positive' END AS pol, {_regex_sql('o', 'c')}, len(refs) > 0 AND NOT regexp_matches(c, '{ev.INVOLVED}', 'i') AS open FROM pt),
+nm AS (SELECT conv_id, turn, refs, no, pol, unnest(CASE WHEN open AND len(o) > 0 THEN o ELSE [NULL] END) AS concept FROM cc),
+ck AS (SELECT nm.*, EXISTS (SELECT 1 FROM fc WHERE fc.conv_id = nm.conv_id AND list_contains(refs, fc.turn) AND list_contains(cs, concept)) AS any_, EXISTS (SELECT 1 FROM fc WHERE fc.conv_id = nm.conv_id AND list_contains(refs, fc.turn) AND list_contains(cs, concept) AND fc.pol = nm.pol) AS fit FROM nm)
+SELECT conv_id AS case_id, turn AS claim_no, no::INT AS clause_no, concept, CASE WHEN concept IS NULL THEN 'unassessed' WHEN fit THEN 'consistent' ELSE 'mismatch' END AS result, CASE WHEN concept IS NULL THEN NULL WHEN fit THEN 'concept_and_polarity_match' WHEN any_ THEN 'patient_reference_polarity_mismatch' ELSE 'patient_reference_concept_mismatch' END AS reason FROM ck""")
+def reference_checks(spark, sf):
+    """Observations of claims against the facts they cite, answers and all."""
+    c, k, turn = t(spark, sf, "conversations"), F.col("conv_id"), F.col("turn")
+    planted = lambda of, i: F.concat(F.get(F.split("text", "\n", 2), 0), F.lit(". "), F.element_at(F.array(*map(F.lit, of)), (i % len(of) + 1).cast("int")))
+    ref = lambda n: F.concat(F.lit("turn:"), n.cast("string"))
+    facts = c.select(k.alias("case_id"), ref(turn).alias("ref"), planted(_GIVEN, k + 2 * turn).alias("text"))
+    refs = F.when(k % 6 != 0, F.transform(F.filter(F.array(turn - 1, turn - 2), lambda x: x >= 0), ref)).otherwise(F.array().cast("array<string>"))
+    claims = c.select(k.alias("case_id"), turn.alias("claim_no"), planted(_OBSERVED, k + turn).alias("text"), refs.alias("refs"))
+    return ev.reference_checks(claims, facts)
+
+
+@query("u1_sql_surface", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(0, ceil((len(ws) - 180) / 150.0))::INT + 1 END)) AS i FROM w)
+SELECT doc_id, count(*) AS windows, max(i)::INT AS last_index, md5(string_agg(array_to_string(ws[i * 150 + 1:i * 150 + 180], ' '), '|' ORDER BY i)) AS digest FROM i GROUP BY doc_id""")
+def sql_surface(spark, sf):
+    """Word windows by a table function with LATERAL, over normalised text, in SQL."""
+    fsql.register(spark)
+    docs = t(spark, sf, "documents")
+    return spark.sql(
+        """SELECT doc_id, count(*) AS windows, max(w.index) AS last_index, md5(cast(array_join(transform(array_sort(collect_list(struct(w.index, w.text))), x -> x.text), '|') AS binary)) AS digest
+        FROM {docs} d, LATERAL word_windows(d.text, 180, 150) w GROUP BY doc_id""",
+        docs=docs,
+    )
+
+
+@query("u2_sql_pages", "SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]')) > 0 AS headed, len(regexp_extract_all(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '[a-z0-9]+')) > 0 AS titled FROM pages")
+def sql_pages(spark, sf):
+    """Sections of pages and tokens of their titles by registered functions, in SQL."""
+    fsql.register(spark)
+    return spark.sql(
+        """SELECT page_id, exists(html_sections(html), s -> s.title <> '') AS headed, size(tokenize_catalog(normalize_nfkc(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)))) > 0 AS titled FROM {pages}""",
+        pages=t(spark, sf, "pages"),
+    )

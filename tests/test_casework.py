@@ -77,3 +77,57 @@ def test_hybrid(spark):
     assert roles[1, "symptoms"] == (10, "strength") and roles[3, "symptoms"] == (11, "strength") and roles[1, "history"][1] == "strength"
     # no history query found the kidney asthma record, and it has no vector: the least id
     assert roles[4, "history"] == (12, "dense") and roles[4, "symptoms"] == (11, "strength")
+
+
+def test_pointers(spark):
+    from siftstone.functions import pointers as P
+
+    doc = '{"a/b": {"m~n": ["x y", {"deep": "y"}], "0": "zero"}, "": "e", "n": 3, "none": null, "q\\"\'": "k"}'
+    want = {
+        ("/a~1b/m~0n/0", "x y"): None, ("/a~1b/m~0n/1/deep", "y"): None, ("/a~1b/0", "er"): None, ("/", "e"): None, ("/q\"'", "k"): None, ("/a~1b/m~0n/0", "z"): "not_quoted", ("/a~1b/m~0n/0", " "): "not_quoted",
+        ("", "e"): "invalid_pointer", ("n", "3"): "invalid_pointer", ("/a~b", "x"): "invalid_pointer", (None, "x"): "invalid_pointer", ("/n", "3"): "not_a_string", ("/none", "x"): "not_a_string", ("/a~1b", "x"): "not_a_string",
+        ("/a~1b/m~0n/00", "x"): "unknown_pointer", ("/a~1b/m~0n/2", "x"): "unknown_pointer", ("/a~1b/m~0n/-", "x"): "unknown_pointer", ("/n/0", "x"): "unknown_pointer", ("/a~1b/", "x"): "unknown_pointer", ("/a~01b", "x"): "unknown_pointer",
+    }
+    rows = spark.createDataFrame([(doc, p, x) for p, x in want], "j string, p string, x string").select(F.parse_json("j").alias("d"), "p", "x")
+    assert {(r.p, r.x): r.fault for r in rows.select("p", "x", P.quote_fault("d", "p", "x").alias("fault")).collect()} == want
+
+
+def test_merged_counters(spark):
+    from siftstone.operators import evaluation as E
+
+    flat = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"b": 5}), (1, None), (2, {}), (3, {"c": None})], "k int, c map<string,bigint>")
+    assert {r.k: r.c for r in E.merged_counters(flat, ["k"], "c").collect()} == {1: {"a": 1, "b": 7}, 2: {}, 3: {"c": None}}
+    deep = spark.createDataFrame([(1, {"x": {"a": 1}, "y": {}}), (1, {"x": {"a": 2, "b": 1}})], "k int, c map<string,map<string,bigint>>")
+    assert E.merged_counters(deep, ["k"], "c").first().c == {"x": {"a": 3, "b": 1}, "y": {}}
+
+
+def test_reference_checks(spark):
+    from siftstone.operators import evidence as E
+
+    facts = [("p:0", "Do you have a cough? = yes"), ("p:1", "fever = No"), ("p:2", "How fast did it appear = 7"), ("p:3", "no wheezing"), ("p:4", "sweating = 2"), ("p:5", None), ("p:6", "palpitations = not reported")]
+    one = spark.createDataFrame(facts, "r string, t string").select("r", E.fact_concepts(F.col("t")).alias("f"))
+    told = {r.r: (r.f.concepts, r.f.polarity) for r in one.collect()}
+    assert told == {"p:0": (["cough"], "positive"), "p:1": (["fever"], "negative"), "p:2": (["onset_score"], "recorded"), "p:3": (["wheezing"], "negative"), "p:4": ([], "recorded"), "p:5": ([], "unknown"), "p:6": (["palpitations"], "unknown")}
+    claims = [
+        (1, "Cough; no fever and denies wheezing", ["p:0", "p:1", "p:3"]), (2, "fever", ["p:1"]), (3, "dyspnea and cough", ["p:0"]), (4, "rapid onset speed", ["p:2"]), (5, "cough", ["who:1"]), (6, "may cough. Tired", ["p:0"]), (7, "sweating", ["p:4"]),
+    ]
+    c = spark.createDataFrame([(0, *x) for x in claims], "case_id int, claim_no int, text string, refs array<string>")
+    f = spark.createDataFrame([(0, *x) for x in facts] + [(9, "who:1", "cough")], "case_id int, ref string, text string")
+    got = sorted((r.claim_no, r.concept or "", r.result, (r.reason or "")[-17:]) for r in E.reference_checks(c, f).collect())
+    match, polarity, concept = "ity_match", "polarity_mismatch", "_concept_mismatch"
+    assert [(a, b, d) for a, b, d, _ in got] == [
+        (1, "cough", "consistent"), (1, "fever", "consistent"), (1, "wheezing", "consistent"), (2, "fever", "mismatch"), (3, "cough", "consistent"), (3, "dyspnea", "mismatch"), (4, "onset_score", "consistent"),
+        (5, "", "unassessed"), (6, "", "unassessed"), (6, "", "unassessed"), (7, "sweating", "mismatch"),
+    ]
+    reasons = {(a, b): r for a, b, _, r in got}
+    assert reasons[1, "cough"].endswith(match) and reasons[2, "fever"] == polarity and reasons[3, "dyspnea"].endswith(concept[1:])
+
+
+def test_sql_surface(spark):
+    from siftstone.functions import sql
+
+    sql.register(spark)
+    got = spark.sql("SELECT k, w.index, w.text FROM VALUES (1, 'a b c d e'), (2, ''), (3, NULL), (4, 'x') AS t(k, s), LATERAL word_windows(s, 3, 2) w ORDER BY k, w.index").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a b c"), (1, 1, "c d e"), (4, 0, "x")]
+    r = spark.sql("SELECT normalize_nfkc('Ａsthma  x') AS a, tokenize_catalog('Café STRASSE_2') AS b, html_sections('<h1>A</h1><p>x') AS c, normalize_nfkc(NULL) AS d").first()
+    assert (r.a, r.b, [tuple(x) for x in r.c], r.d) == ("Asthma x", ["cafe", "strasse", "2"], [("A", "x")], None)
