@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions import text as tx
+
 DEPTHS = (5, 10, 20, 50)
 
 
@@ -100,3 +102,42 @@ def merged_counters(df: DataFrame, by: list[str], counter: str) -> DataFrame:
     if nested:
         sums = sums.groupBy(*by, "__outer").agg(entries("__inner", "__count").alias("__count"))
     return sums.groupBy(*by).agg(entries("__outer", "__count").alias(counter))
+
+
+def hypotheses(diagnosis: Column) -> Column:
+    """The primary hypothesis, where there is one, and the differential ones after it."""
+    return F.concat(F.array_compact(F.array(diagnosis["primary"])), F.coalesce(diagnosis["differential"], F.array().cast("array<void>")))
+
+
+def cited(diagnosis: Column) -> Column:
+    """References of all claims of a diagnosis in order: of each hypothesis its rationale, what supports it and what contradicts it, then treatment."""
+    refs = lambda claims: F.flatten(F.transform(claims, lambda c: c["refs"]))
+    return F.concat(F.flatten(F.transform(hypotheses(diagnosis), lambda h: F.concat(h["rationale"]["refs"], refs(h["supporting"]), refs(h["contradicting"])))), F.coalesce(refs(diagnosis["treatment"]), F.array().cast("array<string>")))
+
+
+def case_measures(cases: DataFrame, top_k: int = 5) -> DataFrame:
+    """Measures of each case; null is what could not be measured, never a miss.
+
+    cases: case_id, status, truth, diagnosis (struct of primary, differential, treatment, unsupported; null where none was accepted), critique (struct of arrays; null
+    where there is none), and the three kinds of ids that a claim may cite: facts, patient_cases, knowledge. Conditions are equal but for case and white space.
+    """
+    d, norm = F.col("diagnosis"), lambda c: F.lower(tx.clean(c))
+    told = cases.withColumn("__h", F.when(d.isNotNull(), hypotheses(d))).withColumn("__refs", F.coalesce(F.when(d.isNotNull(), cited(d)), F.array().cast("array<string>")))
+    told = told.withColumn("__p", F.array_distinct(F.transform("__h", lambda h: norm(h["condition"])))).withColumn("__t", F.nullif(norm(F.col("truth")), F.lit("")))
+    none = F.array().cast("array<string>")
+    allowed = F.concat(*[F.coalesce(c, none) for c in ("facts", "patient_cases", "knowledge")])
+    told = told.withColumn("__ok", F.size(F.filter("__refs", lambda r: F.array_contains(allowed, r))))
+    n, done = F.size("__refs"), F.col("status") == "success"
+    measurable = F.coalesce(F.col("__t").isNotNull() & (F.size("__p") > 0), F.lit(False))
+    first = norm(d["primary"]["condition"]) == F.col("__t")
+    among = F.array_contains(F.slice("__p", 1, top_k), F.col("__t"))
+    scored = F.col("__t").isNotNull() & d.isNotNull()
+    flags = ["unsupported_points", "contradictions", "missing_evidence", "hallucination_flags", "safety_flags"]
+    count = lambda f: F.size(F.coalesce(F.col("critique")[f], none))
+    when_critic = lambda c: F.when(F.col("critique").isNotNull(), c)
+    return told.select(
+        "case_id", measurable.alias("measurable"), F.when(measurable & d["primary"].isNotNull(), first).alias("accepted_primary_match"), F.when(measurable, among).alias("accepted_top_k_match"),
+        F.when(d.isNull(), "no_accepted_diagnosis").when(F.size("__p") == 0, "accepted_abstention").alias("note"), F.when(scored, done & F.coalesce(first, F.lit(False))).alias("primary_match"), F.when(scored, done & F.coalesce(among, F.lit(False))).alias("top_k_match"),
+        n.alias("citations"), F.col("__ok").alias("valid_citations"), F.when(n > 0, F.round(F.col("__ok") / n, 9)).alias("coverage"), (n - F.col("__ok")).alias("hallucinated"), F.when(d.isNotNull(), F.size(F.coalesce(d["unsupported"], none))).alias("unsupported"),
+        when_critic(count("hallucination_flags")).alias("critic_hallucinations"), when_critic(sum((count(f) for f in flags), F.lit(0))).alias("critic_flags"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,3 +25,48 @@ def round_robin(df: DataFrame, by: list[str], role: str, order: Column, role_ord
     """Adds turn: the first of every role, then the second of every role, and so on."""
     nth = F.row_number().over(Window.partitionBy(*by, role).orderBy(order))
     return df.withColumn("__n", nth).withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("__n", role_order))).drop("__n")
+
+
+PRESERVED = "case_id {id}, query string, baseline string, outcome string, tokens int, included array<string>, added array<string>, omitted array<string>"
+
+
+def merged_answers(facts: list[tuple[str, str, str | None]]) -> str:
+    """One entry for each question in order of its first fact (text, short question, answer): its answers joined by bars; facts without an answer stand as they are."""
+    entries: dict[tuple, list] = {}
+    for text, short, answer in facts:
+        entries.setdefault((text.partition(" = ")[0], answer is None), []).append((text, short, answer))
+    return "; ".join(e[0][0] if e[0][2] is None else f"{e[0][1]} = {' | '.join(a for _, _, a in e)}" for e in entries.values())
+
+
+def preserving(facts: DataFrame, tokens: Callable[[str], int], most_tokens: int = 256, most_chars: int = 4000) -> DataFrame:
+    """PRESERVED for facts (case_id, pos, text, short, history): the baseline query of each case, and what merging its answers leaves room for.
+
+    The baseline is a plain walk: a fact joins where all taken so far and it fit both budgets, and what does not fit is passed over. Its facts are mandatory. Their merged form is
+    tried next: where that does not fit, the baseline stays as it was (outcome baseline_retained); else facts that the baseline lacks join in order, history first, while
+    the merged form fits (extended, or compressed where none does). A case's facts are few; they meet in one task, cases do not.
+    """
+    fits = lambda text: len(text) <= most_chars and tokens(text) <= most_tokens
+
+    def walk(taken: list[int], waiting: list[int], text: Callable[[list[int]], str]) -> list[int]:
+        for i in waiting:
+            if fits(text([*taken, i])):
+                taken = [*taken, i]
+        return taken
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos").drop_duplicates("text")
+        rows = [(t, s, a if pd.notna(a) else None) for t, s, a in zip(frame["text"], frame["short"], frame["answer"], strict=True)]
+        history = frame["history"].tolist()
+        plain, merged = (lambda at: "; ".join(rows[i][0] for i in at)), (lambda at: merged_answers([rows[i] for i in at]))
+        mandatory = walk([], list(range(len(rows))), plain)
+        baseline, taken, outcome = plain(mandatory), mandatory, "baseline_retained"
+        query = baseline
+        if fits(merged(mandatory)):
+            taken = walk(mandatory, sorted(set(range(len(rows))) - set(mandatory), key=lambda i: (not history[i], i)), merged)
+            query, outcome = merged(taken), "extended" if len(taken) > len(mandatory) else "compressed"
+        texts = lambda at: [rows[i][0] for i in at]
+        left = [i for i in range(len(rows)) if i not in taken]
+        return pd.DataFrame([(key[0], query, baseline, outcome, tokens(query), texts(taken), texts(taken[len(mandatory):]), texts(left))], columns=[c.split()[0] for c in PRESERVED.split(", ")])
+
+    answer = F.get(F.split("text", " = ", 2), 1).alias("answer")
+    return facts.select("case_id", "pos", "text", "short", "history", answer).groupBy("case_id").applyInPandas(one, PRESERVED.format(id=facts.schema["case_id"].dataType.simpleString()))

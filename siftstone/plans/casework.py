@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from siftstone.functions import pointers as pt
 from siftstone.functions import sql as fsql
 from siftstone.functions import text as tx
+from siftstone.operators import assessment as sa
 from siftstone.operators import evaluation as em
 from siftstone.operators import evidence as ev
 from siftstone.operators import hybrid as hy
+from siftstone.operators import packing as pk
 from siftstone.operators import planning as pl
 from siftstone.operators import ranking as rk
 from siftstone.operators import sections as se
 from siftstone.plans.base import query, t
 from siftstone.plans.retrieval import BM25_SQL, _bm25
+from siftstone.streaming import reviews as rv
 
 # Documents as sources with four header lines. Of every four, one has first-level headings over every third line, one second-level ones,
 # one both, one none but blank lines. The quotes of a document are its second line and its last; every seventh has one with a tail that stands nowhere.
@@ -104,7 +107,7 @@ def ignored_facts(spark, sf):
 
 
 @query("l5_observed_facts", _FACTS_SQL + """, x AS (SELECT conv_id, fo, turn, fact_id, unnest(cs) AS concept, unnest(range(len(cs))) AS nth, CASE WHEN field = 'antecedents' THEN 'history' ELSE 'symptoms' END AS kind FROM g WHERE NOT odd),
-y AS (SELECT conv_id, kind, concept, min((fo, turn, nth)) AS first, array_to_string(list_distinct(list(fact_id ORDER BY fo, turn, nth)), '') AS any_, list(fact_id ORDER BY fo, turn, nth) AS ids FROM x GROUP BY ALL)
+y AS (SELECT conv_id, kind, concept, min((fo, turn, nth)) AS first, list(fact_id ORDER BY fo, turn, nth) AS ids FROM x GROUP BY ALL)
 SELECT conv_id AS case_id, kind, (row_number() OVER (PARTITION BY conv_id, kind ORDER BY first) - 1)::INT AS pos, concept, array_to_string(ids, ' ') AS fact_ids FROM y""")
 def observed_facts(spark, sf):
     """Concepts of each case by kind, in order of first sight, with every fact that names them."""
@@ -304,3 +307,134 @@ def sql_pages(spark, sf):
         """SELECT page_id, exists(html_sections(html), s -> s.title <> '') AS headed, size(tokenize_catalog(normalize_nfkc(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)))) > 0 AS titled FROM {pages}""",
         pages=t(spark, sf, "pages"),
     )
+
+
+# Each conversation as a run: its turns are what hypotheses cite, assistants' turns being medical evidence; flags and categories are planted by id.
+_RUN_SQL = """WITH c AS (SELECT conv_id AS run, list('t' || turn ORDER BY turn) AS refs, coalesce(list('t' || turn) FILTER (role = 'assistant'), []) AS medical FROM conversations GROUP BY 1),
+r AS (SELECT *, CASE WHEN run % 6 = 0 THEN 2 ELSE 0 END AS flags, (CASE WHEN len(list_filter(list_transform([refs[1]], lambda x: x), lambda x: list_contains(medical, x))) = 0 THEN 1 ELSE 0 END)
+  + (CASE WHEN run % 4 = 1 AND len(list_filter(refs[2:3], lambda x: list_contains(medical, x))) = 0 THEN 1 ELSE 0 END) + (CASE WHEN run % 4 = 2 THEN 1 ELSE 0 END) AS bare,
+  CASE WHEN run % 6 = 0 THEN 0 ELSE (run % 3 = 1)::INT * 2 + (run % 5 = 2)::INT + (run % 7 = 3)::INT END AS semantic, run % 6 = 0 OR run % 3 = 1 AS blocks FROM c),
+a AS (SELECT *, flags + bare + semantic AS n, CASE WHEN blocks THEN 'BLOCK' WHEN flags + bare + semantic > 0 THEN 'HUMAN_REVIEW' ELSE 'CONTINUE' END AS decision FROM r)"""
+
+
+def _runs(spark, sf):
+    c = t(spark, sf, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("ref"), "role")))
+    runs = c.groupBy(F.col("conv_id").alias("run")).agg(turns.alias("turns"))
+    k, none = F.col("run"), F.array().cast("array<string>")
+    refs, medical = F.transform("turns", lambda x: x["ref"]), F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["ref"])
+    hypothesis = lambda path, condition, *claims: F.struct(F.lit(path).alias("path"), F.lit(condition).alias("condition"), F.array(*[F.struct(x.alias("refs")) for x in claims]).alias("claims"))
+    hyps = F.array_compact(F.array(
+        hypothesis("/primary_hypothesis", "first", F.slice(refs, 1, 1), none), F.when(k % 4 == 1, hypothesis("/differential_diagnoses/0", "second", none, F.slice(refs, 2, 2))),
+        F.when(k % 4 == 2, hypothesis("/differential_diagnoses/0", "third", none, none)),
+    ))
+    entry = lambda x: F.struct(F.lit("/a").alias("path"), F.lit(x).alias("excerpt"), F.array(F.lit("t0")).alias("refs"))
+    category = lambda name, result, *entries: F.struct(F.lit(name).alias("category"), result.alias("result"), (F.array(*entries) if entries else F.array().cast("array<struct<path:string,excerpt:string,refs:array<string>>>")).alias("entries"))
+    issue = lambda test, what="issue_identified": F.when(test, what).otherwise("no_issue_identified")
+    cats = F.array(category("prohibited_action", issue(k % 3 == 1), entry("x"), entry("y")), category("unsupported_certainty", issue(k % 5 == 2)), category("unsafe_delay", issue(k % 7 == 3, "uncertain")))
+    return runs.select("run", F.when(k % 6 == 0, F.array(F.lit("stop"), F.lit(" "))).otherwise(none).alias("flags"), hyps.alias("hypotheses"), medical.alias("medical"), F.when(k % 6 != 0, cats).alias("categories"))
+
+
+@query("t9_t11_assessments", _RUN_SQL + """ SELECT run, n AS findings, decision, CASE WHEN flags > 0 THEN 'skipped_critic_block' ELSE 'completed' END AS semantic_status,
+ concat_ws(',', CASE WHEN flags > 0 THEN 'critic_safety_flags' END, CASE WHEN bare > 0 THEN 'missing_medical_reference' END, CASE WHEN flags = 0 AND run % 3 = 1 THEN 'prohibited_action' END, CASE WHEN flags = 0 AND run % 7 = 3 THEN 'unsafe_delay' END, CASE WHEN flags = 0 AND run % 5 = 2 THEN 'unsupported_certainty' END) AS reasons FROM a""")
+def assessments(spark, sf):
+    """Findings of each run's nested claims, flags and categories, folded to a decision."""
+    a = F.col("assessment")
+    return sa.assess(_runs(spark, sf)).select("run", F.size(a["findings"]).alias("findings"), a["decision"].alias("decision"), a["semantic_status"].alias("semantic_status"), F.array_join(a["reasons"], ",").alias("reasons"))
+
+
+@query("t11_forged_assessments", _RUN_SQL + """, f AS (SELECT run, concat_ws(',', CASE WHEN run % 8 = 5 AND flags > 0 THEN 'semantic_status' END, CASE WHEN (run % 8 = 2 AND n > 0) OR (run % 8 = 4 AND blocks) THEN 'findings' END,
+ CASE WHEN (run % 8 = 1 AND decision <> 'CONTINUE') OR (run % 8 = 4 AND decision <> 'HUMAN_REVIEW') THEN 'decision' END, CASE WHEN run % 8 = 3 AND n > 0 THEN 'reasons' END) AS fields FROM a)
+SELECT run, CASE WHEN run % 40 = 7 THEN 'unreadable' WHEN run % 40 = 15 THEN 'missing' ELSE fields END AS fields FROM f WHERE fields <> '' OR run % 40 IN (7, 15)""")
+def forged_assessments(spark, sf):
+    """Stored assessments, some of them made more permissive or shorter than their input says."""
+    runs = _runs(spark, sf)
+    a, k = F.col("assessment"), F.col("run")
+    mild = F.transform(a["findings"], lambda f: f.withField("disposition", F.lit("HUMAN_REVIEW")))
+    findings = F.when((k % 8 == 2) & (F.size(a["findings"]) > 0), F.slice(a["findings"], F.lit(1), F.greatest(F.size(a["findings"]) - 1, F.lit(0)))).when(k % 8 == 4, mild).otherwise(a["findings"])
+    told = F.struct(
+        F.when(k % 8 == 3, F.array().cast("array<string>")).otherwise(a["reasons"]).alias("reasons"), findings.cast(sa.FINDINGS).alias("findings"),
+        F.when(k % 8 == 1, "CONTINUE").when(k % 8 == 4, "HUMAN_REVIEW").otherwise(a["decision"]).alias("decision"), F.when(k % 8 == 5, "completed").otherwise(a["semantic_status"]).alias("semantic_status"),
+    )
+    stored = sa.assess(runs).filter(k % 40 != 15).select("run", F.when(k % 40 == 7, "{not json").otherwise(F.to_json(told)).alias("assessment"))
+    return sa.forged(runs, stored, "run").select("run", F.array_join("fields", ",").alias("fields"))
+
+
+# Each conversation as an evaluated case: hypotheses cite its turns; what may be cited and what was accepted is planted by id.
+_CASE_SQL = """WITH c AS (SELECT conv_id AS k, list('t' || turn ORDER BY turn) AS refs, count(*) AS n FROM conversations GROUP BY 1),
+d AS (SELECT *, k % 7 <> 0 AS has, k % 5 <> 0 AS prim, k % 9 = 4 AS abst, CASE WHEN k % 11 <> 0 THEN ['flu', 'severe asthma', 'cold'][k % 3 + 1] END AS truth, k % 4 <> 0 AS good FROM c),
+e AS (SELECT *, CASE WHEN NOT has THEN NULL WHEN abst THEN [] ELSE CASE WHEN NOT prim OR k % 4 % 3 = 1 THEN ['cold', 'flu'] WHEN k % 4 % 3 = 0 THEN ['flu', 'cold'] ELSE ['severe asthma', 'cold', 'flu'] END END AS p,
+ CASE WHEN NOT has THEN [] WHEN abst THEN ['x'] ELSE CASE WHEN prim THEN refs || ['x'] || refs[1:1] ELSE [] END || refs[2:2] || refs[1:2] || ['x'] END AS cites FROM d),
+f AS (SELECT *, len(list_filter(cites, lambda r: r <> 'x' AND (k % 2 = 0 OR r IN ('t0', 't1')))) AS ok, has AND NOT abst AND truth IS NOT NULL AS m FROM e)"""
+
+
+@query("a13_case_measures", _CASE_SQL + """ SELECT k AS case_id, m AS measurable, CASE WHEN m AND prim THEN ['flu', 'cold', 'severe asthma'][k % 4 % 3 + 1] = truth END AS accepted_primary_match, CASE WHEN m THEN list_contains(p[1:2], truth) END AS accepted_top_k_match,
+ CASE WHEN NOT has THEN 'no_accepted_diagnosis' WHEN abst THEN 'accepted_abstention' END AS note, CASE WHEN has AND truth IS NOT NULL THEN good AND NOT abst AND prim AND ['flu', 'cold', 'severe asthma'][k % 4 % 3 + 1] = truth END AS primary_match,
+ CASE WHEN has AND truth IS NOT NULL THEN good AND list_contains(p[1:2], truth) END AS top_k_match, len(cites)::INT AS citations, ok::INT AS valid_citations, CASE WHEN len(cites) > 0 THEN round(ok / len(cites), 9) END AS coverage, (len(cites) - ok)::INT AS hallucinated,
+ CASE WHEN has THEN (k % 3)::INT END AS unsupported, CASE WHEN k % 6 <> 1 THEN (k % 2)::INT END AS critic_hallucinations, CASE WHEN k % 6 <> 1 THEN (k % 2 + 1)::INT END AS critic_flags FROM f""")
+def case_measures(spark, sf):
+    """Matches, citations and flags of each case; null where something cannot be measured."""
+    c = t(spark, sf, "conversations")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("r")))), lambda x: x["r"])
+    cases = c.groupBy(F.col("conv_id").alias("case_id")).agg(refs.alias("refs"))
+    k, r, none = F.col("case_id"), F.col("refs"), F.array().cast("array<string>")
+    claim = lambda x: F.struct(x.alias("refs"))
+    hyp = lambda condition, rationale, supporting, contradicting: F.struct(condition.alias("condition"), claim(rationale).alias("rationale"), F.array(claim(supporting)).alias("supporting"), F.array(claim(contradicting)).alias("contradicting"))
+    name = F.element_at(F.array(F.lit(" Flu"), F.lit("COLD "), F.lit("severe\n Asthma")), (k % 4 % 3 + 1).cast("int"))
+    abstains = k % 9 == 4
+    primary = F.when((k % 5 != 0) & ~abstains, hyp(name, r, F.array(F.lit("x")), F.slice(r, 1, 1)))
+    others = F.array(hyp(F.lit("cold"), F.slice(r, 2, 1), none, none), hyp(F.lit("FLU"), none, F.slice(r, 1, 2), none))
+    some = F.transform(F.sequence(F.lit(1), k % 3 + 1), lambda i: F.lit("u"))
+    diagnosis = F.struct(primary.alias("primary"), F.when(abstains, F.slice(others, 1, 0)).otherwise(others).alias("differential"), F.array(claim(F.array(F.lit("x")))).alias("treatment"), F.slice(some, F.lit(1), (k % 3).cast("int")).alias("unsupported"))
+    critique = F.struct(none.alias("unsupported_points"), F.array(F.lit("c")).alias("contradictions"), none.alias("missing_evidence"), F.when(k % 2 == 1, F.array(F.lit("h"))).otherwise(none).alias("hallucination_flags"), none.alias("safety_flags"))
+    truth = F.when(k % 11 != 0, F.element_at(F.array(F.lit("Flu"), F.lit("Severe  asthma"), F.lit("cold")), (k % 3 + 1).cast("int")))
+    told = cases.select(
+        "case_id", F.when(k % 4 != 0, "success").otherwise("partial").alias("status"), truth.alias("truth"), F.when(k % 7 != 0, diagnosis).alias("diagnosis"), F.when(k % 6 != 1, critique).alias("critique"),
+        F.slice(r, 1, 1).alias("facts"), F.slice(r, 2, 1).alias("patient_cases"), F.when(k % 2 == 0, r).otherwise(none).alias("knowledge"),
+    )
+    return em.case_measures(told, top_k=2)
+
+
+@query("w18_baseline_preserving")
+def baseline_preserving(spark, sf):
+    """Queries of cases under 24 pieces, a bar being four: the plain walk's facts stay, merged answers make room for more, or nothing changes."""
+    facts = _facts(spark, sf)
+    order = F.array_position(F.array(*map(F.lit, pl.FIELDS)), F.col("field")) * 100_000 + F.col("pos")
+    question = F.get(F.split("text", " = ", 2), 0)
+    short = F.when(F.col("pos") % 4 == 3, "Do you have b").otherwise("Do you have a")
+    # every third case has short forms that are longer than the questions
+    brief = F.when(F.col("case_id") % 3 == 0, F.concat(F.lit("whether the patient has at any time in the past noted "), short)).otherwise(tx.compact_question(short))
+    word = lambda n: F.coalesce(F.get(F.split(tx.clean(question), " "), n), F.lit("x"))
+    answer = F.get(F.split("text", " = ", 2), 1)
+    text = F.when(answer.isNotNull(), F.concat(short, F.lit(" = "), answer, F.lit(" "), word(1))).otherwise(F.concat_ws(" ", word(0), word(1), word(2)))
+    told = facts.select("case_id", order.alias("pos"), text.alias("text"), brief.alias("short"), (F.col("field") == "antecedents").alias("history"))
+    return pk.preserving(told.filter("text is not null"), lambda x: len(x.split()) + 3 * x.count(" | "), most_tokens=24)
+
+
+# Each conversation as a review session: what each turn does is planted by its number and the conversation's id, faults among it.
+_REVIEW_SQL = """WITH e AS (SELECT conv_id AS session, turn + 1 + (conv_id % 13 = 5 AND turn > 1)::INT AS seq, text, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 17 = 3 THEN 'REVIEW' ELSE 'OFFERED' END WHEN turn = 1 THEN CASE WHEN conv_id % 5 = 2 THEN 'INVALID_INPUT' ELSE 'REVIEW' END
+  WHEN turn = 2 THEN CASE conv_id % 4 WHEN 0 THEN 'INVALID_INPUT' WHEN 1 THEN 'APPROVE' WHEN 2 THEN 'REVIEW' ELSE 'DECLINE' END WHEN turn = 3 THEN 'APPROVE' ELSE 'REJECT' END AS event, (conv_id % 3 <> 0) <> (conv_id % 19 = 4 AND turn = 2) AS eligible FROM conversations),
+h AS (SELECT *, sha256(event || '|' || text) AS sha FROM e),
+r AS (SELECT *, CASE WHEN session % 11 = 6 AND seq = 2 THEN 'forged' ELSE lag(sha) OVER w END AS previous_sha, lag(sha) OVER w AS psha, lag(seq) OVER w AS pseq, lag(event) OVER w AS pev, first_value(eligible) OVER w AS el,
+  coalesce(max((event = 'REVIEW')::INT) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS rev FROM h WINDOW w AS (PARTITION BY session ORDER BY seq)),
+f AS (SELECT session, seq, event, CASE WHEN seq <> coalesce(pseq + 1, 1) THEN 'sequence' WHEN pev NOT IN ('OFFERED', 'REVIEW', 'INVALID_INPUT') THEN 'after_end' WHEN previous_sha IS DISTINCT FROM psha THEN 'hash' WHEN (event = 'OFFERED') <> (pseq IS NULL) THEN 'start' WHEN eligible <> el THEN 'identity'
+  WHEN event = 'REVIEW' AND rev THEN 'second_review' WHEN event IN ('APPROVE', 'REJECT') AND NOT rev THEN 'decision_without_review' WHEN event = 'DECLINE' AND rev THEN 'decline_after_review' WHEN event = 'APPROVE' AND NOT eligible THEN 'not_eligible' END AS fault FROM r)"""
+
+
+def review_records(spark, sf):
+    """Records of the planted sessions (RECORD)."""
+    from pyspark.sql.window import Window
+
+    k, turn = F.col("conv_id"), F.col("turn")
+    second = F.when(k % 4 == 0, "INVALID_INPUT").when(k % 4 == 1, "APPROVE").when(k % 4 == 2, "REVIEW").otherwise("DECLINE")
+    event = F.when(turn == 0, F.when(k % 17 == 3, "REVIEW").otherwise("OFFERED")).when(turn == 1, F.when(k % 5 == 2, "INVALID_INPUT").otherwise("REVIEW")).when(turn == 2, second).when(turn == 3, "APPROVE").otherwise("REJECT")
+    seq = turn + 1 + ((k % 13 == 5) & (turn > 1)).cast("int")
+    e = t(spark, sf, "conversations").select(k.alias("session"), seq.cast("long").alias("seq"), event.alias("event"), ((k % 3 != 0) != ((k % 19 == 4) & (turn == 2))).alias("eligible"), F.sha2(F.concat_ws("|", event, "text"), 256).alias("sha"))
+    before = F.lag("sha").over(Window.partitionBy("session").orderBy("seq"))
+    return e.withColumn("previous_sha", F.when((F.col("session") % 11 == 6) & (F.col("seq") == 2), "forged").otherwise(before))
+
+
+@query("t13_review_sessions", _REVIEW_SQL + """ SELECT session, seq, event, fault, CASE WHEN max((fault IS NOT NULL)::INT) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 THEN 'invalid' WHEN event = 'APPROVE' THEN 'approved' WHEN event = 'REJECT' THEN 'rejected' ELSE 'pending' END AS state FROM f""")
+def review_sessions(spark, sf):
+    """Each record of a review session with what is wrong with it, and where the session stands after it."""
+    return rv.review_faults(review_records(spark, sf))

@@ -304,4 +304,5 @@ def phrase_join(spark, sf):
     q = t(spark, sf, "benchmark").select("item_id", F.slice(w, 1, 3).alias("p")).withColumn("k", F.concat_ws(" ", F.get("p", 0), F.get("p", 1)))
     d = t(spark, sf, "documents").select("doc_id", w.alias("w"))
     pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b)))
-    return d.select("doc_id", "w", F.explode(pairs).alias("k")).join(q, "k").filter(tx.contains_phrase(F.col("w"), F.col("p"))).select("item_id", "doc_id")
+    met = d.select("doc_id", F.explode(pairs).alias("k")).join(q, "k").select("doc_id", "item_id", "p")
+    return met.join(d, "doc_id").filter(tx.contains_phrase(F.col("w"), F.col("p"))).select("item_id", "doc_id")

@@ -131,3 +131,79 @@ def test_sql_surface(spark):
     assert [tuple(r) for r in got] == [(1, 0, "a b c"), (1, 1, "c d e"), (4, 0, "x")]
     r = spark.sql("SELECT normalize_nfkc('Ａsthma  x') AS a, tokenize_catalog('Café STRASSE_2') AS b, html_sections('<h1>A</h1><p>x') AS c, normalize_nfkc(NULL) AS d").first()
     assert (r.a, r.b, [tuple(x) for x in r.c], r.d) == ("Asthma x", ["cafe", "strasse", "2"], [("A", "x")], None)
+
+
+def test_forged_assessments(spark):
+    from siftstone.operators import assessment as A
+
+    hyp = [("/primary_hypothesis", "flu", [(["m1"],), (None,)]), ("/differential_diagnoses/0", "cold", [(["p1"],)])]
+    cats = [("prohibited_action", "issue_identified", [("/a", "x", ["m1"]), ("/b", "y", None)]), ("unsafe_delay", "uncertain", []), ("safety_ambiguity", "no_issue_identified", [("/z", "z", None)])]
+    schema = "run int, flags array<string>, hypotheses array<struct<path:string,condition:string,claims:array<struct<refs:array<string>>>>>, medical array<string>, categories array<struct<category:string,result:string,entries:array<struct<path:string,excerpt:string,refs:array<string>>>>>"
+    runs = spark.createDataFrame([(1, [], hyp, ["m1"], cats), (2, ["a", " "], hyp[:1], ["m1"], None), (3, [], [], [], []), (4, None, None, None, None)], schema)
+    told = {r.run: r.assessment for r in A.assess(runs).collect()}
+    assert [f.finding_id for f in told[1].findings] == ["deterministic:medical:/differential_diagnoses/0", "semantic:prohibited_action:0", "semantic:prohibited_action:1", "semantic:unsafe_delay:0"]
+    assert [f.disposition for f in told[1].findings] == ["HUMAN_REVIEW", "BLOCK", "BLOCK", "HUMAN_REVIEW"] and told[1].decision == "BLOCK" and told[1].reasons == ["missing_medical_reference", "prohibited_action", "unsafe_delay"]
+    assert (told[2].semantic_status, told[2].decision, [f.path for f in told[2].findings]) == ("skipped_critic_block", "BLOCK", ["/safety_flags/0", None])
+    assert told[3].decision == "CONTINUE" and told[3].findings == [] and told[4].decision == "CONTINUE"
+    good = A.assess(runs).select("run", F.to_json("assessment").alias("assessment"))
+    assert A.forged(runs, good, "run").count() == 0
+    edited = good.withColumn("assessment", F.when(F.col("run") == 1, F.replace("assessment", F.lit('"BLOCK"'), F.lit('"CONTINUE"'))).when(F.col("run") == 2, "oops").when(F.col("run") == 3, F.replace("assessment", F.lit('"findings":[],'), F.lit("")))).filter("run < 4")
+    assert {r.run: r.fields for r in A.forged(runs, edited, "run").collect()} == {1: ["findings", "decision"], 2: ["unreadable"], 3: ["findings"], 4: ["missing"]}
+
+
+def test_baseline_preserving_packing(spark):
+    from siftstone.operators import packing as P
+
+    def packed(facts, most, count=lambda x: len(x.split())):
+        rows = [(1, i, t, s, h) for i, (t, s, h) in enumerate(facts)]
+        return P.preserving(spark.createDataFrame(rows, "case_id int, pos int, text string, short string, history boolean"), count, most).first()
+
+    facts = [("Do you have pain in = arm", "pain in", False), ("Do you have pain in = leg", "pain in", False), ("fever", "fever", False), ("cough", "cough", True), ("Do you have pain in = arm", "pain in", False)]
+    r = packed(facts, 14)
+    assert r.baseline == "Do you have pain in = arm; Do you have pain in = leg" and r.outcome == "extended" and r.query == "pain in = arm | leg; cough; fever" and r.added == ["cough", "fever"] and r.omitted == []
+    assert packed(facts[:2], 14).outcome == "compressed" and packed(facts[:2], 14).query == "pain in = arm | leg"
+    # a bar that costs more than it saves: the exact baseline, and nothing added
+    r = packed(facts, 14, lambda x: len(x.split()) + 20 * x.count("|"))
+    assert r.outcome == "baseline_retained" and r.query == r.baseline and r.added == [] and r.omitted == ["fever", "cough"]
+    # what does not fit is passed over, and later facts still join
+    r = packed([("a b c d e f", "x", False), ("g h i", "x", False), ("j", "j", False)], 4)
+    assert r.baseline == "g h i; j" and r.omitted == ["a b c d e f"]
+
+
+def test_case_measures_null_rules(spark):
+    from siftstone.operators import evaluation as E
+
+    hyp = "struct<condition:string,rationale:struct<refs:array<string>>,supporting:array<struct<refs:array<string>>>,contradicting:array<struct<refs:array<string>>>>"
+    schema = f"case_id int, status string, truth string, diagnosis struct<primary:{hyp},differential:array<{hyp}>,treatment:array<struct<refs:array<string>>>,unsupported:array<string>>, critique struct<unsupported_points:array<string>,contradictions:array<string>,missing_evidence:array<string>,hallucination_flags:array<string>,safety_flags:array<string>>, facts array<string>, patient_cases array<string>, knowledge array<string>"
+    h = lambda c, *refs: (c, (list(refs),), [], [])
+    rows = [
+        (1, "success", "FLU ", (h("Flu", "f", "bad"), [h("flu"), h("cold", "k")], [(["c"],)], ["u"]), ([], ["x"], [], ["y"], []), ["f"], ["c"], ["k"]),
+        (2, "partial", "flu", (h("cold"), [h("flu")], None, []), None, None, None, None), (3, "success", "flu", None, None, ["f"], None, None), (4, "success", None, (h("flu"), [], [], []), None, [], [], []), (5, "success", "flu", (None, [], [], []), None, [], [], []),
+        (6, "success", " ", (None, [h("flu")], [], []), None, [], [], []),
+    ]
+    got = {r.case_id: r for r in E.case_measures(spark.createDataFrame(rows, schema), top_k=1).collect()}
+    r = got[1]
+    assert (r.measurable, r.accepted_primary_match, r.primary_match, r.citations, r.valid_citations, r.coverage, r.hallucinated, r.unsupported, r.critic_flags, r.critic_hallucinations) == (True, True, True, 4, 3, 0.75, 1, 1, 2, 1)
+    assert (got[2].accepted_primary_match, got[2].accepted_top_k_match, got[2].primary_match, got[2].top_k_match, got[2].coverage, got[2].critic_flags) == (False, False, False, False, None, None)
+    assert (got[3].measurable, got[3].primary_match, got[3].note, got[3].unsupported, got[3].citations) == (False, None, "no_accepted_diagnosis", None, 0)
+    assert (got[4].measurable, got[4].primary_match, got[4].note) == (False, None, None) and (got[5].note, got[5].primary_match, got[5].accepted_primary_match) == ("accepted_abstention", False, None) and got[6].primary_match is None
+
+
+def test_review_sessions_as_batch_and_stream(spark, sf, tmp_path):
+    from siftstone.plans.casework import review_records
+    from siftstone.streaming import events, reviews
+
+    records = review_records(spark, sf)
+    want = sorted(tuple(r) for r in reviews.review_faults(records).collect())
+    faults = {r[3] for r in want}
+    assert {None, "hash", "start", "decision_without_review"} <= faults and any(r[4] == "approved" for r in want)
+    # a session's records come in several batches: state carries what the next one is held against
+    for name, part in (("a", "seq <= 1"), ("b", "seq > 1 and seq <= 3"), ("c", "seq > 3")):
+        records.filter(part).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(reviews.RECORD).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        got = events.drain(reviews.review_stream(stream), "reviews_out")
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
