@@ -101,40 +101,71 @@ def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return rows.select(F.col(key).cast("long"), vec.doubles(F.col(vector))).mapInArrow(work, _BLOCK)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
+def _meet(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str) -> DataFrame:
+    """Pairs of blocks of both sides; the queries' are broadcast up to SMALL bytes, beyond that blocks meet blocks without a broadcast."""
+    asked = _blocks(queries, query_key, query_vector, BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    told = _blocks(corpus, key, vector, BLOCK)
+    small = queries.select(F.sum(8 * F.size(F.col(query_vector)).cast("long") + 8).alias("n")).collect()[0]["n"] or 0
+    return told.crossJoin(F.broadcast(asked) if small <= SMALL else asked)
+
+
+def _scored(batches, measure: str):
+    """(ids, query ids, scores by query) of each pair of blocks."""
+    import numpy as np
+
+    for b in batches:
+        for row in range(b.num_rows):  # one pair of blocks in memory at a time
+            ids, vectors, qids, qvectors = (b.column(c)[row].as_py() for c in ("ids", "vectors", "qids", "qvectors"))
+            i, q = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
+            m, u = np.frombuffer(vectors, "<f8").reshape(len(i), -1), np.frombuffer(qvectors, "<f8").reshape(len(q), -1)
+            if measure == "cosine":
+                score = (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ m.T
+            else:
+                score = np.stack([((m - x) ** 2).sum(axis=1) for x in u])
+            yield i, q, np.round(score, PLACES) + 0.0
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", within: float | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact search of every query against every vector; scores have PLACES places, ties go by id.
 
-    cosine: dot product with the re-normalised query, larger first; l2: squared distance, smaller first. Both sides go as blocks of
-    vectors, and each pair of blocks is one matrix product that keeps the k best of a block for each query. The query
-    blocks are broadcast up to SMALL bytes; beyond that blocks meet blocks without a broadcast.
+    cosine: dot product with the re-normalised query, larger first; l2: squared distance, smaller first. Each pair of blocks is one matrix
+    product that keeps the k best of a block for each query; within drops scores beyond a gate there (below it for cosine, above it for l2).
     """
     import numpy as np
     import pyarrow as pa
 
-    asked = _blocks(queries, query_key, query_vector, BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    told = _blocks(corpus, key, vector, BLOCK)
-    small = queries.select(F.sum(8 * F.size(F.col(query_vector)).cast("long") + 8).alias("n")).collect()[0]["n"] or 0
-    pairs = told.crossJoin(F.broadcast(asked) if small <= SMALL else asked)
-
     def work(batches):
-        for b in batches:
-            for ids, vectors, qids, qvectors in zip(*(b.column(c).to_pylist() for c in ("ids", "vectors", "qids", "qvectors")), strict=True):
-                i, q = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                m, u = np.frombuffer(vectors, "<f8").reshape(len(i), -1), np.frombuffer(qvectors, "<f8").reshape(len(q), -1)
-                if measure == "cosine":
-                    score = (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ m.T
+        for i, q, score in _scored(batches, measure):
+            parts = []
+            for x, row in zip(q, score, strict=True):
+                if within is not None:
+                    at = np.flatnonzero(row >= within if measure == "cosine" else row <= within)
                 else:
-                    score = np.stack([((m - x) ** 2).sum(axis=1) for x in u])
-                score = np.round(score, PLACES) + 0.0
-                for x, row in zip(q, score, strict=True):
-                    best = np.lexsort((i, -row if measure == "cosine" else row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x)), pa.array(i[best]), pa.array(row[best])], names=["query_id", "vec_id", "score"])
+                    at = np.arange(len(row))
+                best = at[np.lexsort((i[at], -row[at] if measure == "cosine" else row[at]))[:k]]
+                parts.append((np.full(len(best), x), i[best], row[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["query_id", "vec_id", "score"])
 
+    pairs = _meet(corpus, queries, key, vector, query_key, query_vector)
     scored = pairs.mapInArrow(work, "query_id long, vec_id long, score double").select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score")
     order = F.desc("score") if measure == "cosine" else F.asc("score")
     return top(scored, [query_key], [order, F.asc(key)], k)
 
 
+def best_products(corpus: DataFrame, queries: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
+    """by (query_key or key), pairs, best: how many of the other side each row met, and its greatest cosine; one row a block leaves a task, never one a pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        for i, q, score in _scored(batches, "cosine"):
+            ids, axis = (q, 1) if by == query_key else (i, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), score.shape[axis])), pa.array(score.max(axis=axis))], names=["id", "pairs", "best"])
+
+    found = _meet(corpus, queries, key, vector, query_key, query_vector).mapInArrow(work, "id long, pairs long, best double")
+    return found.groupBy(F.col("id").alias(by)).agg(F.sum("pairs").alias("pairs"), F.max("best").alias("best"))
+
+
 def rrf(rankings: DataFrame, by: list[str], item: str, k: int = 60) -> DataFrame:
     """by, item, rrf, origins, fusion_rank of rankings (.., channel, rank): sums of 1 / (k + rank), added in order of (channel, rank)."""
     origins = F.array_sort(F.collect_list(F.struct("channel", "rank")))

@@ -160,23 +160,23 @@ def knn_l2_gate(spark, sf):
 @query("p14_distance_gate", f"SELECT q.vec_id AS query_id, e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND (round({_L2}, 9) <= 1.1 OR e.label = q.label AND e.vec_id % 50 = 0)")
 def distance_gate(spark, sf):
     v, q = _vectors(spark, sf)
-    pairs = rk.knn(v, q, None, "l2")
-    labels = v.select("vec_id", "label")
-    told = pairs.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-    exact = (F.col("label") == F.col("ql")) & (F.col("vec_id") % 50 == 0)
-    return told.filter((F.col("score") <= 1.1) | exact).select("query_id", "vec_id")
+    near = rk.knn(v, q, None, "l2", within=1.1).select("query_id", "vec_id")
+    # an exact look-up needs no distance: a join by label of the vectors that may be looked up
+    asked = v.select(F.col("vec_id").alias("query_id"), "label").join(q.select("query_id"), "query_id", "left_semi")
+    exact = v.filter("vec_id % 50 = 0").select("vec_id", "label").join(asked, "label").select("query_id", "vec_id")
+    return near.union(exact).distinct()
 
 
 @query("j4_query_by_corpus", f"WITH {_UNIT} SELECT query_id, count(*) AS pairs, round(max(list_dot_product(e.embedding::DOUBLE[], q.u)), 9) AS best FROM embeddings e, q GROUP BY query_id")
 def query_by_corpus(spark, sf):
     v, q = _vectors(spark, sf)
-    return rk.knn(v, q, None).groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("score"), 9).alias("best"))
+    return rk.best_products(v, q, "query_id")
 
 
 @query("a7_best_semantic_score", f"WITH {_UNIT} SELECT vec_id, round(max(list_dot_product(e.embedding::DOUBLE[], q.u)), 9) AS semantic FROM embeddings e, q GROUP BY vec_id")
 def best_semantic(spark, sf):
     v, q = _vectors(spark, sf)
-    return rk.knn(v, q, None).groupBy("vec_id").agg(F.round(F.max("score"), 9).alias("semantic"))
+    return rk.best_products(v, q, "vec_id").select("vec_id", F.col("best").alias("semantic"))
 
 
 @query("p11_vector_constraint", "SELECT count(*) AS vectors, count(*) FILTER (len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))) AS well_formed FROM embeddings")
