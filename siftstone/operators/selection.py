@@ -10,9 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from siftstone.functions import text as tx
+
 POOL = (
     "query_id string, chunk_id string, parent_id string, document_id string, section string, rrf double, symptoms_score double, history_score double, "
     "symptoms_ranking double, history_ranking double, history_query string, mismatch boolean, tokens array<string>"
@@ -198,19 +200,18 @@ def semantic_groups(facts: DataFrame) -> DataFrame:
 
 
 def diverse(features: DataFrame, k: int) -> list[int]:
-    """Row numbers of a max-min Jaccard choice from features (row_no, items); the first row is the anchor, ties go to the lower row.
+    """Row numbers of a max-min Jaccard choice from features (row_no, items); the least row is the anchor, ties go to the lower row.
 
-    The pool is a stated sample: at most ten thousand rows, checked.
+    Each of the k steps is one pass over the features that gives the row farthest from what is chosen: only chosen rows come to the driver.
     """
-    rows = features.orderBy("row_no").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a diversity sample of more than 10000 rows")
-    if not rows or k < 1:
-        return []
-    sets = [set(r["items"]) for r in rows]
-    chosen, nearest = [0], [1 - _overlap(s, sets[0]) for s in sets]
-    while len(chosen) < min(k, len(rows)):
-        best = max((i for i in range(len(rows)) if i not in chosen), key=lambda i: (nearest[i], -i))
+    chosen: list[Row] = []
+    while len(chosen) < k:
+        items = lambda c: F.array(*map(F.lit, c["items"])) if c["items"] else F.array().cast("array<string>")
+        apart = [1 - tx.jaccard(F.array_distinct("items"), F.array_distinct(items(c))) for c in chosen]
+        nearest = F.least(*apart) if len(apart) > 1 else apart[0] if apart else F.lit(0.0)
+        left = features.filter(~F.col("row_no").isin([c["row_no"] for c in chosen])) if chosen else features
+        best = left.agg(F.max_by(F.struct("row_no", "items"), F.struct(nearest.alias("d"), (-F.col("row_no")).alias("r"))).alias("b")).first()["b"]
+        if best is None:
+            break
         chosen.append(best)
-        nearest = [min(d, 1 - _overlap(s, sets[best])) for d, s in zip(nearest, sets, strict=True)]
-    return [rows[i]["row_no"] for i in chosen]
+    return [c["row_no"] for c in chosen]
