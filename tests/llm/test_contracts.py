@@ -149,4 +149,4 @@ def test_op10(spark, sf, texts):
 
 
 def test_every_query_has_a_name_of_the_list():
-    assert sorted(queries.QUERIES) == sorted([*(f"op{n}_{x}" for n, x in enumerate("near_dedup fingerprints packing language_id token_counts sentencepieces lm_scoring quality_rules html_extraction line_dedup".split(), 1)), "pipeline"])
+    assert sorted(queries.QUERIES) == sorted([*(f"op{n}_{x}" for n, x in enumerate("near_dedup fingerprints packing language_id token_counts sentencepieces lm_scoring quality_rules html_extraction line_dedup periodic_runs top_products source_divergence".split(), 1)), "pipeline"])
