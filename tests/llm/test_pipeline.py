@@ -89,7 +89,7 @@ def test_the_pipeline_is_its_stages(spark, sf):
 
 
 def test_queries_are_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_the_rest_does_not_import_the_subpackage():
