@@ -207,3 +207,45 @@ def test_review_sessions_as_batch_and_stream(spark, sf, tmp_path):
         assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_selection_log_holds_by_itself():
+    """Every event of a log against what the log itself says was taken before it."""
+    import random
+
+    import pandas as pd
+
+    from siftstone.operators import selection as S
+
+    rng = random.Random(7)
+    role_of = {"history": "history_", "symptoms": "symptoms_"}
+    for _ in range(60):
+        rows = []
+        for i in range(rng.randint(1, 12)):
+            sy, hi = rng.choice([None, -1.0, 0.0, 1.0, 2.0]), rng.choice([None, None, 0.5, 1.5, -2.0])
+            rows.append({
+                "query_id": "q", "chunk_id": f"c{i:02}", "parent_id": f"p{rng.randint(0, 8)}", "document_id": f"d{rng.randint(0, 3)}", "section": rng.choice(["A", "a ", "B", None]), "rrf": rng.choice([0.1, 0.2]), "symptoms_score": sy, "history_score": hi,
+                "symptoms_ranking": None if sy is None else sy + rng.choice([0, 0.3]), "history_ranking": None if hi is None else hi + rng.choice([0, 0.3]), "history_query": rng.choice([None, "h1", "h2"]), "mismatch": rng.choice([True, False]), "tokens": rng.sample("abcdefgh", rng.randint(0, 3)),
+            })
+        frame = pd.DataFrame(rows).astype({f"{r}_{c}": float for r in ("symptoms", "history") for c in ("score", "ranking")})
+        by, limit = {r["chunk_id"]: r for r in rows}, rng.randint(0, 5)
+        log = S.choose(frame, limit)
+        walks = [[e for e in log if e[1] == "symptoms"]]
+        n_history = sum(r["history_score"] is not None for r in rows)
+        history = [e for e in log if e[1] == "history"]
+        first = history[:n_history] if limit > 1 else []
+        assert len(history) == n_history * (2 if limit > 1 else 1) and len(walks[0]) == sum(r["symptoms_score"] is not None for r in rows)
+        taken: list[dict] = []
+        for k, (chunk, role, _, event) in enumerate(log):
+            r, room = by[chunk], 1 if k < len(first) else limit
+            alike = [len({*r["tokens"]} & {*o["tokens"]}) / max(1, len({*r["tokens"]} | {*o["tokens"]})) for o in taken]
+            want = [
+                len(taken) >= room and "limit", r[role_of[role] + "score"] <= 0 and "nonpositive", any(o["parent_id"] == r["parent_id"] for o in taken) and "section_taken",
+                sum(o["document_id"] == r["document_id"] for o in taken) >= 2 and "document_full", any(a >= 0.8 for a in alike) and "near_duplicate",
+            ]
+            assert event == next(filter(None, want), "selected")
+            if event == "selected":
+                taken.append(r)
+        for walk in (first, walks[0], history[len(first):]):
+            order = [(-by[c][role_of[role] + "ranking"], -by[c]["rrf"], c) for c, role, _, _ in walk]
+            assert order == sorted(order)
