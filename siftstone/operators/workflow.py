@@ -61,6 +61,27 @@ def first_breach(df: DataFrame, by: list[str], seq: str, over: Column) -> DataFr
     return df.groupBy(*by).agg(F.min(F.when(over, F.col(seq))).alias("breach"))
 
 
+def reserved(df: DataFrame, by: list[str], order: list[Column], cost: str, budget: float, most: int, reserve: float) -> DataFrame:
+    """df with calls and spent before each row, and refusal: why the call may not begin, null where it may.
+
+    A call needs `reserve` of the budget before it begins, whatever it will cost: spent + reserve > budget refuses it, as does a number of calls that has reached `most`.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    told = df.withColumn("calls", F.count("*").over(w)).withColumn("spent", F.round(F.coalesce(F.sum(cost).over(w), F.lit(0.0)), 4))
+    return told.withColumn("refusal", F.when(F.col("calls") >= most, "calls").when(F.col("spent") + reserve > budget, "reserve"))
+
+
+def stale_tickets(tickets: DataFrame, current: DataFrame, run: str, fields: list[str]) -> DataFrame:
+    """tickets with stale: the fields in which a ticket is not that of its run's current state (run, fields); `run` where the run has none.
+
+    A ticket holds where nothing is stale: equality of all fields, nulls being equal to nulls.
+    """
+    now = current.select(run, F.lit(True).alias("__known"), *[F.col(f).alias(f"__{f}") for f in fields])
+    met = tickets.join(now, run, "left")
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"__{f}")), f) for f in fields]))
+    return met.withColumn("stale", F.when(F.col("__known"), wrong).otherwise(F.array(F.lit("run")))).drop("__known", *[f"__{f}" for f in fields])
+
+
 def route(flags: Column, assessment: Column, issues: Column, hypotheses: Column, revision: Column, most: int = 2) -> Column:
     """(next_stage, outcome, reason) of a critique; flags, issues and hypotheses are counts."""
     to = lambda stage, outcome, reason: F.struct(F.lit(stage).alias("next_stage"), F.lit(outcome).cast("string").alias("outcome"), F.lit(reason).alias("reason"))

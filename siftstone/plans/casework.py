@@ -15,6 +15,7 @@ from siftstone.operators import packing as pk
 from siftstone.operators import planning as pl
 from siftstone.operators import ranking as rk
 from siftstone.operators import sections as se
+from siftstone.operators import workflow as wf
 from siftstone.plans.base import query, t
 from siftstone.plans.retrieval import BM25_SQL, _bm25
 from siftstone.streaming import reviews as rv
@@ -438,3 +439,26 @@ def review_records(spark, sf):
 def review_sessions(spark, sf):
     """Each record of a review session with what is wrong with it, and where the session stands after it."""
     return rv.review_faults(review_records(spark, sf))
+
+
+@query("t3_reserved_budget", """WITH b AS (SELECT event_id, count(*) OVER w AS calls, round(coalesce(sum(value) OVER w, 0), 4) AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, calls, spent, CASE WHEN calls >= 40 THEN 'calls' WHEN spent + 25 > 300 THEN 'reserve' END AS refusal FROM b""")
+def reserved_budget(spark, sf):
+    """Whether each call of a run could begin: with what it must have in reserve, and under the number of calls."""
+    e = t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return wf.reserved(e, ["user_id"], [F.asc("ts"), F.asc("event_id")], "value", 300.0, 40, 25.0).select("event_id", "calls", "spent", "refusal")
+
+
+@query("t8_stale_tickets", """WITH v AS (SELECT event_id, user_id, event_type, count(*) FILTER (event_type = 'signup') OVER w AS version, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER w AS input FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+n AS (SELECT user_id, max(version) AS version, arg_max(input, version) AS input FROM v WHERE user_id % 10 <> 3 GROUP BY 1)
+SELECT event_id, CASE WHEN n.user_id IS NULL THEN 'run' ELSE concat_ws(',', CASE WHEN v.version <> n.version THEN 'version' END, CASE WHEN v.input IS DISTINCT FROM n.input THEN 'input' END) END AS stale FROM v LEFT JOIN n USING (user_id) WHERE event_type = 'purchase'""")
+def stale_tickets(spark, sf):
+    """Tickets of purchases, the version and input of their run at that time, against the run's last; every tenth run is gone."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    signs = F.col("event_type") == "signup"
+    v = t(spark, sf, "events").withColumn("version", F.count_if(signs).over(w)).withColumn("input", F.last(F.when(signs, F.col("props")), ignorenulls=True).over(w))
+    now = v.filter("user_id % 10 <> 3").groupBy("user_id").agg(F.max("version").alias("n"), F.max_by("input", "version").alias("input")).withColumnRenamed("n", "version")
+    told = wf.stale_tickets(v.filter("event_type = 'purchase'").select("event_id", "user_id", "version", "input"), now, "user_id", ["version", "input"])
+    return told.select("event_id", F.array_join("stale", ",").alias("stale"))
