@@ -16,6 +16,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -108,7 +109,7 @@ class _Ids(dict):
 
 
 class PieceCounter:
-    """Numbers of tokens under a byte-level BPE file: of pre-tokens, or of whole texts."""
+    """Pre-tokens under a byte-level BPE file, and their numbers of tokens."""
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         import tiktoken
@@ -116,6 +117,24 @@ class PieceCounter:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.library = _library(path)
+        self.pieces = regex.compile(pattern).findall
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special, self.at_special = set(special), regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
+
+    def cut(self, part: str) -> list[str]:
+        """The pre-tokens of a part of a text that is cut on both sides: special strings, and what the pattern gives between them.
+
+        Up to U+024F all engines class characters alike; from there on the library's own pre-tokenizer has its say.
+        """
+        if max(part, default="") < "ɐ" and "<|" not in part:
+            return self.pieces(part)
+        out = []
+        for between in filter(None, self.at_special.split(part)):
+            if between in self.special:
+                out.append(between)
+            else:
+                out += [between[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(between)]
+        return out
 
     def count(self, piece: str) -> int:
         if max(piece, default="") < "ɐ" and "<|" not in piece:

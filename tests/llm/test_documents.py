@@ -342,13 +342,32 @@ def test_token_counts(docs, none, rows):
     assert token_counts.count_tokens(none, counter).count() == 0
 
 
-def test_pretokens_never_change_the_count():
+def test_pretokens_are_those_of_the_library():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     t, rng = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), random.Random(4)
+    counter = token_counts.byte_bpe(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)()
+    cutter = token_counts.Cutter(counter.cut, size=50)
     for _ in range(400):
-        x = "".join(rng.choice(["a", "b ", "  ", "\n", "\t", " ", " ", "'s", "1", "é", "日", "<|endoftext|>", "\x1c", "\x85", "!", "\r\n"]) for _ in range(30))
-        assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in token_counts.pretokens(x)) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
+        x = "".join(rng.choice(["a", "b ", "  ", "\n", "\t", " ", "\u3000", "'s", "don't", "1", "é", "日", "\u0558", "𐥁", "word,", "<|endoftext|>", "<|", "\x1c", "\x85", "!", "\r\n"]) for _ in range(30))
+        want = collections.Counter()
+        for part in regex.split(r"(<\|endoftext\|>)", x):
+            if part == "<|endoftext|>":
+                want[part] += 1
+            else:
+                want.update(part[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(part))
+        found = cutter.frequencies(x)
+        assert found == want, repr(x)
+        assert sum(f * counter.count(p) for p, f in found.items()) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
+    assert len(cutter) <= 50 and set(cutter.frequencies("word, word. word")) == {"word", " word", ",", "."}
+
+
+def test_long_pretokens_are_counted_once_in_a_task():
+    seen = []
+    long = token_counts.LongCounts(lambda p: seen.append(p) or len(p), size=2)
+    assert [long.of(x * 70) for x in "aabab"] == [70] * 5 and len(seen) == 2
+    assert long.of("c" * 70) == 70 and len(long) == 1  # full, so it began anew
 
 
 def test_language_id(spark, docs, none, rows):
