@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,3 +71,53 @@ def preserving(facts: DataFrame, tokens: Callable[[str], int], most_tokens: int
 
     answer = F.get(F.split("text", " = ", 2), 1).alias("answer")
     return facts.select("case_id", "pos", "text", "short", "history", answer).groupBy("case_id").applyInPandas(one, PRESERVED.format(id=facts.schema["case_id"].dataType.simpleString()))
+
+
+_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_NEXT = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
+
+
+def units(text: str) -> list[str]:
+    """Sentences and list items in order: a line break parts them always, a sentence's end where a capital or a figure follows."""
+    return [u for line in _BREAK.split(text) for s in _NEXT.split(line) if (u := s.strip())]
+
+
+def unit_windows(docs: DataFrame, key: str, text: str, header: str, tokens: Callable[[str], int], most: int = 480) -> DataFrame:
+    """key, window, text, tokens: whole units packed in order, as many to a window as the budget holds together with the header.
+
+    No unit is cut. Where one is over the budget by itself its document has no windows but a row for each such unit, with window null: the
+    caller looks at these before anything is indexed. tokens counts the header, a line break and the window as one text, so any counter will
+    do. Null and blank texts give no row. A document is walked in the task that reads it; nothing is shuffled.
+    """
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, window int, text string, tokens int"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def walk(head: str, body: str) -> Iterator[tuple[int | None, str, int]]:
+        cost = lambda some: tokens(head + "\n" + "\n".join(some))
+        found = units(body)
+        if over := [(None, u, n) for u in found if (n := cost([u])) > most]:
+            yield from over
+            return
+        pending, n, at = [], 0, 0
+        for u in found:
+            if pending and (m := cost([*pending, u])) <= most:
+                pending, n = [*pending, u], m
+                continue
+            if pending:
+                yield at, "\n".join(pending), n
+                at += 1
+            pending, n = [u], cost([u])
+        if pending:
+            yield at, "\n".join(pending), n
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, head, body in frame.itertuples(index=False, name=None):
+                rows += [(k, *w) for w in walk(head or "", body or "")]
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=names).astype({"window": "Int32", "tokens": "int32"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=names).astype({"window": "Int32", "tokens": "int32"})
+
+    return docs.select(key, F.col(header).alias("__header"), F.col(text).alias("__text")).mapInPandas(work, schema)
