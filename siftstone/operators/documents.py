@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import ids
 from siftstone.functions import text as tx
+from siftstone.operators.constraints import assert_valid, violations
 from siftstone.operators.ranking import first_of
 
 VERSION = "words-v1:180:30"
@@ -74,6 +75,18 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str, order: str) -> DataFra
     return stored.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+def upsert_valid(stored: DataFrame, batch: DataFrame, key: str, order: str, rules: dict[str, Column], vector: str, size: int) -> tuple[DataFrame, int]:
+    """upsert() of a batch that is whole, and the number of its different keys.
+
+    Every row of the batch is looked at first, those that a later row of their key will replace too: the rules hold, and the vector has size finite components of which
+    one is not 0. One bad row refuses the batch, and nothing of it is taken. Only the first faults come to the driver, and a count.
+    """
+    v = F.col(vector)
+    sound = (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    assert_valid(violations(batch, {**rules, "key": F.col(key).isNotNull(), "vector": sound}, [key]), "upsert")
+    return upsert(stored, batch, key, order), batch.select(key).distinct().count()
+
+
 def counts_by(docs: DataFrame, domain: DataFrame, by: str) -> DataFrame:
     """by, n for every value of the domain, zeros included."""
     return domain.select(by).join(docs.groupBy(by).agg(F.count("*").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftstone.plans import casework, judged, relational, retrieval, stores, texts, verification, workflows  # noqa: F401
+from siftstone.plans import casework, hits, judged, relational, retrieval, stores, texts, verification, workflows  # noqa: F401
 from siftstone.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a4_rrf"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import ids
-from siftstone.operators.constraints import assert_valid
+from siftstone.operators.constraints import Violation, assert_valid, repeated
 from siftstone.session import exists, remove
 
 
@@ -44,6 +44,23 @@ def append_record(df: DataFrame, path: str, session: str, payload: Column) -> No
     df.withColumn("sha", F.sha2(payload, 256)).write.mode("append").partitionBy(session).parquet(path)
 
 
+def create_records(df: DataFrame, path: str, batch: str, record: list[str], payload: Column) -> DataFrame:
+    """Audit rows with their hash (sha) as a batch of their own under path, read back; what was recorded before is never written again.
+
+    A batch of that name, a record that the batch has twice, and one that an earlier batch has, are errors before anything is written. The committer makes the
+    batch appear whole: a writer that dies leaves none that is read. Two writers of one name at the same moment are the store's to tell apart.
+    """
+    spark, at = df.sparkSession, f"{path}/batch={batch}"
+    if exists(spark, at):
+        raise Violation(f"batch {batch} is recorded")
+    assert_valid(repeated(df, record), f"batch {batch} repeats records")
+    if exists(spark, path):
+        before = spark.read.parquet(path).select(*record)
+        assert_valid(df.select(*record).join(before, record, "left_semi"), f"batch {batch} has recorded ones")
+    write_new(df.withColumn("sha", F.sha2(payload, 256)), at)
+    return spark.read.parquet(at)
+
+
 def publish(df: DataFrame, path: str, version: str, faults: Callable[[DataFrame], DataFrame]) -> str:
     """Stages a version, audits what was written, and points `current` to it only if there is no fault."""
     spark = df.sparkSession

@@ -1,10 +1,16 @@
 """Judged pools, reviewed selections, verified proposals, reranker inputs and unit windows: golden values, guards and edges."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from siftstone.operators import documents, hits
 from siftstone.operators import judging as ju
 from siftstone.operators import packing
+from siftstone.operators.constraints import Violation
+from siftstone.sources import sinks
 
 
 def pool(spark, *rows):
@@ -109,3 +115,89 @@ def test_unit_windows(spark):
     long = spark.createDataFrame([(1, "Word word word. " * 50_000, "h")], "doc_id int, text string, header string")
     cut = packing.unit_windows(long, "doc_id", "text", "header", words, 100).agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("w")).first()
     assert cut.w == 150_000 and cut.n == -(-50_000 // 33)
+
+
+def test_strict_json(spark):
+    """Nothing is converted, 1.0 is no whole number: a fault for each field that is missing, too many or of another kind."""
+    rows = {1: '{"a": 1, "b": [], "c": null}', 2: '{"a": "1", "b": {}, "c": "x"}', 3: '{"a": 1.0, "b": [1], "c": true, "d": 0, "e": 0}', 4: "{}", 5: "[1]", 6: "{", 7: None, 8: "null", 9: '{"a": 10000000000, "b": [{"x": 1}], "c": "", "a/b": 1}'}
+    df = spark.createDataFrame([*rows.items()], "k int, j string")
+    got = sorted((r.k, r.path, r.fault) for r in hits.strict_faults(df, "k", "j", {"a": "integer", "b": "array", "c": "string|null"}).collect())
+    assert got == [
+        (2, "/a", "kind"), (2, "/b", "kind"), (3, "/a", "kind"), (3, "/c", "kind"), (3, "/d", "unexpected"), (3, "/e", "unexpected"), (4, "/a", "missing"), (4, "/b", "missing"), (4, "/c", "missing"), (5, "/", "not_an_object"),
+        (6, "/", "not_json"), (7, "/", "not_json"), (8, "/", "not_an_object"), (9, "/a/b", "unexpected"),
+    ]
+
+
+def hit(**changed):
+    text = "Body ä"
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    m = {"topic_id": "12", "parent_id": "lib:topic:12", "chunk": 0, "title": "T", "url": "https://h.org/a", "chunk_sha256": sha, "content_sha256": sha, "tokens": 256, "spans": [{"start": 0, "end": 3, "split": False}]}
+    r = {"distance": 1, "max_distance": 1.1, "metric": "squared_l2", "acceptance": "distance_gate", "snapshot": "0" * 24}
+    out = {"chunk_id": "lib:topic:12:chunk:0", "document_id": "lib:topic:12", "source": "lib", "title": "T", "url": "https://h.org/a", "text": text, "metadata": m, "retrieval": r}
+    for path, value in changed.items():
+        *outer, last = path.split("__")
+        at = out
+        for step in outer:
+            at = at[step]
+        at[last] = value
+    return json.dumps(out)
+
+
+def test_hits(spark):
+    cases = {
+        "good": (hit(), set()), "lookup": (hit(retrieval__distance=9.5, retrieval__acceptance="exact_source_lookup"), set()), "gate": (hit(retrieval__distance=1.2), {"gate"}), "refused": (hit(retrieval__acceptance="rejected"), {"gate"}),
+        "sha": (hit(text="other"), {"checksum"}), "hex": (hit(metadata__content_sha256="ABC"), {"checksum"}), "blank": (hit(text=" "), {"checksum"}), "title": (hit(title="t"), {"binding"}), "tokens": (hit(metadata__tokens=0), {"tokens"}),
+        "user": (hit(url="https://a:b@h.org/a", metadata__url="https://a:b@h.org/a"), {"url"}), "host": (hit(url="https://g.org/a", metadata__url="https://g.org/a"), {"url"}), "spans": (hit(metadata__spans=[]), {"spans"}),
+        "empty_span": (hit(metadata__spans=[{"start": 3, "end": 3, "split": False}]), {"spans"}), "span_kind": (hit(metadata__spans=[{"start": 0, "end": 3, "split": 0}]), {"spans"}), "parent": (hit(metadata__parent_id="lib:topic:1"), {"identity"}),
+        "metric": (hit(retrieval__metric="cosine"), {"retrieval"}), "extra": (hit(more=1), {"envelope"}), "below": (hit(retrieval__distance=-1), {"distance"}), "kind": (hit(metadata__tokens="9"), {"metadata", "tokens"}),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("none", None), ("text", "{")], "k string, j string")
+    got = {}
+    for r in hits.hit_faults(df, "k", "j", "lib", "h.org").collect():
+        got.setdefault(r.k, set()).add(r.rule)
+    assert {k: got.get(k, set()) - ({"checksum"} if k == "kind" else set()) for k in cases} == {k: v[1] for k, v in cases.items()}
+    assert got["none"] == got["text"] == set(hits.hit_rules("lib", "h.org"))
+    assert hits.valid_hits(df.filter("k in ('good', 'lookup')"), "k", "j", "lib", "h.org").select("hit.metadata.chunk").collect() == [(0,), (0,)]
+    with pytest.raises(Exception, match="constraint broken"):
+        hits.valid_hits(df, "k", "j", "lib", "h.org").collect()
+
+
+def test_topic_hits(spark):
+    rows = [(1, "Flu", "Overview", "x", "p", "l"), (1, "Cold", "", "x", "p", None), (2, "Cold", "WHAT ARE flu?", "x", "p", "l"), (3, "Cold", "What is cold?", "x", "p", "l"), (4, "Flu", None, "", "p", "l")]
+    h = spark.createDataFrame(rows, "query_id int, title string, section string, text string, provenance string, licence string")
+    e = spark.createDataFrame([(i, ["Flu", "Fever"]) for i in range(1, 6)], "query_id int, titles array<string>")
+    got = {r.query_id: tuple(r)[1:] for r in hits.topic_hits(h, e).collect()}
+    assert got == {1: (2, False, True, False, False), 2: (1, True, False, True, True), 3: (1, True, False, False, False), 4: (1, False, True, False, False), 5: (0, False, False, False, False)}
+
+
+def test_captured_ranks(spark):
+    rank = "pool_id int, system string, candidate_id int, rank int, original_rank int, score double"
+    whole = [(p, "a", c, c, None, c / 8) for p in range(1, 6) for c in (1, 2, 3)]
+    part = [(1, "b", 3, 1, 3, 0.375), (2, "b", 9, 1, 3, 0.375), (3, "b", 3, 1, 2, 0.375), (4, "b", 3, 2, 3, 0.375), (5, "b", 3, 1, 3, 0.375), (5, "b", 3, 2, 3, 0.375)]
+    systems = [(p, "a", 3, 3, None) for p in range(1, 6)] + [(p, "b", 2 if p == 5 else 1, 5, "a") for p in range(1, 6)] + [(6, "a", 0, 3, None)]
+    found = hits.rank_faults(spark.createDataFrame(whole + part, rank), spark.createDataFrame(systems, "pool_id int, system string, returned int, depth int, parent string"))
+    assert sorted(map(tuple, found.collect())) == [(2, "b", "parent"), (3, "b", "parent"), (4, "b", "ranks"), (5, "b", "candidates")]
+
+
+def test_records_are_created_once(spark, tmp_path):
+    at = f"file://{tmp_path}/records"
+    rows = lambda *ids: spark.createDataFrame([(i, f"p{i}") for i in ids], "id int, payload string")
+    create = lambda batch, *ids: sinks.create_records(rows(*ids), at, batch, ["id"], F.col("payload"))
+    assert [r.sha for r in create("one", 1).collect()] == [hashlib.sha256(b"p1").hexdigest()]
+    for batch, ids, why in (("one", [2], "is recorded"), ("two", [2, 1], "has recorded"), ("two", [3, 3], "repeats")):
+        with pytest.raises(Violation, match=why):
+            create(batch, *ids)
+    create("two", 2, 3)
+    assert sorted((r.batch, r.id) for r in spark.read.parquet(at).collect()) == [("one", 1), ("two", 2), ("two", 3)]
+
+
+def test_a_batch_is_taken_whole_or_not(spark):
+    schema = "id int, v array<double>, text string, seq int"
+    stored = spark.createDataFrame([(1, [1.0, 0.0], "old"), (2, [0.0, 1.0], "old")], "id int, v array<double>, text string")
+    put = lambda *rows: documents.upsert_valid(stored, spark.createDataFrame([*rows], schema), "id", "seq", {"text": F.col("text") != ""}, "v", 2)
+    after, n = put((2, [1.0, 1.0], "a", 1), (2, [1.0, 2.0], "b", 2), (3, [1.0, 3.0], "c", 1))
+    assert n == 2 and sorted((r.id, r.text) for r in after.collect()) == [(1, "old"), (2, "b"), (3, "c")]
+    good = (3, [1.0, 3.0], "c", 2)
+    for bad in ((3, [0.0, 0.0], "x", 1), (3, [1.0], "x", 1), (3, [float("nan"), 1.0], "x", 1), (3, [None, 1.0], "x", 1), (3, None, "x", 1), (3, [1.0, float("inf")], "x", 1), (3, [1.0, 1.0], "", 1), (None, [1.0, 1.0], "x", 1)):
+        with pytest.raises(Violation):
+            put(bad, good)
