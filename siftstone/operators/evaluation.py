@@ -141,3 +141,39 @@ def case_measures(cases: DataFrame, top_k: int = 5) -> DataFrame:
         n.alias("citations"), F.col("__ok").alias("valid_citations"), F.when(n > 0, F.round(F.col("__ok") / n, 9)).alias("coverage"), (n - F.col("__ok")).alias("hallucinated"), F.when(d.isNotNull(), F.size(F.coalesce(d["unsupported"], none))).alias("unsupported"),
         when_critic(count("hallucination_flags")).alias("critic_hallucinations"), when_critic(sum((count(f) for f in flags), F.lit(0))).alias("critic_flags"),
     )
+
+
+def claims_at(diagnosis: Column) -> Column:
+    """Every claim of a diagnosis as (hypothesis, path, refs), in order; hypothesis is null for treatment. Paths are pointers into the diagnosis."""
+    text = lambda i: i.cast("string")
+    one = lambda root, path, claim: F.struct(root.alias("hypothesis"), path.alias("path"), claim["refs"].alias("refs"))
+
+    kind = "array<struct<hypothesis:string,path:string,refs:array<string>>>"
+    none = F.array().cast(kind)
+
+    def listed(claims: Column, root: Column, name: str) -> Column:
+        return F.coalesce(F.transform(claims, lambda c, i: one(root, F.concat(root, F.lit(f"/{name}/"), text(i)), c)).cast(kind), none)
+
+    def of(h: Column, root: Column) -> Column:
+        rationale = F.array(one(root, F.concat(root, F.lit("/rationale")), h["rationale"])).cast(kind)
+        return F.concat(rationale, listed(h["supporting"], root, "supporting_evidence"), listed(h["contradicting"], root, "contradicting_evidence"))
+
+    first = F.when(diagnosis["primary"].isNotNull(), of(diagnosis["primary"], F.lit("/primary_hypothesis")).cast(kind)).otherwise(none)
+    rest = F.flatten(F.transform(diagnosis["differential"], lambda h, i: of(h, F.concat(F.lit("/differential_diagnoses/"), text(i))).cast(kind)))
+    care = F.transform(diagnosis["treatment"], lambda c, i: one(F.lit(None).cast("string"), F.concat(F.lit("/treatment/actions/"), text(i), F.lit("/proposal")), c)).cast(kind)
+    return F.concat(first, F.coalesce(rest, none), F.coalesce(care, none))
+
+
+def claim_links(cases: DataFrame) -> DataFrame:
+    """case_id, path, hypothesis, patient, analogous, medical (the claim's references of each kind, sorted, once each), supported, bare.
+
+    cases: as for case_measures. A claim without a medical reference is not supported; one whose whole hypothesis has none is bare. All in the row of the case.
+    """
+    told = cases.select("case_id", "facts", "patient_cases", "knowledge", claims_at(F.col("diagnosis")).alias("__claims"))
+    none = F.array().cast("array<string>")
+    of = lambda refs, ids: F.array_sort(F.array_intersect(refs, F.coalesce(F.col(ids), none)))
+    backed = F.array_distinct(F.transform(F.filter("__claims", lambda c: F.size(of(c["refs"], "knowledge")) > 0), lambda c: c["hypothesis"]))
+    each = told.withColumn("__backed", backed).select("*", F.explode("__claims").alias("c"))
+    bare = F.col("c.hypothesis").isNotNull() & ~F.coalesce(F.array_contains("__backed", F.col("c.hypothesis")), F.lit(False))
+    medical = of(F.col("c.refs"), "knowledge")
+    return each.select("case_id", "c.path", "c.hypothesis", of(F.col("c.refs"), "facts").alias("patient"), of(F.col("c.refs"), "patient_cases").alias("analogous"), medical.alias("medical"), (F.size(medical) > 0).alias("supported"), bare.alias("bare"))

@@ -186,3 +186,26 @@ def unit_windows(spark, sf):
     at = F.sort_array(F.collect_list(F.when(F.col("window").isNotNull(), F.struct("window", "text"))))
     by = w.groupBy("doc_id").agg(F.count("window").alias("windows"), F.count_if(F.col("window").isNull()).alias("over"), F.max("tokens").alias("most"), at.alias("w"))
     return by.select("doc_id", "windows", "over", "most", F.when(F.col("over") == 0, F.md5(F.array_join(F.transform("w", lambda x: x["text"]), "\x02"))).alias("digest"))
+
+
+# Each conversation as a diagnosis over its turns: user turns are what is known of the patient, every third turn is medical knowledge.
+@query("r3_claim_links", """WITH c AS (SELECT conv_id AS k, turn, 't' || turn AS r, role FROM conversations), g AS (SELECT k, list(r ORDER BY turn) AS refs, coalesce(list(r ORDER BY turn) FILTER (role = 'user'), []) AS facts, coalesce(list(r ORDER BY turn) FILTER (turn % 3 = 2), []) AS know FROM c GROUP BY k),
+x AS (SELECT *, '/primary_hypothesis' AS h, '/primary_hypothesis/rationale' AS path, refs[1:1] AS cited FROM g WHERE k % 4 > 0 UNION ALL SELECT g.*, '/primary_hypothesis', '/primary_hypothesis/supporting_evidence/' || (i - 1), refs[i:i + 1] FROM g, (VALUES (1), (2)) v(i) WHERE k % 4 > 0
+UNION ALL SELECT *, '/differential_diagnoses/0', '/differential_diagnoses/0/rationale', ['zz'] FROM g UNION ALL SELECT *, '/differential_diagnoses/0', '/differential_diagnoses/0/contradicting_evidence/0', refs[1:k % 4] FROM g UNION ALL SELECT *, NULL, '/treatment/actions/0/proposal', refs FROM g WHERE k % 3 = 0),
+y AS (SELECT *, list_sort(list_filter(list_distinct(cited), lambda r: list_contains(facts, r))) AS p, list_sort(list_filter(list_distinct(cited), lambda r: list_contains(know, r))) AS m FROM x)
+SELECT k AS case_id, path, array_to_string(p, ',') AS patient, array_to_string(m, ',') AS medical, len(m) > 0 AS supported, h IS NOT NULL AND max(len(m)) OVER (PARTITION BY k, h) = 0 AS bare FROM y""")
+def claim_links(spark, sf):
+    """Every claim of a nested diagnosis by its path, with the references that stand behind it, and hypotheses that no knowledge backs."""
+    from siftstone.operators import evaluation as em
+
+    turns = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("r"))))), lambda x: x["r"])
+    g = t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(turns(F.lit(True)).alias("refs"), turns(F.col("role") == "user").alias("facts"), turns(F.col("turn") % 3 == 2).alias("knowledge"))
+    k, claim = F.col("case_id"), lambda x: F.struct(x.alias("refs"))
+    part = lambda a, n: F.slice("refs", F.lit(a), n)
+    none = F.array().cast("array<struct<refs:array<string>>>")
+    hyp = lambda rationale, supporting, contradicting: F.struct(claim(rationale).alias("rationale"), supporting.alias("supporting"), contradicting.alias("contradicting"))
+    primary = F.when(k % 4 > 0, hyp(part(1, F.lit(1)), F.array(claim(part(1, F.lit(2))), claim(part(2, F.lit(2)))), none))
+    other = hyp(F.array(F.lit("zz")), none, F.array(claim(part(1, (k % 4).cast("int")))))
+    diagnosis = F.struct(primary.alias("primary"), F.array(other).alias("differential"), F.when(k % 3 == 0, F.array(claim(F.col("refs")))).alias("treatment"))
+    told = em.claim_links(g.withColumn("diagnosis", diagnosis).withColumn("patient_cases", F.array().cast("array<string>")))
+    return told.select("case_id", "path", F.array_join("patient", ",").alias("patient"), F.array_join("medical", ",").alias("medical"), "supported", "bare")

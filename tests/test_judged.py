@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import documents, hits
+from siftstone.operators import documents, evaluation, hits
 from siftstone.operators import judging as ju
 from siftstone.operators import packing
 from siftstone.operators.constraints import Violation
@@ -201,3 +201,16 @@ def test_a_batch_is_taken_whole_or_not(spark):
     for bad in ((3, [0.0, 0.0], "x", 1), (3, [1.0], "x", 1), (3, [float("nan"), 1.0], "x", 1), (3, [None, 1.0], "x", 1), (3, None, "x", 1), (3, [1.0, float("inf")], "x", 1), (3, [1.0, 1.0], "", 1), (None, [1.0, 1.0], "x", 1)):
         with pytest.raises(Violation):
             put(bad, good)
+
+
+def test_claims_have_paths_and_backing(spark):
+    claim = "struct<refs:array<string>>"
+    hyp = f"struct<rationale:{claim},supporting:array<{claim}>,contradicting:array<{claim}>>"
+    schema = f"case_id int, facts array<string>, patient_cases array<string>, knowledge array<string>, diagnosis struct<primary:{hyp},differential:array<{hyp}>,treatment:array<{claim}>>"
+    one = ((["f2", "f1", "f1"],), [(["m1", "zz"],)], [(["c1"],)])
+    rows = [(1, ["f1", "f2"], ["c1"], ["m1"], (one, [((["f1"],), None, [])], [(["m1", "c1"],)])), (2, ["f1"], None, None, (None, None, None)), (3, [], [], [], None)]
+    got = [(r.case_id, r.path, r.patient, r.analogous, r.medical, r.supported, r.bare) for r in evaluation.claim_links(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [
+        (1, "/primary_hypothesis/rationale", ["f1", "f2"], [], [], False, False), (1, "/primary_hypothesis/supporting_evidence/0", [], [], ["m1"], True, False), (1, "/primary_hypothesis/contradicting_evidence/0", [], ["c1"], [], False, False),
+        (1, "/differential_diagnoses/0/rationale", ["f1"], [], [], False, True), (1, "/treatment/actions/0/proposal", [], ["c1"], ["m1"], True, False),
+    ]
