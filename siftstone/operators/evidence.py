@@ -35,6 +35,13 @@ POPULATIONS = (
 )
 
 
+def ascii_words(pattern: str) -> str:
+    """A pattern of whole words, \\b(?:..)\\b, without case, whose words end where ASCII words do on every Java (before 19, \\b goes by Unicode words); a dot is any character but a line feed."""
+    if not (pattern.startswith(r"\b") and pattern.endswith(r"\b") and r"\b" not in pattern[2:-2]):
+        raise ValueError(f"no pattern of whole words: {pattern}")
+    return r"(?id)(?<!\w)" + pattern[2:-2] + r"(?!\w)"
+
+
 def snapshot(rows: DataFrame, by: list[str], key: str, *fields: str) -> DataFrame:
     """by, n_rows, snapshot_id: SHA-256 over the rows' fields in order of the key; null fields count as \\N."""
     line = F.concat_ws("\t", F.col(key).cast("string"), *[F.coalesce(F.col(f).cast("string"), F.lit("\\N")) for f in fields])
@@ -121,11 +128,11 @@ def population_status(age: Column, title: Column) -> Column:
 
 def observations(text: Column) -> Column:
     """Names of the observations that a clause mentions."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(k)) for k, p in OBSERVATIONS.items()]))
+    return F.array_compact(F.array(*[F.when(text.rlike(ascii_words(p)), F.lit(k)) for k, p in OBSERVATIONS.items()]))
 
 
 def polarity(text: Column) -> Column:
-    return F.when(text.rlike("(?i)" + INVOLVED), "involved").when(text.rlike("(?i)" + UNKNOWN), "unknown").when(text.rlike("(?i)" + NEGATIVE), "negative").otherwise("positive")
+    return F.when(text.rlike(ascii_words(INVOLVED)), "involved").when(text.rlike(ascii_words(UNKNOWN)), "unknown").when(text.rlike(ascii_words(NEGATIVE)), "negative").otherwise("positive")
 
 
 def clauses(text: Column) -> Column:
@@ -157,7 +164,7 @@ def fact_concepts(fact: Column) -> Column:
     answer = F.lower(F.trim(F.get(F.split(fact, " = ", 2), 1)))
     names = observations(fact)
     number = asked & answer.rlike(r"^[+-]?\d+(?:\.\d+)?$")
-    plain = F.when(fact.rlike("(?i)" + UNKNOWN), "unknown").when(fact.rlike("(?i)" + NEGATIVE), "negative").otherwise("positive")
+    plain = F.when(fact.rlike(ascii_words(UNKNOWN)), "unknown").when(fact.rlike(ascii_words(NEGATIVE)), "negative").otherwise("positive")
     told = F.when(answer.isin(*DENIED), "negative").when(answer.isin(*UNTOLD), "unknown").when(number, "recorded").otherwise("positive")
     kept = F.when(number, F.filter(names, lambda x: x.isin(*SCALES))).otherwise(names)
     return F.struct(F.coalesce(kept, F.array().cast("array<string>")).alias("concepts"), F.when(fact.isNull(), "unknown").when(asked, told).otherwise(plain).alias("polarity"))
@@ -180,9 +187,9 @@ def reference_checks(claims: DataFrame, facts: DataFrame) -> DataFrame:
     said = refs.select("case_id", "claim_no", F.explode("f.concepts").alias("concept"), F.when(F.col("f.polarity") == "recorded", "positive").otherwise(F.col("f.polarity")).alias("polarity"))
     said = said.groupBy("case_id", "claim_no", "concept").agg(F.collect_set("polarity").alias("polarities"))
     clauses_ = claims.join(cites, ["case_id", "claim_no"], "left").select("case_id", "claim_no", "cites", F.posexplode(F.when(F.col("cites"), claim_clauses(F.col("text"))).otherwise(F.array(F.col("text")))).alias("clause_no", "clause"))
-    open_ = F.col("cites") & ~F.col("clause").rlike("(?i)" + INVOLVED)
+    open_ = F.col("cites") & ~F.col("clause").rlike(ascii_words(INVOLVED))
     clause = F.col("clause")
-    polarity_ = F.when(clause.rlike("(?i)" + UNKNOWN), "unknown").when(clause.rlike("(?i)" + NEGATIVE), "negative").otherwise("positive")
+    polarity_ = F.when(clause.rlike(ascii_words(UNKNOWN)), "unknown").when(clause.rlike(ascii_words(NEGATIVE)), "negative").otherwise("positive")
     names = clauses_.select("case_id", "claim_no", "clause_no", polarity_.alias("polarity"), F.explode_outer(F.when(open_, observations(clause))).alias("concept"))
     met = names.join(said, ["case_id", "claim_no", "concept"], "left")
     fits = F.array_contains("polarities", F.col("polarity"))
