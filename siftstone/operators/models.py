@@ -24,7 +24,7 @@ class PairScorer(Protocol):
 
 
 class HashingEmbedder:
-    """Deterministic stand-in without a model: signed word hashes, normalised."""
+    """Deterministic stand-in without a model: signed word hashes, normalised. Where the signs of a text's words cancel to nothing, they count without signs."""
 
     def __init__(self, size: int = 384):
         self.size, self.signature = size, f"hashing-v1:{size}"
@@ -34,9 +34,12 @@ class HashingEmbedder:
 
         out = np.zeros((len(texts), self.size), dtype=np.float32)
         for i, text in enumerate(texts):
-            for w in (text or "").lower().split():
-                h = zlib.crc32(w.encode("utf-8", "replace"))
+            hashes = [zlib.crc32(w.encode("utf-8", "replace")) for w in (text or "").lower().split()]
+            for h in hashes:
                 out[i, h % self.size] += 1.0 if h >> 31 else -1.0
+            if not out[i].any():
+                for h in hashes:
+                    out[i, h % self.size] += 1.0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

@@ -171,18 +171,18 @@ def average_link(vectors: list[list[float]], target: int, largest: int = 4) -> l
     sizes = np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
     if not np.isfinite(m).all() or (sizes == 0).any():
         raise ValueError("a vector that is zero or not finite")
-    product, groups = (m / sizes) @ (m / sizes).T if len(m) else m, [[i] for i in range(len(m))]
+    # sums of the cosines between groups; those of a merged group are the sums of its parts'
+    total, groups = (m / sizes) @ (m / sizes).T if len(m) else m, [[i] for i in range(len(m))]
     while len(groups) > target:
-        best = None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                if len(groups[i]) + len(groups[j]) <= largest:
-                    value = float(product[np.ix_(groups[i], groups[j])].mean())
-                    if best is None or value > best[0] + 1e-12:
-                        best = value, i, j
-        if best is None:
+        n = np.array([len(g) for g in groups])
+        mean = np.where((n[:, None] + n <= largest) & np.triu(np.ones((len(n), len(n)), dtype=bool), 1), total / (n[:, None] * n), -np.inf)
+        if (most := mean.max(initial=-np.inf)) == -np.inf:
             break
-        groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
+        i, j = divmod(int(np.argmax(mean.ravel() >= most - 1e-12)), len(n))  # the first of equal ones
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        total = np.delete(np.delete(total, j, axis=0), j, axis=1)
+        groups[i] = sorted(groups[i] + groups.pop(j))
     return groups
 
 
