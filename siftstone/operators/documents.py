@@ -40,23 +40,38 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return out.select(key, "chunk_index", "text", ids.uuid5(name).alias("chunk_id"))
 
 
+def _parity(words: Column) -> Column:
+    """256 bits of a set, each the parity of how many members fall on it: two sets differ in at least as many members as their parities in bits."""
+    spread = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(256)).cast("int"))
+    part = lambda n: F.aggregate(spread, F.lit(0).cast("long"), lambda acc, h: F.when(F.shiftrightunsigned(h, 6) == n, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64))))).otherwise(acc))
+    return F.array(*map(part, range(4)))
+
+
 def similar_pairs(rows: DataFrame, key: str, group: str, words: str, percent: int) -> DataFrame:
     """a, b, jaccard, copies_a, copies_b: pairs of different word sets (arrays without repeats) of one group with a Jaccard of percent or more.
 
     Rows of equal sets go as one, by the least key, with their number. Two such sets share one of the rarest words of each: of n
-    words, n less the least overlap and one more. Only sets that meet in such a word, and whose sizes allow it, are compared.
+    words, n less the least overlap and one more. Sets that meet in such a word go on where their sizes, what is left of both from their first common word on,
+    and the parities of their members allow the overlap: bounds that no similar pair breaks. Whole sets are joined to what is left alone.
     """
     sets = rows.groupBy(group, F.array_sort(words).alias("w")).agg(F.min(key).alias("k"), F.count("*").alias("copies")).withColumn("n", F.size("w"))
     each = sets.filter("n > 0").select("k", group, "n", F.explode("w").alias("word"))
     common = each.groupBy(group, "word").agg(F.count("*").alias("f"))
-    ranked = each.join(common, [group, "word"]).groupBy("k", group, "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("r"))
-    first = ranked.select("k", group, "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)).alias("r")).select("k", group, "n", "r.word")
-    a, b = first.select(F.col("k").alias("a"), group, "word", F.col("n").alias("na")), first.select(F.col("k").alias("b"), group, "word", F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = a.join(b, [group, "word"]).filter(fits).select("a", "b").distinct()
-    left, right = sets.select(F.col("k").alias("a"), F.col("w").alias("wa"), F.col("copies").alias("copies_a")), sets.select(F.col("k").alias("b"), F.col("w").alias("wb"), F.col("copies").alias("copies_b"))
+    word = F.xxhash64(group, "word")  # words that share a hash meet for nothing, and are told apart by the whole sets
+    ranked = each.join(common, [group, "word"]).select("k", "n", F.struct(F.col("f").cast("int").alias("f"), word.alias("word")).alias("r")).groupBy("k", "n").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    parities = sets.filter("n > 0").select("k", _parity(F.col("w")).alias("parity"))
+    begun = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
+    first = ranked.join(parities, "k").select("k", "n", "parity", F.posexplode(begun).alias("at", "r")).select(F.col("r.word").alias("word"), F.struct("k", "n", (F.col("n") - F.col("at")).alias("left"), "parity").alias("x"))
+    a, b = first.select("word", F.col("x").alias("a")), first.select("word", F.col("x").alias("b"))
+    both = F.col("a.n") + F.col("b.n")
+    sized = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    overlap = (100 + percent) * F.least("a.left", "b.left") >= percent * both
+    bits = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(4)), F.lit(0))
+    alike = (100 + percent) * bits <= (100 - percent) * both
+    met = a.join(b, "word").filter((F.col("a.k") < F.col("b.k")) & sized & overlap & alike).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    left, right = sets.select(F.col("k").alias("a"), F.col(group).alias("__ga"), F.col("w").alias("wa"), F.col("copies").alias("copies_a")), sets.select(F.col("k").alias("b"), F.col(group).alias("__gb"), F.col("w").alias("wb"), F.col("copies").alias("copies_b"))
     j = tx.jaccard(F.col("wa"), F.col("wb"))
-    return met.join(left, "a").join(right, "b").filter(j >= percent / 100).select("a", "b", F.round(j, 9).alias("jaccard"), "copies_a", "copies_b")
+    return met.join(left, "a").join(right, "b").filter((F.col("__ga") == F.col("__gb")) & (j >= percent / 100)).select("a", "b", F.round(j, 9).alias("jaccard"), "copies_a", "copies_b")
 
 
 def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
