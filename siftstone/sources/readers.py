@@ -150,7 +150,7 @@ def article_rows(files: DataFrame) -> DataFrame:
     shape = pa.schema([("path", pa.string()), ("ids", pa.map_(pa.string(), pa.string())), ("title", pa.string()), ("licence", pa.string()), ("sections", pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):  # so many rows are Python objects at a time
             rows = [(p, *_article(c)) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((r[0], list(r[1].items()), *r[2:]) for r in rows), strict=True), shape, strict=True)], schema=shape)
 
