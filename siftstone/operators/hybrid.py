@@ -19,7 +19,7 @@ def channels(queries: DataFrame, records: DataFrame, key: str, depth: int) -> Da
     Vectors of records have length 1 or are null; those without one are found by their words alone.
     """
     case = queries.select("case_id", "query_id")
-    dense = rk.knn(records.filter(F.col("vector").isNotNull()), queries.select("query_id", F.col("vector").alias("query")), depth, key=key, vector="vector")
+    dense = rk.knn(records, queries.select("query_id", F.col("vector").alias("query")), depth, key=key, vector="vector", partial=True)
     lexical = rk.bm25(records, queries.select("query_id", F.col("text").alias("query")), key, "text", depth=depth)
     found = dense.select("query_id", F.lit("dense").alias("channel"), key, "rank").unionByName(lexical.select("query_id", F.lit("bm25").alias("channel"), key, "rank"))
     return found.join(case, "query_id")
@@ -32,7 +32,7 @@ def pool(rankings: DataFrame, records: DataFrame, key: str) -> tuple[DataFrame,
     """
     lists = rankings.withColumn("channel", F.concat_ws(":", F.col("query_id").cast("string"), "channel"))
     fused = rk.rrf(lists, ["case_id"], key)
-    spans = records.select(key, F.xxhash64(F.lower(tx.clean(F.col("text")))).alias("__span"), F.md5(F.lower(tx.clean(F.col("text"))).cast("binary")).alias("__digest"))
+    spans = records.join(fused.select(key).distinct(), key, "left_semi").select(key, F.xxhash64(F.lower(tx.clean(F.col("text")))).alias("__span"), F.md5(F.lower(tx.clean(F.col("text"))).cast("binary")).alias("__digest"))
     told = rk.top(fused.join(spans, key), ["case_id", "__span", "__digest"], [F.asc("fusion_rank")], None, "__nth")
     left = told.filter("__nth > 1").select("case_id", key, F.lit("duplicate_source_span").alias("reason"))
     return told.filter("__nth = 1").drop("__nth", "__span", "__digest"), left
@@ -48,7 +48,9 @@ def assigned(candidates: DataFrame, rankings: DataFrame, queries: DataFrame, rec
     met = candidates.select("case_id", key).join(queries.select("case_id", "query_id", "kind"), "case_id").join(strength, ["case_id", "query_id", key], "left")
     best = met.groupBy("case_id", key, "kind").agg(F.max(F.struct(F.coalesce("strength", F.lit(0.0)).alias("strength"), "query_id")).alias("best"))
     strong = best.filter("best.strength > 0").select("case_id", key, "kind", "best.query_id", "best.strength", F.lit("strength").alias("assigned_by"))
-    weak = best.filter("best.strength = 0").select("case_id", key, "kind").join(queries.select("case_id", "query_id", "kind", F.col("vector").alias("__q")), ["case_id", "kind"]).join(records.select(key, F.col("vector").alias("__r")), key)
+    weak = best.filter("best.strength = 0").select("case_id", key, "kind")
+    asked = records.join(weak.select(key).distinct(), key, "left_semi").select(key, F.col("vector").alias("__r"))  # no vectors are made of other records
+    weak = weak.join(queries.select("case_id", "query_id", "kind", F.col("vector").alias("__q")), ["case_id", "kind"]).join(asked, key)
     near = weak.withColumn("__dot", F.round(F.coalesce(vec.dot(F.col("__q"), F.col("__r")), F.lit(-2.0)), rk.PLACES))
     nearest = rk.first_of(near, ["case_id", key, "kind"], [F.desc("__dot"), F.asc("query_id")])
     return strong.unionByName(nearest.select("case_id", key, "kind", "query_id", F.lit(0.0).alias("strength"), F.lit("dense").alias("assigned_by")))

@@ -93,8 +93,11 @@ def _width(rows: DataFrame, vector: str) -> str:
     return "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """The rows as matrices of `size` rows at most: ids and vectors as bytes, float vectors as such, others as doubles."""
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, partial: bool = False) -> DataFrame:
+    """The rows as matrices of `size` rows at most: ids and vectors as bytes, float vectors as such, others as doubles. partial: rows without a vector are left out.
+
+    They are left out here, for a filter would make each vector twice where it is an expression.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -102,6 +105,7 @@ def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
+            b = b.filter(b.column(1).is_valid()) if partial else b
             for at in range(0, b.num_rows, size):
                 ids, vectors = b.column(0)[at : at + size], b.column(1)[at : at + size]
                 yield pa.RecordBatch.from_arrays([pa.array([ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()])], names=["ids", "vectors"])
@@ -109,14 +113,14 @@ def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return rows.select(F.col(key).cast("long"), F.col(vector) if kind == "<f4" else vec.doubles(F.col(vector))).mapInArrow(work, _BLOCK)
 
 
-def _meet(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, groups: int | None = None) -> DataFrame:
+def _meet(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, groups: int | None = None, partial: bool = False) -> DataFrame:
     """Pairs of blocks of both sides; the queries' are broadcast up to SMALL bytes, beyond that blocks meet blocks without a broadcast.
 
     With groups the queries are dealt over so many blocks, and all pairs of one lie in one partition.
     """
     asked = _blocks(queries if groups is None else queries.repartition(groups), query_key, query_vector, BLOCK)
     asked = asked.select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.spark_partition_id().alias("place"))
-    told = _blocks(corpus, key, vector, BLOCK)
+    told = _blocks(corpus, key, vector, BLOCK, partial)
     small = queries.select(F.sum(8 * F.size(F.col(query_vector)).cast("long") + 8).alias("n")).collect()[0]["n"] or 0
     pairs = told.crossJoin(F.broadcast(asked) if small <= SMALL else asked)
     pairs = pairs if groups is None else pairs.repartitionById(groups, "place")
@@ -171,14 +175,15 @@ def whole_rankings(corpus: DataFrame, queries: DataFrame, measure: str = "cosine
     return pairs.mapInArrow(work, "query_id long, vec_id long, score double, rank int").select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score", "rank")
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", within: float | None = None) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", within: float | None = None, partial: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: exact search of every query against every vector; scores have PLACES places, ties go by id.
 
     cosine: dot product with the re-normalised query, larger first; l2: squared distance, smaller first. Each pair of blocks is one matrix
     product that keeps the k best of a block for each query; within drops scores beyond a gate there (below it for cosine, above it for l2).
-    With neither, whole_rankings() ranks the pairs where they are made.
+    With neither, whole_rankings() ranks the pairs where they are made. partial: rows of the corpus may lack a vector, and are not found.
     """
     if k is None and within is None:
+        corpus = corpus.filter(F.col(vector).isNotNull()) if partial else corpus
         return whole_rankings(corpus, queries, measure, key, vector, query_key, query_vector)
     import numpy as np
     import pyarrow as pa
@@ -195,7 +200,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | None, measure: str = "co
                 parts.append((np.full(len(best), x), i[best], row[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = _meet(corpus, queries, key, vector, query_key, query_vector)
+    pairs = _meet(corpus, queries, key, vector, query_key, query_vector, partial=partial)
     scored = pairs.mapInArrow(work, "query_id long, vec_id long, score double").select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score")
     order = F.desc("score") if measure == "cosine" else F.asc("score")
     return top(scored, [query_key], [order, F.asc(key)], k)
