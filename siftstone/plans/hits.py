@@ -10,7 +10,7 @@ from siftstone.operators import ranking as rk
 from siftstone.operators.constraints import Violation
 from siftstone.plans.base import query, t
 from siftstone.plans.retrieval import BM25_SQL, _bm25
-from siftstone.session import workspace
+from siftstone.session import kept, workspace
 from siftstone.sources import sinks as sk
 
 SOURCE, HOST = "library", "example.org"
@@ -63,7 +63,7 @@ h AS (SELECT query_id, want, title = want AS t, title <> want AND (query_id + do
 
 @query("x36_topic_hits", _HITS_SQL + """ SELECT query_id, count(*) AS hits, bool_and(w) AS whole, bool_or(t) AS title_match, bool_or(d) AS definition_match, bool_and(w) AND (bool_or(t) OR bool_or(d)) AS passed FROM h GROUP BY query_id""")
 def topic_hits(spark, sf):
-    ranked, q, d = _bm25(spark, sf, 8), F.col("query_id"), F.col("doc_id")
+    ranked, q, d = kept(_bm25(spark, sf, 8)), F.col("query_id"), F.col("doc_id")
     titles = t(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"), "text", "source")
     met = ranked.join(titles, "doc_id")
     want = met.filter(F.col("rank") == 1 + q % 8).select("query_id", F.when(q % 9 == 0, "nothing").otherwise(F.col("title")).alias("want"))
@@ -78,7 +78,7 @@ SELECT pool_id, unnest(CASE pool_id % 8 WHEN 1 THEN ['first'] WHEN 2 THEN ['firs
 def rank_faults(spark, sf):
     """One says another number, one has lost its first, one reorders with another score, one has all ranks one too high, one was captured beyond its depth."""
     p = F.col("pool_id") % 8
-    whole = _bm25(spark, sf).select(F.col("query_id").alias("pool_id"), F.col("doc_id").alias("candidate_id"), "rank", "score")
+    whole = kept(_bm25(spark, sf).select(F.col("query_id").alias("pool_id"), F.col("doc_id").alias("candidate_id"), "rank", "score"))
     size = whole.groupBy("pool_id").agg(F.count("*").alias("n")).filter("n >= 6")
     whole = whole.join(size, "pool_id")
     first = whole.filter((p != 2) | (F.col("rank") != 1)).select("pool_id", F.lit("first").alias("system"), "candidate_id", (F.col("rank") + F.when(p == 4, 1).otherwise(0)).alias("rank"), F.lit(None).cast("int").alias("original_rank"), "score")
