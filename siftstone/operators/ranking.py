@@ -17,6 +17,8 @@ PLACES = 9
 SMALL, BLOCK = 32 << 20, 2048
 #: Queries whose whole rankings one task makes at most, scores that it holds for them, and tasks that there are at least.
 GROUP, HELD, TASKS = 128, 1 << 26, 32
+#: Pairs of a document and a query that a task counts, and partitions for them at most; beyond it Spark's aggregation spills.
+PAIRS, MOST = 1 << 20, 4096
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -30,19 +32,22 @@ def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top(df, by, order, 1, "__first").drop("__first")
 
 
-def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: bool = False, sizes: bool = True) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: bool = False, sizes: bool = True, parts: int | None = None) -> DataFrame:
     """key, length, distinct, term, tf: term frequencies, and the document's numbers of tokens and (with sizes) of distinct ones.
 
     With terms (a column term) only their postings, and one row of the empty term for each document, which carries its numbers;
     few says that the terms can be broadcast: then tokens that no query has are dropped where they are read.
+    parts: into so many partitions by key, so that what a document meets is counted where its postings are.
     A text is tokenised once. Whoever reads tf, in whatever part of a plan, reads the same shuffle.
     """
     tokens = docs.select(key, F.concat(tx.search_tokens(F.col(text)), F.array(F.lit(""))).alias("__t"))
     counted = tokens.select(key, "__t", (F.size("__t") - 1).alias("length"), ((F.size(F.array_distinct("__t")) - 1) if sizes else F.lit(0)).alias("distinct"))
     numbered = counted.select(key, "length", "distinct", F.explode_outer("__t").alias("term"))
     if terms is not None:
-        wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
+        wanted = terms.select("term").distinct().union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
         numbered = numbered.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    if parts is not None:
+        numbered = numbered.repartition(parts, key)
     return numbered.groupBy(key, "length", "distinct", "term").agg(F.count("*").alias("tf"))
 
 
@@ -60,6 +65,11 @@ def _few(queries: DataFrame, query_text: str) -> bool:
     return (queries.agg(F.sum(F.octet_length(query_text).cast("long")).alias("n")).collect()[0]["n"] or 0) <= SMALL
 
 
+def _parts(docs: DataFrame, queries: DataFrame) -> int:
+    """Partitions of postings, so that in each at most about PAIRS documents meet queries."""
+    return min(MOST, max(TASKS, -(-docs.count() * queries.count() // PAIRS)))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", depth: int | None = 50, sizes: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank. Terms of a query count once; documents without any of them are left out.
 
@@ -68,21 +78,24 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     Texts are tokenised in one scan; document frequencies, the number of documents and their mean length come from the same postings.
     """
     terms = query_terms(queries, query_key, query_text)
-    index = postings(docs, key, text, terms, _few(queries, query_text), sizes)
+    few = _few(queries, query_text)
+    small = F.broadcast if few else (lambda x: x)  # no more terms than the queries have
+    index = postings(docs, key, text, terms, few, sizes, _parts(docs, queries))
     sizes = index.agg(F.sum(F.when(F.col("tf") > 0, 1 - _real())).alias("n_docs"), F.sum(F.when(F.col("tf") > 0, F.col("length") * (1 - _real()))).alias("total"))
     spread = index.groupBy("term").agg(F.sum(_real()).alias("df"))
-    weighted = index.join(spread, "term").crossJoin(F.broadcast(sizes))  # one row
+    weighted = index.join(small(spread), "term").crossJoin(F.broadcast(sizes))  # one row
     mean = F.when(F.col("total") > 0, F.col("total") / F.col("n_docs")).otherwise(1.0)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("length") / mean))
-    scored = weighted.withColumn("part", part).join(terms, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), PLACES).alias("score"))
+    scored = weighted.withColumn("part", part).join(small(terms), "term").groupBy(query_key, key).agg(F.round(F.sum("part"), PLACES).alias("score"))
     return top(scored.filter("score > 0"), [query_key], [F.desc("score"), F.asc(key)], depth)
 
 
 def overlaps(docs: DataFrame, queries: DataFrame, least: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
     """query_id, doc_id, size, overlap: distinct terms of a document, and how many of them a query has, at least `least`."""
     terms = query_terms(queries, query_key, query_text)
-    met = postings(docs, key, text, terms, _few(queries, query_text)).join(terms, "term")
+    few = _few(queries, query_text)
+    met = postings(docs, key, text, terms, few, parts=_parts(docs, queries)).join(F.broadcast(terms) if few else terms, "term")
     return met.groupBy(query_key, key, F.col("distinct").alias("size")).agg(F.sum(_real()).alias("overlap")).filter(F.col("overlap") >= least)
 
 
