@@ -15,6 +15,8 @@ from siftstone.functions import vectors as vec
 PLACES = 9
 #: Bytes of query vectors, or of query texts, up to which they are broadcast, and vectors of a block.
 SMALL, BLOCK = 32 << 20, 2048
+#: Bytes of all pairs of blocks that a task hands to Python, where blocks of queries are few enough for that: they may come in one batch.
+BATCH = 64 << 20
 #: Queries whose whole rankings one task makes at most, scores that it holds for them, and tasks that there are at least.
 GROUP, HELD, TASKS = 128, 1 << 26, 32
 #: Pairs of a document and a query that a task counts, and partitions for them at most; beyond it Spark's aggregation spills.
@@ -129,12 +131,14 @@ def _blocks(rows: DataFrame, key: str, vector: str, size: int, partial: bool = F
 def _meet(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, groups: int | None = None, partial: bool = False) -> DataFrame:
     """Pairs of blocks of both sides; the queries' are broadcast up to SMALL bytes, beyond that blocks meet blocks without a broadcast.
 
-    With groups the queries are dealt over so many blocks, and all pairs of one lie in one partition.
+    The corpus is dealt over as many tasks as hold BATCH bytes of pairs each. With groups the queries are dealt over so many blocks, and all pairs of one lie in one partition.
     """
     asked = _blocks(queries if groups is None else queries.repartition(groups), query_key, query_vector, BLOCK)
     asked = asked.select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.spark_partition_id().alias("place"))
     told = _blocks(corpus, key, vector, BLOCK, partial)
     small = queries.select(F.sum(8 * F.size(F.col(query_vector)).cast("long") + 8).alias("n")).collect()[0]["n"] or 0
+    if groups is None and small:
+        told = told.repartition(max(TASKS, -(-corpus.count() // BLOCK) // max(1, BATCH // (2 * small))))  # a block meets all queries: about twice their bytes
     pairs = told.crossJoin(F.broadcast(asked) if small <= SMALL else asked)
     pairs = pairs if groups is None else pairs.repartitionById(groups, "place")
     return pairs.select("ids", "vectors", "qids", "qvectors", F.lit(_width(corpus, vector)).alias("kind"), F.lit(_width(queries, query_vector)).alias("qkind"))
