@@ -112,6 +112,7 @@ def concept_matches(texts: DataFrame, key: str, concepts: DataFrame) -> DataFram
     needed = asked.filter(F.size("words") > 0).select("concept", "words", F.explode("words").alias("word"))
     words = words.join(needed.select("word").distinct(), "word", "left_semi")
     spread = words.groupBy("word").agg(F.count("*").alias("df"))
+    words = words.hint("merge")  # never broadcast: files of equal texts are far smaller than their words
     rare = needed.join(spread, "word").groupBy("concept", "words").agg(F.min(F.struct("df", "word")).alias("least"), F.count("*").alias("found")).filter(F.col("found") == F.size("words"))
     met = words.join(rare.select("concept", "words", F.col("least.word").alias("word")), "word").select(key, "concept", "words")
     done = met.filter(F.size("words") == 1).select(key, "concept")
