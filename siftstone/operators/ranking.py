@@ -21,6 +21,8 @@ BATCH = 64 << 20
 GROUP, HELD, TASKS = 128, 1 << 26, 32
 #: Pairs of a document and a query that a task counts, and partitions for them at most; beyond it Spark's aggregation spills.
 PAIRS, MOST = 1 << 20, 4096
+#: Terms of queries that a plan names; more are broadcast.
+LISTED = 4096
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -40,15 +42,21 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     With terms (a column term) only their postings, and one row of the empty term for each document, which carries its numbers;
     few says that the terms can be broadcast: then tokens that no query has are dropped where they are read.
     parts: into so many partitions by key, so that what a document meets is counted where its postings are.
-    A text is tokenised once. Whoever reads tf, in whatever part of a plan, reads the same shuffle.
+    A text is tokenised once, before the shuffle. Whoever reads tf, in whatever part of a plan, reads the same shuffle;
+    with few it has a row for each text, of terms that are asked for where a plan can name these.
     """
     tokens = docs.select(key, F.concat(tx.search_tokens(F.col(text)), F.array(F.lit(""))).alias("__t"))
     counted = tokens.select(key, "__t", (F.size("__t") - 1).alias("length"), ((F.size(F.array_distinct("__t")) - 1) if sizes else F.lit(0)).alias("distinct"))
-    numbered = counted.select(key, "length", "distinct", F.explode_outer("__t").alias("term"))
-    if terms is not None:
+    near = parts is not None and few  # no other shuffle comes after
+    words = _listed(terms) if near else None
+    if near:  # a row for each text: a task holds all that it writes to many partitions, and a row for each token takes several times as much
+        asked = F.col("__t") if words is None else F.filter("__t", lambda x: (x == "") | x.isin(words))
+        counted = counted.withColumn("__t", asked).repartition(parts, key)
+    numbered = counted.select(key, "length", "distinct", (F.explode_outer if terms is None else F.explode)("__t").alias("term"))
+    if terms is not None and words is None:
         wanted = terms.select("term").distinct().union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
         numbered = numbered.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    if parts is not None:
+    if parts is not None and not near:
         numbered = numbered.repartition(parts, key)
     return numbered.groupBy(key, "length", "distinct", "term").agg(F.count("*").alias("tf"))
 
@@ -62,6 +70,12 @@ def query_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFram
     return queries.select(query_key, F.explode(F.array_distinct(tx.search_tokens(F.col(query_text)))).alias("term"))
 
 
+def _listed(terms: DataFrame) -> list[str] | None:
+    """The terms in order, where they are at most LISTED; they are then written into the plan."""
+    found = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    return sorted(found) if len(found) <= LISTED else None
+
+
 def _few(queries: DataFrame, query_text: str) -> bool:
     """Whether the texts of the queries, and so their terms, are at most SMALL bytes."""
     return (queries.agg(F.sum(F.octet_length(query_text).cast("long")).alias("n")).collect()[0]["n"] or 0) <= SMALL
