@@ -9,6 +9,7 @@ from siftstone.functions import ids
 from siftstone.functions import text as tx
 from siftstone.operators.constraints import assert_valid, violations
 from siftstone.operators.ranking import first_of
+from siftstone.session import kept
 
 VERSION = "words-v1:180:30"
 
@@ -40,11 +41,111 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return out.select(key, "chunk_index", "text", ids.uuid5(name).alias("chunk_id"))
 
 
-def _parity(words: Column) -> Column:
-    """256 bits of a set, each the parity of how many members fall on it: two sets differ in at least as many members as their parities in bits."""
-    spread = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(256)).cast("int"))
-    part = lambda n: F.aggregate(spread, F.lit(0).cast("long"), lambda acc, h: F.when(F.shiftrightunsigned(h, 6) == n, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64))))).otherwise(acc))
-    return F.array(*map(part, range(4)))
+#: Rows that say which words are frequent, and counters for them; they have an effect on speed alone. Rows of a batch that are worked on at a time.
+SAMPLED, COUNTERS, PIECE = 20_000, 1 << 20, 256
+#: Pairs of sets that a task looks at at a time, where no set alone meets more.
+PAIRS = 1 << 18
+#: Members up to which a set has the least parity, of 4 longs; larger ones have 16 or more, of which 16 go to where sets meet.
+FEW = 384
+
+
+def _marked(named: DataFrame, percent: int, often) -> DataFrame:
+    """k, g, same, n, begun, near, parity of rows (k, g, same, h), h the hashes of a set's members.
+
+    begun: those hashes by which similar sets meet, the rarest first; near, parity: bits that are each the parity of how many members fall on them,
+    so two sets differ in at least as many members as in bits. parity grows with the set; near is it folded to 16 longs at most.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+
+    def lists(values, sizes):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")), pa.array(values))
+
+    def folded(bits, hashes, row, longs):
+        at = hashes & (64 * longs[row] - 1)
+        np.bitwise_xor.at(bits, (np.cumsum(longs) - longs)[row] + (at >> 6), np.left_shift(np.int64(1), at & 63))
+        return lists(bits, longs)
+
+    def work(batches):
+        for b in (batch.slice(at, PIECE) for batch in batches for at in range(0, batch.num_rows, PIECE)):
+            b = b.filter(pc.greater(pc.list_value_length(b.column(3)), 0))  # in SQL the filter would make a set twice
+            h = b.column(3).flatten().to_numpy()
+            n = b.column(3).value_lengths().to_numpy().astype("<i8")
+            row = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, often[h & (COUNTERS - 1)], row))]
+            begun = n + (-percent * n) // 100 + 1
+            first = np.arange(len(h)) - (np.cumsum(n) - n)[row] < begun[row]
+            longs = np.where(n <= FEW, 4, 16 << np.ceil(np.log2(np.maximum(n / (4 * FEW), 1))).astype("<i8"))
+            near = np.minimum(longs, 16)
+            parities = [folded(np.zeros(s.sum(), "<i8"), h >> 20, row, s) for s in (near, longs)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n.astype("<i4")), lists(h[first], begun), *parities], names=["k", "g", "same", "n", "begun", "near", "parity"])
+
+    schema = StructType(named.schema.fields[:3]).add("n", IntegerType()).add("begun", ArrayType(LongType())).add("near", ArrayType(LongType())).add("parity", ArrayType(LongType()))
+    return named.mapInArrow(work, schema)
+
+
+def _frequent(named: DataFrame, rows: int):
+    """How often hashes fall on each of COUNTERS counters in about SAMPLED of the rows."""
+    import numpy as np
+
+    some = named.filter(F.pmod(F.xxhash64("k"), F.lit(max(1, rows // SAMPLED))) == 0)
+    counted = some.select(F.explode_outer("h").alias("h")).filter("h is not null").groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, "<i4")
+    often[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    return often
+
+
+def _met(first: DataFrame, percent: int) -> DataFrame:
+    """a, b of rows (k, n, near, at, word) that meet in a word, where sizes, what is left of both and bits allow the overlap; at most PAIRS pairs are looked at at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import StructField, StructType
+
+    def pairs(t):
+        n, place, word = (t[c].to_numpy().astype("<i8") for c in ("n", "at", "word"))
+        left, k = n - place, t["k"].combine_chunks()
+        large = n > FEW
+        bits, wide = t["near"].combine_chunks().flatten().to_numpy().view("<u8"), np.zeros((len(n), 16), "<u8")
+        narrow = wide[:, :4].copy()
+        of_large = np.repeat(large, np.where(large, 16, 4))
+        wide[large], narrow[~large] = bits[of_large].reshape(-1, 16), bits[~of_large].reshape(-1, 4)
+        narrow[large] = np.bitwise_xor.reduce(wide[large].reshape(-1, 4, 4), axis=1)
+        group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) << 32
+        many = np.searchsorted(group + n, group + n * 100 // percent, "right") - np.arange(len(n)) - 1  # rows go by size in a word
+        done = np.cumsum(many)
+        start = 0
+        while start < len(n):
+            before = done[start] - many[start]
+            end = max(start + 1, int(np.searchsorted(done, before + PAIRS, "right")))
+            i = np.repeat(np.arange(start, end), many[start:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[start:end] - many[start:end] - before, many[start:end])
+            start = end
+            may = (100 + percent) * np.minimum(left[i], left[j]) >= percent * (n[i] + n[j])
+            i, j = i[may], j[may]
+            apart = np.zeros(len(i), "<i8")
+            for rows, marks in ((large[i] & large[j], wide), (~(large[i] & large[j]), narrow)):
+                apart[rows] = np.bitwise_count(marks[i[rows]] ^ marks[j[rows]]).sum(axis=1)
+            may = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+            a, b = k.take(pa.array(i[may])), k.take(pa.array(j[may]))
+            yield pa.RecordBatch.from_arrays([pc.if_else(pc.less(a, b), a, b), pc.if_else(pc.less(a, b), b, a)], names=["a", "b"]).filter(pc.not_equal(a, b))
+
+    def work(batches):
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            word = held["word"].to_numpy()
+            last = int(np.searchsorted(word, word[-1])) if len(word) else 0  # the last word may go on in the next batch
+            if last:
+                yield from pairs(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    key = first.schema["k"].dataType
+    return first.repartition("word").sortWithinPartitions("word", "n").mapInArrow(work, StructType([StructField("a", key), StructField("b", key)]))
 
 
 def similar_pairs(rows: DataFrame, key: str, group: str, words: str, percent: int) -> DataFrame:
@@ -52,26 +153,30 @@ def similar_pairs(rows: DataFrame, key: str, group: str, words: str, percent: in
 
     Rows of equal sets go as one, by the least key, with their number. Two such sets share one of the rarest words of each: of n
     words, n less the least overlap and one more. Sets that meet in such a word go on where their sizes, what is left of both from their first common word on,
-    and the parities of their members allow the overlap: bounds that no similar pair breaks. Whole sets are joined to what is left alone.
+    and the parities of their members allow the overlap: bounds that no similar pair breaks. Hashes stand for words up to there, and are read once into the shared folder;
+    whole sets are made again for the pairs that are left, and joined to them alone.
     """
-    sets = rows.groupBy(group, F.array_sort(words).alias("w")).agg(F.min(key).alias("k"), F.count("*").alias("copies")).withColumn("n", F.size("w"))
-    each = sets.filter("n > 0").select("k", group, "n", F.explode("w").alias("word"))
-    common = each.groupBy(group, "word").agg(F.count("*").alias("f"))
-    word = F.xxhash64(group, "word")  # words that share a hash meet for nothing, and are told apart by the whole sets
-    ranked = each.join(common, [group, "word"]).select("k", "n", F.struct(F.col("f").cast("int").alias("f"), word.alias("word")).alias("r")).groupBy("k", "n").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    parities = sets.filter("n > 0").select("k", _parity(F.col("w")).alias("parity"))
-    begun = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
-    first = ranked.join(parities, "k").select("k", "n", "parity", F.posexplode(begun).alias("at", "r")).select(F.col("r.word").alias("word"), F.struct("k", "n", (F.col("n") - F.col("at")).alias("left"), "parity").alias("x"))
-    a, b = first.select("word", F.col("x").alias("a")), first.select("word", F.col("x").alias("b"))
-    both = F.col("a.n") + F.col("b.n")
-    sized = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    overlap = (100 + percent) * F.least("a.left", "b.left") >= percent * both
-    bits = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(4)), F.lit(0))
-    alike = (100 + percent) * bits <= (100 - percent) * both
-    met = a.join(b, "word").filter((F.col("a.k") < F.col("b.k")) & sized & overlap & alike).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = sets.select(F.col("k").alias("a"), F.col(group).alias("__ga"), F.col("w").alias("wa"), F.col("copies").alias("copies_a")), sets.select(F.col("k").alias("b"), F.col(group).alias("__gb"), F.col("w").alias("wb"), F.col("copies").alias("copies_b"))
+    w = F.col("w")
+    sets = rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(words).alias("w"))
+    same = F.unhex(F.sha2(F.to_json(F.struct("g", F.array_sort(w).alias("w"))), 256)).alias("same")
+    named = sets.select("k", "g", same, F.transform(w, lambda x: F.xxhash64("g", x)).alias("h"))  # words that share a hash meet for nothing
+    marked = _marked(named, percent, _frequent(named, rows.count()))
+    whole = kept(marked.groupBy("g", "same", "n", "begun", "near", "parity").agg(F.min("k").alias("k"), F.count("*").alias("copies")))
+    met = _met(whole.select("k", "n", "near", F.posexplode("begun").alias("at", "word")), percent).distinct()
+    side = lambda x: whole.select(F.col("k").alias(x), F.struct("g", "same", "n", "copies", "parity").alias(f"of_{x}"))
+    sizes = [F.size(f"of_{x}.parity") for x in "ab"]
+    longs, unlike = F.least(*sizes), F.greatest(*sizes) > 2 * F.least(*sizes)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: F.when(F.size(x) > longs, F.zip_with(F.slice(x, F.lit(1), longs), F.slice(x, longs + 1, longs), xor)).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(half("of_a.parity"), half("of_b.parity"), xor), F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    agreed = met.join(side("a"), "a").join(side("b"), "b").filter((F.col("of_a.g") == F.col("of_b.g")) & ((longs <= 16) | unlike | ((100 + percent) * apart <= (100 - percent) * (F.col("of_a.n") + F.col("of_b.n")))))
+    agreed = kept(agreed.select("a", "b", F.col("of_a.same").alias("same_a"), F.col("of_b.same").alias("same_b"), F.col("of_a.copies").alias("copies_a"), F.col("of_b.copies").alias("copies_b")))
+
+    asked = sets.join(agreed.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi").select("k", same, "w").dropDuplicates(["k", "same"])
+    left, right = (asked.select(F.col("k").alias(x), F.col("same").alias(f"same_{x}"), w.alias(f"w{x}")) for x in "ab")
     j = tx.jaccard(F.col("wa"), F.col("wb"))
-    return met.join(left, "a").join(right, "b").filter((F.col("__ga") == F.col("__gb")) & (j >= percent / 100)).select("a", "b", F.round(j, 9).alias("jaccard"), "copies_a", "copies_b")
+    told = agreed.join(left, ["a", "same_a"]).join(right, ["b", "same_b"]).filter(j >= percent / 100)
+    return told.select("a", "b", F.round(j, 9).alias("jaccard"), "copies_a", "copies_b")
 
 
 def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
