@@ -45,15 +45,15 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 SAMPLED, COUNTERS, PIECE = 20_000, 1 << 20, 256
 #: Pairs of sets that a task looks at at a time, where no set alone meets more.
 PAIRS = 1 << 18
-#: Members up to which a set has the least parity, of 4 longs; larger ones have 16 or more, of which 16 go to where sets meet.
-FEW = 384
+#: Members up to which a set has the least parity, of 4 longs; twice as many have twice as many longs, of which MARKS at most go to where sets meet.
+FEW, MARKS = 384, 16
 
 
 def _marked(named: DataFrame, percent: int, often) -> DataFrame:
     """k, g, same, n, begun, near, parity of rows (k, g, same, h), h the hashes of a set's members.
 
     begun: those hashes by which similar sets meet, the rarest first; near, parity: bits that are each the parity of how many members fall on them,
-    so two sets differ in at least as many members as in bits. parity grows with the set; near is it folded to 16 longs at most.
+    so two sets differ in at least as many members as in bits. parity grows with the set; near is it folded to MARKS longs at most.
     """
     import numpy as np
     import pyarrow as pa
@@ -77,8 +77,8 @@ def _marked(named: DataFrame, percent: int, often) -> DataFrame:
             h = h[np.lexsort((h, often[h & (COUNTERS - 1)], row))]
             begun = n + (-percent * n) // 100 + 1
             first = np.arange(len(h)) - (np.cumsum(n) - n)[row] < begun[row]
-            longs = np.where(n <= FEW, 4, 16 << np.ceil(np.log2(np.maximum(n / (4 * FEW), 1))).astype("<i8"))
-            near = np.minimum(longs, 16)
+            longs = 4 << np.ceil(np.log2(np.maximum(n / FEW, 1))).astype("<i8")
+            near = np.minimum(longs, MARKS)
             parities = [folded(np.zeros(s.sum(), "<i8"), h >> 20, row, s) for s in (near, longs)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n.astype("<i4")), lists(h[first], begun), *parities], names=["k", "g", "same", "n", "begun", "near", "parity"])
 
@@ -107,12 +107,11 @@ def _met(first: DataFrame, percent: int) -> DataFrame:
     def pairs(t):
         n, place, word = (t[c].to_numpy().astype("<i8") for c in ("n", "at", "word"))
         left, k = n - place, t["k"].combine_chunks()
-        large = n > FEW
-        bits, wide = t["near"].combine_chunks().flatten().to_numpy().view("<u8"), np.zeros((len(n), 16), "<u8")
-        narrow = wide[:, :4].copy()
-        of_large = np.repeat(large, np.where(large, 16, 4))
-        wide[large], narrow[~large] = bits[of_large].reshape(-1, 16), bits[~of_large].reshape(-1, 4)
-        narrow[large] = np.bitwise_xor.reduce(wide[large].reshape(-1, 4, 4), axis=1)
+        longs, bits, marks = t["near"].combine_chunks().value_lengths().to_numpy(), t["near"].combine_chunks().flatten().to_numpy().view("<u8"), {}
+        for size in (4, 8, MARKS):
+            marks[size] = np.zeros((len(n), size), "<u8")
+            for own in (s for s in (4, 8, MARKS) if s >= size):
+                marks[size][longs == own] = np.bitwise_xor.reduce(bits[np.repeat(longs == own, longs)].reshape(-1, own // size, size), axis=1)
         group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) << 32
         many = np.searchsorted(group + n, group + n * 100 // percent, "right") - np.arange(len(n)) - 1  # rows go by size in a word
         done = np.cumsum(many)
@@ -126,8 +125,9 @@ def _met(first: DataFrame, percent: int) -> DataFrame:
             may = (100 + percent) * np.minimum(left[i], left[j]) >= percent * (n[i] + n[j])
             i, j = i[may], j[may]
             apart = np.zeros(len(i), "<i8")
-            for rows, marks in ((large[i] & large[j], wide), (~(large[i] & large[j]), narrow)):
-                apart[rows] = np.bitwise_count(marks[i[rows]] ^ marks[j[rows]]).sum(axis=1)
+            for size, of in marks.items():
+                rows = np.minimum(longs[i], longs[j]) == size
+                apart[rows] = np.bitwise_count(of[i[rows]] ^ of[j[rows]]).sum(axis=1)
             may = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
             a, b = k.take(pa.array(i[may])), k.take(pa.array(j[may]))
             yield pa.RecordBatch.from_arrays([pc.if_else(pc.less(a, b), a, b), pc.if_else(pc.less(a, b), b, a)], names=["a", "b"]).filter(pc.not_equal(a, b))
@@ -169,7 +169,7 @@ def similar_pairs(rows: DataFrame, key: str, group: str, words: str, percent: in
     xor = lambda x, y: x.bitwiseXOR(y)
     half = lambda x: F.when(F.size(x) > longs, F.zip_with(F.slice(x, F.lit(1), longs), F.slice(x, longs + 1, longs), xor)).otherwise(F.col(x))
     apart = F.aggregate(F.zip_with(half("of_a.parity"), half("of_b.parity"), xor), F.lit(0), lambda acc, x: acc + F.bit_count(x))
-    agreed = met.join(side("a"), "a").join(side("b"), "b").filter((F.col("of_a.g") == F.col("of_b.g")) & ((longs <= 16) | unlike | ((100 + percent) * apart <= (100 - percent) * (F.col("of_a.n") + F.col("of_b.n")))))
+    agreed = met.join(side("a"), "a").join(side("b"), "b").filter((F.col("of_a.g") == F.col("of_b.g")) & ((longs <= MARKS) | unlike | ((100 + percent) * apart <= (100 - percent) * (F.col("of_a.n") + F.col("of_b.n")))))
     agreed = kept(agreed.select("a", "b", F.col("of_a.same").alias("same_a"), F.col("of_b.same").alias("same_b"), F.col("of_a.copies").alias("copies_a"), F.col("of_b.copies").alias("copies_b")))
 
     asked = sets.join(agreed.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi").select("k", same, "w").dropDuplicates(["k", "same"])
